@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from quillstream.llm.common import extended
+
 #: Entries of each of the two generations of the word cache.
 CACHE_WORDS = 300_000
 #: Texts are handed on in groups of about this many characters.
@@ -292,7 +294,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, to: str
     """docs with a binary column `to`: the ids of the text, little-endian unsigned 32-bit. A clashing column is replaced."""
     path = path or vocabulary()
     keep = [c for c in docs.columns if c != to]
-    schema = docs.select(*keep).withColumn(to, docs[text].cast("binary")).schema
+    schema = extended(docs.select(*keep), f"{to} binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side of a join is broadcast only if it has at most this many rows (of some numbers each: 32 MB or so).
 BROADCAST_ROWS = 1_000_000
@@ -34,9 +34,73 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+def extended(df: DataFrame, fields: str) -> T.StructType:
+    """df's schema with further fields (DDL) that may be null."""
+    more = T.StructType.fromDDL(fields)
+    return T.StructType([*(T.StructField(f.name, f.dataType) for f in df.schema), *more])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def whole_groups(frames, keys):
+    """Frames of a partition that is sorted by `keys`, cut anew so that no group is split: each yields whole groups only.
+
+    Memory is that of a frame and the longest group."""
+    import numpy as np
+    import pandas as pd
+
+    held = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        change = np.zeros(len(frame), bool)
+        for k in keys:
+            values = frame[k].to_numpy()
+            change[1:] |= values[1:] != values[:-1]
+        cuts = np.flatnonzero(change)
+        same = held and all(held[-1][k].iloc[-1] == frame[k].iloc[0] for k in keys)
+        if held and not same:
+            yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+            held = []
+        if len(cuts):
+            head = frame.iloc[: cuts[-1]]
+            yield pd.concat([*held, head], ignore_index=True) if held else head.reset_index(drop=True)
+            held = [frame.iloc[cuts[-1] :].reset_index(drop=True)]
+        else:
+            held.append(frame)
+    if held:
+        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+
+
+def bounds(*columns):
+    """Edges of the runs of equal values in sorted columns, [0, ..., n]."""
+    import numpy as np
+
+    n = len(columns[0])
+    change = np.ones(n + 1, bool)
+    if n > 1:
+        change[1:-1] = False
+        for c in columns:
+            change[1:-1] |= c[1:] != c[:-1]
+    return np.flatnonzero(change) if n else np.zeros(1, np.int64)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id, c: the smallest id that each end of some edges (a, b) reaches. A written table.
+
+    Labels spread along edges and then jump to their own labels, so rounds grow with the logarithm of the longest path at most
+    for the stars that the operators hand over."""
+    edges = written(edges.select("a", "b").distinct())
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    labels = written(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("c")))
+    while True:
+        near = both.join(labels, both["v"] == labels["id"]).groupBy("u").agg(F.min("c").alias("m"))
+        spread = labels.join(near, labels["id"] == near["u"]).select("id", F.col("c").alias("old"), F.least("c", "m").alias("c"))
+        target = labels.select(F.col("id").alias("c"), F.col("c").alias("next"))
+        fresh = written(spread.join(target, "c").select("id", "old", F.least("c", "next").alias("c")))
+        changed = not fresh.filter(F.col("c") != F.col("old")).isEmpty()
+        labels = fresh.select("id", "c")
+        if not changed:
+            return labels
