@@ -1,11 +1,13 @@
-"""All queries of the reference's operators, with their SQL."""
+"""All queries of the engine's operators, with their SQL."""
 
 from __future__ import annotations
 
+from quillstream.plans import relational
+
 
 def queries() -> dict:
-    return {}
+    return dict(relational.queries())
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(relational.oracle_sql())
