@@ -117,6 +117,20 @@ def jaccard_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
     return at
 
 
+def estimate_reaches(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, floor: float) -> np.ndarray:
+    """Whether the joint estimate is at least `floor`: the likelihood has one top, so its slope at `floor` tells."""
+    above, below = (a > b).sum(-1), (a < b).sum(-1)
+    u = n_a / (n_a + n_b)
+    v = 1 - u
+    scale = (BASE - 1) / BASE
+    share = lambda x: np.maximum(-np.log1p(-np.clip(x, 0, 1) * scale) / np.log(BASE), 1e-9)
+    slope = lambda x: scale / ((1 - np.clip(x, 0, 1) * scale) * np.log(BASE))
+    x, y = u - v * floor, v - u * floor
+    more, less, by_more, by_less = share(x), share(y), v * slope(x), u * slope(y)
+    rising = (REGISTERS - above - below) * (by_more + by_less) / np.maximum(1 - more - less, 1e-9) - above * by_more / more - below * by_less / less
+    return (rising >= 0) & (np.minimum(u / v, v / u) >= floor)
+
+
 def sketch(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, node (the set's name) and sketch of every whole text."""
     schema = extended(docs.select("doc_id"), "n_shingles long, node binary, sketch binary")
@@ -179,17 +193,14 @@ def _candidate_edges(members: DataFrame, least: float) -> DataFrame:
     error = np.sqrt(least * (1 - least) / REGISTERS)
     floor = least - SLACK * error
 
-    def linked(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        registers = np.frombuffer(b"".join(frame["sketch"]), np.uint16).reshape(-1, REGISTERS)
-        n, ids = frame["n_shingles"].to_numpy(float), frame["id"].to_numpy()
-
+    def linked(registers: np.ndarray, n: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         def near(x: int, left: np.ndarray) -> np.ndarray:
             out = np.zeros(len(left), bool)
             equal = (registers[left] == registers[x]).sum(1)
             some = np.flatnonzero(equal >= (floor - 0.1) * REGISTERS)
             if len(some):
                 y = left[some]
-                out[some] = jaccard_estimate(registers[x][None], registers[y], np.full(len(y), n[x]), n[y]) >= floor
+                out[some] = estimate_reaches(registers[x][None], registers[y], np.full(len(y), n[x]), n[y], floor)
             return out
 
         left = np.arange(len(ids))
@@ -201,8 +212,16 @@ def _candidate_edges(members: DataFrame, least: float) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(frames, ["bucket"]):
+            registers = np.frombuffer(b"".join(frame["sketch"]), np.uint16).reshape(-1, REGISTERS)
+            n, ids = frame["n_shingles"].to_numpy(float), frame["id"].to_numpy()
             edge = bounds(frame["bucket"].to_numpy())
-            found = [x for a, b in zip(edge[:-1], edge[1:], strict=True) for x in linked(frame.iloc[a:b])]
+            # most buckets hold two: all of these at once
+            x = edge[:-1][np.diff(edge) == 2]
+            good = x[estimate_reaches(registers[x], registers[x + 1], n[x], n[x + 1], floor)]
+            found = [(ids[good], ids[good + 1])] if len(good) else []
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if b - a > 2:
+                    found += linked(registers[a:b], n[a:b], ids[a:b])
             if found:
                 yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])})
 
