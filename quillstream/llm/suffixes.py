@@ -101,13 +101,17 @@ def _seeds(docs: DataFrame, least: int) -> DataFrame:
 def _repeated_seeds(seeds: DataFrame) -> DataFrame:
     """doc_id, text_key and the positions in each text whose seeds occur more than once."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups(frames, ["seed"]):
-            edge = bounds(frame["seed"].to_numpy())
-            size = np.repeat(np.diff(edge), np.diff(edge))
-            yield frame.loc[size > 1, ["doc_id", "text_key", "pos"]].astype({"doc_id": "Int64"})
-
-    several = seeds.repartition("seed").sortWithinPartitions("seed").mapInPandas(run, "doc_id long, text_key long, pos int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a row is kept if the one before or after it has its seed; the ends of a partition are kept as they are
+        for batch in batches:
+            seed = batch.column("seed").to_numpy()
+            same = np.ones(len(seed) + 1, bool)
+            same[1:-1] = seed[1:] == seed[:-1]
+            yield batch.select(["doc_id", "text_key", "pos"]).filter(pa.array(same[1:] | same[:-1]))
+
+    # by range of seed and place: a seed that many documents hold is spread over several partitions
+    order = ["seed", "doc_id", "text_key", "pos"]
+    several = seeds.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "doc_id long, text_key long, pos int")
     return several.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("places"))
 
 
@@ -158,6 +162,18 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(1), same.shape[1], same.argmin(1))
 
 
+def _merged(frame: pd.DataFrame) -> pd.DataFrame:
+    """Overlapping and touching spans of a text, earlier ones and others apart, as one; rows are sorted by doc_key, text_key, again and start."""
+    edge = bounds(*(frame[x].to_numpy() for x in ("doc_key", "text_key", "again")))
+    start, stop = frame["start"].to_numpy().astype(np.int64), frame["stop"].to_numpy().astype(np.int64)
+    lift = np.repeat(np.arange(len(edge) - 1), np.diff(edge)) * (1 << 40)
+    fresh = np.ones(len(start), bool)
+    fresh[1:] = (start + lift)[1:] > np.maximum.accumulate(stop + lift)[:-1]
+    at = np.flatnonzero(fresh)
+    ends = np.maximum.reduceat(stop, at) if len(at) else stop
+    return frame.iloc[at][["doc_id", "text_key", "start", "again"]].assign(stop=ends)[["doc_id", "text_key", "start", "stop", "again"]].astype({"doc_id": "Int64"})
+
+
 def _matches(frame: pd.DataFrame, least: int) -> pd.DataFrame:
     """doc_id, text_key, start, stop (words) and again (whether it occurs earlier) of the repeated passages in sorted suffixes."""
     side = least - SEED
@@ -203,9 +219,9 @@ def _matches(frame: pd.DataFrame, least: int) -> pd.DataFrame:
         names = np.frombuffer(np.ascontiguousarray(before[several]).tobytes(), f"S{4 * side}")
         chain(several[np.lexsort((doc[several], names, run[several]))])
     rows = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-    rows = np.unique(rows, axis=0)
     own = rows[:, 0]
-    return pd.DataFrame({"doc_id": ids.astype("Int64").to_numpy()[own] if n else [], "text_key": key[own], "start": rows[:, 1], "stop": rows[:, 2], "again": rows[:, 3].astype(bool)}).astype({"doc_id": "Int64"})
+    found = pd.DataFrame({"doc_id": ids.astype("Int64").to_numpy()[own] if n else [], "doc_key": doc[own], "text_key": key[own], "start": rows[:, 1], "stop": rows[:, 2], "again": rows[:, 3].astype(bool)})
+    return _merged(found.sort_values(["doc_key", "text_key", "again", "start", "stop"], kind="stable", ignore_index=True))
 
 
 def _passages(suffixes: DataFrame, least: int) -> DataFrame:
@@ -249,15 +265,7 @@ def spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups((f.assign(doc_key=f["doc_id"].fillna(-(1 << 62)).astype("int64")) for f in frames), ["doc_key", "text_key", "again"]):
-            edge = bounds(*(frame[x].to_numpy() for x in ("doc_key", "text_key", "again")))
-            start, stop = frame["start"].to_numpy().astype(np.int64), frame["stop"].to_numpy().astype(np.int64)
-            group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-            lift = group * (1 << 40)
-            reach = np.maximum.accumulate(stop + lift)
-            fresh = np.concatenate([[True], (start + lift)[1:] > reach[:-1]]) if len(start) else np.zeros(0, bool)
-            at = np.flatnonzero(fresh)
-            ends = np.maximum.reduceat(stop, at) if len(at) else stop[:0]
-            yield frame.iloc[at][["doc_id", "text_key", "start", "again"]].assign(stop=ends)[["doc_id", "text_key", "start", "stop", "again"]].astype({"doc_id": "Int64"})
+            yield _merged(frame)
 
     dealt = found.repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "again", "start", "stop")
     return dealt.mapInPandas(merge, "doc_id long, text_key long, start int, stop int, again boolean")
