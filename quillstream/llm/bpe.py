@@ -15,15 +15,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from quillstream.llm.common import extended
+from quillstream.llm.pretoken import Splitter
 
 #: Entries of each of the two generations of the word cache.
 CACHE_WORDS = 300_000
@@ -104,10 +104,7 @@ class Encoder:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.letters = _byte_letters()
         byte_of = {c: b for b, c in enumerate(self.letters)}
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(pattern).findall
-        self.blank = regex.compile(spec["normalizer"]["normalizers"][1]["pattern"]["Regex"])
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.splitter = Splitter(spec)
 
         def symbols(token: str) -> tuple[int, ...]:
             last = token.endswith(self.end) and token != self.end
@@ -142,7 +139,8 @@ class Encoder:
             self.suffixes[s] = ((t, self.width[t]), *above) if t is not None and self.width[t] == auto.length[s] else above
         self.fits: dict[int, bool] = {}
         self.size = n
-        self.young: dict[str, bytes] = {}
+        self.fixed = {t: array("I", [i]).tobytes() for t, i in self.special.items()}
+        self.young: dict[str, bytes] = dict(self.fixed)
         self.old: dict[str, bytes] = {}
         self._bytes = {i: bytes(b & 255 for b in s) + (b" " if s[-1] >= 256 else b"") for i, s in self.symbols.items()}
         self._bytes |= {i: t.encode() for t, i in self.special.items()}
@@ -218,33 +216,21 @@ class Encoder:
     def _cached(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = np.array(self.word(word.encode()), "<u4").tobytes()
+            ids = array("I", self.word(word.encode())).tobytes()
         if len(self.young) >= CACHE_WORDS:
-            self.old, self.young = self.young, {}
+            self.old, self.young = self.young, dict(self.fixed)
         self.young[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        out = []
-        for piece in self.cut.split(text) if self.cut and "<|" in text else (text,):
-            if piece in self.special:
-                out.append(self.special[piece].to_bytes(4, "little"))
-                continue
-            if not piece.isascii():
-                piece = unicodedata.normalize("NFC", piece)
-                piece = self.blank.sub(" ", piece)
-                piece = "".join(c.lower() for c in piece) if "Σ" in piece or "İ" in piece else piece.lower()
-            else:
-                piece = piece.lower()
-            get, miss = self.young.get, self._cached
-            for w in self.words(piece):
-                ids = get(w)
-                if ids is None:
-                    ids = miss(w)
-                    get = self.young.get
-                out.append(ids)
-        return b"".join(out)
+        words = self.splitter.split(text)
+        for w in set(words).difference(self.young):
+            self._cached(w)
+        try:
+            return b"".join(map(self.young.__getitem__, words))
+        except KeyError:  # the cache was renewed meanwhile
+            return b"".join([self.young.get(w) or self._cached(w) for w in words])
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: the words' bytes with a blank between words, as the file's (absent) decoder leaves it to `text_of`."""

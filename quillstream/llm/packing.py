@@ -14,20 +14,21 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import json
 import os
-import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.common import written
+from quillstream.llm.pretoken import Splitter
 
 WINDOW = 4096
 #: A document's last part is cut into even pieces of at most so many ids.
@@ -35,6 +36,8 @@ PIECE = 1024
 #: Pieces of a group, about.
 GROUP_PIECES = 1000
 CACHE_WORDS = 400_000
+#: Texts are encoded in groups of about this many characters.
+GROUP_CHARS = 4 << 20
 CLOSING_ID = 2
 
 
@@ -43,48 +46,25 @@ class WordIds:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            self.splitter = Splitter(json.load(f))
         self.codec = Tokenizer.from_file(path)
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.special = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in spec["added_tokens"]}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.known: dict[str, bytes] = {}
+        self.fixed = {t: array("I", [i]).tobytes() for t, i in self.splitter.special.items()}
+        self.known = dict(self.fixed)
 
-    def _learn(self, words: list[str]) -> None:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; the cache holds the words of these texts and up to `CACHE_WORDS` others."""
+        split = [self.splitter.split(t) for t in texts]
+        words = set(itertools.chain.from_iterable(split))
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        for w, x in zip(words, self.codec.encode_batch(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(x.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        out = []
-        for piece in self.cut.split(text) if "<|" in text else (text,):
-            if piece in self.special:
-                out.append(self.special[piece])
-                continue
-            if not piece.isascii():
-                piece = unicodedata.normalize("NFC", piece)
-                piece = "".join(c.lower() for c in piece) if "Σ" in piece else piece.lower()
-            else:
-                piece = piece.lower()
-            words = self.words(piece)
-            known = self.known
-            try:
-                out += [known[w] for w in words]
-            except KeyError:
-                if fresh := list({w for w in words if w not in known}):
-                    kept = [w for w in set(words) if w in known] if len(known) > CACHE_WORDS else []
-                    held = {w: known[w] for w in kept}
-                    self._learn(fresh)
-                    self.known |= held
-                    known = self.known
-                out += [known[w] for w in words]
-        return b"".join(out)
+            self.known = self.fixed | {w: self.known[w] for w in words if w in self.known}
+        fresh = list(words.difference(self.known))
+        for w, x in zip(fresh, self.codec.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            self.known[w] = array("I", x.ids).tobytes()
+        get = self.known.__getitem__
+        return [b"".join(map(get, own)) for own in split]
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -96,6 +76,18 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _encoded(codec: WordIds, texts: Iterator[str]) -> Iterator[bytes]:
+    """Ids of each text, taken in groups of bounded size."""
+    group, chars = [], 0
+    for text in texts:
+        group.append(text)
+        chars += len(text)
+        if chars >= GROUP_CHARS:
+            yield from codec.encode(group)
+            group, chars = [], 0
+    yield from codec.encode(group)
+
+
 def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
     """The cut pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, and row, a number of the piece in the run."""
     path = path or vocabulary()
@@ -107,8 +99,9 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, piece
         codec, counter = _WORD_IDS[path], itertools.count(TaskContext.get().partitionId() << 36)
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for doc, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = codec.encode(value.as_py() or "") + CLOSING_ID.to_bytes(4, "little")
+            texts = (x.as_py() or "" for x in batch.column("text"))
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), _encoded(codec, texts), strict=True):
+                ids += CLOSING_ID.to_bytes(4, "little")
                 n = len(ids) // 4
                 whole = n // window * window
                 tail = n - whole
