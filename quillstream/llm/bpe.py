@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillstream.llm.common import extended
-from quillstream.llm.pretoken import Splitter
+from quillstream.llm.pretoken import Splitter, byte_letters
 
 #: Entries of each of the two generations of the word cache.
 CACHE_WORDS = 300_000
@@ -31,14 +31,6 @@ CACHE_WORDS = 300_000
 GROUP_CHARS = 4 << 20
 
 
-def _byte_letters() -> list[str]:
-    """The letter that stands for each byte: printable Latin-1 for itself, the others from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {b: chr(b) for b in plain}
-    others = (b for b in range(256) if b not in letters)
-    return [c for _, c in sorted((letters | {b: chr(256 + n) for n, b in enumerate(others)}).items())]
-
-
 class SuffixAutomaton:
     """All substrings of some sequences of symbols below `span`; `ends[state]`, the sequence that is the state's longest string."""
 
@@ -102,7 +94,7 @@ class Encoder:
         self.end = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(self.letters)}
         self.splitter = Splitter(spec)
 

@@ -28,16 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.common import written
-from quillstream.llm.pretoken import Splitter
+from quillstream.llm.pretoken import ByteLetters, Splitter
 
 WINDOW = 4096
 #: A document's last part is cut into even pieces of at most so many ids.
 PIECE = 1024
 #: Pieces of a group, about.
 GROUP_PIECES = 1000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: Texts are encoded in groups of about this many characters.
-GROUP_CHARS = 4 << 20
+GROUP_CHARS = 1 << 20
 CLOSING_ID = 2
 
 
@@ -51,6 +51,7 @@ class WordIds:
         with open(path, encoding="utf-8") as f:
             self.splitter = Splitter(json.load(f))
         self.codec = Tokenizer.from_file(path)
+        self.letters = ByteLetters()  # words are normalised and split already: the model alone is asked
         self.fixed = {t: array("I", [i]).tobytes() for t, i in self.splitter.special.items()}
         self.known = dict(self.fixed)
 
@@ -61,8 +62,9 @@ class WordIds:
         if len(self.known) > CACHE_WORDS:
             self.known = self.fixed | {w: self.known[w] for w in words if w in self.known}
         fresh = list(words.difference(self.known))
-        for w, x in zip(fresh, self.codec.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[w] = array("I", x.ids).tobytes()
+        tokenize, letters = self.codec.model.tokenize, self.letters
+        for w in fresh:
+            self.known[w] = array("I", [t.id for t in tokenize(w.translate(letters))]).tobytes()
         get = self.known.__getitem__
         return [b"".join(map(get, own)) for own in split]
 

@@ -43,3 +43,22 @@ class Splitter:
         for piece in self.cut.split(text):
             out += [piece] if piece in self.special else self.words(piece)
         return out
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable Latin-1 for itself, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {b: chr(b) for b in plain}
+    others = (b for b in range(256) if b not in letters)
+    return [c for _, c in sorted((letters | {b: chr(256 + n) for n, b in enumerate(others)}).items())]
+
+
+class ByteLetters(dict):
+    """For str.translate: the letters of each character's UTF-8 bytes."""
+
+    def __init__(self) -> None:
+        self.of = byte_letters()
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = "".join(self.of[b] for b in chr(code).encode())
+        return out
