@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from quillstream.plans import relational
+from quillstream.plans import relational, textual
 
 
 def queries() -> dict:
-    return dict(relational.queries())
+    return relational.queries() | textual.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(relational.oracle_sql())
+    return relational.oracle_sql() | textual.oracle_sql()
