@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from quillstream.plans import relational, textual
+from quillstream.plans import curated, relational, textual
 
 
 def queries() -> dict:
-    return relational.queries() | textual.queries()
+    return relational.queries() | textual.queries() | curated.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return relational.oracle_sql() | textual.oracle_sql()
+    return relational.oracle_sql() | textual.oracle_sql() | curated.oracle_sql()

@@ -2,6 +2,7 @@
 
 import glob
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -17,11 +18,14 @@ def duck(sf_dir):
     return con
 
 
-def rows(frame):
-    names = sorted(frame.columns)
-    return names, sorted(tuple("" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in frame[names].astype(object).itertuples(index=False))
+def rows(names, tuples):
+    """Column names in order, and the rows as sorted text; a null is '', in whatever type the engine returns it."""
+    order = sorted(range(len(names)), key=names.__getitem__)
+    shown = lambda v: "" if v is None or v != v else f"{v:.6f}" if isinstance(v, (float, Decimal)) else str(v)
+    return sorted(names), sorted(tuple(shown(r[i]) for i in order) for r in tuples)
 
 
 @pytest.mark.parametrize("name", registry.oracle_sql())
 def test_query_equals_sql(spark, duck, sf_dir, name):
-    assert rows(registry.queries()[name](spark, sf_dir).toPandas()) == rows(duck.sql(registry.oracle_sql()[name]).df())
+    ours, theirs = registry.queries()[name](spark, sf_dir), duck.sql(registry.oracle_sql()[name])
+    assert rows(ours.columns, ours.collect()) == rows(theirs.columns, theirs.fetchall())
