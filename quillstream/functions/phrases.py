@@ -146,3 +146,9 @@ def dense_paragraphs(text: Column | str, letters: str = CJK, shortest: int = 10,
     """Paragraphs long and dense enough in `letters`."""
     share = lambda p: F.regexp_count(p, F.lit(letters)) / F.length(p)
     return F.filter(F.split(col(text), "\n\n"), lambda p: (F.length(p) >= shortest) & (share(p) >= density))
+
+
+def parser_type(url: Column | str) -> Column:
+    """The parser for an address by its extension, query string aside; else unknown."""
+    extension = F.lower(F.regexp_extract(F.split_part(col(url), F.lit("?"), F.lit(1)), r"\.([A-Za-z0-9]+)\z", 1))
+    return F.when(extension.isin("html", "htm"), "html").when(extension == "pdf", "pdf").when(extension.isin("png", "jpg", "jpeg", "bmp", "webp"), "image").otherwise("unknown")

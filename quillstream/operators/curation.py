@@ -128,3 +128,9 @@ def canonical_payload(results: DataFrame) -> DataFrame:
     legal = results.filter("product_key <> '' AND direction IN ('看涨', '看跌', '中性') AND method IN ('manual', 'rule', 'llm')")
     counts = [F.count_if(F.col("method") == m).alias(f"n_{m}") for m in ("manual", "rule", "llm")]
     return legal.groupBy("article_id").agg(F.count("*").alias("n"), F.count_distinct("product_key").alias("products"), *counts)
+
+
+def lexicon_report(candidates: DataFrame) -> DataFrame:
+    """Candidates, occurrences and documents by status, in the order of review (status, then counts)."""
+    rank = F.when(F.col("status") == "auto_approved", 0).when(F.col("status") == "review_required", 1).otherwise(2)
+    return candidates.groupBy("status").agg(F.count("*").alias("candidates"), F.sum("occurrences").alias("occurrences"), F.max("score").alias("best")).withColumn("rank", rank)

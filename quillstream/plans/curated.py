@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import phrases as ph
 from quillstream.operators import curation as cu
+from quillstream.operators import text
+from quillstream.plans import textual
 from quillstream.plans.relational import WITH
+from quillstream.plans.textual import MENTIONS, WORDS
 from quillstream.sources import bindings as b
 
 _QUERIES: dict = {}
@@ -351,6 +354,36 @@ def a18(s, d):
     return b.task_logs(s, d).groupBy("stage").agg(F.count_if(F.col("status") == "failed").alias("errors"), F.count_if(F.col("status") == "partial").alias("partial"), F.count_distinct("article_id").alias("articles"))
 
 
+@query("s11_parser_types", f"{WITH}, x AS (SELECT article_id, lower(regexp_extract(split_part(file_url, '?', 1), '\\.([A-Za-z0-9]+)\\z', 1)) AS e FROM articles) SELECT article_id, CASE WHEN e IN ('html', 'htm') THEN 'html' WHEN e = 'pdf' THEN 'pdf' WHEN e IN ('png', 'jpg', 'jpeg', 'bmp', 'webp') THEN 'image' ELSE 'unknown' END AS parser FROM x")
+def s11(s, d):
+    return b.articles(s, d).select("article_id", ph.parser_type("file_url").alias("parser"))
+
+
+@query(
+    "w12_merged_spans",
+    f"""WITH {WORDS}, {MENTIONS}, s AS (SELECT doc_id, product_key, pos, greatest(pos - 2, 0) AS start, pos + 3 AS stop FROM mentions WHERE product_key IS NOT NULL),
+    f AS (SELECT *, coalesce(start > max(stop) OVER (PARTITION BY doc_id, product_key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM s),
+    g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id, product_key ORDER BY pos ROWS UNBOUNDED PRECEDING) AS g FROM f)
+    SELECT doc_id, product_key, min(start)::BIGINT AS start, max(stop)::BIGINT AS stop, count(*) AS hits FROM g GROUP BY doc_id, product_key, g""",
+)
+def w12(s, d):
+    return text.merged_windows(text.mentions(_docs(s, d)), 2)
+
+
+_STATUS = textual.oracle_sql()["l4_candidate_status"]
+
+
+@query("a16_lexicon_report", f"SELECT status, count(*) AS candidates, sum(occurrences) AS occurrences, max(score) AS best, CASE status WHEN 'auto_approved' THEN 0 WHEN 'review_required' THEN 1 ELSE 2 END AS rank FROM ({_STATUS}) GROUP BY status")
+def a16(s, d):
+    return cu.lexicon_report(textual.queries()["l4_candidate_status"](s, d))
+
+
+@query("o3_candidate_order", f"SELECT alias, status, score FROM ({_STATUS}) ORDER BY CASE status WHEN 'auto_approved' THEN 0 WHEN 'review_required' THEN 1 ELSE 2 END, score DESC, alias")
+def o3(s, d):
+    rank = F.when(F.col("status") == "auto_approved", 0).when(F.col("status") == "review_required", 1).otherwise(2)
+    return textual.queries()["l4_candidate_status"](s, d).select("alias", "status", "score").orderBy(rank, F.desc("score"), "alias")
+
+
 def queries() -> dict:
     return _QUERIES
 
