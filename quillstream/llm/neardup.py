@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import bounds, components, extended, small, whole_groups, written
+from quillstream.llm.common import bounds, components, extended, small, tidy, whole_groups, written
 from quillstream.llm.wordhash import U64, Words, mix, runs, slabs
 
 REGISTERS = 256
@@ -147,7 +147,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "node", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
                 key = mix(mix(packed[:, 0] + U64(b)) + packed[:, 1])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("id")], names=["bucket", "id"])
 
-    return nodes.select("id", "sketch").mapInArrow(run, "bucket long, id long")
+    return nodes.select("id", "sketch").mapInArrow(tidy(run), "bucket long, id long")
 
 
 def _shared(buckets: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def _shared(buckets: DataFrame) -> DataFrame:
             size = np.repeat(np.diff(edge), np.diff(edge))
             yield frame[size > 1].assign(size=size[size > 1])
 
-    return buckets.repartition("bucket").sortWithinPartitions("bucket", "id").mapInPandas(run, "bucket long, id long, size long")
+    return buckets.repartition("bucket").sortWithinPartitions("bucket", "id").mapInPandas(tidy(run), "bucket long, id long, size long")
 
 
 def _reach(start: int, left: np.ndarray, near) -> tuple[list[int], np.ndarray]:
@@ -225,7 +225,7 @@ def _candidate_edges(members: DataFrame, least: float) -> DataFrame:
             if found:
                 yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])})
 
-    return members.repartition("bucket").sortWithinPartitions("bucket", "id").mapInPandas(run, "a long, b long")
+    return members.repartition("bucket").sortWithinPartitions("bucket", "id").mapInPandas(tidy(run), "a long, b long")
 
 
 def _linked(sets: list[np.ndarray], percent: int) -> list[list[int]]:
@@ -278,7 +278,7 @@ def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
                 items = pa.array([sets[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:-1]), items], names=names).filter(meant)
 
-    sets = texts.select("c", "blocks", "own", "id", "_node", "text").mapInArrow(sets_of, "c long, blocks long, own long, id long, items binary")
+    sets = texts.select("c", "blocks", "own", "id", "_node", "text").mapInArrow(tidy(sets_of), "c long, blocks long, own long, id long, items binary")
     # block i meets block j once, in the task (i, j); a cluster of one block is one task
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     pairs = sets.withColumn("other", other).select("c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "items")
@@ -297,7 +297,7 @@ def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
             if a:
                 yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return pairs.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "id").mapInPandas(run, "a long, b long")
+    return pairs.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "id").mapInPandas(tidy(run), "a long, b long")
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

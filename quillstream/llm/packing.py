@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import written
+from quillstream.llm.common import tidy, written
 from quillstream.llm.pretoken import ByteLetters, Splitter
 
 WINDOW = 4096
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, piece
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
 
     # doc_id keeps its own type in the result; here it is a number or null
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names))
 
 
 def difference(sizes: np.ndarray, k: int) -> np.ndarray:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.llm.common import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 128, 64
 #: Bound of the labelled sample, half of it windows with spans, half with a digit or @ but none.
@@ -232,7 +234,7 @@ def labelled_windows(docs: DataFrame, most: int = TRAINING_WINDOWS) -> tuple[np.
             columns = zip(*out, strict=True) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32()), strict=True)], names=["text", "spans", "has"])
 
-    found = docs.select("text").mapInArrow(run, "text string, spans string, has int").withColumn("order", F.xxhash64("text"))
+    found = docs.select("text").mapInArrow(tidy(run), "text string, spans string, has int").withColumn("order", F.xxhash64("text"))
     # one pass: the windows of least hash, kind by kind, are what the sort keeps
     half = most // 2
     ranked = found.select("*", F.row_number().over(_by_hash()).alias("n")).filter(F.col("n") <= half)
@@ -338,7 +340,7 @@ def find(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
                 names=names,
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def redact(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
@@ -366,4 +368,4 @@ def redact(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
                 out["n_chars"] = pa.array([len(f) if f != t else n for f, t, n in zip(fresh, texts, old.to_pylist(), strict=True)], old.type)
             yield pa.RecordBatch.from_arrays([out.get(c, batch.column(batch.schema.get_field_index(c))) for c in columns], names=columns)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

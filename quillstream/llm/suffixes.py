@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import bounds, whole_groups, written
+from quillstream.llm.common import bounds, tidy, whole_groups, written
 from quillstream.llm.wordhash import U64, Words, mix, runs, slabs
 
 LEAST = 50
@@ -95,7 +95,7 @@ def _seeds(docs: DataFrame, least: int) -> DataFrame:
                     names=["doc_id", "text_key", "pos", "seed"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text_key long, pos int, seed long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, text_key long, pos int, seed long")
 
 
 def _repeated_seeds(seeds: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def _repeated_seeds(seeds: DataFrame) -> DataFrame:
 
     # by range of seed and place: a seed that many documents hold is spread over several partitions
     order = ["seed", "doc_id", "text_key", "pos"]
-    several = seeds.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "doc_id long, text_key long, pos int")
+    several = seeds.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(run), "doc_id long, text_key long, pos int")
     return several.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("places"))
 
 
@@ -148,7 +148,7 @@ def _suffixes(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
     where = places.withColumnRenamed("doc_id", "_doc")
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(where, F.col("doc_id").eqNullSafe(F.col("_doc")))
     schema = "seed long, after binary, before binary, doc_id long, text_key long, pos int"
-    return joined.select("doc_id", "text", "text_key", "places").mapInArrow(run, schema)
+    return joined.select("doc_id", "text", "text_key", "places").mapInArrow(tidy(run), schema)
 
 
 def _matrix(values: pd.Series, side: int) -> np.ndarray:
@@ -246,7 +246,7 @@ def _passages(suffixes: DataFrame, least: int) -> DataFrame:
             yield ends.assign(part=part, start=0, stop=0, again=False)[names].astype({"doc_id": "Int64"})
 
     ranged = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = written(ranged.mapInPandas(run, schema))
+    found = written(ranged.mapInPandas(tidy(run), schema))
 
     def borders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups((f.assign(one=0) for f in frames), ["one"]):
@@ -254,7 +254,7 @@ def _passages(suffixes: DataFrame, least: int) -> DataFrame:
 
     # two rows for each partition: their number follows the partitions', not the rows'
     ends = found.filter("part >= 0").select("part", *order).repartition(1).sortWithinPartitions(*order).drop("part")
-    near = ends.mapInPandas(borders, "doc_id long, text_key long, start int, stop int, again boolean")
+    near = ends.mapInPandas(tidy(borders), "doc_id long, text_key long, start int, stop int, again boolean")
     return found.filter("part < 0").select("doc_id", "text_key", "start", "stop", "again").unionByName(near)
 
 
@@ -268,7 +268,7 @@ def spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
             yield _merged(frame)
 
     dealt = found.repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "again", "start", "stop")
-    return dealt.mapInPandas(merge, "doc_id long, text_key long, start int, stop int, again boolean")
+    return dealt.mapInPandas(tidy(merge), "doc_id long, text_key long, start int, stop int, again boolean")
 
 
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -303,4 +303,4 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 out["n_chars"] = pa.array([len(t) if c and t is not None else n for t, c, n in zip(texts, cuts, old.to_pylist(), strict=True)], old.type)
             yield pa.RecordBatch.from_arrays([out[c] if c in out else batch.column(batch.schema.get_field_index(c)) for c in columns], names=columns)
 
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc").mapInArrow(run, docs.schema)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc").mapInArrow(tidy(run), docs.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import extended, small, written
+from quillstream.llm.common import extended, small, tidy, written
 
 #: Documents with label 1 that a lexicon entry is found in at least, and its least log odds.
 LEAST_DOCS, LEAST_ODDS = 4, 2.5
@@ -93,7 +93,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         if counts[0] or counts[1]:
             yield out()
 
-    return rows.select("text", "label").mapInArrow(run, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return rows.select("text", "label").mapInArrow(tidy(run), "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 class Lexicon:
@@ -191,7 +191,7 @@ def learn(rows: DataFrame) -> Lexicon:
         keys = list(counts)
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.float64()), pa.array([k[2] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], names=["phrase", "rate", "label", "n"])
 
-    seen = written(rows.select("text", "label").mapInArrow(run, "phrase string, rate double, label int, n long").groupBy("phrase", "rate", "label").agg(F.sum("n").alias("n")))
+    seen = written(rows.select("text", "label").mapInArrow(tidy(run), "phrase string, rate double, label int, n long").groupBy("phrase", "rate", "label").agg(F.sum("n").alias("n")))
     phrases = seen.filter(F.col("phrase") != "").groupBy("phrase").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("neg"))
     harmless = phrases.filter((F.col("neg") >= LEAST_DOCS) & (F.col("neg") * n_pos > 4 * F.col("pos") * n_neg)).orderBy(F.desc("neg"), "phrase").limit(MOST_ENTRIES).collect()
     # rates in bins: at most a few hundred for each label
@@ -227,7 +227,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             scores = lexicon.score(np.array([lexicon.rate(x.as_py() or "") for x in column], float))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id):
