@@ -1,20 +1,20 @@
 """Repeated passages by sparse suffix arrays.
 
-Positions are selected by content: of every window of consecutive word sequences (`SEED` words each) the
-one of least hash is kept, so each passage of at least `least` words holds a selected position, the same
-in all its copies. Suffixes at selected positions whose first `SEED` words occur elsewhere are sorted over
-the cluster by range; each is compared with its neighbours (and, within a run of equal beginnings, with
-the neighbours in the order of what lies to the left and with the run's first document), and matches are
-extended right and left. As every selected position in a long passage is extended, the union of a
-document's matches covers the passage whole. Texts at a border of two partitions are compared afterwards.
-
-Words are maximal runs without ASCII blanks, compared exactly, by 64-bit hashes of seeds and 32-bit hashes
-in extensions. A passage is repeated if it occurs in another document too; the occurrence in the smallest
-doc_id is the first and stays, the others are repeats.
+Positions are selected by content: each window of `least` words goes to the word sequence (`SEED` words) of
+least hash in it, the first of equal ones, which is the same in all copies of the window. Suffixes at these
+positions whose first `SEED` words occur elsewhere are sorted over the cluster by range, each with the
+hashes of the windows that went to it. A window is repeated if two documents hold it, and the one of least
+doc_id is its first. A seed whose suffixes lie within one block is settled there; the windows of all seeds
+at a border of two blocks are counted over the cluster and joined back, so what is found does not follow
+from where a block ends. The union of a document's repeated windows covers its passages whole.
+
+Words are maximal runs without ASCII blanks, compared exactly, by 64-bit hashes of seeds and of windows.
+A passage is repeated if it occurs in another document too; the occurrence in the smallest doc_id is the
+first and stays, the others are repeats.
 
 Defined results: null, empty and short texts have no passages; repeated rows (same id and text) are one
-document, rows with the same id and different texts are told apart by their text, and of equal ids the
-smaller text hash comes first; null ids come first. A text without blanks is one word and has no passages.
+document, rows with the same id and different texts are told apart by their text, and are no others to
+each other; null ids come first. A text without blanks is one word and has no passages.
 Further columns are ignored by `repeats` and kept by `without_repeats`.
 """
 
@@ -25,55 +25,62 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import bounds, tidy, whole_groups, written
+from quillstream.llm.common import bounds, small, tidy, whole_groups, written
 from quillstream.llm.wordhash import U64, Words, mix, runs, slabs
 
 LEAST = 50
 SEED = 16
-#: Suffixes of equal beginning that are put in left order together.
+#: Suffixes of a block, which are settled together; the seeds at its ends are settled over the cluster.
 RUN_ROWS = 50_000
+#: Stands for a null doc_id: before all others.
+NULL_ID = -(1 << 62)
 
 
-def _slide(values: np.ndarray, width: int, best) -> np.ndarray:
-    """best (np.minimum or np.maximum) of `width` values from each position on; the last width - 1 run past the end."""
-    out, done = values.copy(), 1
+class Selected:
+    """Selected suffixes of a slab: `seed`, `start` (first window) and `count` of windows; `hash[item[i]:item[i + 1]]` are the windows of suffix i.
+
+    Windows one after another that are equal (one word again and again) are one item of their own suffix."""
+
+    def __init__(self, words: Words, least: int) -> None:
+        n = len(words.hash)
+        # a window begins where `least` words of one text follow
+        opens = np.zeros(n + 1, np.int64)
+        long = np.diff(words.first) >= least
+        np.add.at(opens, words.first[:-1][long], 1)
+        np.add.at(opens, words.first[1:][long] - least + 1, -1)
+        at = np.flatnonzero(np.cumsum(opens[:-1]) > 0)
+        if not len(at):
+            self.seed, self.start, self.count, self.hash, self.item = np.zeros(0, U64), at, at, np.zeros(0, U64), np.zeros(1, np.int64)
+            return
+        seed = runs(words.hash, SEED)
+        where = _first_least(seed, least - SEED + 1)[at]
+        window = runs(words.hash, least)[at]
+        text = np.searchsorted(words.first, at, "right")
+        # items: runs of equal windows
+        edge = bounds(text, window)
+        start, count, where, text = at[edge[:-1]], np.diff(edge), where[edge[:-1]], text[edge[:-1]]
+        self.hash = window[edge[:-1]]
+        self.item = bounds(text, where, np.where(count > 1, np.arange(len(count)), -1))
+        first = self.item[:-1]
+        self.seed, self.start, self.count = seed[where[first]], start[first], np.add.reduceat(count, first)
+
+
+def _first_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of `width` values from each position on is, the first of equal ones; the last width - 1 run past the end."""
+    out, done = np.arange(len(values)), 1
     while done < width:
         step = min(done, width - done)
-        best(out[:-step], out[step:], out=out[:-step]) if len(out) > step else None
+        if len(out) > step:
+            here, ahead = out[:-step], out[step:]
+            out = np.concatenate([np.where(values[ahead] < values[here], ahead, here), out[-step:]])
         done += step
     return out
 
 
-def selected(words: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Selected word positions of a slab, and the hash of the seed at each."""
-    span = least - SEED + 1  # seeds in a window of `least` words
-    count = np.diff(words.first)
-    n = len(words.hash)
-    if n < least:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    seed = runs(words.hash, SEED)
-    # a window begins where `least` words of one text follow
-    opens = np.zeros(n + 1, np.int64)
-    long = count >= least
-    np.add.at(opens, words.first[:-1][long], 1)
-    np.add.at(opens, words.first[1:][long] - least + 1, -1)
-    valid = np.cumsum(opens[:-1]) > 0
-    low = np.where(valid, _slide(seed, span, np.minimum), U64(0))
-    # position p is selected if some window of p - span + 1 .. p has its seed as the least
-    back = np.zeros(n + span - 1, U64)
-    back[span - 1 :] = low
-    chosen = _slide(back, span, np.maximum)[:n] == seed
-    # of a run of equal seeds the first and the last are enough
-    inner = np.zeros(n, bool)
-    inner[1:-1] = (seed[1:-1] == seed[:-2]) & (seed[1:-1] == seed[2:])
-    at = np.flatnonzero(chosen & ~inner)
-    return at, seed[at]
-
-
 def _text_keys(words: Words) -> np.ndarray:
     """A hash of each text's words in order."""
     n = np.diff(words.first)
@@ -88,10 +95,10 @@ def _seeds(docs: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id")
             for row, words in slabs(batch.column("text"), fold=False):
-                at, seed = selected(words, least)
-                text = np.searchsorted(words.first, at, "right") - 1
+                own = Selected(words, least)
+                text = np.searchsorted(words.first, own.start, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row + text)), pa.array(_text_keys(words)[text]), pa.array((at - words.first[text]).astype(np.int32)), pa.array(seed.view(np.int64))],
+                    [ids.take(pa.array(row + text)), pa.array(_text_keys(words)[text]), pa.array((own.start - words.first[text]).astype(np.int32)), pa.array(own.seed.view(np.int64))],
                     names=["doc_id", "text_key", "pos", "seed"],
                 )
 
@@ -116,52 +123,43 @@ def _repeated_seeds(seeds: DataFrame) -> DataFrame:
 
 
 def _suffixes(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
-    """A row for each suffix to sort: seed, what follows and what precedes it (nearest first) as bytes, and where it is."""
-    side = least - SEED
-    names = ["seed", "after", "before", "doc_id", "text_key", "pos"]
+    """A row for each suffix to sort: seed, where its windows are, and their hashes as bytes (a single one if all are equal)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, words in slabs(batch.column("text"), fold=False):
                 part = batch.slice(row, len(words.offsets) - 1)
                 keys = _text_keys(words)
-                seed = runs(words.hash, SEED).view(np.int64)
-                # big-endian, so that the order of bytes is an order of words; 0 is no word
-                short = (words.hash >> U64(32)).astype(np.uint32)
-                short[short == 0] = 1
-                short = short.astype(">u4")
-                out: list[list] = [[] for _ in names]
-                ids, wanted, meant = part.column("doc_id").to_pylist(), part.column("places").to_pylist(), part.column("text_key").to_pylist()
-                for i, (doc, spots, key) in enumerate(zip(ids, wanted, meant, strict=True)):
-                    if int(keys[i]) != key:  # another text of the same id
-                        continue
-                    a, b = words.first[i], words.first[i + 1]
-                    backwards = short[a:b][::-1]
-                    n = b - a
-                    for p in spots:
-                        values = (int(seed[a + p]), short[a + p + SEED : min(b, a + p + SEED + side)].tobytes(), backwards[n - p : n - p + side].tobytes(), doc, key, p)
-                        for column, x in zip(out, values, strict=True):
-                            column.append(x)
-                types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+                own = Selected(words, least)
+                text = np.searchsorted(words.first, own.start, "right") - 1
+                # the wanted places of the texts that are meant, not of another text of the same id
+                spots = part.column("places")
+                n = pc.list_value_length(spots).to_numpy(zero_copy_only=False)
+                meant = part.column("text_key").to_numpy() == keys
+                wanted = (words.first[:-1].repeat(n) + spots.flatten().to_numpy())[meant.repeat(n)]
+                at = np.flatnonzero(np.isin(own.start, wanted))
+                offsets = np.concatenate([[0], np.cumsum(8 * np.diff(own.item)[at])]).astype(np.int32)
+                keep = np.zeros(len(own.seed), bool)
+                keep[at] = True
+                hashes = own.hash[keep.repeat(np.diff(own.item))]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(own.seed[at].view(np.int64)),
+                        part.column("doc_id").take(pa.array(text[at])),
+                        pa.array(keys[text[at]]),
+                        pa.array((own.start[at] - words.first[text[at]]).astype(np.int32)),
+                        pa.array(own.count[at].astype(np.int32)),
+                        pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(hashes.tobytes())]),
+                    ],
+                    names=["seed", "doc_id", "text_key", "pos", "count", "windows"],
+                )
 
     where = places.withColumnRenamed("doc_id", "_doc")
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(where, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    schema = "seed long, after binary, before binary, doc_id long, text_key long, pos int"
+    schema = "seed long, doc_id long, text_key long, pos int, count int, windows binary"
     return joined.select("doc_id", "text", "text_key", "places").mapInArrow(tidy(run), schema)
 
 
-def _matrix(values: pd.Series, side: int) -> np.ndarray:
-    """Rows of `side` words, filled up with 0."""
-    return np.frombuffer(b"".join(v.ljust(4 * side, b"\0") for v in values), ">u4").reshape(-1, side)
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Words that rows of a and b have in common at their beginnings."""
-    same = (a == b) & (a != 0)
-    return np.where(same.all(1), same.shape[1], same.argmin(1))
-
-
 def _merged(frame: pd.DataFrame) -> pd.DataFrame:
     """Overlapping and touching spans of a text, earlier ones and others apart, as one; rows are sorted by doc_key, text_key, again and start."""
     edge = bounds(*(frame[x].to_numpy() for x in ("doc_key", "text_key", "again")))
@@ -174,88 +172,69 @@ def _merged(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.iloc[at][["doc_id", "text_key", "start", "again"]].assign(stop=ends)[["doc_id", "text_key", "start", "stop", "again"]].astype({"doc_id": "Int64"})
 
 
-def _matches(frame: pd.DataFrame, least: int) -> pd.DataFrame:
-    """doc_id, text_key, start, stop (words) and again (whether it occurs earlier) of the repeated passages in sorted suffixes."""
-    side = least - SEED
-    n = len(frame)
-    after, before = _matrix(frame["after"], side), _matrix(frame["before"], side)
-    ids = frame["doc_id"]
-    doc = ids.fillna(-(1 << 62)).astype("int64").to_numpy() if ids.isna().any() else ids.astype("int64").to_numpy()
-    key, pos, seed = frame["text_key"].to_numpy(), frame["pos"].to_numpy(), frame["seed"].to_numpy()
-    out = []
-
-    def compare(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Rows of the matches between suffixes x and y (numbers); whether each pair matches."""
-        differ = (doc[x] != doc[y]) & (seed[x] == seed[y])
-        right, left = _common(after[x], after[y]), _common(before[x], before[y])
-        good = differ & (right + left + SEED >= least)
-        for own, other in ((x, y), (y, x)):
-            own, other = own[good], other[good]
-            out.append(np.stack([own, pos[own] - left[good], pos[own] + SEED + right[good], doc[other] < doc[own]], 1))
-        return good
-
-    def chain(order: np.ndarray) -> None:
-        """Neighbours in this order, and in each chain of matching ones all with the one of least doc_id."""
-        if len(order) < 2:
-            return
-        good = compare(order[:-1], order[1:])
-        link = np.concatenate([[0], np.cumsum(~good)])
-        first = np.lexsort((doc[order], link))
-        heads = first[np.concatenate([[True], link[first][1:] != link[first][:-1]])]
-        lead = order[heads][link]
-        some = lead != order
-        compare(order[some], lead[some])
-
-    chain(np.arange(n))
-    edge = bounds(seed)
-    run = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-    several = np.flatnonzero(np.repeat(np.diff(edge), np.diff(edge)) > 2)
-    if len(several):
-        # every suffix with the first document of its run, and neighbours in the order of what lies to the left
-        first = np.lexsort((doc, run))
-        lead = first[edge[:-1]][run]
-        some = several[lead[several] != several]
-        compare(some, lead[some])
-        names = np.frombuffer(np.ascontiguousarray(before[several]).tobytes(), f"S{4 * side}")
-        chain(several[np.lexsort((doc[several], names, run[several]))])
-    rows = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-    own = rows[:, 0]
-    found = pd.DataFrame({"doc_id": ids.astype("Int64").to_numpy()[own] if n else [], "doc_key": doc[own], "text_key": key[own], "start": rows[:, 1], "stop": rows[:, 2], "again": rows[:, 3].astype(bool)})
-    return _merged(found.sort_values(["doc_key", "text_key", "again", "start", "stop"], kind="stable", ignore_index=True))
+def _windows(frame: pd.DataFrame, least: int) -> pd.DataFrame:
+    """A row for each window of some suffixes, or for several that are equal: its hash, the words that they cover, and whether other blocks may hold it (open)."""
+    n = frame["windows"].str.len().to_numpy(np.int64) // 8
+    row = np.repeat(np.arange(len(frame)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    start = frame["pos"].to_numpy()[row] + place
+    # a single hash stands for all windows of its suffix
+    more = np.where(n == 1, frame["count"].to_numpy() - 1, 0)[row]
+    ids = frame["doc_id"].astype("Int64")
+    return pd.DataFrame(
+        {
+            "hash": np.frombuffer(b"".join(frame["windows"]), np.int64),
+            "doc_id": ids.array.take(row),
+            "doc_key": ids.fillna(NULL_ID).astype("int64").to_numpy()[row],
+            "text_key": frame["text_key"].to_numpy()[row],
+            "start": start,
+            "stop": start + more + least,
+            "open": frame["open"].to_numpy()[row],
+        }
+    )
+
+
+def _settled(windows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """doc_id, text_key, start, stop (words) and again (whether it occurs in a smaller id) of a block's repeated passages, and the windows to settle over all blocks.
+
+    Whatever has a smaller id in the block is a repeat; of an open window, those of the block's least id are left, with its greatest (high)."""
+    order = np.lexsort((windows["doc_key"].to_numpy(), windows["hash"].to_numpy()))
+    windows = windows.iloc[order]
+    doc, still = windows["doc_key"].to_numpy(), windows["open"].to_numpy(bool)
+    edge = bounds(windows["hash"].to_numpy())
+    n = np.diff(edge)
+    low, high = (np.repeat(doc[x], n) for x in (edge[:-1], edge[1:] - 1)) if len(n) else (doc, doc)
+    again = doc > low
+    found = windows.assign(again=again)[again | ~still & (low < high)]
+    found = _merged(found.sort_values(["doc_key", "text_key", "again", "start", "stop"], kind="stable", ignore_index=True))
+    return found, windows.assign(high=high)[still & ~again]
 
 
 def _passages(suffixes: DataFrame, least: int) -> DataFrame:
-    """Matches of all neighbours, of which those at partition borders are found in a second step over two suffixes a partition."""
-    order = ["seed", "after", "before", "doc_id", "text_key", "pos"]
-    schema = "part int, doc_id long, text_key long, start int, stop int, again boolean, seed long, after binary, before binary, pos int"
+    """doc_id, text_key, start, stop (words) and again of the repeated passages, in pieces."""
+    order = ["seed", "doc_id", "text_key", "pos"]
+    schema = "doc_id long, text_key long, start int, stop int, again boolean, hash long, high long"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, last, first = TaskContext.get().partitionId(), None, None
         for frame in frames:
             for a in range(0, len(frame), RUN_ROWS):
-                piece = frame.iloc[a : a + RUN_ROWS]
-                first = piece.iloc[:1] if first is None else first
-                block = pd.concat([last, piece], ignore_index=True) if last is not None else piece.reset_index(drop=True)
-                found = _matches(block, least)
-                last = piece.iloc[-1:]
-                if len(found):
-                    yield found.assign(part=-1, seed=0, after=b"", before=b"", pos=0)[names]
-        if first is not None:
-            ends = pd.concat([first, last], ignore_index=True)
-            yield ends.assign(part=part, start=0, stop=0, again=False)[names].astype({"doc_id": "Int64"})
-
-    ranged = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
+                block = frame.iloc[a : a + RUN_ROWS]
+                seed = block["seed"].to_numpy()
+                # the seeds at both ends may go on in other blocks
+                found, rest = _settled(_windows(block.assign(open=(seed == seed[0]) | (seed == seed[-1])), least))
+                yield found.assign(hash=pd.NA, high=pd.NA)[names].astype({"hash": "Int64", "high": "Int64"})
+                yield rest.assign(again=pd.NA)[names].astype({"again": "boolean"})
+
+    ranged = suffixes.repartitionByRange(*order).sortWithinPartitions("seed")
     found = written(ranged.mapInPandas(tidy(run), schema))
-
-    def borders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups((f.assign(one=0) for f in frames), ["one"]):
-            yield _matches(frame.drop(columns="one"), least)
-
-    # two rows for each partition: their number follows the partitions', not the rows'
-    ends = found.filter("part >= 0").select("part", *order).repartition(1).sortWithinPartitions(*order).drop("part")
-    near = ends.mapInPandas(tidy(borders), "doc_id long, text_key long, start int, stop int, again boolean")
-    return found.filter("part < 0").select("doc_id", "text_key", "start", "stop", "again").unionByName(near)
+    # the windows of seeds that lie at an end of a block, over all blocks
+    doc = F.coalesce("doc_id", F.lit(NULL_ID))
+    rest = found.filter(F.col("hash").isNotNull())
+    held = rest.groupBy("hash").agg(F.min(doc).alias("low"), F.max("high").alias("high")).filter(F.col("low") < F.col("high"))
+    late = rest.drop("high").join(small(written(held.select("hash", "low"))), "hash").withColumn("again", doc > F.col("low"))
+    columns = ["doc_id", "text_key", "start", "stop", "again"]
+    return found.filter(F.col("hash").isNull()).select(*columns).unionByName(late.select(*columns))
 
 
 def spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -264,7 +243,7 @@ def spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     found = _passages(_suffixes(docs, written(places), least), least)
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups((f.assign(doc_key=f["doc_id"].fillna(-(1 << 62)).astype("int64")) for f in frames), ["doc_key", "text_key", "again"]):
+        for frame in whole_groups((f.assign(doc_key=f["doc_id"].fillna(NULL_ID).astype("int64")) for f in frames), ["doc_key", "text_key", "again"]):
             yield _merged(frame)
 
     dealt = found.repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "again", "start", "stop")

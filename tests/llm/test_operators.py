@@ -164,6 +164,44 @@ def test_suffixes_find_each_planted_passage(spark, monkeypatch):
     assert found == set(range(60))
 
 
+def brute_spans(rows, least):
+    """(id, again, word) of all words in windows of `least` words that another id has too; `again`: that a smaller id has."""
+    where, out = {}, set()
+    split = [(d, (t or "").split()) for d, t in rows]
+    for d, w in split:
+        for p in range(len(w) - least + 1):
+            where.setdefault(tuple(w[p : p + least]), set()).add(d)
+    for d, w in split:
+        for p in range(len(w) - least + 1):
+            ids = where[tuple(w[p : p + least])]
+            if len(ids) > 1:
+                out.update((d, d > min(ids), q) for q in range(p, p + least))
+    return out
+
+
+def found_spans(docs):
+    return {(r["doc_id"], not r["first"], q) for r in suffixes.repeats(docs).collect() for q in range(r["start_word"], r["end_word"])}
+
+
+@pytest.fixture
+def small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "RUN_ROWS", 3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    yield
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_suffixes_first_of_all_blocks(spark, small_blocks):
+    rng = random.Random(4)
+    passage = words(70, 78)
+    rows = [(i, " ".join(words(rng.randint(5, 90), 100 + i) + passage + words(rng.randint(5, 90), 200 + i))) for i in range(60)]
+    docs = frame(spark, rows)
+    assert found_spans(docs) == brute_spans(rows, 50)
+    whole = " ".join(passage)
+    assert [r["doc_id"] for r in suffixes.without_repeats(docs).collect() if whole in r["text"]] == [0]
+
+
 def test_bpe_is_the_library(spark, odd):
     from tokenizers import Tokenizer
 
