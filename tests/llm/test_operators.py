@@ -202,6 +202,12 @@ def test_suffixes_first_of_all_blocks(spark, small_blocks):
     assert [r["doc_id"] for r in suffixes.without_repeats(docs).collect() if whole in r["text"]] == [0]
 
 
+def test_suffixes_one_word_again_and_again(spark):
+    rows = [(i, " ".join(words(20, 500 + i) + ["|"] * n + words(20, 600 + i))) for i, n in ((1, 300), (2, 300), (3, 120))]
+    rows += [(i, " ".join(words(60, 700 + i) + ["a", "b"] * n)) for i, n in ((4, 150), (5, 90))]
+    assert found_spans(frame(spark, rows)) == brute_spans(rows, 50)
+
+
 def test_bpe_is_the_library(spark, odd):
     from tokenizers import Tokenizer
 
