@@ -208,6 +208,13 @@ def test_suffixes_one_word_again_and_again(spark):
     assert found_spans(frame(spark, rows)) == brute_spans(rows, 50)
 
 
+def test_suffixes_what_two_share_before_a_common_line(spark, small_blocks):
+    rng = random.Random(10)
+    common = words(45, 56)
+    rows = [(i, " ".join(words(rng.randint(10, 60), i) + words(10, 2000 + i % 30) + common + words(rng.randint(10, 60), 400 + i))) for i in range(60)]
+    assert found_spans(frame(spark, rows)) == brute_spans(rows, 50)
+
+
 def test_bpe_is_the_library(spark, odd):
     from tokenizers import Tokenizer
 
