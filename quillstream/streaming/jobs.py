@@ -30,10 +30,12 @@ def once_only(stream: DataFrame, keys: list[str]) -> DataFrame:
     return spark.read.schema(stream.select(keys).schema).parquet(f"{folder}/rows")
 
 
-def running_trend(stream: DataFrame, time: str, value: str, late: str = "2 days") -> DataFrame:
-    """Mean by day of all rows that have come; with a watermark, state of days that are over is let go."""
+def running_trend(stream: DataFrame, time: str, value: str, late: str | None = None) -> DataFrame:
+    """Mean by day of all rows that have come, in whatever order; state is a row a day. With `late`, rows behind this watermark are dropped and state of days that are over is let go."""
     spark, folder = stream.sparkSession, _folder(stream.sparkSession)
-    daily = stream.withColumn("at", F.col(time).cast("timestamp")).withWatermark("at", late).groupBy(F.window("at", "1 day")).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
+    timed = stream.withColumn("at", F.col(time).cast("timestamp"))
+    timed = timed.withWatermark("at", late) if late else timed
+    daily = timed.groupBy(F.window("at", "1 day")).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.select(F.col("window.start").alias("start"), "total", "n", F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{folder}/batch={number}-kept")
