@@ -388,9 +388,9 @@ def test_differencing_is_even():
 
 def test_neighbours_recall(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    odd = spark.createDataFrame([(-1, None), (-2, []), (-3, [0.0] * 64), (-4, [None] * 64), (-5, [float("nan")] * 64), (-6, [1.0]), (None, [1.0] * 64)], "vec_id long, embedding array<float>")
+    odd = spark.createDataFrame([(-1, None), (-2, []), (-3, [0.0] * 64), (-4, [None] * 64), (-5, [float("nan")] * 64), (-6, [1.0])], "vec_id long, embedding array<float>")
     vectors = neighbours.usable(table.select("vec_id", "embedding").unionByName(odd))
-    rows = vectors.collect()
+    rows = vectors.filter("size(embedding) = 64").collect()
     ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows])
     assert ids.min() >= 0
     got = {}
@@ -408,14 +408,35 @@ def test_neighbours_recall(spark, sf_dir):
     assert hits >= 0.9 * total
 
 
+def brute_neighbours(rows, k=10):
+    """(query id, rank, id) of all rows against all others of the same length, ties to the smaller id, null last."""
+    out = []
+    for q, (i, x) in enumerate(rows):
+        if i is not None and i % 100 == 0:
+            near = sorted((np.sqrt(((np.array(x) - np.array(y)) ** 2).sum()), j is None, j or 0) for p, (j, y) in enumerate(rows) if p != q and len(y) == len(x))
+            out += [(i, n + 1, None if none else j) for n, (_, none, j) in enumerate(near[:k])]
+    return sorted(out, key=key)
+
+
 def test_neighbours_small_and_empty(spark):
-    few = neighbours.usable(spark.createDataFrame([(0, [1.0, 2.0]), (100, [1.0, 2.0]), (5, [3.0, 1.0])], "vec_id long, embedding array<double>"))
-    rows = sorted(tuple(r) for r in neighbours.search(few, few.filter("vec_id % 100 = 0")).collect())
-    assert [r[:3] for r in rows] == [(0, 1, 100), (0, 2, 5), (100, 1, 0), (100, 2, 5)]
+    rows = [(0, [1.0, 2.0]), (100, [1.0, 2.0]), (5, [3.0, 1.0]), (100, [0.5, 1.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0]), (None, [3.0, 1.0]), (200, [1.0, 2.0, 3.0]), (7, [1.0, 1.0, 1.0])]
+    few = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("row", F.lit("x")))
+    got = neighbours.search(few, few.filter("vec_id % 100 = 0")).collect()
+    assert sorted(((r["query_id"], r["rank"], r["vec_id"]) for r in got), key=key) == brute_neighbours(rows)
     none = neighbours.usable(few.filter("vec_id < 0"))
     assert neighbours.search(none, none).count() == 0
 
 
+def test_neighbours_of_a_very_common_vector(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(300)] + [(i, [1.0] * 8) for i in range(300, 900)]
+    vectors = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = neighbours.search(vectors, vectors.filter("vec_id % 100 = 0")).collect()
+    own = {(r["query_id"], r["rank"], r["vec_id"]) for r in got}
+    want = {r for r in brute_neighbours(rows)}
+    assert {r for r in own if r[0] >= 300} == {r for r in want if r[0] >= 300} and len(own) == len(want)
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
