@@ -1,15 +1,20 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions that adds to them.
 
 The network is trained in numpy from labelled spans: windows of the corpus with what the patterns find in
-them, at most `TRAINING_WINDOWS` (those of least hash over all documents). Texts are read in overlapping
-windows. A kind of personal data needs a digit or an `@`, so labels other than "outside" are ruled out in
-windows that hold neither, and these are not run. The others' Viterbi paths give spans, which are
-reconciled over the whole text: overlapping spans of a kind become one, of different kinds the surer one
-stays, and those that a pattern's span overlaps give way to it.
-
-Defined results: null texts are empty and have no spans; repeated rows get equal results; a corpus
-without labelled spans leaves the patterns alone. Further columns are ignored by the query, and kept by
-`redact`. Offsets are code points, ends exclusive.
+them, at most `TRAINING_WINDOWS` (by hash, over all documents), and copies of these windows in which each
+span is written another way that the patterns do not know: a mail address with "(at)" and "dot", an address
+with blanks or brackets round its dots, a card with other separators, a telephone without its plus. So it
+learns the forms and what stands around them, and finds what no pattern does. Texts are read in overlapping
+windows. Every kind needs a digit, a sign for "at", or that word between brackets or before a spelled "dot",
+so labels other than "outside" are ruled out in windows that hold none of these, and these are not run. The
+others' Viterbi paths give spans, which are reconciled over the whole text: overlapping spans of a kind
+become one, of different kinds the surer one stays, and those that a pattern's span overlaps give way to it.
+What can be verified is: an address has four numbers up to 255, a card passes the check of its last digit.
+
+Defined results: null and empty texts have no spans; a text of any length is read whole; repeated rows get
+equal results, and windows that are equal count once in the sample's order, so that ties change nothing; a
+corpus without labelled spans leaves the patterns alone, an empty one has no rows. Further columns are ignored
+by `find` (its own names clash with none) and kept by `redact`. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -20,24 +25,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.llm.common import tidy
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 128, 64
-#: Bound of the labelled sample, half of it windows with spans, half with a digit or @ but none.
-TRAINING_WINDOWS = 1600
-EPOCHS, LEAST_STEPS = 4, 300
+#: Bound of the labelled sample, half of it windows with spans, half that might hold one but do not.
+TRAINING_WINDOWS = 800
+#: Parts of the sample by hash, so that no task ranks the candidates of all, and rewritten copies of a window.
+STRATA, COPIES = 64, 8
+EPOCHS, LEAST_STEPS, BATCH = 1, 250, 32
 #: Least mean margin (label against outside, per character) of an added span.
-LEAST_MARGIN = 3.0
+LEAST_MARGIN = 2.0
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]")
+#: Without one of these a text holds no personal data in any spelling: a digit, a sign for "at", or the word.
+_HINT = re.compile(r"[0-9@０-９＠]|[(\[{<]\s?[aA][tT]\s?[)\]}>]|(?<=\s)[aA][tT](?=\s[^@]{1,60}?\s[dD][oO][tT]\s)")
 _NO_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -62,11 +71,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def shaped_spans(text: str) -> list[tuple[int, int, int]]:
+    """What the network is to learn: the patterns' spans, and numbers that only fail the check of a card. Shape is for it to tell, the check is made afterwards."""
+    own = base_spans(text)
+    more = [(m.start(), 2, m.end()) for m in CARD.finditer(text) if m.end() - m.start() >= 14 and 14 <= len(_NO_DIGIT.sub("", m.group())) <= 19]
+    return sorted(own + [s for s in more if not any(s[0] < z and y < s[2] for y, _, z in own)])
+
+
 def windows(text: str) -> list[int]:
-    """Starts of the windows with a digit or an @."""
+    """Starts of the windows that hold a hint."""
     last = max(0, -(-(len(text) - WINDOW) // STRIDE))
     out: set[int] = set()
-    for m in _SIGN.finditer(text):
+    for m in _HINT.finditer(text):
         i = min(m.start() // STRIDE, last)
         out.add(i)
         if i and m.start() - (i - 1) * STRIDE < WINDOW:
@@ -74,16 +90,63 @@ def windows(text: str) -> list[int]:
     return sorted(i * STRIDE for i in out)
 
 
-#: Character classes: ASCII as it is, other letters, other digits, the rest; 0 is the filling.
+#: Character classes: ASCII as it is, other letters, other signs; 0 is the filling.
 LETTER, OTHER, CLASSES = 128, 129, 130
 LABELS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 
 
+def _classes() -> np.ndarray:
+    out = np.full(1 << 16, OTHER, np.uint8)
+    out[1:128] = np.arange(1, 128)
+    out[0xAA:0x250] = out[0x370:0x2000] = LETTER
+    for x in (0xA0, *range(0x2000, 0x200B), 0x202F, 0x3000):  # blanks
+        out[x] = 32
+    out[0x2010:0x2016] = ord("-")
+    out[0xFF01:0xFF5F] = np.arange(0x21, 0x7F)  # full width
+    return out
+
+
+_CLASS = _classes()
+_WIDE = {x: int(_CLASS[x]) for x in range(128, 1 << 16) if _CLASS[x] < 128}
+
+
 def codes(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.where(points < 128, points, np.where((points < 0x250) | ((points > 0x36F) & (points < 0x2000)), LETTER, OTHER)).astype(np.int64)
-    out[out == 0] = OTHER
-    return out
+    return _CLASS[np.minimum(points, 0xFFFF)].astype(np.int64)
+
+
+def rewritten(piece: str, kind: int, rng: np.random.Generator) -> str:
+    """A span's text in a form that the patterns do not find."""
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    if kind == 0:
+        name, _, host = piece.partition("@")
+        at = pick(" (at) ", "(at)", " [at] ", "[at]", " at ", " @ ", "＠", " AT ", " {at} ")
+        dot = " dot " if at in (" at ", " AT ") else pick(".", ".", "(dot)", " (dot) ", " dot ", "[.]", " . ")
+        return name + at + host.replace(".", dot)
+    if kind == 1:
+        return piece.replace(".", pick(" . ", "[.]", "(.)", ". ", "-", " dot ", "．"))
+    if kind == 2:
+        digits = _NO_DIGIT.sub("", piece)
+        return pick(".", "/", "\u00a0", "  ", "_", " - ", "–").join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    digits = _NO_DIGIT.sub("", piece)
+    a, b, c, d = digits[:-10], digits[-10:-7], digits[-7:-4], digits[-4:]
+    return pick(f"({b}) {c}-{d}", f"{b}-{c}-{d}", f"{b}.{c}.{d}", f"{a} ({b}) {c}-{d}", f"00{a} {b} {c} {d}", f"+{a}/{b}/{c}{d}", f"{a}-{b}-{c}-{d}", f"+{a}\u00a0({b})\u00a0{c}–{d}", f"{b} {c} {d}")
+
+
+def window_copy(text: str, spans: list[tuple[int, int, int]], rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+    """A window whose spans, where they lie inside whole, are rewritten."""
+    out, fresh, done, n = [], [], 0, 0
+    for a, kind, b in sorted(spans):
+        if a < done:
+            continue
+        piece = text[a:b]
+        whole = rewritten(piece, kind, rng) if a > 0 and b < len(text) else piece
+        out += [text[done:a], whole]
+        n += a - done
+        fresh.append((n, kind, n + len(whole)))
+        n, done = n + len(whole), b
+    text = ("".join(out) + text[done:])[:WINDOW]
+    return text, [(a, kind, min(b, WINDOW)) for a, kind, b in fresh if a < WINDOW]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -93,7 +156,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Tagger:
     """Embedding, an LSTM in either direction, a linear layer, and CRF transitions."""
 
-    def __init__(self, width: int = 16, embed: int = 12, seed: int = 7) -> None:
+    def __init__(self, width: int = 32, embed: int = 16, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         self.width = width
         draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
@@ -134,6 +197,15 @@ class Tagger:
         """Viterbi labels [time, batch] and emissions."""
         e, _ = self.emissions(x)
         move = self.weights["move"]
+        path = np.zeros(x.shape, np.int64)
+        # where no other label comes near "outside" at any place, whatever transitions gain, all is outside
+        gain = max(0.0, float(move.max() - move[0, 0]))
+        some = np.flatnonzero((e[:, :, 1:].max(2) - e[:, :, 0]).max(0) > -2 * gain)
+        if len(some):
+            path[:, some] = self._viterbi(e[:, some], move)
+        return path, e
+
+    def _viterbi(self, e: np.ndarray, move: np.ndarray) -> np.ndarray:
         steps, batch, _ = e.shape
         best, back = e[0], np.empty((steps, batch, LABELS), np.int8)
         for t in range(1, steps):
@@ -145,23 +217,26 @@ class Tagger:
         rows = np.arange(batch)
         for t in range(steps - 1, 0, -1):
             path[t - 1] = back[t][rows, path[t]]
-        return path, e
+        return path
 
     def _loss_gradient(self, e: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of the CRF's negative log-likelihood by emissions and transitions; filling is labelled outside and weighs nothing."""
-        move = self.weights["move"]
         steps, batch, _ = e.shape
-        norm = lambda z, axis: (m := z.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(z - m).sum(axis))
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[0] = e[0]
-        for t in range(1, steps):
-            alpha[t] = norm(alpha[t - 1][:, :, None] + move, 1) + e[t]
-        for t in range(steps - 2, -1, -1):
-            beta[t] = norm(move + (beta[t + 1] + e[t + 1])[:, None, :], 2)
-        total = norm(alpha[-1], 1)[:, None]
-        by_emission = np.exp(alpha + beta - total)
-        flow = np.exp(alpha[:-1, :, :, None] + move + (e[1:] + beta[1:])[:, :, None, :] - total[:, :, None])
-        by_move = flow.sum((0, 1))
+        move, near = np.exp(self.weights["move"]), np.exp(e - e.max(2, keepdims=True))
+        # forward and backward sums, scaled to 1 at each step
+        alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((steps, batch, 1), np.float32)
+        alpha[0] = near[0]
+        for t in range(steps):
+            if t:
+                np.multiply(alpha[t - 1] @ move, near[t], out=alpha[t])
+            scale[t] = alpha[t].sum(1, keepdims=True)
+            alpha[t] /= scale[t]
+        ahead = np.empty_like(e)
+        for t in range(steps - 1, 0, -1):
+            np.multiply(near[t], beta[t] / scale[t], out=ahead[t])
+            np.matmul(ahead[t], move.T, out=beta[t - 1])
+        by_emission = alpha * beta
+        by_move = move * np.tensordot(alpha[:-1], ahead[1:], ((0, 1), (0, 1)))
         np.subtract.at(by_move, (y[:-1].ravel(), y[1:].ravel()), 1)
         by_emission -= np.eye(LABELS, dtype=np.float32)[y]
         return by_emission * real[:, :, None] / batch, by_move / batch
@@ -171,7 +246,8 @@ class Tagger:
         w, n = self.weights, self.width
         e, (both, a, b) = self.emissions(x, keep=True)
         by_e, by_move = self._loss_gradient(e, y, x > 0)
-        out = {"move": by_move.astype(np.float32), "out": np.tensordot(both, by_e, ((0, 1), (0, 1))), "bias": by_e.sum((0, 1)), "embed": np.zeros_like(w["embed"])}
+        out = {"move": by_move.astype(np.float32), "out": np.tensordot(both, by_e, ((0, 1), (0, 1))), "bias": by_e.sum((0, 1))}
+        by_class = np.zeros((x.size, w["embed"].shape[1]), np.float32)
         by_h = by_e @ w["out"].T
         for d, (gates, cs), piece in (("f", a, by_h[:, :, :n]), ("b", b, by_h[:, :, n:])):
             order = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
@@ -198,66 +274,63 @@ class Tagger:
             out[f"own_{d}"] = np.tensordot(previous, dz, ((0, 1), (0, 1)))
             out[f"add_{d}"] = dz.sum((0, 1))
             out[f"in_{d}"] = np.tensordot(w["embed"][x], dz, ((0, 1), (0, 1)))
-            np.add.at(out["embed"], x.ravel(), (dz @ w[f"in_{d}"].T).reshape(-1, w["embed"].shape[1]))
+            by_class += (dz @ w[f"in_{d}"].T).reshape(by_class.shape)
+        out["embed"] = np.eye(CLASSES, dtype=np.float32)[x.ravel()].T @ by_class
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Tagger:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = 0.015, seed: int = 7) -> Tagger:
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        k = 0
-        for _ in range(max(epochs, -(-LEAST_STEPS // max(1, -(-x.shape[1] // batch))))):
+        each = max(1, -(-x.shape[1] // batch))
+        epochs, k = max(epochs, -(-LEAST_STEPS // each)), 0
+        for _ in range(epochs):
             order = rng.permutation(x.shape[1])
             for s in range(0, len(order), batch):
                 k += 1
+                pace = rate * min(1.0, 1 - 2.25 * (k / (epochs * each) - 0.6))  # slower from three fifths on
                 for name, g in self.step(x[:, order[s : s + batch]], y[:, order[s : s + batch]]).items():
                     first[name] += 0.1 * (g - first[name])
                     second[name] += 0.01 * (g * g - second[name])
-                    self.weights[name] -= (rate * (first[name] / (1 - 0.9**k)) / (np.sqrt(second[name] / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
+                    self.weights[name] -= (pace * (first[name] / (1 - 0.9**k)) / (np.sqrt(second[name] / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
         return self
 
 
-def labelled_windows(docs: DataFrame, most: int = TRAINING_WINDOWS) -> tuple[np.ndarray, np.ndarray] | None:
-    """The labelled sample: codes and labels [time, window] of at most `most` windows."""
+def labelled_windows(docs: DataFrame, most: int = TRAINING_WINDOWS, copies: int = COPIES) -> tuple[np.ndarray, np.ndarray] | None:
+    """The labelled sample: codes and labels [time, window] of at most `most` windows of the corpus, and `copies` rewritten ones of each with spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[str, str, int]] = []
             for value in batch.column("text"):
                 text = value.as_py() or ""
-                if not _SIGN.search(text):
-                    continue
-                spans = base_spans(text)
-                for s in windows(text):
+                starts = windows(text)
+                spans = shaped_spans(text) if starts else []
+                for s in starts:
                     inside = [(max(a, s) - s, k, min(b, s + WINDOW) - s) for a, k, b in spans if a < s + WINDOW and b > s]
                     out.append((text[s : s + WINDOW], ",".join(f"{a}:{k}:{b}" for a, k, b in inside), int(bool(inside))))
             columns = zip(*out, strict=True) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32()), strict=True)], names=["text", "spans", "has"])
 
     found = docs.select("text").mapInArrow(tidy(run), "text string, spans string, has int").withColumn("order", F.xxhash64("text"))
-    # one pass: the windows of least hash, kind by kind, are what the sort keeps
-    half = most // 2
-    ranked = found.select("*", F.row_number().over(_by_hash()).alias("n")).filter(F.col("n") <= half)
-    rows = ranked.select("text", "spans").collect()
-    if not any(r["spans"] for r in rows):
+    # the windows of least hash of each stratum: every task that reads passes on a few, and many tasks rank them
+    best = Window.partitionBy("has", F.pmod(F.xxhash64("order"), F.lit(STRATA))).orderBy("order", "text", "spans")
+    ranked = found.select("*", F.row_number().over(best).alias("n")).filter(F.col("n") <= max(1, most // 2 // STRATA))
+    rows = [(r["text"], [tuple(map(int, x.split(":"))) for x in r["spans"].split(",")] if r["spans"] else []) for r in ranked.select("text", "spans").collect()]
+    rows = sorted(rows)
+    if not any(spans for _, spans in rows):
         return None
-    rows.sort()
+    rng = np.random.default_rng(5)
+    rows += [window_copy(text, spans, rng) for text, spans in rows if spans for _ in range(copies)]
     x, y = np.zeros((WINDOW, len(rows)), np.int64), np.zeros((WINDOW, len(rows)), np.int64)
-    for i, r in enumerate(rows):
-        x[: len(r["text"]), i] = codes(r["text"])
-        for span in r["spans"].split(",") if r["spans"] else ():
-            a, k, b = map(int, span.split(":"))
+    for i, (text, spans) in enumerate(rows):
+        x[: len(text), i] = codes(text)
+        for a, k, b in spans:
             y[a:b, i] = 2 + 2 * k
             y[a, i] = 1 + 2 * k
     return x, y
 
 
-def _by_hash():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("has").orderBy("order", "text", "spans")
-
-
 def train(docs: DataFrame) -> Tagger | None:
     sample = labelled_windows(docs)
     return Tagger().fit(*sample) if sample else None
@@ -280,6 +353,45 @@ def _path_spans(path: np.ndarray, e: np.ndarray) -> list[tuple[int, int, int, fl
     return out
 
 
+_AT = re.compile(r"@|\b[aA][tT]\b")
+_NUMBER = re.compile(r"[0-9]+")
+
+
+def verified(piece: str, kind: int) -> bool:
+    """Whether a span can be what it is taken for."""
+    piece = piece.translate(_WIDE)
+    numbers = _NUMBER.findall(piece)
+    digits = "".join(numbers)
+    if kind == 0:
+        return bool(_AT.search(piece)) and len(piece) >= 6
+    if kind == 1:
+        return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers)
+    if kind == 2:
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    return 10 <= len(digits) <= 15
+
+
+def _snapped(text: str, a: int, b: int, kind: int) -> tuple[int, int]:
+    """A span widened to the ends of the words or numbers that it cuts."""
+    of = (lambda x, y: x.isalnum() and y.isalnum()) if kind == 0 else (lambda x, y: x.isdecimal() and y.isdecimal())
+    while a > 0 and of(text[a - 1], text[a]):
+        a -= 1
+    while b < len(text) and of(text[b - 1], text[b]):
+        b += 1
+    return a, b
+
+
+def _outside(text: str, a: int, b: int, own: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the spans of `own` leave of a span, without blanks at its ends."""
+    out = []
+    for y, _, z in own:
+        if y < b and a < z:
+            out.append((a, y))
+            a = max(a, z)
+    parts = [(i + len(text[i:j]) - len(text[i:j].lstrip()), i + len(text[i:j].rstrip())) for i, j in (*out, (a, b)) if i < j]
+    return [(i, j) for i, j in parts if i < j]
+
+
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
     """What the network adds to the patterns' spans of each text."""
     places = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
@@ -307,11 +419,9 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], tagger
                     merged.append(last := [a, kind, b, m])
         kept: list[tuple[int, int, int]] = []
         for a, kind, b, m in sorted(merged, key=lambda s: (-s[3], s[0])):
-            piece = text[a:b]
-            if m < LEAST_MARGIN or ("@" not in piece if kind == 0 else sum(c in "0123456789" for c in piece) < (4 if kind == 1 else 10)):
-                continue
-            if not any(a < z and y < b for y, _, z in (*own, *kept)):
-                kept.append((a, kind, b))
+            for a, b in _outside(text, *_snapped(text, a, b, kind), own) if m >= LEAST_MARGIN else ():  # noqa: PLW2901
+                if verified(text[a:b], kind) and not any(a < z and y < b for y, _, z in kept):
+                    kept.append((a, kind, b))
         out.append(sorted(kept))
     return out
 
@@ -325,8 +435,8 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
-    """doc_id, counts by kind and digest of the patterns' spans, and all spans."""
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    """doc_id, counts by kind and digest of the patterns' spans, all spans, how many the network adds, and how many there are."""
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +446,7 @@ def find(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
             more = added_spans(texts, base, tagger) if tagger else [[] for _ in texts]
             counts = [pa.array([sum(s[1] == k for s in own) for own in base], pa.int64()) for k in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), *counts, pa.array([hashlib.sha256(_joined(x).encode()).hexdigest() for x in base]), pa.array([_joined(x + y) for x, y in zip(base, more, strict=True)], pa.string()), pa.array([len(x) for x in more], pa.int64())],
+                [batch.column("doc_id").cast(pa.int64()), *counts, pa.array([hashlib.sha256(_joined(x).encode()).hexdigest() for x in base]), pa.array([_joined(x + y) for x, y in zip(base, more, strict=True)], pa.string()), pa.array([len(x) for x in more], pa.int64()), pa.array([len(x) + len(y) for x, y in zip(base, more, strict=True)], pa.int64())],
                 names=names,
             )
 

@@ -2,15 +2,18 @@
 
 Texts are folded: lower case, homoglyphs to the Latin letter that they imitate, digits to the letter
 that they replace, one class for i, l and 1, accents away, all else to blanks. The lexicon (whole words,
-and word beginnings for inflected forms) is learned from labelled rows: document counts of folded words
-by label, their log odds being the weights. Words around an entry that make it harmless are learned too,
-as exception phrases. An Aho-Corasick automaton finds all entries in a folded text at once; the hits'
-weights without excepted ones, over the text's length, go through a logistic curve fitted to the same
-labelled rows.
-
-Defined results: null and empty texts have no hits and get the score of a rate of 0; repeated rows get
-equal scores; without labelled rows of both kinds the lexicon is empty and every score is 0.
-Further columns are kept by `score`; clashing score and predicted columns are replaced.
+and word beginnings for inflected forms) is learned from labelled rows, at most about `MOST_LABELLED` of
+them (those of least hash of their id): document counts of all folded words by label, their log odds being
+the weights. Every word that enough documents hold is an entry. Words around an entry that make it harmless
+are learned too, as exception phrases. An Aho-Corasick automaton finds all entries in a folded text at once;
+the hits' weights without excepted ones, over the text's length, go through a logistic curve fitted to the
+same labelled rows.
+
+Defined results: null and empty texts have no hits and get the score of a rate of 0; a text or word of any
+length is read whole; repeated rows get equal scores; of contradicting labels of an id 1 holds, and rows
+without an id or a label teach nothing; without labelled rows of both kinds the lexicon is empty and every
+score is 0; an empty table has no rows. Further columns are kept by `score`; clashing score and predicted
+columns are replaced.
 """
 
 from __future__ import annotations
@@ -26,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import extended, small, tidy, written
+from quillstream.llm.common import extended, tidy, written
 
 #: Documents with label 1 that a lexicon entry is found in at least, and its least log odds.
 LEAST_DOCS, LEAST_ODDS = 4, 2.5
 #: Lengths of word beginnings.
 STEMS = (4, 5, 6)
-#: Most entries kept, by weight and documents: bounds what the driver holds.
-MOST_ENTRIES = 20_000
+#: Labelled rows that are learned from, at most (about: the ids below a hash). It bounds the lexicon too.
+MOST_LABELLED = 100_000
 #: Distinct words that a task counts before it passes its counts on.
 COUNTED_WORDS = 200_000
 #: Words that a text counts as having at least, when hits are set against its length.
@@ -87,7 +90,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
-                counts[label].update({w for w in fold(text.as_py() or "").split() if len(w) <= 40})
+                counts[label].update(set(fold(text.as_py() or "").split()))
                 if len(counts[0]) + len(counts[1]) > COUNTED_WORDS:
                     yield out()
         if counts[0] or counts[1]:
@@ -96,6 +99,19 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "label").mapInArrow(tidy(run), "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
+def _word_before(folded: str, at: int) -> list[str]:
+    """The whole word before a blank, in a list; none at the beginning."""
+    while at > 0 and folded[at - 1] == " ":
+        at -= 1
+    return [folded[folded.rfind(" ", 0, at) + 1 : at]] if at else []
+
+
+def _word_after(folded: str, at: int) -> list[str]:
+    while at < len(folded) and folded[at] == " ":
+        at += 1
+    return [folded[at : folded.find(" ", at)]] if at < len(folded) else []
+
+
 class Lexicon:
     """Entries `' word '` or `' stem'` with weights, exceptions, and the logistic curve."""
 
@@ -135,8 +151,7 @@ class Lexicon:
         start = end - len(entry) + 1
         stop = folded.find(" ", start + 1)
         word = folded[start + 1 : stop]
-        before, after = folded[max(0, start - 60) : start].split(), folded[stop : stop + 60].split()
-        return [f"{x} {word}" for x in before[-1:]] + [f"{word} {x}" for x in after[:1]]
+        return [f"{x} {word}" for x in _word_before(folded, start)] + [f"{word} {x}" for x in _word_after(folded, stop)]
 
     def rate(self, text: str) -> float:
         """Weight of hits over the square root of the number of words."""
@@ -169,8 +184,7 @@ def learn(rows: DataFrame) -> Lexicon:
     stems = stems.groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count_if(F.col("pos") > 0).alias("forms"))
     stems = stems.withColumn("odds", _odds(F.col("pos"), F.col("neg"), n_pos, n_neg)).filter((F.col("pos") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS) & (F.col("forms") >= 3))
     best = good.select(F.concat(F.lit(" "), "word", F.lit(" ")).alias("entry"), "odds", "pos").unionByName(stems.select(F.concat(F.lit(" "), "stem").alias("entry"), "odds", "pos"))
-    top = best.orderBy(F.desc("odds"), F.desc("pos"), "entry").limit(MOST_ENTRIES).collect()
-    plain = Lexicon({r["entry"]: float(r["odds"]) for r in top})
+    plain = Lexicon({r["entry"]: float(r["odds"]) for r in best.collect()})
 
     # one pass over the labelled rows: phrases around hits by label, and rates by label
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +207,7 @@ def learn(rows: DataFrame) -> Lexicon:
 
     seen = written(rows.select("text", "label").mapInArrow(tidy(run), "phrase string, rate double, label int, n long").groupBy("phrase", "rate", "label").agg(F.sum("n").alias("n")))
     phrases = seen.filter(F.col("phrase") != "").groupBy("phrase").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("neg"))
-    harmless = phrases.filter((F.col("neg") >= LEAST_DOCS) & (F.col("neg") * n_pos > 4 * F.col("pos") * n_neg)).orderBy(F.desc("neg"), "phrase").limit(MOST_ENTRIES).collect()
+    harmless = phrases.filter((F.col("neg") >= LEAST_DOCS) & (F.col("neg") * n_pos > 4 * F.col("pos") * n_neg)).select("phrase").collect()
     # rates in bins: at most a few hundred for each label
     bins = seen.filter(F.col("phrase") == "").groupBy(F.least(F.floor(F.log1p(F.col("rate") * 10) * 20), F.lit(400)).alias("bin"), "label").agg(F.sum("n").alias("n")).collect()
     a, b = _fit(np.array([(r["bin"] / 20, r["label"], r["n"]) for r in bins], float))
@@ -234,11 +248,15 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Training rows: text and label of the documents whose crc32(doc_id) mod 5 is not 0. Contradicting labels of an id count as 1."""
+def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
+    """Training rows: text and label of the documents whose crc32(doc_id) mod 5 is not 0, about `most` of them, by hash of the id. Contradicting labels of an id count as 1."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     known = written(known.filter(~held_out(F.col("doc_id"))))
-    return docs.select("doc_id", "text").join(small(known), "doc_id").select("text", F.col("label").cast("int").alias("label"))
+    n = known.count()
+    if n > most:
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    # at most so many ids and labels: bounded whatever the table's size
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", F.col("label").cast("int").alias("label"))
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -307,6 +307,40 @@ def test_toxicity_exceptions(spark):
     assert lexicon.rate("what a stupid person") > lexicon.rate("the stupid mistake") == 0
 
 
+def brute_rate(text, lexicon):
+    """The rate by plain search: at each word the longest entry that it is or begins with, unless its neighbours excuse it."""
+    words_of = toxicity.fold(text).split()
+    total = 0.0
+    for i, w in enumerate(words_of):
+        fits = [e for e in lexicon.weights if (e == f" {w} " or (not e.endswith(" ") and f" {w}".startswith(e)))]
+        around = [f"{x} {w}" for x in words_of[max(0, i - 1) : i]] + [f"{w} {x}" for x in words_of[i + 1 : i + 2]]
+        if fits and not any(c in lexicon.exceptions for c in around):
+            total += lexicon.weights[max(fits, key=len)]
+    return total / np.sqrt(max(toxicity.LEAST_WORDS, f" {toxicity.fold(text)} ".count(" "))) if total else 0.0
+
+
+def test_toxicity_against_a_brute_force_scorer(spark, odd):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.learn(toxicity.labelled(docs, labels))
+    assert lexicon.weights
+    texts = [r["text"] for r in docs.filter("doc_id < 150").unionByName(odd).collect()]
+    texts += ["1DIOT", "idiot " + "x" * 300 + " idiot", ", ".join(e.strip() for e in list(lexicon.weights)[:40])]
+    for t in texts:
+        assert lexicon.rate(t or "") == pytest.approx(brute_rate(t or "", lexicon), rel=1e-9)
+
+
+def test_toxicity_counts_all_words_of_any_length(spark):
+    long = "w" * 90
+    rows = [(i, f"{long} day number", 1) for i in range(30)] + [(i, "a fine day number", 0) for i in range(30, 200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").withColumns({"score": F.lit("x"), "predicted": F.lit("y")})
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    lexicon = toxicity.learn(toxicity.labelled(docs, labels))
+    assert f" {long} " in lexicon.weights
+    got = {r["doc_id"]: r for r in toxicity.detect(docs, labels).collect()}
+    assert len(got) == 200 and all((r["predicted"] == 1) == (i < 30) for i, r in got.items()) and isinstance(got[0]["score"], float)
+    assert 60 < toxicity.labelled(docs, labels, most=100).count() < 140
+
+
 def test_toxicity_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["score"] < 1e-9 and r["predicted"] == 0 for r in toxicity.detect(odd, none).collect())
@@ -343,9 +377,60 @@ def test_pii_base_and_redaction(spark, odd):
     assert pii.train(odd) is None and pii.find(odd, None).count() == odd.count()
 
 
+@pytest.fixture(scope="module")
+def tagger(spark):
+    return pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_pii_network_finds_what_no_pattern_does(spark, tagger):
+    """Spans of the larger table, rewritten so that the patterns miss them, are found by a network that never saw them."""
+    rng = np.random.default_rng(99)
+    texts, wanted = [], []
+    for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("n_chars < 4000").select("text").collect():
+        spans = pii.base_spans(r["text"])
+        if len(spans) == 1:
+            (a, kind, b), t = spans[0], r["text"]
+            piece = pii.rewritten(t[a:b], kind, rng)
+            text = t[:a] + piece + t[b:]
+            if not pii.base_spans(text):
+                texts.append(text)
+                wanted.append((a, kind, a + len(piece)))
+    found = pii.added_spans(texts, [[] for _ in texts], tagger)
+    hits = [any(k == kind and x < b and a < y for x, k, y in own) for (a, kind, b), own in zip(wanted, found, strict=True)]
+    added = [any(x < b and a < y for a, _, b in [w]) for w, own in zip(wanted, found, strict=True) for x, _, y in own]
+    assert len(texts) > 100 and np.mean(hits) > 0.85 and np.mean(added) > 0.95
+    for kind in range(4):
+        assert np.mean([h for h, w in zip(hits, wanted, strict=True) if w[1] == kind]) > 0.7
+
+
+def test_pii_skipped_windows_hold_nothing(spark, tagger, monkeypatch):
+    rows = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += ["", "write to jo.an (at) mail (dot) example (dot) com today", "x " * 400 + "call (444) 555-4984 or 444.555.4984 now " + "y " * 400]
+    base = [pii.base_spans(t) for t in rows]
+    own = pii.added_spans(rows, base, tagger)
+    monkeypatch.setattr(pii, "windows", lambda t: list(range(0, max(1, len(t) - pii.WINDOW + pii.STRIDE), pii.STRIDE)))
+    assert pii.added_spans(rows, base, tagger) == own
+    assert any(k == 0 for _, k, _ in own[-2]) and any(k == 3 for _, k, _ in own[-1])
+
+
+def test_pii_parts_that_patterns_leave():
+    text = "at +1 (826) 555-4081 190.137.2.10 du"
+    assert pii.base_spans(text) == [(21, 1, 33)]  # the telephone runs into the address and is too long
+    assert pii._outside(text, 3, 33, pii.base_spans(text)) == [(3, 20)]
+    assert pii.verified("9[.]8[.]7[.]6", 1) and not pii.verified("9.8.7.600", 1) and not pii.verified("4111 1111 1111 1112", 2)
+
+
+def test_pii_columns_ties_and_long_texts(spark, tagger):
+    long = "word " * 60_000 + "mail a.b@c.de"
+    docs = spark.createDataFrame([(1, long), (1, long), (2, None), (None, "x@y.zz")], "doc_id long, text string").withColumns({"spans": F.lit(1), "n_email": F.lit("x")})
+    got = sorted((tuple(r) for r in pii.find(docs, tagger).collect()), key=key)
+    assert got[0] == got[1] and got[0][1] == 1 and "email:300005:300013" in got[0][6] and [r[1] for r in got] == [1, 1, 0, 1]
+    assert pii.redact(docs, tagger).columns == docs.columns
+
+
 def test_pii_network_learns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    x, y = pii.labelled_windows(docs)
+    x, y = pii.labelled_windows(docs, copies=0)
     half = np.arange(x.shape[1]) % 4 > 0
     tagger = pii.Tagger().fit(x[:, half], y[:, half])
     path, _ = tagger.paths(x[:, ~half])
