@@ -7,8 +7,10 @@ stuffing and Huffman-decodes all restart intervals of a batch side by side in nu
 baseline image, with several components, run lengths and end-of-block codes too. DC coefficients alone
 give the luminance thumbnail, from which the stored features come.
 
-Defined results: null texts are empty; an empty payload is 576 bytes of 255; equal texts give equal
-files and features; further columns are kept by `store` and ignored by the query.
+Defined results: null texts are empty; an empty payload is 576 bytes of 255; a text of any length is stored
+whole (up to 65535 rows of samples, further ones side by side); equal texts and repeated rows give equal
+files and features; an empty table has no rows. Further columns are kept by `store` and ignored by
+`features`; a clashing file or n_bytes column is replaced. Damaged files raise an error.
 """
 
 from __future__ import annotations
@@ -279,9 +281,11 @@ def thumbnail(p: Parsed, blocks: np.ndarray) -> np.ndarray:
 
 
 def thumb_hash(thumb: np.ndarray) -> str:
-    """64 bits: whether each cell of an 8 x 8 reduction is above the mean of the cells."""
-    rows, cols = (np.linspace(0, n, 9).astype(int)[:-1] for n in thumb.shape)
-    cells = thumb[np.ix_(np.minimum(rows, thumb.shape[0] - 1), np.minimum(cols, thumb.shape[1] - 1))]
+    """64 bits: whether the mean of each of 8 x 8 areas, which cover the thumbnail whole, is above their own mean."""
+    rows, cols = (np.arange(8) * n // 8 for n in thumb.shape)
+    # where a side has less than 8 samples, some areas are a sample that others have too
+    sizes = [np.maximum(np.diff([*at, n]), 1) for at, n in zip((rows, cols), thumb.shape, strict=True)]
+    cells = np.add.reduceat(np.add.reduceat(thumb, rows, 0), cols, 1) / np.outer(*sizes)
     return np.packbits(cells > cells.mean()).tobytes().hex()
 
 

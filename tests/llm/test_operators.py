@@ -290,6 +290,105 @@ def test_media_reads_runs_and_end_of_block():
     assert (blocks == want).all() and media.thumbnail(p, blocks).tolist() == [[128.625, 127.75]]
 
 
+def written_by_hand(blocks, parts, width, height, interval):
+    """A baseline file written bit by bit: `blocks`, lists of 64 coefficients in scan order, with their component's number."""
+    dc_symbols = [(x, 4) for x in range(12)]
+    ac_symbols = [(x, 7) for x in [0x00, 0xF0, *(r << 4 | n for r in range(16) for n in range(1, 8))]]
+
+    def codes_of(symbols):
+        return {s: format(i, f"0{n}b") for i, (s, n) in enumerate(symbols)}  # all of one length: counted up
+
+    dc, ac = codes_of(dc_symbols), codes_of(ac_symbols)
+
+    def value(v):
+        n = abs(v).bit_length()
+        return n, format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def flushed(bits):
+        bits += "1" * (-len(bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+
+    per = sum(h * v if len(parts) > 1 else 1 for _, h, v, _ in parts)
+    scan, bits, before = b"", "", {}
+    for i, (part, block) in enumerate(blocks):
+        if interval and i and i % (per * interval) == 0:
+            scan += flushed(bits) + bytes([0xFF, 0xD0 + (i // (per * interval) - 1) % 8])
+            bits, before = "", {}
+        n, more = value(block[0] - before.get(part, 0))
+        before[part] = block[0]
+        bits += dc[n] + more
+        run = 0
+        last = max([k for k in range(1, 64) if block[k]], default=0)
+        for k in range(1, last + 1):
+            if block[k] == 0:
+                run += 1
+                continue
+            while run > 15:
+                bits += ac[0xF0]
+                run -= 16
+            n, more = value(block[k])
+            bits += ac[run << 4 | n] + more
+            run = 0
+        bits += ac[0] if last < 63 else ""
+    scan += flushed(bits)
+
+    def segment(marker, body):
+        return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+
+    def table(number, symbols):
+        return bytes([number]) + bytes(sum(n == k for _, n in symbols) for k in range(1, 17)) + bytes(s for s, _ in symbols)
+
+    frame_body = bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(parts)]) + b"".join(bytes([c, h << 4 | v, q]) for c, h, v, q in parts)
+    scan_body = bytes([len(parts)]) + b"".join(bytes([c, 0x00]) for c, _, _, _ in parts) + b"\0\x3f\0"
+    quant = segment(0xDB, b"\0" + bytes([3] * 64) + b"\1" + bytes([5] * 64))
+    restart = segment(0xDD, interval.to_bytes(2, "big")) if interval else b""
+    return b"\xff\xd8" + quant + segment(0xC0, frame_body) + segment(0xC4, table(0, dc_symbols) + table(0x10, ac_symbols)) + restart + segment(0xDA, scan_body) + scan + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("interval", [0, 1, 3])
+@pytest.mark.parametrize("parts", [[(1, 1, 1, 0)], [(1, 2, 1, 0), (2, 1, 1, 1)], [(1, 2, 2, 0), (2, 1, 1, 1), (3, 1, 1, 1)]])
+def test_media_reads_files_of_several_components(parts, interval):
+    rng = np.random.default_rng(8)
+    high, wide = max(v for _, _, v, _ in parts), max(h for _, h, _, _ in parts)
+    width, height = 8 * wide * 3 - 3, 8 * high * 2 - 5
+    unit = [i for i, (_, h, v, _) in enumerate(parts) for _ in range(h * v)]
+    blocks = []
+    for part in unit * 6:
+        block = np.where(rng.random(64) < 0.15, rng.integers(-127, 128, 64), 0)
+        block[0] = rng.integers(-300, 300)
+        blocks.append((part, block.tolist()))
+    file = written_by_hand(blocks, parts, width, height, interval)
+    (p, got), (_, again) = media.read_all([file, file])
+    assert (got == np.array([x for _, x in blocks])).all() and (again == got).all()
+    # each luminance block at its place
+    h, v = parts[0][1], parts[0][2]
+    want = np.zeros((2 * v, 3 * h))
+    for i in range(6):
+        for j in range(h * v):
+            want[i // 3 * v + j // h, i % 3 * h + j % h] = np.clip(blocks[i * len(unit) + j][1][0] * 3 / 8 + 128, 0, 255)
+    assert media.thumbnail(p, got).tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("shape", [(1, 9), (3, 9), (8, 8), (21, 9), (1000, 27)])
+def test_media_hash_takes_whole_areas(shape):
+    thumb = np.random.default_rng(3).random(shape) * 255
+    cut = lambda n: [(i * n // 8, max((i + 1) * n // 8, i * n // 8 + 1)) for i in range(8)]
+    means = np.array([[thumb[a:b, c:d].mean() for c, d in cut(shape[1])] for a, b in cut(shape[0])])
+    bits = "".join("1" if x > means.mean() else "0" for x in means.ravel())
+    assert media.thumb_hash(thumb) == format(int(bits, 2), "016x")
+
+
+def test_media_long_texts_and_clashing_columns(spark):
+    long = "a long text " * 500_000  # more rows of samples than one column of the image has
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, None)], "doc_id long, text string").withColumns({"media": F.lit("x"), "n_bytes": F.lit("y")})
+    stored = media.store(docs)
+    assert sorted(stored.columns) == ["doc_id", "media", "n_bytes"]
+    got = {r["doc_id"]: r for r in media.features(stored).collect()}
+    for i, t in ((1, long), (2, "short"), (3, "")):
+        payload = media.padded(t.encode())
+        assert (got[i]["n_bytes"], got[i]["payload_bytes"], got[i]["payload_sha256"], got[i]["tail_crc32"]) == (len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+
+
 def test_toxicity_folds_and_learns(spark, sf_dir):
     assert toxicity.fold("L0SER idıοt") == toxicity.fold("loser idiot")
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
