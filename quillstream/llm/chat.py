@@ -7,8 +7,10 @@ between) gets one more backslash, which unescaping takes away again. The loss ma
 of +1 where an assistant's text begins and -1 where it ends.
 
 Defined results: turns go in the order of turn, role, text; repeated rows are turns of their own; null
-roles and texts are empty; a null conv_id is one conversation. A conversation is laid out in chunks of
-bounded length, so none has to fit into memory at once. Further columns are ignored.
+roles and texts are empty; a null conv_id is one conversation; texts of any length are whole; an empty table
+has no rows. Further columns, of whatever name, are ignored. Turns are dealt by range of conversation and turn,
+so a very long conversation is encoded by many tasks, in chunks of bounded length; only the digests, which
+are chains, read a conversation's chunks one after another.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,12 +101,13 @@ def default_path() -> str:
 
 
 def format_chats(turns: DataFrame, path: str | None = None) -> DataFrame:
-    """conv_id, chunk, ids and mask (bytes of unsigned 32-bit ids, of 8-bit flags), chunks of a conversation one after another."""
+    """conv_id, chunk, ids and mask (bytes of unsigned 32-bit ids, of 8-bit flags): a conversation's chunks in order are the whole of it."""
     path = path or default_path()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         form = template(path)
-        conv, chunk, held, chars = None, 0, [], 0
+        # partitions are ranges in order, so that chunks are numbered within them
+        conv, chunk, held, chars = None, TaskContext.get().partitionId() << 32, [], 0
 
         def row() -> tuple:
             ids, mask = form.assemble(held)
@@ -116,8 +120,7 @@ def format_chats(turns: DataFrame, path: str | None = None) -> DataFrame:
                 if held and (key != conv or len(held) >= CHUNK_TURNS or chars >= CHUNK_CHARS):
                     rows.append(row())
                     chunk, held, chars = chunk + 1, [], 0
-                if key != conv:
-                    conv, chunk = key, 0
+                conv = key
                 held.append((role or "", text or ""))
                 chars += len(text or "")
             if rows:
@@ -129,7 +132,8 @@ def format_chats(turns: DataFrame, path: str | None = None) -> DataFrame:
         out = pd.DataFrame(rows, columns=["conv_id", "chunk", "ids", "mask"])
         return out.astype({"conv_id": "Int64", "chunk": "int64"})
 
-    ordered = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    order = ["conv_id", "turn", "role", "text"]
+    ordered = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     return ordered.mapInPandas(run, "conv_id long, chunk long, ids binary, mask binary")
 
 
@@ -168,4 +172,4 @@ def digests(formatted: DataFrame, path: str | None = None) -> DataFrame:
         if conv is not None:
             yield _frame([row()])
 
-    return formatted.mapInPandas(run, schema)
+    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInPandas(run, schema)

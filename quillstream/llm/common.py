@@ -9,20 +9,31 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A side of a join is broadcast only if it has at most this many rows (of some numbers each: 32 MB or so).
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast only if its rows hold at most so many bytes, as measured.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset (tests), a local one is made."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_quillstream_folder", None)
+    """This application's folder below spark.checkpoint.dir, which driver and executors share; it goes when the application ends.
+
+    Where that is unset, a local session (tests) gets a folder of its own; on a cluster it is an error, for executors would write to their own disks."""
+    folder = getattr(spark, "_quillstream_folder", None)
     if not folder:
-        folder = spark._quillstream_folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return folder.rstrip("/")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        folder = spark._quillstream_folder = f"{base.rstrip('/')}/quillstream-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -33,9 +44,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, a written table, with a broadcast hint if a count shows that it has few rows; else Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _width(name: str, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0)) + 16
+    return F.lit(8)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, a written table, with a broadcast hint if its measured size is at most `most`; else Spark shuffles both sides."""
+    width = sum((_width(f.name, f.dataType) for f in df.schema), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(width).alias("n")).first()["n"] or 0) <= most else df
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

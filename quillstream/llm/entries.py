@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import bpe, chat, media, neardup, neighbours, packing, pii, suffixes, toxicity, urlfilter
+from quillstream.llm import bpe, chat, media, neardup, neighbours, oracles, packing, pii, suffixes, toxicity, urlfilter
 from quillstream.llm.common import table
 
 
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_urls": urlfilter.ORACLE}
+    return oracles.oracle_sql()

@@ -13,8 +13,9 @@ what counts as a link is always decided on full sets.
 
 Defined results: null and blank texts have no shingles and are linked with nothing; fewer words than a
 shingle has are one shingle; equal sets are always linked; a null doc_id has a null component unless a
-member with an id is reached; rows that repeat an id are rows of the result each. Further columns are
-ignored by `classes` and kept by `deduplicate`.
+member with an id is reached; rows that repeat an id are rows of the result each, and so are repeated rows,
+which all stay or all go; texts of any length are read whole; of ties the smallest id stays; an empty table
+has no rows. Further columns are ignored by `classes` and kept by `deduplicate`.
 """
 
 from __future__ import annotations
@@ -132,22 +133,23 @@ def estimate_reaches(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, node (the set's name) and sketch of every whole text."""
-    schema = extended(docs.select("doc_id"), "n_shingles long, node binary, sketch binary")
+    """doc_id, text_key (a hash of the text), n_shingles, node (the set's name) and sketch of every whole text."""
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    schema = extended(docs.select("doc_id", "text_key"), "n_shingles long, node binary, sketch binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, keys = batch.column("doc_id"), batch.column("text_key")
             for row, words in slabs(batch.column("text"), fold=True):
                 sets, at = shingle_sets(words, k)
                 registers = sketches(sets, at)
                 nodes = node_keys(sets, at)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, len(at) - 1), pa.array(np.diff(at), pa.int64()), pa.array(nodes, pa.binary()), pa.array([r.tobytes() if n else None for r, n in zip(registers, nodes, strict=True)], pa.binary())],
-                    names=["doc_id", "n_shingles", "node", "sketch"],
+                    [ids.slice(row, len(at) - 1), keys.slice(row, len(at) - 1), pa.array(np.diff(at), pa.int64()), pa.array(nodes, pa.binary()), pa.array([r.tobytes() if n else None for r, n in zip(registers, nodes, strict=True)], pa.binary())],
+                    names=["doc_id", "text_key", "n_shingles", "node", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -165,15 +167,43 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
 
 def _shared(buckets: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several nodes, with their number."""
+    """The rows of buckets that hold several nodes; `large`: whether these are more than `BUCKET_MEMBERS`.
+
+    Buckets stream by in order. Of one no more rows are held than tell whether it is large."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups(frames, ["bucket"]):
-            edge = bounds(frame["bucket"].to_numpy())
-            size = np.repeat(np.diff(edge), np.diff(edge))
-            yield frame[size > 1].assign(size=size[size > 1])
+        held, n = [], 0  # the last bucket so far, as it may go on, and its rows; those of a large one are passed on
 
-    return buckets.repartition("bucket").sortWithinPartitions("bucket", "id").mapInPandas(tidy(run), "bucket long, id long, size long")
+        def ended() -> Iterator[pd.DataFrame]:
+            if 1 < n <= BUCKET_MEMBERS:
+                yield pd.concat(held).assign(large=False)
+
+        for frame in frames:
+            edge = bounds(frame["bucket"].to_numpy())
+            size = np.diff(edge)
+            if not len(size):
+                continue
+            if held and held[0]["bucket"].iloc[0] == frame["bucket"].iloc[0]:
+                before, n = n, n + int(size[0])
+                held.append(frame.iloc[: edge[1]])
+                if n > BUCKET_MEMBERS:
+                    yield (pd.concat(held) if before <= BUCKET_MEMBERS else held[-1]).assign(large=True)
+                    held = held[-1:]
+                if len(size) == 1:
+                    continue
+                edge, size = edge[1:], size[1:]
+            yield from ended()
+            # whole buckets of this frame, all but its last
+            inner = frame.iloc[edge[0] : edge[-2]]
+            if len(inner):
+                own = np.repeat(size[:-1], size[:-1])
+                yield inner[own > 1].assign(large=own[own > 1] > BUCKET_MEMBERS)
+            held, n = [frame.iloc[edge[-2] :]], int(size[-1])
+            if n > BUCKET_MEMBERS:
+                yield held[0].assign(large=True)
+        yield from ended()
+
+    return buckets.repartition("bucket").sortWithinPartitions("bucket", "id").mapInPandas(tidy(run), "bucket long, id long, large boolean")
 
 
 def _reach(start: int, left: np.ndarray, near) -> tuple[list[int], np.ndarray]:
@@ -300,29 +330,34 @@ def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
     return pairs.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "id").mapInPandas(tidy(run), "a long, b long")
 
 
-def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, text_key, n_shingles and component of every document."""
     rows = written(sketch(docs, k))
     sets = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     nodes = written(sets.withColumn("id", F.monotonically_increasing_id()))
     shared = written(_shared(_buckets(nodes)))
     # a bucket too large to compare links its members as they are; the sets decide later
-    large = shared.filter(F.col("size") > BUCKET_MEMBERS)
+    large = shared.filter("large")
     leads = large.groupBy("bucket").agg(F.min("id").alias("a"))
     stars = large.join(leads, "bucket").select("a", F.col("id").alias("b")).filter("a <> b")
-    members = shared.filter(F.col("size") <= BUCKET_MEMBERS).select("bucket", "id").join(nodes.select("id", "n_shingles", "sketch"), "id")
+    members = shared.filter("NOT large").select("bucket", "id").join(nodes.select("id", "n_shingles", "sketch"), "id")
     clusters = components(_candidate_edges(members, percent / 100).unionByName(stars))
     found = components(_links(docs, nodes.select("id", "doc_id", "node", "n_shingles").join(clusters, "id"), k, percent))
 
     named = nodes.select("id", "node", "doc_id").join(found, "id", "left").withColumn("c", F.coalesce("c", "id"))
     first = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     by_node = named.join(first, "c").select("node", "component_id")
-    joined = rows.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    joined = rows.select("doc_id", "text_key", "n_shingles", "node").join(by_node, "node", "left")
+    return joined.select("doc_id", "text_key", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    component = F.col("component_id")
+    return _classes(docs, k, percent).select("doc_id", "n_shingles", component, component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those whose component holds a smaller id."""
-    gone = classes(docs, k, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(written(gone), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+    """docs without those whose component holds a smaller id. Of rows that share an id (or have none) only those whose own text is such a copy go."""
+    gone = _classes(docs, k, percent).filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(written(gone), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key")), "left_anti")

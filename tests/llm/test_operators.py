@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,23 @@ def test_neardup_blocks_and_large_buckets(spark, monkeypatch):
     assert kept == {d for d, _, _, keep in want if keep}
 
 
+def test_neardup_removes_rows_not_ids(spark):
+    base, other, third = (" ".join(words(100, x)) for x in (60, 61, 62))
+    rows = [(3, base), (8, base + " more"), (8, other), (None, base + " again"), (None, third), (None, third), (9, None), (10, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in neardup.deduplicate(frame(spark, rows)).collect()), key=key) == sorted([(3, base), (8, other), (None, third), (None, third), (9, None), (10, "")], key=key)
+
+
+def test_neardup_buckets_over_many_frames(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    monkeypatch.setattr(neardup, "BUCKET_MEMBERS", 8)
+    sizes = [1, 2, 1, 9, 3, 8, 20, 1, 7, 1]
+    rows = [(b, 100 * b + i) for b, n in enumerate(sizes) for i in range(n)]
+    got = [(r["bucket"], r["id"], r["large"]) for r in neardup._shared(spark.createDataFrame(rows, "bucket long, id long")).collect()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(got) == [(b, i, sizes[b] > 8) for b, i in rows if sizes[b] > 1]
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))
@@ -259,7 +277,8 @@ def test_chat_round_trip(spark):
 
 def test_chat_chunks(spark, monkeypatch):
     turns = spark.createDataFrame([(1, t, "assistant", f"text {t}") for t in range(700)], "conv_id long, turn long, role string, text string")
-    assert chat.format_chats(turns).count() == 3
+    chunks = chat.format_chats(turns)
+    assert chunks.select("chunk").distinct().count() == chunks.count() >= 3
     loss = "".join(f"text {t}" for t in range(700))
     assert chat.digests(chat.format_chats(turns)).first()["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
 
@@ -621,8 +640,30 @@ def test_neighbours_of_a_very_common_vector(spark):
     assert {r for r in own if r[0] >= 300} == {r for r in want if r[0] >= 300} and len(own) == len(want)
 
 
+@pytest.mark.parametrize("name", entries.oracle_sql())
+def test_query_equals_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    ours, theirs = entries.queries()[name](spark, sf_dir), con.sql(entries.oracle_sql()[name])
+    order = sorted(ours.columns)
+    assert order == sorted(theirs.columns)
+    assert sorted(map(tuple, ours.select(order).collect()), key=key) == sorted(theirs.select(*order).fetchall(), key=key)
+
+
+def test_shared_tables_are_measured_and_removed(spark):
+    from quillstream.llm import common
+
+    folder = common.shared_folder(spark)
+    assert common.shared_folder(spark) == folder and common.written(spark.range(3)).count() == 3
+    plan = lambda df: df._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(common.small(spark.range(10))).lower() and "broadcast" not in plan(common.small(spark.range(10), 100)).lower()
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.digests(chat.format_chats(turns)).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert neardup.classes(docs).count() == suffixes.repeats(docs).count() == bpe.digests(docs).count() == packing.pack(docs).count() == 0
     assert media.features(media.store(docs.select("doc_id", "text"))).count() == toxicity.detect(docs, labels).count() == pii.find(docs, pii.train(docs)).count() == 0
