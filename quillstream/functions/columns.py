@@ -58,18 +58,31 @@ def normalized_space(text: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r" ?\n ?", "\n"), r"\n{3,}", "\n\n")
 
 
-def redacted(text: Column | str) -> Column:
-    """Bearer tokens and the values of secret settings are replaced."""
-    out = F.regexp_replace(col(text), r"(?i)bearer\s+[a-z0-9._-]+", "Bearer [REDACTED]")
-    return F.regexp_replace(out, r"(?i)(api_key|token|secret|password)(\s*[=:]\s*)[^\s,;&]+", "$1$2[REDACTED]")
+def redacted(text: Column | str, secrets: tuple[str, ...] = (), most: int | None = None) -> Column:
+    """Known secrets, bearer tokens, and the values of secret settings and parameters are replaced; then the text is capped."""
+    out = col(text)
+    for secret in filter(None, secrets):
+        out = F.replace(out, F.lit(secret), F.lit("[REDACTED]"))
+    out = F.regexp_replace(out, r"(?i)\bBearer\s+[^\s,;\"']+", "Bearer [REDACTED]")
+    out = F.regexp_replace(out, r"(?i)([?&](?:api[_-]?key|access[_-]?token|token|secret|password)=)[^&\s]+", "$1[REDACTED]")
+    out = F.regexp_replace(out, r"(?i)(\b(?:api[_-]?key|access[_-]?token|token|secret|password)\b\s*[:=]\s*)(?:\"[^\"]*\"|'[^']*'|[^\s,;&]+)", "$1[REDACTED]")
+    return F.left(out, F.lit(most)) if most is not None else out
+
+
+# Named entities and what they stand for.
+ENTITIES = {
+    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&amp;": "&", "&quot;": '"', "&apos;": "'", "&#160;": " ", "&ensp;": " ", "&emsp;": "  ",
+    "&ldquo;": '"', "&rdquo;": '"', "&lsquo;": "'", "&rsquo;": "'", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…",
+}
 
 
 def without_markup(text: Column | str) -> Column:
-    """Tags and numeric entities as blanks, named entities as their character, blanks collapsed."""
-    out = F.regexp_replace(F.regexp_replace(col(text), r"<[^>]*>", " "), r"&#[0-9]+;", " ")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    """Named entities as their character, numeric ones and tags as blanks, blanks collapsed."""
+    out = col(text)
+    for name, sign in ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    out = F.regexp_replace(F.regexp_replace(out, "&#[0-9]+;|&#x[0-9a-fA-F]+;", " "), "</?[a-zA-Z][^>]*/?>", " ")
+    return F.regexp_replace(out, " {2,}", " ")
 
 
 def confidence_band(c: Column | str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,10 @@ from quillstream.functions.columns import col
 #: Full-width letters, digits and signs by their code points, and what they stand for.
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
 NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
+# Full-width marks that stay as they are in texts.
+MARKS = "，．！？；：［］（）～"
+TEXT_WIDE = "".join(c for c in WIDE if c not in MARKS)
+TEXT_NARROW = "".join(n for w, n in zip(WIDE, NARROW, strict=True) if w not in MARKS)
 
 # Patterns of contacts and credentials, labels of review reasons, words of market texts.
 CONTACTS = (
@@ -21,7 +26,12 @@ CONTACTS = (
     r"(?:联系电话|咨询电话|客服电话|客服热线|电话|传真|手机)\s*[:：]?\s*(?:\+?86[-\s]?)?(?:\d{3,4}[-\s]?\d{6,8}|\d{3}[-\s]?\d{3}[-\s]?\d{4}|\d{7,12})",
     r"(?:网址|网站)\s*[:：]?\s*(?:https?://)?(?:www\.)?[A-Za-z0-9.\-/]+",
     r"https?://\S+",
+    r"\bwww\.[A-Za-z0-9.\-/]+",
 )
+RESIDUES = ("从业资格证号", "投资咨询证号", "免责申明", "免责声明")
+QUOTE_NOISE = ("请务必仔细阅读正文后免责申明", "研究所晨会观点精粹")
+CLOSING, OPENING, BRACKETS = "，。；：！？、", "【（(", "】）)"
+ENDS = r" \t:：,，;；"
 REASONS = {
     "no_signal": "识别到品种，但未找到有效方向信号",
     "no_product_match": "未识别到有效期货品种",
@@ -34,6 +44,8 @@ HINTS = (
     "观点", "逻辑", "建议", "操作", "策略", "展望", "预测", "预计", "预期", "价格", "上涨", "下跌", "上行", "下行", "偏强", "偏弱", "震荡",
     "库存", "需求", "供应", "成本", "利润", "基差", "现货", "期货", "利多", "利空", "支撑", "压力", "风险", "关注",
 )
+RISKS = (30, ("风险", "警惕", "压力", "承压", "不排除"))
+RISK_FACTOR, SIGNAL_FACTORS = 0.70, {"negated": 0.35, "conditional": 0.70, "historical": 0.50, "risk_context": 0.75, "after_turn": 0.75}
 CONTEXT = {
     "negated": (8, 0.25, ("不", "未", "没有", "并非", "难以", "尚未", "未见")),
     "conditional": (15, 0.65, ("若", "如果", "一旦", "除非", "在……情况下", "假设")),
@@ -44,18 +56,29 @@ CJK = r"[一-鿿]"
 
 
 def half_width(text: Column | str) -> Column:
-    return F.translate(col(text), WIDE, NARROW)
+    """Letters, digits and signs in half width; the marks of Chinese texts stay."""
+    return F.translate(col(text), TEXT_WIDE, TEXT_NARROW)
 
 
-def alias_key(text: Column | str) -> Column:
-    """One spelling of an alias: half width, lower case, without blanks, brackets and colons."""
-    return F.regexp_replace(F.lower(half_width(text)), r"[\s【】\[\]():]+", "")
+def _narrow(text: Column | str) -> Column:
+    """All full-width forms in half width, and without blanks at the ends: what names need of compatibility forms."""
+    return F.trim(F.translate(col(text), WIDE, NARROW))
+
+
+#: What an alias is spelled without: in the legacy form, and in the canonical one.
+ALIAS_CLASS = r"[\s【】\[\]():]+"
+CANONICAL_CLASS = r"[\s\x{200b}-\x{200d}\x{feff}【】\[\](){}<>:、,;/\\\"'“”‘’`]+"
+
+
+def alias_key(text: Column | str, canonical: bool = False) -> Column:
+    """One spelling of an alias: half width, lower case, without blanks, brackets and colons (in the canonical form without any such sign)."""
+    return F.regexp_replace(F.lower(_narrow(text)), CANONICAL_CLASS if canonical else ALIAS_CLASS, "")
 
 
 def shown_alias(text: Column | str) -> Column:
     """Half width, without blanks and punctuation at its ends."""
     ends = r"[\s【】\[\](){}<>:、,;]+"
-    return F.regexp_replace(F.regexp_replace(half_width(text), f"^{ends}", ""), rf"{ends}\z", "")
+    return F.regexp_replace(F.regexp_replace(_narrow(text), f"^{ends}", ""), rf"{ends}\z", "")
 
 
 def without_residue(text: Column | str) -> Column:
@@ -64,23 +87,31 @@ def without_residue(text: Column | str) -> Column:
 
 
 def without_contacts(text: Column | str) -> Column:
-    """Licence numbers, mail addresses, telephones and sites become blanks."""
-    return reduce(lambda t, p: F.regexp_replace(t, "(?i)" + p, " "), CONTACTS, col(text))
+    """Licence numbers, mail addresses, telephones and sites become blanks, and so do page marks (n/m)."""
+    return reduce(lambda t, p: F.regexp_replace(t, "(?i)" + p, " "), (*CONTACTS, r"\b\d+\s*/\s*\d+\b"), col(text))
 
 
 def has_contacts(text: Column | str) -> Column:
-    return reduce(lambda a, x: a | x, (col(text).rlike("(?i)" + p) for p in CONTACTS))
+    """Whether contacts, licence numbers or the words of a disclaimer are left."""
+    words = F.regexp_replace(col(text), r"\s+", "").rlike("|".join(RESIDUES))
+    return reduce(lambda a, x: a | x, (col(text).rlike("(?i)" + p) for p in CONTACTS), words)
 
 
 def compacted(text: Column | str) -> Column:
-    """Blanks collapsed, none before closing or after opening marks."""
-    out = F.regexp_replace(F.regexp_replace(col(text), r"[ \t]+", " "), r"\s+([，。；：！？、】）)])", "$1")
-    return F.regexp_replace(out, r"([【（(])\s+", "$1")
-
-
-def clean_quote(text: Column | str) -> Column:
-    """An evidence quote without page marks, blanks between CJK characters, and blanks before punctuation."""
-    out = F.regexp_replace(F.regexp_replace(col(text), r"(?i)\[PAGE\s+\d+\]", " "), r"\d+\s*/\s*\d+", " ")
+    """Blanks collapsed, none before closing or after opening marks, and no blanks or weak marks at the ends."""
+    out = F.regexp_replace(F.regexp_replace(col(text), r"[ \t]+", " "), rf"\s+([{CLOSING}])", "$1")
+    out = F.regexp_replace(F.regexp_replace(out, rf"([{OPENING}])\s+", "$1"), rf"\s+([{BRACKETS}])", "$1")
+    return F.regexp_replace(out, rf"^[{ENDS}]+|[{ENDS}]+\z", "")
+
+
+def clean_quote(text: Column | str, sites: tuple[str, ...] = (), noise: tuple[str, ...] = QUOTE_NOISE) -> Column:
+    """An evidence quote without page marks, sites, boilerplate, blanks between CJK characters, and blanks before punctuation."""
+    out = F.regexp_replace(col(text), r"(?i)\[PAGE\s+\d+\]", " ")
+    for site in sites:
+        out = F.regexp_replace(out, "(?i)" + re.escape(site), " ")
+    out = F.regexp_replace(out, r"\b\d+\s*/\s*\d+\b", " ")
+    for words in noise:
+        out = F.replace(out, F.lit(words), F.lit(" "))
     out = F.regexp_replace(F.trim(F.regexp_replace(out, r"\s+", " ")), rf"(?<={CJK})\s+(?={CJK})", "")
     return F.trim(F.regexp_replace(out, r"\s+([，。；：！？!?%])", "$1"))
 
@@ -91,10 +122,11 @@ def reason_label(reason: Column | str) -> Column:
     return F.coalesce(labels[F.split_part(col(reason), F.lit(":"), F.lit(1))], F.nullif(col(reason), F.lit("")), F.lit("未知原因"))
 
 
-def contract(text: Column | str, symbols: tuple[str, ...]) -> Column:
-    """The first code of one to three letters and three or four digits whose letters are a symbol."""
-    codes = F.regexp_extract_all(col(text), F.lit(r"([A-Za-z]{1,3}\d{3,4})"), 1)
-    return F.get(F.filter(codes, lambda c: F.lower(F.regexp_replace(c, r"\d", "")).isin(*symbols)), F.lit(0))
+def contract(text: Column | str, symbols: tuple[str, ...], least: int = 3) -> Column:
+    """The first code of one to three letters and `least` to four digits whose letters are a symbol, else the first two to four digits before 合约."""
+    codes = F.regexp_extract_all(col(text), F.lit(rf"\b([A-Za-z]{{1,3}}\d{{{least},4}})\b"), 1)
+    known = F.get(F.filter(codes, lambda c: F.lower(F.regexp_replace(c, r"\d", "")).isin(*symbols)), F.lit(0))
+    return F.coalesce(known, F.nullif(F.regexp_extract(col(text), r"([0-9]{2,4})\s*合约", 1), F.lit("")))
 
 
 def first_number(text: Column | str) -> Column:
@@ -131,15 +163,37 @@ def meaningful(text: Column | str, least: int = 200) -> Column:
     return (F.length(body) >= 20) & ((cjk_count(body) >= 4) | (F.length(body) >= least))
 
 
-def context_flags(before: Column | str, packs: dict = CONTEXT) -> Column:
-    """Names of the packs that have a word in the last characters before a span."""
-    hit = lambda n, words: reduce(lambda a, x: a | x, (F.contains(F.right(col(before), F.lit(n)), F.lit(w)) for w in words))
-    return F.array_compact(F.array(*[F.when(hit(n, words), name) for name, (n, _, words) in packs.items()]))
+def symbol_ratio(text: Column | str, letters: str = CJK) -> Column:
+    """Share of the characters beside blanks that are neither letters nor digits; 1 if there are none."""
+    bare = F.regexp_replace(col(text), r"\s+", "")
+    return F.coalesce(F.try_divide(F.regexp_count(bare, F.lit(f"[^A-Za-z0-9{letters[1:]}")), F.length(bare)), F.lit(1.0))
+
+
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    return text.rlike("|".join(map(re.escape, words)))
+
+
+def context_flags(before: Column | str, after: Column | str | None = None, packs: dict = CONTEXT, risks: tuple = RISKS) -> Column:
+    """Names of the packs that have a word in the last characters before a span; with what follows it, also whether a risk is named around it."""
+    flags = [F.when(_any(F.right(col(before), F.lit(n)), words), name) for name, (n, _, words) in packs.items()]
+    if after is not None:
+        around = F.concat(F.right(col(before), F.lit(risks[0])), F.left(col(after), F.lit(risks[0])))
+        flags.append(F.when(_any(around, risks[1]), "risk_context"))
+    return F.array_compact(F.array(*flags))
+
+
+def _product(flags: Column | str, factors: dict[str, float]) -> Column:
+    return F.round(reduce(lambda a, x: a * x, (F.when(F.array_contains(col(flags), name), weight).otherwise(1.0) for name, weight in factors.items())), 6)
 
 
 def context_factor(flags: Column | str, packs: dict = CONTEXT) -> Column:
-    parts = (F.when(F.array_contains(col(flags), name), weight).otherwise(1.0) for name, (_, weight, _) in packs.items())
-    return F.round(reduce(lambda a, x: a * x, parts), 6)
+    """What a signal counts in arbitration."""
+    return _product(flags, {name: weight for name, (_, weight, _) in packs.items()} | {"risk_context": RISK_FACTOR})
+
+
+def signal_factor(flags: Column | str, factors: dict = SIGNAL_FACTORS) -> Column:
+    """How sure a signal itself is."""
+    return F.least(F.greatest(_product(flags, factors), F.lit(0.05)), F.lit(1.0))
 
 
 def dense_paragraphs(text: Column | str, letters: str = CJK, shortest: int = 10, density: float = 0.15) -> Column:
@@ -148,7 +202,18 @@ def dense_paragraphs(text: Column | str, letters: str = CJK, shortest: int = 10,
     return F.filter(F.split(col(text), "\n\n"), lambda p: (F.length(p) >= shortest) & (share(p) >= density))
 
 
-def parser_type(url: Column | str) -> Column:
-    """The parser for an address by its extension, query string aside; else unknown."""
-    extension = F.lower(F.regexp_extract(F.split_part(col(url), F.lit("?"), F.lit(1)), r"\.([A-Za-z0-9]+)\z", 1))
-    return F.when(extension.isin("html", "htm"), "html").when(extension == "pdf", "pdf").when(extension.isin("png", "jpg", "jpeg", "bmp", "webp"), "image").otherwise("unknown")
+# Kinds of parsers by extension, and by what a file is said to be.
+EXTENSIONS = {"pdf": "pdf", "html": "html", "htm": "html", "png": "image", "jpg": "image", "jpeg": "image", "bmp": "image", "tiff": "image", "tif": "image", "webp": "image", "gif": "image"}
+MIME_TYPES = {"application/pdf": "pdf", "text/html": "html", "image/png": "image", "image/jpeg": "image", "image/bmp": "image", "image/tiff": "image", "image/webp": "image", "image/gif": "image"}
+
+
+def parser_type(url: Column | str, file_type: Column | str | None = None) -> Column:
+    """The parser for a file: by its type (a kind, a MIME type or an extension), else by the address's extension, query string aside; else unknown."""
+    of = lambda pairs, key: F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])[key]
+    extension = F.regexp_extract(F.split_part(F.lower(col(url)), F.lit("?"), F.lit(1)), r"\.([a-z0-9]+)\z", 1)
+    by_url = of(EXTENSIONS, extension)
+    if file_type is None:
+        return F.coalesce(by_url, F.lit("unknown"))
+    said = F.trim(F.lower(col(file_type)))
+    kinds = {k: k for k in ("pdf", "html", "image", "unknown")}
+    return F.coalesce(of(kinds | MIME_TYPES | EXTENSIONS, F.regexp_replace(said, r"^\.+", "")), by_url, F.lit("unknown"))

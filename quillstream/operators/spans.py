@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.functions import phrases as ph
+
 
 def spans(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """doc_id, kind, start, stop, phrase, n (length of the text) of each pattern's leftmost non-overlapping matches."""
@@ -104,6 +106,17 @@ def longest_first(rows: DataFrame, *by: str) -> DataFrame:
     return greedy(best, [F.col("start") - F.col("stop"), F.col("start"), F.col("direction")], *by)
 
 
+def with_context(docs: DataFrame, signals: DataFrame, packs: dict, risks: tuple) -> DataFrame:
+    """signals (doc_id, start, stop, ...) with flags of what stands around each, factor (what it counts in arbitration) and sure (how sure it is itself)."""
+    n = risks[0]
+    low = F.greatest(F.col("start") - n, F.lit(0))
+    before = F.substring("text", (low + 1).cast("int"), (F.col("start") - low).cast("int"))
+    after = F.substring("text", (F.col("stop") + 1).cast("int"), F.lit(n))
+    joined = signals.join(docs.select("doc_id", "text"), "doc_id").withColumns({"_before": before, "_after": after}).drop("text")
+    flagged = joined.withColumn("flags", ph.context_flags("_before", "_after", packs, risks)).drop("_before", "_after")
+    return flagged.withColumns({"factor": ph.context_factor("flags", packs), "sure": ph.signal_factor("flags")})
+
+
 def _counted_marks(points: DataFrame, marks: DataFrame, name: str) -> DataFrame:
     """points with `name`, the number of marks before each: the clause or sentence that it lies in."""
     columns = [c for c in points.columns if c != "doc_id"]

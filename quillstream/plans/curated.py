@@ -19,7 +19,6 @@ _SQL: dict[str, str] = {}
 
 #: Packs for the driver's documents.
 SYMBOLS = ("v", "x", "usd", "id")
-FLAGS = {"negated": (8, 0.25, ("no", "nicht")), "conditional": (15, 0.65, ("if", "en")), "historical": (15, 0.45, ("er", "last")), "after_turn": (12, 0.75, ("but", "st"))}
 LATIN = "[A-Za-z]"
 
 
@@ -49,13 +48,13 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-HALF = f"translate(text, {_literal(ph.WIDE)}, {_literal(ph.NARROW)})"
+HALF = f"trim(translate(text, {_literal(ph.WIDE)}, {_literal(ph.NARROW)}))"
 ENDS = r"[\s【】\[\](){}<>:、,;]+"
 
 
-@query("x1_alias_key", "SELECT doc_id, sha256(" + _sub(f"lower({HALF})", r"[\s【】\[\]():]+") + ") AS digest FROM documents")
+@query("x1_alias_key", "SELECT doc_id, sha256(" + _sub(f"lower({HALF})", ph.ALIAS_CLASS) + ") AS digest, sha256(" + _sub(f"lower({HALF})", ph.CANONICAL_CLASS.replace("'", "''")) + ") AS canonical FROM documents")
 def x1(s, d):
-    return _digest(s, d, ph.alias_key("text"))
+    return _docs(s, d).select("doc_id", F.sha2(ph.alias_key("text"), 256).alias("digest"), F.sha2(ph.alias_key("text", canonical=True), 256).alias("canonical"))
 
 
 @query("x2_shown_alias", "SELECT doc_id, sha256(" + _sub(_sub(HALF, f"^{ENDS}"), rf"{ENDS}\z") + ") AS digest FROM documents")
@@ -63,7 +62,7 @@ def x2(s, d):
     return _digest(s, d, ph.shown_alias("text"))
 
 
-@query("x5_half_width", f"SELECT doc_id, sha256({HALF}) AS digest FROM documents")
+@query("x5_half_width", f"SELECT doc_id, sha256(translate(text, {_literal(ph.TEXT_WIDE)}, {_literal(ph.TEXT_NARROW)})) AS digest FROM documents")
 def x5(s, d):
     return _digest(s, d, ph.half_width("text"))
 
@@ -73,28 +72,33 @@ def x8(s, d):
     return _digest(s, d, ph.without_residue("text"))
 
 
-@query("x10_contacts", "SELECT doc_id, sha256(" + reduce(lambda t, p: _sub(t, "(?i)" + p, " "), ph.CONTACTS, "text") + ") AS digest FROM documents")
+@query("x10_contacts", "SELECT doc_id, sha256(" + reduce(lambda t, p: _sub(t, "(?i)" + p, " "), (*ph.CONTACTS, r"\b\d+\s*/\s*\d+\b"), "text") + ") AS digest FROM documents")
 def x10(s, d):
     return _digest(s, d, ph.without_contacts("text"))
 
 
-@query("x11_compacted", "SELECT doc_id, sha256(" + _sub(_sub(_sub("text", r"[ \t]+", " "), r"\s+([，。；：！？、】）)])", r"\1"), r"([【（(])\s+", r"\1") + ") AS digest FROM documents")
+_COMPACT = _sub(_sub(_sub(_sub("text", r"[ \t]+", " "), rf"\s+([{ph.CLOSING}])", r"\1"), rf"([{ph.OPENING}])\s+", r"\1"), rf"\s+([{ph.BRACKETS}])", r"\1")
+
+
+@query("x11_compacted", "SELECT doc_id, sha256(" + _sub(_COMPACT, rf"^[{ph.ENDS}]+|[{ph.ENDS}]+\z") + ") AS digest FROM documents")
 def x11(s, d):
     return _digest(s, d, ph.compacted("text"))
 
 
-@query("x12_residual_contacts", "SELECT doc_id, " + " OR ".join(f"regexp_matches(text, '(?i){p}')" for p in ph.CONTACTS) + " AS noisy FROM documents")
+@query("x12_residual_contacts", f"SELECT doc_id, regexp_matches({_sub('text', chr(92) + 's+')}, '{'|'.join(ph.RESIDUES)}') OR " + " OR ".join(f"regexp_matches(text, '(?i){p}')" for p in ph.CONTACTS) + " AS noisy FROM documents")
 def x12(s, d):
     return _docs(s, d).select("doc_id", ph.has_contacts("text").alias("noisy"))
 
 
 _JOIN = rf"({ph.CJK})\s+({ph.CJK})"
-_QUOTE = "trim(" + _sub(_sub(_sub("text", r"(?i)\[PAGE\s+\d+\]", " "), r"\d+\s*/\s*\d+", " "), r"\s+", " ") + ")"
+_SITES, _BOILER = ("www.example.com", "Ouonr"), ("the of", *ph.QUOTE_NOISE)
+_QUOTE = _sub(reduce(lambda t, x: _sub(t, "(?i)" + x.replace(".", r"\."), " "), _SITES, _sub("text", r"(?i)\[PAGE\s+\d+\]", " ")), r"\b\d+\s*/\s*\d+\b", " ")
+_QUOTE = "trim(" + _sub(reduce(lambda t, x: f"replace({t}, '{x}', ' ')", _BOILER, _QUOTE), r"\s+", " ") + ")"
 
 
 @query("x13_quotes", "SELECT doc_id, sha256(trim(" + _sub(_sub(_sub(_QUOTE, _JOIN, r"\1\2"), _JOIN, r"\1\2"), r"\s+([，。；：！？!?%])", r"\1") + ")) AS digest FROM documents")
 def x13(s, d):
-    return _digest(s, d, ph.clean_quote("text"))
+    return _digest(s, d, ph.clean_quote("text", _SITES, _BOILER))
 
 
 _LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ph.REASONS.items())
@@ -108,9 +112,10 @@ def x17(s, d):
     return b.table(s, d, "events").select("event_id", ph.reason_label(reason).alias("label"))
 
 
-@query("x19_contracts", f"SELECT doc_id, list_filter(regexp_extract_all(text, '([A-Za-z]{{1,3}}\\d{{3,4}})', 1), lambda c: lower(regexp_replace(c, '\\d', '', 'g')) IN {SYMBOLS})[1] AS contract FROM documents")
+@query("x19_contracts", f"SELECT doc_id, coalesce(list_filter(regexp_extract_all(text, '\\b([A-Za-z]{{1,3}}\\d{{3,4}})\\b', 1), lambda c: lower(regexp_replace(c, '\\d', '', 'g')) IN {SYMBOLS})[1], nullif(regexp_extract(text, '([0-9]{{2,4}})\\s*合约', 1), '')) AS contract FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN replace(text, ' of ', ' v' || (100 + doc_id) || ' ') WHEN doc_id % 4 = 1 THEN text || (10 + doc_id % 90) || ' 合约' ELSE text END AS text FROM documents)")
 def x19(s, d):
-    return _docs(s, d).select("doc_id", ph.contract("text", SYMBOLS).alias("contract"))
+    spelled = F.when(F.col("doc_id") % 4 == 0, F.replace("text", F.lit(" of "), F.concat(F.lit(" v"), 100 + F.col("doc_id"), F.lit(" ")))).when(F.col("doc_id") % 4 == 1, F.concat("text", 10 + F.col("doc_id") % 90, F.lit(" 合约"))).otherwise(F.col("text"))
+    return _docs(s, d).select("doc_id", ph.contract(spelled, SYMBOLS).alias("contract"))
 
 
 @query("x20_first_number", r"SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '[+-]?\d+(\.\d+)?', 0), '') AS DOUBLE) AS value FROM documents")
@@ -124,10 +129,13 @@ def x21(s, d):
     return _docs(s, d).select("doc_id", F.size(parts).cast("long").alias("n"), F.sha2(F.array_join(parts, "|"), 256).alias("digest"))
 
 
-@query("x22_features", f"SELECT doc_id, length(text) - length({_sub('text', ph.CJK)}) AS cjk, round((length(text) - length({_sub('text', '[0-9]')})) / nullif(length(text), 0), 6) AS digits, length(text) - length({_sub('text', LATIN)}) AS latin FROM documents")
+_BARE = _sub("text", r"\s+")
+
+
+@query("x22_features", f"SELECT doc_id, length(text) - length({_sub('text', ph.CJK)}) AS cjk, round((length(text) - length({_sub('text', '[0-9]')})) / nullif(length(text), 0), 6) AS digits, length(text) - length({_sub('text', LATIN)}) AS latin, round(coalesce((length({_BARE}) - length({_sub(_BARE, '[^A-Za-z0-9一-鿿]')})) / nullif(length({_BARE}), 0), 1), 6)::DOUBLE AS symbols FROM documents")
 def x22(s, d):
     digits = F.round(F.try_divide(F.regexp_count("text", F.lit("[0-9]")), F.length("text")), 6)
-    return _docs(s, d).select("doc_id", ph.cjk_count("text").alias("cjk"), digits.alias("digits"), F.regexp_count("text", F.lit(LATIN)).cast("long").alias("latin"))
+    return _docs(s, d).select("doc_id", ph.cjk_count("text").alias("cjk"), digits.alias("digits"), F.regexp_count("text", F.lit(LATIN)).cast("long").alias("latin"), F.round(ph.symbol_ratio("text"), 6).alias("symbols"))
 
 
 @query("x23_fingerprints", f"SELECT doc_id, sha256(concat_ws('|', lang, 0, length(text), left({_sub('text', '[ \\t\\n\\r\\f\\v]+')}, 500))) AS fingerprint FROM documents")
@@ -150,21 +158,6 @@ def f11(s, d):
     return _docs(s, d).select("doc_id", ph.meaningful("text").alias("ok"))
 
 
-def _flag(name):
-    n, _, words = FLAGS[name]
-    return "(" + " OR ".join(f"contains(right(before, {n}), '{w}')" for w in words) + ")"
-
-
-_FACTOR = " * ".join(f"CASE WHEN {_flag(n)} THEN {w} ELSE 1.0 END" for n, (_, w, _) in FLAGS.items())
-_NAMES = ", ".join(f"CASE WHEN {_flag(n)} THEN '{n}' END" for n in FLAGS)
-
-
-@query("t9_context_flags", f"WITH x AS (SELECT doc_id, regexp_extract(text, '^([^0-9]*)', 1) AS before FROM documents) SELECT doc_id, concat_ws(',', {_NAMES}) AS flags, round(({_FACTOR})::DOUBLE, 6) AS factor FROM x")
-def t9(s, d):
-    rows = _docs(s, d).select("doc_id", ph.context_flags(F.regexp_extract("text", "^([^0-9]*)", 1), FLAGS).alias("f"))
-    return rows.select("doc_id", F.array_join("f", ",").alias("flags"), ph.context_factor("f", FLAGS).alias("factor"))
-
-
 @query("c3_dense_paragraphs", f"WITH x AS (SELECT doc_id, text, list_filter(string_split(text, chr(10) || chr(10)), lambda p: length(p) >= 10 AND (length(p) - length({_sub('p', LATIN)})) / length(p) >= 0.15) AS l FROM documents) SELECT doc_id, len(l) AS kept, length(text) - length(coalesce(array_to_string(l, chr(10) || chr(10)), '')) AS removed FROM x")
 def c3(s, d):
     kept = ph.dense_paragraphs("text", LATIN)
@@ -354,9 +347,15 @@ def a18(s, d):
     return b.task_logs(s, d).groupBy("stage").agg(F.count_if(F.col("status") == "failed").alias("errors"), F.count_if(F.col("status") == "partial").alias("partial"), F.count_distinct("article_id").alias("articles"))
 
 
-@query("s11_parser_types", f"{WITH}, x AS (SELECT article_id, lower(regexp_extract(split_part(file_url, '?', 1), '\\.([A-Za-z0-9]+)\\z', 1)) AS e FROM articles) SELECT article_id, CASE WHEN e IN ('html', 'htm') THEN 'html' WHEN e = 'pdf' THEN 'pdf' WHEN e IN ('png', 'jpg', 'jpeg', 'bmp', 'webp') THEN 'image' ELSE 'unknown' END AS parser FROM x")
+_KINDS = "['pdf', 'image/png', '.HTML', 'application/pdf', 'text/plain', '', NULL]"
+_MAP = lambda x: f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ({k: k for k in ("pdf", "html", "image", "unknown")} | ph.MIME_TYPES | ph.EXTENSIONS).items()) + " END"
+_BY_URL = "CASE e " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ph.EXTENSIONS.items()) + " END"
+
+
+@query("s11_parser_types", f"{WITH}, x AS (SELECT article_id, ({_KINDS})[article_id % 7 + 1] AS k, regexp_extract(split_part(lower(file_url), '?', 1), '\\.([a-z0-9]+)\\z', 1) AS e FROM articles) SELECT article_id, coalesce({_MAP("ltrim(trim(lower(k)), '.')")}, {_BY_URL}, 'unknown') AS parser, coalesce({_BY_URL}, 'unknown') AS by_url FROM x")
 def s11(s, d):
-    return b.articles(s, d).select("article_id", ph.parser_type("file_url").alias("parser"))
+    said = F.get(F.array(*map(F.lit, ("pdf", "image/png", ".HTML", "application/pdf", "text/plain", "", None))), (F.col("article_id") % 7).cast("int"))
+    return b.articles(s, d).select("article_id", ph.parser_type("file_url", said).alias("parser"), ph.parser_type("file_url").alias("by_url"))
 
 
 @query(

@@ -380,12 +380,25 @@ def x4(s, d):
     return b.table(s, d, "customer").select("c_custkey", fn.legacy_product_key("c_name").alias("key"))
 
 
-@query("x9_redaction", "SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(?i)bearer\\s+[a-z0-9._-]+', 'Bearer [REDACTED]', 'g'), '(?i)(api_key|token|secret|password)(\\s*[=:]\\s*)[^\\s,;&]+', '\\1\\2[REDACTED]', 'g')) AS digest FROM documents")
+_SECRETS = ("the of", "zzz-secret")
+_BEARER = r"(?i)\bBearer\s+[^\s,;\"']+".replace("'", "''")
+_VALUE = r"(?i)(\b(?:api[_-]?key|access[_-]?token|token|secret|password)\b\s*[:=]\s*)(?:\"[^\"]*\"|'[^']*'|[^\s,;&]+)".replace("'", "''")
+_PARAMETER = r"(?i)([?&](?:api[_-]?key|access[_-]?token|token|secret|password)=)[^&\s]+"
+
+
+@query("x9_redaction", f"SELECT doc_id, sha256(left(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, '{_SECRETS[0]}', '[REDACTED]'), '{_SECRETS[1]}', '[REDACTED]'), '{_BEARER}', 'Bearer [REDACTED]', 'g'), '{_PARAMETER}', '\\1[REDACTED]', 'g'), '{_VALUE}', '\\1[REDACTED]', 'g'), 5000)) AS digest FROM documents")
 def x9(s, d):
-    return b.table(s, d, "documents").select("doc_id", F.sha2(fn.redacted("text"), 256).alias("digest"))
+    return b.table(s, d, "documents").select("doc_id", F.sha2(fn.redacted("text", _SECRETS, 5000), 256).alias("digest"))
+
+
+def _markup_sql() -> str:
+    out = "html"
+    for name, sign in fn.ENTITIES.items():
+        out = f"replace({out}, '{name}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    return f"regexp_replace(regexp_replace(regexp_replace({out}, '&#[0-9]+;|&#x[0-9a-fA-F]+;', ' ', 'g'), '</?[a-zA-Z][^>]*/?>', ' ', 'g'), ' {{2,}}', ' ', 'g')"
 
 
-@query("x7_markup", "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&#[0-9]+;', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS plain FROM pages")
+@query("x7_markup", f"SELECT page_id, {_markup_sql()} AS plain FROM pages")
 def x7(s, d):
     return b.table(s, d, "pages").select("page_id", fn.without_markup("html").alias("plain"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.functions import phrases as ph
 from quillstream.operators import spans as sp
 from quillstream.operators.text import ALIASES
 from quillstream.sources import bindings as b
@@ -122,6 +123,33 @@ def t8(s, d):
     return _signals(s, d)
 
 
+#: Words around signals of the driver's documents.
+FLAGS = {"negated": (8, 0.25, ("no", "nicht")), "conditional": (15, 0.65, ("if", "en")), "historical": (15, 0.45, ("er", "last")), "after_turn": (12, 0.75, ("but", "st"))}
+RISKS = (30, ("tion", "risk"))
+
+
+def _flag(name: str) -> str:
+    n, _, words = FLAGS[name]
+    return f"regexp_matches(right(before, {n}), '{'|'.join(words)}')"
+
+
+_RISK = f"regexp_matches(before || after, '{'|'.join(RISKS[1])}')"
+_FLAGS = ", ".join(f"CASE WHEN {_flag(n)} THEN '{n}' END" for n in FLAGS) + f", CASE WHEN {_RISK} THEN 'risk_context' END"
+_FACTOR = " * ".join(f"CASE WHEN {_flag(n)} THEN {w} ELSE 1.0 END" for n, (_, w, _) in FLAGS.items()) + f" * CASE WHEN {_RISK} THEN {ph.RISK_FACTOR} ELSE 1.0 END"
+_SURE = " * ".join(f"CASE WHEN {_flag(n) if n in FLAGS else _RISK} THEN {w} ELSE 1.0 END" for n, w in ph.SIGNAL_FACTORS.items())
+FLAGGED = f"""around AS (SELECT s.*, substring(text, greatest(start - 30, 0) + 1, start - greatest(start - 30, 0)) AS before, substring(text, stop + 1, 30) AS after FROM signals s JOIN documents USING (doc_id)),
+    flagged AS (SELECT doc_id, start, stop, direction, confidence, concat_ws(',', {_FLAGS}) AS flags, round(({_FACTOR})::DOUBLE, 6) AS factor, least(greatest(round(({_SURE})::DOUBLE, 6), 0.05), 1.0) AS sure FROM around)"""
+
+
+def _flagged(s, d):
+    return sp.with_context(_docs(s, d), _signals(s, d), FLAGS, RISKS)
+
+
+@query("t9_context_flags", f"WITH {_SIGNAL_SQL}, {FLAGGED} SELECT doc_id, start, stop, direction, flags, factor, sure FROM flagged")
+def t9(s, d):
+    return _flagged(s, d).select("doc_id", "start", "stop", "direction", F.array_join("flags", ",").alias("flags"), "factor", "sure")
+
+
 def _unit(of: str, marks: str, name: str) -> str:
     return f"SELECT x.*, coalesce(m.k, 0) AS {name} FROM {of} x ASOF LEFT JOIN (SELECT doc_id, start + 1 AS at, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS k FROM {marks}) m ON x.doc_id = m.doc_id AND x.start >= m.at"
 
