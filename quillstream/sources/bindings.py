@@ -47,6 +47,19 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def evidence_json():
+    """Evidence of a review item in one of the shapes that are in use."""
+    user, shape = F.col("user_id").cast("string"), F.floor(F.col("event_id") / 4) % 6
+    return (
+        F.when(shape == 0, F.concat(F.lit('"seen by '), user, F.lit('"')))
+        .when(shape == 1, F.concat(F.lit('["first  of '), user, F.lit('", {"quote": "quote of '), user, F.lit('"}, {"text": "", "excerpt": "part of '), user, F.lit('"}]')))
+        .when(shape == 2, F.concat(F.lit('{"excerpts": [{"quote": "", "text": "text of '), user, F.lit('", "source": "manual", "start_char": -'), user, F.lit('}, "plain of '), user, F.lit('"], "kind": "verified", "notes": " a note "}')))
+        .when(shape == 3, F.concat(F.lit('{"raw": "raw of '), user, F.lit('", "diagnostic": {"error_type": "odd", "message": "token=abc", "attempt_count": -3, "parse_errors": [{"error_type": "invalid_json"}, {"error_type": "x"}]}}')))
+        .when(shape == 4, "{}")
+        .otherwise('"an_identifier"')
+    )
+
+
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = F.col("event_id")
     status = F.when(F.col("user_id") % 3 == 0, "pending").when(F.col("user_id") % 3 == 1, "resolved").otherwise("rejected")
@@ -60,6 +73,7 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
         status.alias("status"),
         F.col("ts").alias("created_at"),
         F.when(status != "pending", F.col("ts")).alias("reviewed_at"),
+        evidence_json().alias("evidence"),
     )
 
 
@@ -97,7 +111,12 @@ articles AS (
   SELECT event_id AS id, event_id // 12 AS article_id, sha1(concat_ws('|', event_id // 12, user_id % 20, event_type, event_id % 7)) AS item_key,
          'K' || (user_id % 20) AS product_key, 'P' || (user_id % 20) AS product, event_type AS reason,
          CASE user_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'resolved' ELSE 'rejected' END AS status, ts AS created_at,
-         CASE WHEN user_id % 3 <> 0 THEN ts END AS reviewed_at
+         CASE WHEN user_id % 3 <> 0 THEN ts END AS reviewed_at,
+         CASE (event_id // 4) % 6 WHEN 0 THEN '"seen by ' || user_id || '"'
+           WHEN 1 THEN '["first  of ' || user_id || '", {"quote": "quote of ' || user_id || '"}, {"text": "", "excerpt": "part of ' || user_id || '"}]'
+           WHEN 2 THEN '{"excerpts": [{"quote": "", "text": "text of ' || user_id || '", "source": "manual", "start_char": -' || user_id || '}, "plain of ' || user_id || '"], "kind": "verified", "notes": " a note "}'
+           WHEN 3 THEN '{"raw": "raw of ' || user_id || '", "diagnostic": {"error_type": "odd", "message": "token=abc", "attempt_count": -3, "parse_errors": [{"error_type": "invalid_json"}, {"error_type": "x"}]}}'
+           WHEN 4 THEN '{}' ELSE '"an_identifier"' END AS evidence
   FROM events WHERE event_id % 4 = 0
 ), logs AS (
   SELECT event_id AS id, event_id // 5 AS article_id, CASE WHEN event_id % 5 < 2 THEN 'pipeline' ELSE event_type END AS stage,
