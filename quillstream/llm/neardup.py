@@ -360,4 +360,4 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without those whose component holds a smaller id. Of rows that share an id (or have none) only those whose own text is such a copy go."""
     gone = _classes(docs, k, percent).filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(written(gone), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    return docs.join(small(written(gone)), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
