@@ -37,6 +37,8 @@ TRAINING_WINDOWS = 800
 #: Parts of the sample by hash, so that no task ranks the candidates of all, and rewritten copies of a window.
 STRATA, COPIES = 64, 8
 EPOCHS, LEAST_STEPS, BATCH = 1, 250, 32
+#: Windows that are read side by side, which bounds a task's memory.
+GROUP = 192
 #: Least mean margin (label against outside, per character) of an added span.
 LEAST_MARGIN = 2.0
 
@@ -396,8 +398,8 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], tagger
     """What the network adds to the patterns' spans of each text."""
     places = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
     found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-    for k in range(0, len(places), 512):
-        group = places[k : k + 512]
+    for k in range(0, len(places), GROUP):
+        group = places[k : k + GROUP]
         x = np.zeros((WINDOW, len(group)), np.int64)
         for j, (i, s) in enumerate(group):
             piece = codes(texts[i][s : s + WINDOW])
