@@ -9,8 +9,8 @@ from quillstream.functions.columns import company_of, displayable, formal, signe
 from quillstream.sources.bindings import DIRECTIONS
 
 
-def search_articles(articles: DataFrame, results: DataFrame, product: str | None = None, direction: str | None = None, company: str | None = None, keyword: str | None = None) -> DataFrame:
-    """Articles without results or with a displayable one; each result criterion is met by some displayable result."""
+def search_articles(articles: DataFrame, results: DataFrame, product: str | None = None, direction: str | None = None, company: str | None = None, keyword: str | None = None, product_key: str | None = None, status: int | None = None, since=None, until=None) -> DataFrame:
+    """Articles without results or with a displayable one; each result criterion is met by some displayable result, and the publish time lies in the range. Their number is the total of a page's list."""
     shown = displayable()
     flags = [F.bool_or(shown).alias("_shown")]
     wanted: list[Column] = [F.col("_shown").isNull() | F.col("_shown")]
@@ -20,6 +20,15 @@ def search_articles(articles: DataFrame, results: DataFrame, product: str | None
     if direction is not None:
         flags.append(F.bool_or(shown & (F.col("direction") == direction)).alias("_direction"))
         wanted.append(F.col("_direction"))
+    if product_key is not None:
+        flags.append(F.bool_or(shown & (F.col("product_key") == product_key)).alias("_key"))
+        wanted.append(F.col("_key"))
+    if status is not None:
+        wanted.append(F.col("status") == status)
+    if since is not None:
+        wanted.append(F.col("publish_time") >= F.lit(since))
+    if until is not None:
+        wanted.append(F.col("publish_time") <= F.lit(until))
     if keyword is not None:
         flags.append(F.bool_or(shown & F.contains(F.lower("reason"), F.lit(keyword.lower()))).alias("_keyword"))
         inside = [F.coalesce(F.contains(F.lower(c), F.lit(keyword.lower())), F.lit(False)) for c in ("title", "source", "company")]
@@ -51,9 +60,15 @@ def primary_results(results: DataFrame) -> DataFrame:
     return results.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
-def trend_counts(results: DataFrame, articles: DataFrame) -> DataFrame:
+def trend_counts(results: DataFrame, articles: DataFrame, since=None, until=None) -> DataFrame:
+    """Formal results by day, product and direction; a range holds for the time that gives the day."""
     joined = results.filter(formal()).join(articles.filter("status = 5"), "article_id")
-    day = F.to_date(F.coalesce("publish_time", "analysis_time"))
+    time = F.coalesce("publish_time", "analysis_time")
+    if since is not None:
+        joined = joined.filter(time >= F.lit(since))
+    if until is not None:
+        joined = joined.filter(time <= F.lit(until))
+    day = F.to_date(time)
     return joined.groupBy(day.alias("day"), "product", "direction").agg(F.count("*").alias("n"))
 
 
@@ -81,18 +96,35 @@ def direction_counts(results: DataFrame, by: str = "product") -> DataFrame:
     return results.filter(formal()).groupBy(by).agg(*counts)
 
 
+def _numbered(rows: DataFrame, *by: str) -> DataFrame:
+    """rows with position, their number in a group by publish time, newest first: ranked within years, after the sizes of the years before, so that no task ranks a large group whole."""
+    year = F.coalesce(F.year("publish_time"), F.lit(-1))
+    own = rows.withColumn("_year", year)
+    sizes = own.groupBy(*by, "_year").agg(F.count("*").alias("_size"))
+    before = sizes.select(*by, "_year", (F.sum("_size").over(Window.partitionBy(*by).orderBy(F.desc("_year"))) - F.col("_size")).alias("_before"))
+    ranked = own.withColumn("_own", F.row_number().over(Window.partitionBy(*by, "_year").orderBy(F.col("publish_time").desc_nulls_last(), F.desc("id"))))
+    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "_year")]
+    joined = ranked.alias("o").join(before.alias("b"), same)
+    return joined.select("o.*", (F.col("_before") + F.col("_own")).cast("int").alias("position")).drop("_year", "_own")
+
+
 def company_roll_up(results: DataFrame, articles: DataFrame) -> DataFrame:
     """Predictions of each company by publish time, newest first, numbered."""
     joined = best_predictions(results.filter(formal())).join(articles.filter("status = 5"), "article_id")
-    named = joined.withColumn("company_name", company_of())
-    order = Window.partitionBy("company_name").orderBy(F.col("publish_time").desc_nulls_last(), F.desc("id"))
-    return named.withColumn("position", F.row_number().over(order))
+    return _numbered(joined.withColumn("company_name", company_of()), "company_name")
 
 
 def product_roll_up(results: DataFrame, articles: DataFrame) -> DataFrame:
+    """Predictions of each product by publish time, newest first, numbered."""
+    joined = best_predictions(results.filter(formal())).join(articles.filter("status = 5"), "article_id")
+    return _numbered(joined, "product_key", "product")
+
+
+def first_predictions(results: DataFrame, articles: DataFrame, most: int = 8) -> DataFrame:
+    """The newest predictions of each product."""
     joined = best_predictions(results.filter(formal())).join(articles.filter("status = 5"), "article_id")
     order = Window.partitionBy("product_key", "product").orderBy(F.col("publish_time").desc_nulls_last(), F.desc("id"))
-    return joined.withColumn("position", F.row_number().over(order))
+    return joined.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= most)
 
 
 def dashboard(articles: DataFrame, results: DataFrame, queue: DataFrame, today) -> DataFrame:
@@ -129,7 +161,14 @@ def review_tabs(articles: DataFrame, queue: DataFrame, logs: DataFrame) -> DataF
 
 
 def stage_latency(logs: DataFrame) -> DataFrame:
-    return logs.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.min("duration"), 6).alias("least"), F.round(F.percentile("duration", F.lit(0.5)), 6).alias("median"), F.round(F.max("duration"), 6).alias("most"))
+    """By stage: count, least, median and greatest duration. The median is exact: equal durations are counted first, and only these counts are ranked."""
+    counted = logs.groupBy("stage", "duration").agg(F.count("*").alias("c"))
+    by = Window.partitionBy("stage").orderBy("duration")
+    ranked = counted.withColumns({"upto": F.sum("c").over(by.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(Window.partitionBy("stage"))})
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    holds = lambda k: (F.col("upto") >= k) & (F.col("upto") - F.col("c") < k)
+    middle = (F.max(F.when(holds(low), F.col("duration"))) + F.max(F.when(holds(high), F.col("duration")))) / 2
+    return ranked.groupBy("stage").agg(F.sum("c").alias("n"), F.round(F.min("duration"), 6).alias("least"), F.round(middle, 6).alias("median"), F.round(F.max("duration"), 6).alias("most"))
 
 
 def scan_summary(logs: DataFrame) -> DataFrame:
@@ -140,7 +179,7 @@ def scan_summary(logs: DataFrame) -> DataFrame:
 def list_rows(articles: DataFrame, results: DataFrame, first: int = 4) -> DataFrame:
     """article_id, company and a summary of the first results."""
     order = Window.partitionBy("article_id").orderBy(F.when(F.col("is_primary"), 0).otherwise(1), "product", "contract_key", "id")
-    text = F.concat(F.col("product"), F.lit(" "), F.when(F.col("contract_key") != "", F.concat("contract_key", F.lit(" "))).otherwise(""), F.col("direction"))
+    text = F.concat(F.col("product"), F.when(F.col("contract_key") != "", F.concat("contract_key", F.lit(" "))).otherwise(""), F.col("direction"), F.lit(" "), F.format_string("%.2f", "confidence"))
     top = results.filter(displayable()).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= first)
     summary = top.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("_n", text.alias("t")))).alias("_s"))
     joined = articles.join(summary, "article_id", "left")
@@ -148,17 +187,36 @@ def list_rows(articles: DataFrame, results: DataFrame, first: int = 4) -> DataFr
 
 
 def evaluation(labels: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Metrics over labels (id, label) and predictions (id, prediction)."""
+    """One row of metrics over labels (id, product_key, direction) and predictions (id, predicted_key, predicted_direction, method, manual, duration): an id without a label counts for nothing; without labels the total is 0 and the rest null."""
     joined = labels.join(predictions, "id", "left")
-    right = F.col("label") == F.col("prediction")
+    known, right = F.col("predicted_key") == F.col("product_key"), F.col("predicted_direction") == F.col("direction")
+    rate = lambda n, d: F.round(F.try_divide(n, d), 6)
+    total, rules = F.count("*"), F.count_if(F.col("method") == "rule")
+    none = F.when(total > 0, 0.0)
     return joined.agg(
-        F.count("*").alias("total"),
-        F.count("prediction").alias("predicted"),
-        F.round(F.coalesce(F.try_divide(F.count_if(right), F.count("prediction")), F.lit(0.0)), 6).alias("precision"),
-        F.round(F.coalesce(F.try_divide(F.count("prediction"), F.count("*")), F.lit(0.0)), 6).alias("recall"),
+        total.alias("total"),
+        F.count("predicted_key").alias("predicted"),
+        F.coalesce(rate(F.count_if(known), F.count("predicted_key")), none).alias("precision"),
+        rate(F.count_if(known), total).alias("recall"),
+        rate(F.count_if(right), total).alias("direction_accuracy"),
+        F.coalesce(rate(F.count_if((F.col("method") == "rule") & right), rules), none).alias("rule_precision"),
+        rate(rules, total).alias("rule_rate"),
+        rate(F.count_if(F.col("method") == "llm"), total).alias("llm_rate"),
+        rate(F.count_if("manual"), total).alias("manual_rate"),
+        rate(F.sum(F.coalesce("duration", F.lit(0.0))), total).alias("mean_latency"),
     )
 
 
+def processing_stats(runs: DataFrame) -> DataFrame:
+    """By source_id: matches, signals, rule and llm results, retries, recovered ones, reviews, and errors by type as a sorted list; of (source_id, kind, retries, error_type)."""
+    kinds = [F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in ("match", "signal", "rule", "llm", "review")]
+    recovered = F.count_if((F.col("kind") == "llm") & (F.col("retries") > 0) & F.col("error_type").isNull()).alias("llm_recovered_count")
+    by_type = runs.filter("error_type IS NOT NULL").groupBy("source_id", "error_type").agg(F.count("*").alias("n"))
+    listed = by_type.groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "error_type", "n"))), ",").alias("errors"))
+    stats = runs.groupBy("source_id").agg(*kinds, F.sum("retries").alias("llm_retry_count"), recovered)
+    return stats.join(listed, "source_id", "left").na.fill("", ["errors"])
+
+
 def violations(results: DataFrame) -> DataFrame:
     """id and reason of each rule that a result breaks."""
     rules = F.array_compact(

@@ -11,17 +11,40 @@ PRIORITY = {"core": 0, "ocr": 1, "ai": 2, "table": 3, "mixed": 4}
 
 
 def catalog_violations(catalog: DataFrame) -> DataFrame:
-    """kind, value, n: keys, symbols and folded aliases that more than one product of (product_key, symbol, alias) has."""
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("symbol", F.lower("symbol")), ("alias", alias_key("alias")))])
-    rows = catalog.select("product_key", F.inline(kinds))
-    return rows.groupBy("kind", "value").agg(F.count_distinct("product_key").alias("n")).filter("n > 1")
+    """kind, value, n: product keys, symbols and folded aliases that more than one row (row_no) of a catalog has."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("product_key", F.col("product_key").cast("string")), ("symbol", F.lower("symbol")), ("alias", alias_key("alias")))])
+    rows = catalog.select("row_no", F.inline(kinds))
+    return rows.groupBy("kind", "value").agg(F.count_distinct("row_no").alias("n")).filter("n > 1")
 
 
-def candidate_evidence(seen: DataFrame) -> DataFrame:
-    """Of (alias, doc, kind, product_key): occurrences, documents, kinds and keys by alias, pre-aggregated before the sets are built."""
-    parts = seen.withColumn("alias", alias_key("alias")).groupBy("alias", "doc", "kind", "product_key").agg(F.count("*").alias("n"))
+def looked_up(asked: DataFrame, catalog: DataFrame, column: str = "asked") -> DataFrame:
+    """asked with product_key and way (0: by key, 1: by name, 2: by symbol) of the first catalog entry that goes by that text."""
+    names = F.array(*[F.struct(v.cast("string").alias("name"), F.lit(i).alias("way")) for i, v in enumerate((F.col("product_key"), F.col("alias"), F.col("symbol")))])
+    ways = catalog.select("product_key", F.inline(names))
+    best = ways.groupBy("name").agg(F.min(F.struct("way", "product_key")).alias("x")).select(F.col("name").alias(column), "x.product_key", "x.way")
+    return asked.join(best, column, "left")
+
+
+def candidate_evidence(seen: DataFrame, docs: int = 8, snippets: int = 3) -> DataFrame:
+    """Of (alias, doc, pos, kind, product_key, negative, snippet) by folded alias: the first spelling, occurrences, documents, kinds, keys, negative reasons, the first documents and the first distinct snippets.
+
+    Occurrences with a negative reason only give that reason. Only the first documents and snippets are collected."""
+    rows = seen.withColumn("raw", F.col("alias")).withColumn("alias", alias_key("alias"))
+    good = rows.filter("negative IS NULL")
     sets = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return parts.groupBy("alias").agg(F.sum("n").alias("occurrences"), F.count_distinct("doc").alias("docs"), sets("kind").alias("kinds"), sets("product_key").alias("keys"))
+    parts = good.groupBy("alias", "doc", "kind", "product_key").agg(F.count("*").alias("n"))
+    counts = parts.groupBy("alias").agg(F.sum("n").alias("occurrences"), F.count_distinct("doc").alias("docs"), sets("kind").alias("kinds"), sets("product_key").alias("keys"))
+    every = rows.groupBy("alias").agg(F.min_by("raw", F.struct("doc", "pos")).alias("raw_alias"), sets("negative").alias("negative"))
+
+    def firsts(table: DataFrame, value: str, order: str, most: int, mark: str, name: str) -> DataFrame:
+        top = table.withColumn("_n", F.row_number().over(Window.partitionBy("alias").orderBy(order))).filter(F.col("_n") <= most)
+        held = F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(value).cast("string").alias("v")))), lambda x: x["v"])
+        return top.groupBy("alias").agg(F.array_join(held, mark).alias(name))
+
+    first_docs = firsts(good.select("alias", "doc").distinct(), "doc", "doc", docs, ",", "first_docs")
+    first_snippets = firsts(good.groupBy("alias", "snippet").agg(F.min(F.struct("doc", "pos")).alias("at")), "snippet", "at", snippets, "|", "snippets")
+    out = every.join(counts, "alias", "left").join(first_docs, "alias", "left").join(first_snippets, "alias", "left")
+    return out.na.fill(0, ["occurrences", "docs"]).na.fill("", ["kinds", "keys", "first_docs", "snippets"])
 
 
 def lexicon(seeds: DataFrame, approved: DataFrame) -> DataFrame:
@@ -45,10 +68,11 @@ def best_segments(results: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def backfilled_keys(results: DataFrame, segments: DataFrame) -> DataFrame:
-    """id, product_key: blank keys taken from the article's segments where these agree on one key."""
+    """id, product_key: blank keys taken from the article's segments where these agree on one key, else from the name of a group."""
     known = segments.filter("product_key <> ''").groupBy("article_id", "product").agg(F.min("product_key").alias("k"), F.max("product_key").alias("l")).filter("k = l")
     joined = results.join(known, ["article_id", "product"], "left")
-    return joined.select("id", F.coalesce(F.nullif("product_key", F.lit("")), "k", F.lit("")).alias("product_key"))
+    groups = F.when(F.col("product") == "股指", "GROUP.CFFEX.INDEX").when(F.col("product") == "国债", "GROUP.CFFEX.BOND")
+    return joined.select("id", F.coalesce(F.nullif("product_key", F.lit("")), "k", groups, F.lit("")).alias("product_key"))
 
 
 def label_predictions(labels: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -78,12 +102,14 @@ def replaced_segments(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return current.join(incoming.select("article_id").distinct(), "article_id", "left_anti").unionByName(incoming)
 
 
-def reviewed_aliases(aliases: DataFrame) -> DataFrame:
-    """Of (alias, product_key, decision, n): approved, rejected, or conflict where products compete for one approved alias."""
+def reviewed_aliases(aliases: DataFrame, builtin: DataFrame) -> DataFrame:
+    """Of (alias, product_key, decision): rejected, builtin_conflict where the built-in catalog has another product for the alias, conflict where products compete for it, else approved."""
+    aliases = aliases.join(builtin.select("alias", F.col("product_key").alias("_builtin")), "alias", "left")
     wanted = F.col("decision") == "approve"
     rivals = F.size(F.collect_set(F.when(wanted, F.col("product_key"))).over(Window.partitionBy("alias")))
-    status = F.when(~wanted, "rejected").when(rivals > 1, "conflict").otherwise("approved")
-    return aliases.withColumn("status", status)
+    other = F.coalesce(F.col("_builtin") != F.col("product_key"), F.lit(False))
+    status = F.when(~wanted, "rejected").when(other, "builtin_conflict").when(rivals > 1, "conflict").otherwise("approved")
+    return aliases.withColumn("status", status).drop("_builtin")
 
 
 def last_decisions(decisions: DataFrame) -> DataFrame:
@@ -101,25 +127,32 @@ def by_precedence(*layers: DataFrame) -> DataFrame:
     return rows.groupBy("alias").agg(F.min(F.struct("layer", "product_key")).alias("x")).select("alias", "x.product_key", "x.layer")
 
 
-def confirmed_results(results: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Results with confirmed directions (manual, not flagged), and an audit row for each with before and after."""
+def confirmed_results(results: DataFrame, decisions: DataFrame, articles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Results with confirmed directions (manual, not flagged), an audit row for each with before and after, and the articles, those of confirmed results stored (5)."""
     joined = results.join(decisions.select("id", F.col("direction").alias("confirmed")), "id", "left")
     hit = F.col("confirmed").isNotNull()
     new = joined.select("id", F.coalesce("confirmed", "direction").alias("direction"), F.when(hit, "manual").otherwise(F.col("method")).alias("method"), (~hit & F.col("need_manual_review")).alias("need_manual_review"))
     audit = joined.filter(hit).select("id", F.col("direction").alias("before"), F.col("confirmed").alias("after"))
-    return new, audit
+    touched = joined.filter(hit).select("article_id", F.lit(True).alias("_hit")).distinct()
+    stored = articles.join(touched, "article_id", "left").withColumn("status", F.when(F.col("_hit"), 5).otherwise(F.col("status"))).drop("_hit")
+    return new, audit, stored
 
 
-def stage_outcomes(articles: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Statuses after stage outcomes (article_id, stage, ok): parsed 1, cleaned 2, a failure -1."""
+def stage_outcomes(articles: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Articles after stage outcomes (article_id, stage, ok, text, message): parsed (1) or cleaned (2) with that text and its length and no error, or failed (-1) with the message; and the failures' log rows."""
     joined = articles.join(outcomes, "article_id", "left")
     reached = F.when(F.col("stage") == "parse", 1).when(F.col("stage") == "clean", 2)
-    return joined.select("article_id", F.when(F.col("ok"), F.coalesce(reached, "status")).when(~F.col("ok"), -1).otherwise(F.col("status")).alias("status"))
+    got = lambda stage: F.when(F.col("ok") & (F.col("stage") == stage), F.col("text"))
+    status = F.when(F.col("ok"), F.coalesce(reached, "status")).when(~F.col("ok"), -1).otherwise(F.col("status"))
+    length = F.length(F.coalesce(got("parse"), got("clean"))).cast("long")
+    out = joined.select("article_id", status.alias("status"), got("parse").alias("raw_text"), got("clean").alias("cleaned_text"), length.alias("length"), F.when(~F.col("ok"), F.col("message")).alias("error_msg"))
+    logs = joined.filter(~F.col("ok")).select("article_id", "stage", F.lit("failed").alias("status"), "message")
+    return out, logs
 
 
 def hit_window(rows: DataFrame, hit: Column, radius: int, *by: str) -> DataFrame:
-    """Rows (with pos) within `radius` of a hit."""
-    near = F.max(hit.cast("int")).over(Window.partitionBy(*by).orderBy("pos").rowsBetween(-radius, radius))
+    """Rows (with pos) whose position is within `radius` of a hit's."""
+    near = F.max(hit.cast("int")).over(Window.partitionBy(*by).orderBy("pos").rangeBetween(-radius, radius))
     return rows.withColumn("near", near).filter("near = 1").drop("near")
 
 
@@ -130,7 +163,17 @@ def canonical_payload(results: DataFrame) -> DataFrame:
     return legal.groupBy("article_id").agg(F.count("*").alias("n"), F.count_distinct("product_key").alias("products"), *counts)
 
 
-def lexicon_report(candidates: DataFrame) -> DataFrame:
-    """Candidates, occurrences and documents by status, in the order of review (status, then counts)."""
-    rank = F.when(F.col("status") == "auto_approved", 0).when(F.col("status") == "review_required", 1).otherwise(2)
-    return candidates.groupBy("status").agg(F.count("*").alias("candidates"), F.sum("occurrences").alias("occurrences"), F.max("score").alias("best")).withColumn("rank", rank)
+def status_rank(status: str = "status") -> Column:
+    """The order in which candidates are listed."""
+    order = {"approved_seed": 0, "auto_approved": 1, "review_required": 2}
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col(status)], F.lit(3))
+
+
+def lexicon_report(candidates: DataFrame, docs: DataFrame, most: int = 20) -> DataFrame:
+    """One row: documents, lexicon entries, candidates, their number by status, and the first that need a review."""
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("approved_seed", "auto_approved", "review_required", "rejected")]
+    entries = F.count_distinct(F.when(F.col("status").isin("approved_seed", "auto_approved"), F.col("suggested"))).alias("entries")
+    top = candidates.filter("status = 'review_required'").orderBy(F.desc("score"), "alias").limit(most)
+    listed = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "alias"))), lambda x: x["alias"]), ",").alias("first_reviews"))
+    # one row each
+    return docs.agg(F.count("*").alias("documents")).crossJoin(candidates.agg(entries, F.count("*").alias("candidates"), *counts)).crossJoin(listed)

@@ -59,12 +59,16 @@ def first_primary(rows: DataFrame) -> DataFrame:
     return rows.withColumn("is_primary", F.min("id").over(Window.partitionBy("article_id")) == F.col("id"))
 
 
-def queue_aliases(current: DataFrame, seen: DataFrame) -> DataFrame:
-    """alias, product_key, occurrences and confidence: counts add up, the larger confidence stays."""
+def queue_aliases(current: DataFrame, seen: DataFrame, catalog: DataFrame, builtin: DataFrame) -> DataFrame:
+    """alias, product_key, occurrences, confidence, source_id: counts add up, the larger confidence (clipped) stays, and so does the first source.
+
+    Blank aliases, unknown products, and aliases that the built-in catalog has for the same product are passed over."""
     key = ["alias", "product_key"]
-    fresh = seen.filter("trim(alias) <> ''").groupBy(*key).agg(F.count("*").alias("n"), F.max("confidence").alias("c"))
+    tidy = F.trim(F.regexp_replace(F.trim("alias"), "^【+|】+$", ""))
+    rows = seen.withColumn("alias", tidy).filter("alias <> ''").join(catalog.select("product_key").distinct(), "product_key", "left_semi").join(builtin.select(*key).distinct(), key, "left_anti")
+    fresh = rows.groupBy(*key).agg(F.count("*").alias("n"), F.least(F.greatest(F.max("confidence"), F.lit(0.0)), F.lit(1.0)).alias("c"), F.min("source_id").alias("s"))
     joined = current.join(fresh, key, "full_outer")
-    return joined.select(*key, (F.coalesce("occurrences", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("occurrences"), F.greatest("confidence", "c").alias("confidence"))
+    return joined.select(*key, (F.coalesce("occurrences", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("occurrences"), F.greatest("confidence", "c").alias("confidence"), F.coalesce("source_id", "s").alias("source_id"))
 
 
 def publish_time_repairs(articles: DataFrame) -> DataFrame:

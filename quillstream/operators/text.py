@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.packs import ZH_DIRECTIONS, DirectionPack
+from quillstream.sources.bindings import DIRECTIONS
+
 #: The pack for the driver's documents, as data: noise markers, aliases, direction words.
 NOISE = ("licensed under", "general public license", "cookie", "all rights reserved")
 ALIASES = {"the": "K.THE", "der": "K.THE", "le": "K.THE", "of": "K.OF", "de": "K.OF", "and": "K.AND", "und": "K.AND", "et": "K.AND"}
-BULL, BEAR, FLAT = ("with", "from", "mit"), ("this", "that", "nicht"), ("is", "ist", "es")
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -64,42 +67,74 @@ def mention_counts(docs: DataFrame) -> DataFrame:
 
 
 def merged_windows(spans: DataFrame, radius: int, gap: int = 0) -> DataFrame:
-    """Windows of `radius` around positions of each document and product, merged where at most `gap` lies between."""
+    """Windows of `radius` around positions of each document and product, merged where at most `gap` lies between; scores (if there are) add up, and the kind is reason if any is."""
+    scored = "score" in spans.columns
+    spans = spans if scored else spans.withColumns({"score": F.lit(0), "kind": F.lit("keyword")})
     by = Window.partitionBy("doc_id", "product_key").orderBy("pos")
     span = spans.withColumns({"start": F.greatest(F.col("pos") - radius, F.lit(0)), "stop": F.col("pos") + radius + 1})
     fresh = F.coalesce(F.col("start") > F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1)) + gap, F.lit(True))
     grouped = span.withColumn("fresh", fresh).withColumn("g", F.sum(F.col("fresh").cast("int")).over(by))
-    return grouped.groupBy("doc_id", "product_key", "g").agg(F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"), F.count("*").alias("hits")).drop("g")
+    kind = F.when(F.bool_or(F.col("kind") == "reason"), "reason").otherwise(F.min_by("kind", "pos"))
+    out = grouped.groupBy("doc_id", "product_key", "g").agg(F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"), F.count("*").alias("hits"), F.sum("score").cast("long").alias("score"), kind.alias("kind")).drop("g")
+    return out if scored else out.drop("score", "kind")
+
+
+def _strong(text: Column, words: tuple[str, ...]) -> tuple[Column, Column]:
+    """How often some words occur in a text, and how many of them do."""
+    counts = [F.regexp_count(text, F.lit(re.escape(w))) for w in words]
+    return reduce(lambda a, x: a + x, counts).cast("long"), reduce(lambda a, x: a + x, ((c > 0).cast("long") for c in counts))
+
+
+def _weak(text: Column, patterns: tuple[str, ...]) -> tuple[Column, Column]:
+    counts = [F.regexp_count(text, F.lit(p)) for p in patterns]
+    return reduce(lambda a, x: a + x, counts).cast("long"), reduce(lambda a, x: a + x, ((c > 0).cast("long") for c in counts))
+
 
+# What strong words, weak patterns, conflict and repetition count for a rule's confidence.
+BASE, STRONG, WEAK, CONFLICT, REPEATED = 0.5, 0.15, 0.1, 0.25, 0.1
+NEUTRAL_CAP, WEAK_CAP, SURE = 0.6, 0.55, 0.7
 
-def _count(text: Column, pack: tuple[str, ...]) -> Column:
-    return F.size(F.filter(F.split(text, "[ \n.,!?;:]+"), lambda w: w.isin(*pack))).cast("long")
 
+def rule_confidence(found: Column, flat: Column, strong: Column, weak: Column, conflict: Column) -> Column:
+    """Confidence of a direction that was found: strong words add, weak patterns and conflict take away, neutral and weak-only ones are capped."""
+    raw = BASE + STRONG * strong - WEAK * weak - F.when(conflict, CONFLICT).otherwise(0.0) + F.when((strong >= 2) & ~conflict, REPEATED * (strong - 1)).otherwise(0.0)
+    raw = F.when(flat, F.least(raw, F.lit(NEUTRAL_CAP))).otherwise(raw)
+    raw = F.when((strong == 0) & (weak > 0), F.least(raw, F.lit(WEAK_CAP))).otherwise(raw)
+    return F.when(found, F.least(F.greatest(F.round(raw, 2), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
 
-def directions(docs: DataFrame) -> DataFrame:
-    """Counts of direction words, the direction (ties in the order up, down, flat), conflict, and rule confidence."""
-    low = F.lower("text")
-    out = docs.select("doc_id", _count(low, BULL).alias("up"), _count(low, BEAR).alias("down"), _count(low, FLAT).alias("flat"))
+
+def directions(docs: DataFrame, pack: DirectionPack = ZH_DIRECTIONS, names: tuple[str, str, str] = DIRECTIONS, text: str = "text") -> DataFrame:
+    """docs with up, down, flat (occurrences), strong and weak (words and patterns that occur), direction (ties in the order up, down, flat), conflict, confidence, and whether a model is to be asked."""
+    x = F.col(text)
+    strong = [_strong(x, w) for w in (pack.up, pack.down, pack.flat)]
+    weak = [_weak(x, w) for w in (pack.up_weak, pack.down_weak, pack.flat_weak)]
+    out = docs.withColumns({n: s[0] + w[0] for n, s, w in zip(("up", "down", "flat"), strong, weak, strict=True)})
+    out = out.withColumns({"strong": reduce(lambda a, y: a + y, (s[1] for s in strong)), "weak": reduce(lambda a, y: a + y, (w[1] for w in weak))})
     top = F.greatest("up", "down", "flat")
-    direction = F.when(top == 0, None).when(F.col("up") == top, "up").when(F.col("down") == top, "down").otherwise("flat")
-    out = out.withColumns({"direction": direction, "conflict": (F.col("up") > 0) & (F.col("down") > 0), "strong": top})
-    raw = 0.5 + 0.15 * F.col("strong") - F.when(F.col("conflict"), 0.25).otherwise(0.0) + F.when((F.col("strong") >= 2) & ~F.col("conflict"), 0.1 * (F.col("strong") - 1)).otherwise(0.0)
-    capped = F.when(F.col("direction") == "flat", F.least(raw, F.lit(0.6))).otherwise(raw)
-    score = F.when(F.col("direction").isNull(), 0.0).otherwise(F.round(F.least(F.greatest(capped, F.lit(0.0)), F.lit(1.0)), 2))
-    return out.withColumn("confidence", score).withColumn("need_llm", (score < 0.7) | F.col("direction").isNull() | F.col("conflict"))
+    direction = F.when(top == 0, None).when(F.col("up") == top, names[0]).when(F.col("down") == top, names[1]).otherwise(names[2])
+    out = out.withColumns({"direction": direction, "conflict": (F.col("up") > 0) & (F.col("down") > 0)})
+    score = rule_confidence(F.col("direction").isNotNull(), F.col("direction") == names[2], F.col("strong"), F.col("weak"), F.col("conflict"))
+    return out.withColumn("confidence", score).withColumn("need_llm", (F.col("confidence") < SURE) | F.col("direction").isNull() | F.col("conflict"))
 
 
 def arbitrated(signals: DataFrame) -> DataFrame:
-    """Weighted arbitration of signals (article_id, product_key, direction, weight, confidence): the winner, its confidence, and whether it is accepted."""
-    score = F.col("weight") * F.col("confidence")
-    sums = signals.groupBy("article_id", "product_key").agg(*[F.round(F.sum(F.when(F.col("direction") == d, score).otherwise(0.0)), 9).alias(n) for d, n in (("看涨", "up"), ("看跌", "down"), ("中性", "flat"))])
+    """Weighted arbitration of signals (article_id, product_key, direction, weight, confidence, and factor where context counts): the winner, its confidence, whether it is accepted, and the decision."""
+    score = F.col("weight") * F.col("confidence") * (F.col("factor") if "factor" in signals.columns else F.lit(1.0))
+    sums = signals.groupBy("article_id", "product_key").agg(*[F.round(F.sum(F.when(F.col("direction") == d, score).otherwise(0.0)), 9).alias(n) for d, n in zip(DIRECTIONS, ("up", "down", "flat"), strict=True)])
     ranked = F.sort_array(F.array("up", "down", "flat"), asc=False)
     out = sums.withColumns({"best": ranked[0], "margin": F.round(ranked[0] - ranked[1], 9), "total": F.col("up") + F.col("down") + F.col("flat")})
-    winner = F.when(F.col("up") == F.col("best"), "看涨").when(F.col("down") == F.col("best"), "看跌").otherwise("中性")
+    winner = F.when(F.col("up") == F.col("best"), DIRECTIONS[0]).when(F.col("down") == F.col("best"), DIRECTIONS[1]).otherwise(DIRECTIONS[2])
     clash = (F.col("up") >= 0.75) & (F.col("down") >= 0.75) & (F.col("margin") < 1)
     sure = ((F.col("best") >= 1.5) & (F.col("margin") >= 0.5)) | (F.col("margin") >= 0.2)
     confidence = F.least(F.lit(1.0), F.coalesce(F.try_divide("best", "total"), F.lit(0.0)) + F.least("margin", F.lit(1.0)) * 0.15)
-    return out.select("article_id", "product_key", winner.alias("direction"), F.round(confidence, 4).alias("confidence"), (sure & ~clash).alias("accepted"))
+    accepted = sure & ~clash
+    return out.select("article_id", "product_key", winner.alias("direction"), F.round(confidence, 4).alias("confidence"), accepted.alias("accepted"), F.when(accepted, "rule_accept").otherwise("llm_fallback").alias("decision"))
+
+
+def decided(arbitration: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Every mentioned product (article_id, product_key) with its decision: no_signal where none was found."""
+    joined = mentions.select("article_id", "product_key").distinct().join(arbitration, ["article_id", "product_key"], "left")
+    return joined.withColumn("decision", F.coalesce("decision", F.lit("no_signal")))
 
 
 def refined_ok(source: Column, refined: Column) -> Column:
@@ -110,12 +145,37 @@ def refined_ok(source: Column, refined: Column) -> Column:
     return (F.trim(refined) != "") & complete & long_enough & (F.length(refined) <= 1.15 * F.length(source) + 200)
 
 
+# Classes of evidence for an alias.
+HIGH_VALUE = ("contract_code", "bracket_heading", "label_field", "catalog_alias", "title_symbol")
+SHAPE = ("contract_code", "suffix_pattern", "symbol_context", "title_symbol", "ocr_split_symbol")
+CONTEXT = ("market_context", "symbol_context", "ocr_split_symbol")
+CATALOG = ("catalog_alias", "contract_code", "symbol_context", "title_symbol", "ocr_split_symbol")
+FUTURES = ("contract_code", "suffix_pattern", "symbol_context", "ocr_split_symbol", "market_context")
+ANCHORS = ("bracket_heading", "label_field", "title_symbol", "contract_code", "symbol_context", "ocr_split_symbol", "market_context")
+
+
 def candidate_status(df: DataFrame) -> DataFrame:
-    """Score and status of alias candidates (high_value, shape, in_catalog, context, docs, occurrences, keys, negative)."""
-    part = lambda c, x: F.when(F.col(c), x).otherwise(0.0)
-    score = part("high_value", 0.44) + part("shape", 0.22) + part("in_catalog", 0.24) + part("context", 0.18) + F.least(F.lit(0.12), 0.04 * F.col("docs"))
-    score = score + F.when(F.col("occurrences") >= 3, 0.05).otherwise(0.0) - F.when(F.col("keys") > 1, 0.28).otherwise(0.0) - part("negative", 0.5)
-    score = F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 4)
-    classes = F.col("high_value").cast("int") + F.col("shape").cast("int") + F.col("context").cast("int")
-    status = F.when(F.col("negative"), "rejected").when((classes >= 2) & (score >= 0.72), "auto_approved").when(score >= 0.35, "review_required").otherwise("rejected")
-    return df.withColumns({"score": score, "status": status})
+    """Score and status of alias candidates: alias, kinds (array), docs, occurrences, keys (array), negative (array of reasons), seed (the catalog's key for it, or null)."""
+    has = lambda group: F.arrays_overlap("kinds", F.array(*map(F.lit, group)))
+    part = lambda c, x: F.when(c, x).otherwise(0.0)
+    negative = F.size("negative") > 0
+    classes = has(SHAPE).cast("int") + has(CATALOG).cast("int") + has(CONTEXT).cast("int")
+    raw = part(has(HIGH_VALUE), 0.44) + part(has(SHAPE), 0.22) + part(has(CATALOG), 0.24) + part(has(CONTEXT), 0.18) + F.least(F.lit(0.12), 0.04 * F.col("docs"))
+    raw = raw + part(F.col("occurrences") >= 3, 0.05) - part(F.size("keys") > 1, 0.28) - part(negative, 0.5)
+    raw = F.when((classes < 2) & ~has(("bracket_heading", "label_field")), F.least(raw, F.lit(0.55))).otherwise(raw)
+    score = F.when(negative & (F.col("occurrences") == 0), 0.0).otherwise(F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)), 4))
+    key = F.coalesce("seed", F.when(F.size("keys") == 1, F.get("keys", F.lit(0))))
+    letters = F.regexp_count("alias", F.lit("[A-Za-z]"))
+    shaped = F.col("alias").rlike(r"^[一-鿿A-Za-z0-9]{2,12}\z") & ~F.col("alias").rlike(r"^\d+\z") & (F.col("alias").rlike("[一-鿿]") | (letters >= 2))
+    reviewable = shaped & has(FUTURES) & has(ANCHORS) & (F.col("docs") >= 2)
+    out = df.withColumns({"score": score, "suggested": key, "_classes": classes, "_ok": reviewable, "_negative": negative})
+    status = (
+        F.when(F.col("_negative") & ((F.col("occurrences") == 0) | (F.col("score") < 0.35)), "rejected")
+        .when(F.col("seed").isNotNull(), "approved_seed")
+        .when(F.col("suggested").isNotNull() & (F.col("_classes") >= 2) & (F.col("score") >= 0.72), "auto_approved")
+        .when(F.col("suggested").isNotNull() & (F.col("score") >= 0.35), "review_required")
+        .when(F.col("suggested").isNull() & ~F.col("_ok"), "rejected")
+        .when(F.col("score") >= 0.35, "review_required")
+        .otherwise("rejected")
+    )
+    return out.withColumn("status", status).drop("_classes", "_ok", "_negative")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from quillstream.functions import phrases as ph
+from quillstream.operators import analytics
 from quillstream.operators import curation as cu
 from quillstream.operators import text
 from quillstream.plans import textual
@@ -174,27 +175,41 @@ def _catalog(s, d):
     return b.table(s, d, "part").select(F.col("p_partkey").alias("product_key"), F.concat_ws("-", "p_brand", size).alias("symbol"), F.concat_ws(" ", "p_name", size).alias("alias"))
 
 
-@query("v3_catalog_violations", f"WITH {CATALOG}, v AS (SELECT 'symbol' AS kind, lower(symbol) AS value, product_key FROM catalog UNION ALL SELECT 'alias', replace(lower(alias), ' ', ''), product_key FROM catalog) SELECT kind, value, count(DISTINCT product_key) AS n FROM v GROUP BY kind, value HAVING count(DISTINCT product_key) > 1")
+CATALOG_TWICE = "catalog AS (SELECT CASE WHEN p_partkey % 50 = 0 THEN 1 ELSE p_partkey END AS product_key, p_brand || '-' || p_size AS symbol, p_name || ' ' || p_size AS alias, p_partkey AS row_no FROM part)"
+
+
+@query("v3_catalog_violations", f"WITH {CATALOG_TWICE}, v AS (SELECT 'product_key' AS kind, product_key::VARCHAR AS value, row_no FROM catalog UNION ALL SELECT 'symbol', lower(symbol), row_no FROM catalog UNION ALL SELECT 'alias', replace(lower(alias), ' ', ''), row_no FROM catalog) SELECT kind, value, count(DISTINCT row_no) AS n FROM v GROUP BY kind, value HAVING count(DISTINCT row_no) > 1")
 def v3(s, d):
-    return cu.catalog_violations(_catalog(s, d))
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey")
+    rows = b.table(s, d, "part").select(F.when(key % 50 == 0, 1).otherwise(key).alias("product_key"), F.concat_ws("-", "p_brand", size).alias("symbol"), F.concat_ws(" ", "p_name", size).alias("alias"), key.alias("row_no"))
+    return cu.catalog_violations(rows)
 
 
-@query("j5_catalog_lookup", f"WITH {CATALOG} SELECT l_orderkey, l_linenumber, symbol FROM lineitem LEFT JOIN catalog ON l_partkey = product_key")
-def j5(s, d):
-    lines = b.table(s, d, "lineitem")
-    return lines.join(_catalog(s, d), F.col("l_partkey") == F.col("product_key"), "left").select("l_orderkey", "l_linenumber", "symbol")
+_LOOKUP = "asked AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN l_partkey::VARCHAR WHEN 1 THEN p_name || ' ' || p_size ELSE p_brand || '-' || p_size END AS asked FROM lineitem JOIN part ON p_partkey = l_partkey)"
 
 
-SEEN = "seen AS (SELECT replace(reason, ' ', '') AS alias, article_id AS doc, method AS kind, product_key, confidence FROM results)"
+@query("j5_catalog_lookup", f"WITH {CATALOG}, {_LOOKUP}, names AS (SELECT product_key::VARCHAR AS name, 0 AS way, product_key FROM catalog UNION ALL SELECT alias, 1, product_key FROM catalog UNION ALL SELECT symbol, 2, product_key FROM catalog), best AS (SELECT name, arg_min(product_key, (way, product_key)) AS product_key, min(way) AS way FROM names GROUP BY name) SELECT l_orderkey, l_linenumber, product_key, way FROM asked LEFT JOIN best ON asked = name")
+def j5(s, d):
+    size = F.col("p_size").cast("string")
+    rows = b.table(s, d, "lineitem").join(b.table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    n = F.col("l_linenumber") % 3
+    asked = rows.select("l_orderkey", "l_linenumber", F.when(n == 0, F.col("l_partkey").cast("string")).when(n == 1, F.concat_ws(" ", "p_name", size)).otherwise(F.concat_ws("-", "p_brand", size)).alias("asked"))
+    return cu.looked_up(asked, _catalog(s, d)).select("l_orderkey", "l_linenumber", "product_key", "way")
 
 
-def _seen(s, d):
-    return b.results(s, d).select(F.col("reason").alias("alias"), F.col("article_id").alias("doc"), F.col("method").alias("kind"), "product_key", "confidence")
+SEEN_MORE = "seen AS (SELECT reason AS alias, replace(reason, ' ', '') AS key, article_id AS doc, method AS kind, product_key, id AS pos, CASE WHEN id % 7 = 0 THEN direction END AS negative, direction || ' ' || contract_key AS snippet FROM results)"
 
 
-@query("a14_candidate_evidence", f"{WITH}, {SEEN} SELECT alias, count(*) AS occurrences, count(DISTINCT doc) AS docs, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds, array_to_string(list_sort(list(DISTINCT product_key)), ',') AS keys FROM seen GROUP BY alias")
+@query(
+    "a14_candidate_evidence",
+    f"""{WITH}, {SEEN_MORE}, g AS (SELECT * FROM seen WHERE negative IS NULL), d AS (SELECT key, doc FROM (SELECT DISTINCT key, doc FROM g) QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc) <= 8), s AS (SELECT key, snippet, spot FROM (SELECT key, snippet, min((doc, pos)) AS spot FROM g GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY key ORDER BY spot) <= 3)
+    SELECT key AS alias, arg_min(alias, (doc, pos)) AS raw_alias, count(*) FILTER (negative IS NULL) AS occurrences, count(DISTINCT doc) FILTER (negative IS NULL) AS docs, coalesce(array_to_string(list_sort(list(DISTINCT kind) FILTER (negative IS NULL)), ','), '') AS kinds, coalesce(array_to_string(list_sort(list(DISTINCT product_key) FILTER (negative IS NULL)), ','), '') AS keys, coalesce(array_to_string(list_sort(list(DISTINCT negative) FILTER (negative IS NOT NULL)), ','), '') AS negative,
+    coalesce((SELECT string_agg(doc::VARCHAR, ',' ORDER BY doc) FROM d WHERE d.key = seen.key), '') AS first_docs, coalesce((SELECT string_agg(snippet, '|' ORDER BY spot) FROM s WHERE s.key = seen.key), '') AS snippets FROM seen GROUP BY key""",
+)
 def a14(s, d):
-    return cu.candidate_evidence(_seen(s, d))
+    i = F.col("id")
+    seen = b.results(s, d).select(F.col("reason").alias("alias"), F.col("article_id").alias("doc"), F.col("method").alias("kind"), "product_key", i.alias("pos"), F.when(i % 7 == 0, F.col("direction")).alias("negative"), F.concat_ws(" ", "direction", "contract_key").alias("snippet"))
+    return cu.candidate_evidence(seen)
 
 
 @query(
@@ -230,10 +245,19 @@ def s15(s, d):
     return cu.last_decisions(_decisions(s, d)).select("alias", "product_key", "line_no")
 
 
-@query("m9_alias_review", f"{WITH}, d AS (SELECT reason || ' ' || contract_key AS alias, product_key || left(method, 1) AS product_key, CASE WHEN bool_or(id % 3 = 0) THEN 'reject' ELSE 'approve' END AS decision FROM results GROUP BY 1, 2), r AS (SELECT alias, count(*) AS rivals FROM d WHERE decision = 'approve' GROUP BY alias) SELECT alias, product_key, CASE WHEN decision = 'reject' THEN 'rejected' WHEN rivals > 1 THEN 'conflict' ELSE 'approved' END AS status FROM d LEFT JOIN r USING (alias)")
+_BUILTIN = "builtin AS (SELECT DISTINCT 'click ' || user_id AS alias, 'K' || (user_id % 20 + user_id % 2) || 'r' AS product_key FROM events WHERE user_id < 60)"
+
+
+@query(
+    "m9_alias_review",
+    f"""{WITH}, {_BUILTIN}, d AS (SELECT reason || ' ' || contract_key AS alias, product_key || left(method, 1) AS product_key, CASE WHEN bool_or(id % 3 = 0) THEN 'reject' ELSE 'approve' END AS decision FROM results GROUP BY 1, 2), r AS (SELECT alias, count(*) AS rivals FROM d WHERE decision = 'approve' GROUP BY alias)
+    SELECT d.alias, d.product_key, CASE WHEN decision = 'reject' THEN 'rejected' WHEN u.product_key IS NOT NULL AND u.product_key <> d.product_key THEN 'builtin_conflict' WHEN rivals > 1 THEN 'conflict' ELSE 'approved' END AS status FROM d LEFT JOIN r USING (alias) LEFT JOIN builtin u ON u.alias || ' ' = d.alias""",
+)
 def m9(s, d):
     pairs = b.results(s, d).groupBy(F.concat_ws(" ", "reason", "contract_key").alias("alias"), F.concat("product_key", F.left("method", F.lit(1))).alias("product_key")).agg(F.bool_or(F.col("id") % 3 == 0).alias("no"))
-    return cu.reviewed_aliases(pairs.withColumn("decision", F.when(F.col("no"), "reject").otherwise("approve"))).select("alias", "product_key", "status")
+    user = F.col("user_id")
+    builtin = b.table(s, d, "events").filter("user_id < 60").select(F.concat(F.lit("click "), user, F.lit(" ")).alias("alias"), F.concat(F.lit("K"), user % 20 + user % 2, F.lit("r")).alias("product_key")).distinct()
+    return cu.reviewed_aliases(pairs.withColumn("decision", F.when(F.col("no"), "reject").otherwise("approve")), builtin).select("alias", "product_key", "status")
 
 
 # --- segments and blocks
@@ -259,10 +283,11 @@ def j9(s, d):
     return cu.best_segments(b.results(s, d), _segments(s, d))
 
 
-@query("j6_key_backfill", f"{WITH}, {SEGMENTS}, k AS (SELECT article_id, product, min(product_key) AS k FROM segments WHERE product_key <> '' GROUP BY ALL HAVING count(DISTINCT product_key) = 1), r AS (SELECT id, article_id, product, CASE WHEN id % 2 = 0 THEN '' ELSE product_key END AS product_key FROM results) SELECT id, coalesce(nullif(product_key, ''), k, '') AS product_key FROM r LEFT JOIN k USING (article_id, product)")
+@query("j6_key_backfill", f"{WITH}, {SEGMENTS}, k AS (SELECT article_id, product, min(product_key) AS k FROM segments WHERE product_key <> '' GROUP BY ALL HAVING count(DISTINCT product_key) = 1), r AS (SELECT id, article_id, CASE id % 14 WHEN 0 THEN '股指' WHEN 2 THEN '国债' ELSE product END AS product, CASE WHEN id % 2 = 0 THEN '' ELSE product_key END AS product_key FROM results) SELECT id, coalesce(nullif(product_key, ''), k, CASE product WHEN '股指' THEN 'GROUP.CFFEX.INDEX' WHEN '国债' THEN 'GROUP.CFFEX.BOND' END, '') AS product_key FROM r LEFT JOIN k USING (article_id, product)")
 def j6(s, d):
-    blanked = F.when(F.col("id") % 2 == 0, "").otherwise(F.col("product_key"))
-    return cu.backfilled_keys(b.results(s, d).withColumn("product_key", blanked), _segments(s, d))
+    i = F.col("id")
+    rows = b.results(s, d).withColumns({"product_key": F.when(i % 2 == 0, "").otherwise(F.col("product_key")), "product": F.when(i % 14 == 0, "股指").when(i % 14 == 2, "国债").otherwise(F.col("product"))})
+    return cu.backfilled_keys(rows, _segments(s, d))
 
 
 @query("f9_refinable", f"{WITH}, {SEGMENTS} SELECT id FROM segments WHERE section <> 'unknown' AND product <> '未知' AND trim(reason) <> ''")
@@ -270,9 +295,10 @@ def f9(s, d):
     return _segments(s, d).filter("section <> 'unknown' AND product <> '未知' AND trim(reason) <> ''").select("id")
 
 
-@query("w8_hit_window", f"{WITH}, {SEGMENTS} SELECT id FROM segments s WHERE EXISTS (SELECT 1 FROM segments t WHERE t.article_id = s.article_id AND abs(t.segment_index - s.segment_index) <= 2 AND t.confidence > 0.9)")
+@query("w8_hit_window", f"{WITH}, {SEGMENTS}, g AS (SELECT *, segment_index + segment_index // 3 * 2 AS pos FROM segments) SELECT id FROM g s WHERE EXISTS (SELECT 1 FROM g t WHERE t.article_id = s.article_id AND abs(t.pos - s.pos) <= 2 AND t.confidence > 0.9)")
 def w8(s, d):
-    return cu.hit_window(_segments(s, d).withColumn("pos", F.col("segment_index")), F.col("confidence") > 0.9, 2, "article_id").select("id")
+    place = F.col("segment_index") + F.floor(F.col("segment_index") / 3) * 2
+    return cu.hit_window(_segments(s, d).withColumn("pos", place), F.col("confidence") > 0.9, 2, "article_id").select("id")
 
 
 @query("w15_first_distinct", f"{WITH}, {SEGMENTS}, f AS (SELECT article_id, reason, min(segment_index) AS i FROM segments GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY i) AS rn FROM f) SELECT article_id, string_agg(reason, '|' ORDER BY i) AS reasons FROM n WHERE rn <= 3 GROUP BY article_id")
@@ -314,21 +340,41 @@ def m7(s, d):
 
 @query("m11_confirmed", f"{WITH} SELECT id, CASE WHEN id % 9 = 0 THEN '中性' ELSE direction END AS direction, CASE WHEN id % 9 = 0 THEN 'manual' ELSE method END AS method, id % 9 <> 0 AND need_manual_review AS need_manual_review FROM results")
 def m11(s, d):
+    return _confirmed(s, d)[0]
+
+
+def _confirmed(s, d):
     rows = b.results(s, d)
-    return cu.confirmed_results(rows, rows.filter("id % 9 = 0").select("id", F.lit(b.NEUTRAL).alias("direction")))[0]
+    return cu.confirmed_results(rows, rows.filter("id % 9 = 0").select("id", F.lit(b.NEUTRAL).alias("direction")), b.articles(s, d))
 
 
 @query("m11_audit", f"{WITH} SELECT id, direction AS before, '中性' AS after FROM results WHERE id % 9 = 0")
 def m11_audit(s, d):
-    rows = b.results(s, d)
-    return cu.confirmed_results(rows, rows.filter("id % 9 = 0").select("id", F.lit(b.NEUTRAL).alias("direction")))[1]
+    return _confirmed(s, d)[1]
 
 
-@query("m17_stage_outcomes", f"{WITH}, o AS (SELECT article_id, arg_max(stage, id) AS stage, arg_max(status, id) AS outcome FROM logs GROUP BY 1) SELECT article_id, CASE WHEN outcome IS NULL THEN status WHEN outcome = 'failed' THEN -1 WHEN stage = 'click' THEN 1 WHEN stage = 'view' THEN 2 ELSE status END AS status FROM articles LEFT JOIN o USING (article_id)")
-def m17(s, d):
-    last = b.task_logs(s, d).groupBy("article_id").agg(F.max_by("stage", "id").alias("stage"), (F.max_by("status", "id") != "failed").alias("ok"))
+@query("m11_articles", f"{WITH} SELECT article_id, CASE WHEN article_id IN (SELECT article_id FROM results WHERE id % 9 = 0) THEN 5 ELSE status END AS status FROM articles")
+def m11_articles(s, d):
+    return _confirmed(s, d)[2].select("article_id", "status")
+
+
+OUTCOMES = "o AS (SELECT article_id, arg_max(CASE stage WHEN 'click' THEN 'parse' WHEN 'view' THEN 'clean' ELSE stage END, id) AS stage, arg_max(status, id) <> 'failed' AS ok, max(id) AS log_id FROM logs GROUP BY 1)"
+
+
+def _outcomes(s, d):
     stage = F.when(F.col("stage") == "click", "parse").when(F.col("stage") == "view", "clean").otherwise(F.col("stage"))
-    return cu.stage_outcomes(b.articles(s, d), last.withColumn("stage", stage))
+    last = b.task_logs(s, d).groupBy("article_id").agg(F.max_by(stage, "id").alias("stage"), (F.max_by("status", "id") != "failed").alias("ok"), F.max("id").alias("log_id"))
+    return last.withColumns({"text": F.concat(F.lit("text of "), "log_id"), "message": F.when(~F.col("ok"), F.concat(F.lit("failed in "), "stage"))})
+
+
+@query("m17_stage_outcomes", f"{WITH}, {OUTCOMES} SELECT article_id, CASE WHEN ok IS NULL THEN status WHEN NOT ok THEN -1 WHEN stage = 'parse' THEN 1 WHEN stage = 'clean' THEN 2 ELSE status END AS status, CASE WHEN ok AND stage = 'parse' THEN 'text of ' || log_id END AS raw_text, CASE WHEN ok AND stage = 'clean' THEN 'text of ' || log_id END AS cleaned_text, length(CASE WHEN ok AND stage IN ('parse', 'clean') THEN 'text of ' || log_id END) AS length, CASE WHEN NOT ok THEN 'failed in ' || stage END AS error_msg FROM articles LEFT JOIN o USING (article_id)")
+def m17(s, d):
+    return cu.stage_outcomes(b.articles(s, d), _outcomes(s, d))[0]
+
+
+@query("m17_stage_logs", f"{WITH}, {OUTCOMES} SELECT article_id, stage, 'failed' AS status, 'failed in ' || stage AS message FROM o JOIN articles USING (article_id) WHERE NOT ok")
+def m17_logs(s, d):
+    return cu.stage_outcomes(b.articles(s, d), _outcomes(s, d))[1]
 
 
 @query("s13_canonical_counts", f"{WITH} SELECT article_id, count(*) AS n, count(DISTINCT product_key) AS products, count(*) FILTER (method = 'manual') AS n_manual, count(*) FILTER (method = 'rule') AS n_rule, count(*) FILTER (method = 'llm') AS n_llm FROM results GROUP BY article_id")
@@ -342,9 +388,16 @@ def j11(s, d):
     return cu.label_predictions(labels, b.results(s, d))
 
 
-@query("a18_processing_stats", f"{WITH} SELECT stage, count(*) FILTER (status = 'failed') AS errors, count(*) FILTER (status = 'partial') AS partial, count(DISTINCT article_id) AS articles FROM logs GROUP BY stage")
+RUNS = "runs AS (SELECT article_id AS source_id, (['match', 'signal', 'rule', 'llm', 'review'])[id % 5 + 1] AS kind, CASE WHEN id % 5 = 3 THEN id % 3 ELSE 0 END AS retries, CASE WHEN id % 5 = 3 AND id % 2 = 0 THEN (['http_error', 'invalid_json'])[id % 4 // 2 + 1] END AS error_type FROM results)"
+
+
+@query("a18_processing_stats", f"{WITH}, {RUNS}, e AS (SELECT source_id, string_agg(error_type || ':' || n, ',' ORDER BY error_type) AS errors FROM (SELECT source_id, error_type, count(*) AS n FROM runs WHERE error_type IS NOT NULL GROUP BY ALL) GROUP BY source_id) SELECT source_id, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}_count" for k in ("match", "signal", "rule", "llm", "review")) + ", sum(retries)::BIGINT AS llm_retry_count, count(*) FILTER (kind = 'llm' AND retries > 0 AND error_type IS NULL) AS llm_recovered_count, coalesce(any_value(errors), '') AS errors FROM runs LEFT JOIN e USING (source_id) GROUP BY source_id")
 def a18(s, d):
-    return b.task_logs(s, d).groupBy("stage").agg(F.count_if(F.col("status") == "failed").alias("errors"), F.count_if(F.col("status") == "partial").alias("partial"), F.count_distinct("article_id").alias("articles"))
+    i = F.col("id")
+    kinds, errors = F.array(*map(F.lit, ("match", "signal", "rule", "llm", "review"))), F.array(F.lit("http_error"), F.lit("invalid_json"))
+    asked = i % 5 == 3
+    runs = b.results(s, d).select(F.col("article_id").alias("source_id"), F.get(kinds, (i % 5).cast("int")).alias("kind"), F.when(asked, i % 3).otherwise(0).alias("retries"), F.when(asked & (i % 2 == 0), F.get(errors, F.floor(i % 4 / 2).cast("int"))).alias("error_type"))
+    return analytics.processing_stats(runs)
 
 
 _KINDS = "['pdf', 'image/png', '.HTML', 'application/pdf', 'text/plain', '', NULL]"
@@ -372,15 +425,17 @@ def w12(s, d):
 _STATUS = textual.oracle_sql()["l4_candidate_status"]
 
 
-@query("a16_lexicon_report", f"SELECT status, count(*) AS candidates, sum(occurrences) AS occurrences, max(score) AS best, CASE status WHEN 'auto_approved' THEN 0 WHEN 'review_required' THEN 1 ELSE 2 END AS rank FROM ({_STATUS}) GROUP BY status")
+_RANK_SQL = "CASE status WHEN 'approved_seed' THEN 0 WHEN 'auto_approved' THEN 1 WHEN 'review_required' THEN 2 ELSE 3 END"
+
+
+@query("a16_lexicon_report", f"WITH c AS ({_STATUS}) SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(DISTINCT suggested) FROM c WHERE status IN ('approved_seed', 'auto_approved')) AS entries, count(*) AS candidates, count(*) FILTER (status = 'approved_seed') AS approved_seed, count(*) FILTER (status = 'auto_approved') AS auto_approved, count(*) FILTER (status = 'review_required') AS review_required, count(*) FILTER (status = 'rejected') AS rejected, (SELECT string_agg(alias, ',' ORDER BY score DESC, alias) FROM (SELECT * FROM c WHERE status = 'review_required' ORDER BY score DESC, alias LIMIT 20)) AS first_reviews FROM c")
 def a16(s, d):
-    return cu.lexicon_report(textual.queries()["l4_candidate_status"](s, d))
+    return cu.lexicon_report(textual.queries()["l4_candidate_status"](s, d), _docs(s, d))
 
 
-@query("o3_candidate_order", f"SELECT alias, status, score FROM ({_STATUS}) ORDER BY CASE status WHEN 'auto_approved' THEN 0 WHEN 'review_required' THEN 1 ELSE 2 END, score DESC, alias")
+@query("o3_candidate_order", f"SELECT alias, status, score FROM ({_STATUS}) ORDER BY {_RANK_SQL}, score DESC, alias")
 def o3(s, d):
-    rank = F.when(F.col("status") == "auto_approved", 0).when(F.col("status") == "review_required", 1).otherwise(2)
-    return textual.queries()["l4_candidate_status"](s, d).select("alias", "status", "score").orderBy(rank, F.desc("score"), "alias")
+    return textual.queries()["l4_candidate_status"](s, d).select("alias", "status", "score").orderBy(cu.status_rank(), F.desc("score"), "alias")
 
 
 def queries() -> dict:

@@ -55,6 +55,14 @@ def a3_range(s, d):
     return dated(analytics.trend_heatmap(b.results(s, d), b.articles(s, d), datetime(1996, 1, 1), datetime(1998, 1, 1)), "day")
 
 
+@query(
+    "a2_trend_counts_range",
+    f"""{WITH}, {JOINED} SELECT {DAY} AS day, product, direction, count(*) AS n FROM joined WHERE coalesce(publish_time, analysis_time) >= TIMESTAMP '1996-01-01' AND coalesce(publish_time, analysis_time) <= TIMESTAMP '1998-01-01' GROUP BY ALL""",
+)
+def a2_range(s, d):
+    return dated(analytics.trend_counts(b.results(s, d), b.articles(s, d), datetime(1996, 1, 1), datetime(1998, 1, 1)), "day")
+
+
 @query("a2_trend_counts", f"{WITH}, {JOINED} SELECT {DAY} AS day, product, direction, count(*) AS n FROM joined GROUP BY ALL")
 def a2(s, d):
     return dated(analytics.trend_counts(b.results(s, d), b.articles(s, d)), "day")
@@ -106,7 +114,7 @@ def a5(s, d):
 
 @query("o6_first_predictions", f"{WITH}, {BEST}, p AS (SELECT product, id, row_number() OVER (PARTITION BY product_key, product ORDER BY publish_time DESC NULLS LAST, id DESC) AS position FROM best JOIN articles USING (article_id) WHERE status = 5) SELECT * FROM p WHERE position <= 8")
 def o6(s, d):
-    return analytics.product_roll_up(b.results(s, d), b.articles(s, d)).filter("position <= 8").select("product", "id", "position")
+    return analytics.first_predictions(b.results(s, d), b.articles(s, d)).select("product", "id", "position")
 
 
 @query("a8_confidence_bands", f"{WITH} SELECT CASE WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.5 THEN 'mid' ELSE 'low' END AS band, count(*) AS n FROM results GROUP BY ALL")
@@ -158,6 +166,24 @@ def f3(s, d):
     return analytics.search_articles(b.articles(s, d), b.results(s, d), product="P5", direction="看涨").select("article_id")
 
 
+_WIDE = "status = 5 AND publish_time >= TIMESTAMP '1993-01-01' AND publish_time <= TIMESTAMP '1997-06-30 12:00:00'"
+_KEYED = f"f AS (SELECT article_id, bool_or({SHOWN}) AS shown, bool_or({SHOWN} AND product_key = 'K5') AS k FROM results GROUP BY article_id)"
+
+
+def _searched(s, d):
+    return analytics.search_articles(b.articles(s, d), b.results(s, d), product_key="K5", status=5, since=datetime(1993, 1, 1), until=datetime(1997, 6, 30, 12))
+
+
+@query("f3_article_range", f"{WITH}, {_KEYED} SELECT article_id FROM articles JOIN f USING (article_id) WHERE shown AND k AND {_WIDE}")
+def f3_range(s, d):
+    return _searched(s, d).select("article_id")
+
+
+@query("f3_total", f"{WITH}, {_KEYED} SELECT count(*) AS total FROM articles JOIN f USING (article_id) WHERE shown AND k AND {_WIDE}")
+def f3_total(s, d):
+    return _searched(s, d).agg(F.count("*").alias("total"))
+
+
 @query(
     "f3_article_keyword",
     f"""{WITH}, f AS (SELECT article_id, bool_or({SHOWN}) AS shown, bool_or({SHOWN} AND contains(lower(reason), 'click 1')) AS k FROM results GROUP BY article_id)
@@ -180,7 +206,7 @@ def f5(s, d):
 @query(
     "f7_list_rows",
     f"""{WITH}, top AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY CASE WHEN is_primary THEN 0 ELSE 1 END, product, contract_key, id) AS rn FROM results WHERE {SHOWN}),
-    s AS (SELECT article_id, string_agg(product || ' ' || CASE WHEN contract_key <> '' THEN contract_key || ' ' ELSE '' END || direction, '；' ORDER BY rn) AS t FROM top WHERE rn <= 4 GROUP BY article_id)
+    s AS (SELECT article_id, string_agg(product || CASE WHEN contract_key <> '' THEN contract_key || ' ' ELSE '' END || direction || ' ' || printf('%.2f', confidence), '；' ORDER BY rn) AS t FROM top WHERE rn <= 4 GROUP BY article_id)
     SELECT article_id, {COMPANY} AS company, coalesce(t, left(title, 120)) AS summary FROM articles LEFT JOIN s USING (article_id)""",
 )
 def f7(s, d):
@@ -222,10 +248,21 @@ def o1(s, d):
     return analytics.page(b.articles(s, d), 3, 20).select("article_id")
 
 
-@query("a15_evaluation", "SELECT count(*) AS total, count(p) AS predicted, round(coalesce(count(*) FILTER (l = p) / nullif(count(p), 0), 0), 6) AS precision, round(coalesce(count(p) / nullif(count(*), 0), 0), 6) AS recall FROM (SELECT l.quality AS l, d.p FROM labels l LEFT JOIN (SELECT doc_id, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS p FROM documents WHERE lang <> 'es') d USING (doc_id))")
+_RATE = "round({n} / nullif({d}, 0)::DOUBLE, 6)"
+
+
+@query(
+    "a15_evaluation",
+    f"""{WITH}, l AS (SELECT doc_id AS id, 'K' || quality AS product_key, CASE toxic WHEN 1 THEN '看跌' ELSE '看涨' END AS direction FROM labels),
+    p AS (SELECT doc_id AS id, CASE WHEN n_chars > 500 THEN 'K1' ELSE 'K0' END AS pk, CASE WHEN lang = 'en' THEN '看跌' ELSE '看涨' END AS pd, CASE WHEN doc_id % 3 = 0 THEN 'rule' ELSE 'llm' END AS method, doc_id % 5 = 0 AS manual, (doc_id % 7)::DOUBLE AS duration FROM documents WHERE lang <> 'es'),
+    j AS (SELECT * FROM l LEFT JOIN p USING (id))
+    SELECT count(*) AS total, count(pk) AS predicted, coalesce({_RATE.format(n="count(*) FILTER (pk = product_key)", d="count(pk)")}, 0) AS precision, {_RATE.format(n="count(*) FILTER (pk = product_key)", d="count(*)")} AS recall, {_RATE.format(n="count(*) FILTER (pd = direction)", d="count(*)")} AS direction_accuracy,
+    coalesce({_RATE.format(n="count(*) FILTER (method = 'rule' AND pd = direction)", d="count(*) FILTER (method = 'rule')")}, 0) AS rule_precision, {_RATE.format(n="count(*) FILTER (method = 'rule')", d="count(*)")} AS rule_rate, {_RATE.format(n="count(*) FILTER (method = 'llm')", d="count(*)")} AS llm_rate, {_RATE.format(n="count(*) FILTER (manual)", d="count(*)")} AS manual_rate, {_RATE.format(n="sum(coalesce(duration, 0))", d="count(*)")} AS mean_latency FROM j""",
+)
 def a15(s, d):
-    labels = b.table(s, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    predictions = b.table(s, d, "documents").filter("lang <> 'es'").select(F.col("doc_id").alias("id"), F.when(F.col("n_chars") > 500, 1).otherwise(0).alias("prediction"))
+    labels = b.table(s, d, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("K"), "quality").alias("product_key"), F.when(F.col("toxic") == 1, b.BEARISH).otherwise(b.BULLISH).alias("direction"))
+    i = F.col("doc_id")
+    predictions = b.table(s, d, "documents").filter("lang <> 'es'").select(i.alias("id"), F.when(F.col("n_chars") > 500, "K1").otherwise("K0").alias("predicted_key"), F.when(F.col("lang") == "en", b.BEARISH).otherwise(b.BULLISH).alias("predicted_direction"), F.when(i % 3 == 0, "rule").otherwise("llm").alias("method"), (i % 5 == 0).alias("manual"), (i % 7).cast("double").alias("duration"))
     return analytics.evaluation(labels, predictions)
 
 
@@ -249,12 +286,18 @@ def v4(s, d):
     return b.articles(s, d).groupBy("status", F.col("status").isin(-1, 0, 1, 2, 3, 4, 5).alias("valid")).agg(F.count("*").alias("n"))
 
 
-@query("j2_article_detail", f"{WITH} SELECT article_id, (SELECT count(*) FROM results r WHERE r.article_id = a.article_id) AS n_results, (SELECT count(*) FROM queue q WHERE q.article_id = a.article_id) AS n_items, (SELECT count(*) FROM logs l WHERE l.article_id = a.article_id) AS n_logs FROM articles a")
+def _child_sql(name: str, table: str, text: str) -> str:
+    return f"(SELECT coalesce(string_agg({text}, ';' ORDER BY id), '') FROM {table} c WHERE c.article_id = a.article_id) AS {name}"
+
+
+@query("j2_article_detail", f"{WITH} SELECT article_id, {_child_sql('results', 'results', 'id || product || direction')}, {_child_sql('items', 'queue', 'id || status')}, {_child_sql('logs', 'logs', 'id || stage || status')} FROM articles a")
 def j2(s, d):
+    """Each child table is aggregated once and joined once: no row fans out."""
     out = b.articles(s, d).select("article_id")
-    for name, child in (("n_results", b.results(s, d)), ("n_items", b.review_queue(s, d)), ("n_logs", b.task_logs(s, d))):
-        out = out.join(child.groupBy("article_id").agg(F.count("*").alias(name)), "article_id", "left")
-    return out.na.fill(0)
+    for name, child, text in (("results", b.results(s, d), F.concat("id", "product", "direction")), ("items", b.review_queue(s, d), F.concat("id", "status")), ("logs", b.task_logs(s, d), F.concat("id", "stage", "status"))):
+        held = F.transform(F.array_sort(F.collect_list(F.struct("id", text.alias("t")))), lambda x: x["t"])
+        out = out.join(child.groupBy("article_id").agg(F.array_join(held, ";").alias(name)), "article_id", "left")
+    return out.na.fill("")
 
 
 @query("j3_without_results", f"{WITH} SELECT article_id FROM articles WHERE article_id NOT IN (SELECT article_id FROM results)")
@@ -304,11 +347,21 @@ def m4(s, d):
     return merge.reconcile_reviews(rows.filter("id % 3 < 2"), rows.filter("id % 3 > 0")).select("id")
 
 
-@query("m8_alias_queue", f"{WITH}, seen AS (SELECT reason AS alias, product_key, count(*) AS n, max(confidence) AS c FROM results WHERE id % 2 = 1 GROUP BY ALL), cur AS (SELECT reason AS alias, product_key, count(*) AS occurrences, max(confidence) AS confidence FROM results WHERE id % 2 = 0 GROUP BY ALL) SELECT alias, product_key, coalesce(occurrences, 0) + coalesce(n, 0) AS occurrences, round(greatest(confidence, c), 6) AS confidence FROM cur FULL JOIN seen USING (alias, product_key)")
+@query(
+    "m8_alias_queue",
+    f"""{WITH}, known AS (SELECT DISTINCT 'K' || (user_id % 17) AS product_key FROM events), builtin AS (SELECT DISTINCT 'view ' || user_id AS alias, 'K' || (user_id % 20) AS product_key FROM events WHERE user_id % 2 = 0),
+    seen AS (SELECT reason AS alias, product_key, count(*) AS n, least(greatest(max(confidence * 1.5), 0), 1) AS c, min(id) AS s FROM results WHERE id % 2 = 1 AND product_key IN (SELECT product_key FROM known) AND (reason, product_key) NOT IN (SELECT (alias, product_key) FROM builtin) GROUP BY ALL),
+    cur AS (SELECT reason AS alias, product_key, count(*) AS occurrences, max(confidence) AS confidence, CASE WHEN min(id) % 4 = 0 THEN min(id) END AS source_id FROM results WHERE id % 2 = 0 GROUP BY ALL)
+    SELECT alias, product_key, coalesce(occurrences, 0) + coalesce(n, 0) AS occurrences, round(greatest(confidence, c), 6) AS confidence, coalesce(source_id, s) AS source_id FROM cur FULL JOIN seen USING (alias, product_key)""",
+)
 def m8(s, d):
-    rows = b.results(s, d).withColumnRenamed("reason", "alias")
-    current = rows.filter("id % 2 = 0").groupBy("alias", "product_key").agg(F.count("*").alias("occurrences"), F.max("confidence").alias("confidence"))
-    return merge.queue_aliases(current, rows.filter("id % 2 = 1")).withColumn("confidence", F.round("confidence", 6))
+    rows, user = b.results(s, d).withColumnRenamed("reason", "alias"), F.col("user_id")
+    events = b.table(s, d, "events")
+    current = rows.filter("id % 2 = 0").groupBy("alias", "product_key").agg(F.count("*").alias("occurrences"), F.max("confidence").alias("confidence"), F.min("id").alias("i"))
+    current = current.select("alias", "product_key", "occurrences", "confidence", F.when(F.col("i") % 4 == 0, F.col("i")).alias("source_id"))
+    seen = rows.filter("id % 2 = 1").select(F.when(F.col("id") % 5 == 0, F.concat(F.lit(" 【"), "alias", F.lit("】"))).otherwise(F.col("alias")).alias("alias"), "product_key", (F.col("confidence") * 1.5).alias("confidence"), F.col("id").alias("source_id"))
+    builtin = events.filter("user_id % 2 = 0").select(F.concat(F.lit("view "), user).alias("alias"), F.concat(F.lit("K"), user % 20).alias("product_key"))
+    return merge.queue_aliases(current, seen, events.select(F.concat(F.lit("K"), user % 17).alias("product_key")), builtin).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("m14_publish_repair", f"{WITH}, x AS (SELECT article_id, CAST(publish_time AS DATE) AS old_date, CAST(created_at AS DATE) AS new_date FROM articles) SELECT article_id, CAST(CASE WHEN year(x.old_date) BETWEEN 2000 AND 2100 THEN x.old_date END AS VARCHAR) AS old_date, CAST(x.new_date AS VARCHAR) AS new_date FROM x WHERE year(x.new_date) BETWEEN 2000 AND 2100 AND CASE WHEN year(x.old_date) BETWEEN 2000 AND 2100 THEN x.old_date END IS DISTINCT FROM x.new_date")
