@@ -137,14 +137,6 @@ def decided(arbitration: DataFrame, mentions: DataFrame) -> DataFrame:
     return joined.withColumn("decision", F.coalesce("decision", F.lit("no_signal")))
 
 
-def refined_ok(source: Column, refined: Column) -> Column:
-    """A refined text holds all numbers of its source, and is neither blank, nor much shorter, nor longer."""
-    numbers = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), 1))
-    complete = F.size(F.array_except(numbers(source), numbers(refined))) == 0
-    long_enough = (F.length(source) < 120) | (F.length(refined) >= 0.45 * F.length(source))
-    return (F.trim(refined) != "") & complete & long_enough & (F.length(refined) <= 1.15 * F.length(source) + 200)
-
-
 # Classes of evidence for an alias.
 HIGH_VALUE = ("contract_code", "bracket_heading", "label_field", "catalog_alias", "title_symbol")
 SHAPE = ("contract_code", "suffix_pattern", "symbol_context", "title_symbol", "ocr_split_symbol")

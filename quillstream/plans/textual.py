@@ -115,13 +115,6 @@ def a13(s, d):
     return text.decided(text.arbitrated(rows), mentions)
 
 
-@query("p6_refined_acceptance", """WITH x AS (SELECT doc_id, text AS s, left(text, (length(text) * 3) // 4) AS r FROM documents), n AS (SELECT *, regexp_extract_all(s, '[0-9]+(?:\\.[0-9]+)?') AS a, regexp_extract_all(r, '[0-9]+(?:\\.[0-9]+)?') AS b FROM x)
-  SELECT doc_id, trim(r) <> '' AND len(list_filter(a, lambda v: NOT list_contains(b, v))) = 0 AND (length(s) < 120 OR length(r) >= 0.45 * length(s)) AND length(r) <= 1.15 * length(s) + 200 AS ok FROM n""")
-def p6(s, d):
-    refined = F.expr("left(text, CAST((length(text) * 3) DIV 4 AS INT))")
-    return _docs(s, d).select("doc_id", text.refined_ok(F.col("text"), refined).alias("ok"))
-
-
 _KINDS = "['contract_code', 'suffix_pattern', 'bracket_heading', 'market_context', 'symbol_context', 'catalog_alias', 'label_field']"
 CANDIDATES = f"""occ AS (SELECT reason || contract_key AS alias, ({_KINDS})[id % 7 + 1] AS kind, product_key, article_id, id % 9 = 4 AS negative FROM results),
     cand AS (SELECT alias, coalesce(list(DISTINCT kind) FILTER (NOT negative), []) AS kinds, count(DISTINCT article_id) FILTER (NOT negative) AS docs, count(*) FILTER (NOT negative) AS occurrences, coalesce(list(DISTINCT product_key) FILTER (NOT negative AND id2 <> 0), []) AS keys, CASE WHEN bool_or(negative) THEN ['foreign_market_context'] ELSE [] END AS negative, CASE WHEN contains(alias, '7') THEN 'K7' END AS seed FROM (SELECT *, length(alias) % 3 AS id2 FROM occ) GROUP BY alias)"""
