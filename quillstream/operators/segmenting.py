@@ -47,10 +47,13 @@ def sections(docs: DataFrame, types: dict[str, str] = SECTION_TYPES) -> DataFram
 class Names:
     """Aliases and contract symbols of products, as patterns."""
 
-    def __init__(self, aliases: dict[str, str], symbols: dict[str, str] | None = None) -> None:
+    def __init__(self, aliases: dict[str, str], symbols: dict[str, str] | None = None, barred: dict[str, tuple[str, ...]] | None = None) -> None:
+        self.barred = barred or {}
         self.aliases, self.symbols = {a.lower(): k for a, k in aliases.items()}, {s.lower(): k for s, k in (symbols or {}).items()}
         ordered = sorted(self.aliases, key=lambda a: (-len(a), a))
-        of = lambda a: rf"(?<![A-Za-z0-9]){re.escape(a)}(?![A-Za-z0-9])" if re.fullmatch("[a-z0-9]+", a) else re.escape(a)
+        # an alias may not stand right behind certain words
+        behind = lambda a: "".join(f"(?<!{re.escape(w)})" for w in self.barred.get(a, ()))
+        of = lambda a: behind(a) + (rf"(?<![A-Za-z0-9]){re.escape(a)}(?![A-Za-z0-9])" if re.fullmatch("[a-z0-9]+", a) else re.escape(a))
         # a symbol stands alone or before a contract's digits; one of a single letter only before these
         coded = lambda s: rf"(?<![A-Za-z0-9]){re.escape(s)}(?:\d{{3,4}}){'' if len(s) == 1 else '?'}(?![A-Za-z0-9])"
         self.pattern = "(?i)(?:" + "|".join([*(of(a) for a in ordered), *(coded(s) for s in sorted(self.symbols, key=lambda s: (-len(s), s)))]) + ")"
@@ -59,6 +62,18 @@ class Names:
         plain = "|".join(re.escape(a) for a in ordered)
         self.prefix = rf"(?i)(?:(?:{known})\d{{2,4}}\s*合约|(?:{plain})(?:\s*[：:]|\s|\z))"
 
+    def barring(self, barred: dict[str, tuple[str, ...]]) -> Names:
+        """The same names, some of them not right behind certain words."""
+        return Names(self.aliases, self.symbols, barred)
+
+    def matches(self, docs: DataFrame) -> DataFrame:
+        """doc_id, product_key, start, stop and tier (contract: a symbol, with or without digits; builtin: another alias) of all names in texts."""
+        found = sp.spans(docs, {"name": self.pattern})
+        bare, code = F.lower("phrase"), F.regexp_replace(F.lower("phrase"), r"\d+$", "")
+        of = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) if d else F.create_map(F.lit(""), F.lit(""))
+        by_code, by_name = of(self.symbols)[code], of(self.aliases)[bare]
+        return found.select("doc_id", F.coalesce(by_code, by_name).alias("product_key"), "start", "stop", F.when(by_code.isNotNull(), "contract").otherwise("builtin").alias("tier"))
+
     def keys(self, text: Column) -> Column:
         """Product keys of all names in a text, in order."""
         pairs = F.create_map(*[F.lit(x) for kv in (self.symbols | self.aliases).items() for x in kv])
