@@ -7,8 +7,9 @@ before it) is compatible with it, that is, whose common border no merge would ha
 Back-pointers from the end give the ids. The encoder reads a tokenizer file's vocabulary and merges;
 nothing is trained. Words are cached, as the words of a corpus repeat.
 
-Defined results: null texts count as empty and give no ids; repeated rows are encoded alike; further
-columns are ignored by the query and kept by `encode`.
+Defined results: null and empty texts give no ids; a text or word of any length is encoded whole; repeated
+rows are encoded alike; an empty table has no rows. Further columns are ignored by `digests` and kept by
+`encode`, where a clashing column of ids is replaced.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 from quillstream.llm.common import extended
 from quillstream.llm.pretoken import Splitter, byte_letters
 
-#: Entries of each of the two generations of the word cache.
-CACHE_WORDS = 300_000
+#: Bytes of each of the two generations of the word cache, about: words, ids, and what holds an entry.
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 200
 #: Texts are handed on in groups of about this many characters.
 GROUP_CHARS = 4 << 20
 
@@ -134,6 +135,7 @@ class Encoder:
         self.fixed = {t: array("I", [i]).tobytes() for t, i in self.special.items()}
         self.young: dict[str, bytes] = dict(self.fixed)
         self.old: dict[str, bytes] = {}
+        self.held = 0
         self._bytes = {i: bytes(b & 255 for b in s) + (b" " if s[-1] >= 256 else b"") for i, s in self.symbols.items()}
         self._bytes |= {i: t.encode() for t, i in self.special.items()}
 
@@ -209,9 +211,10 @@ class Encoder:
         ids = self.old.get(word)
         if ids is None:
             ids = array("I", self.word(word.encode())).tobytes()
-        if len(self.young) >= CACHE_WORDS:
-            self.old, self.young = self.young, dict(self.fixed)
+        if self.held >= CACHE_BYTES:
+            self.old, self.young, self.held = self.young, dict(self.fixed), 0
         self.young[word] = ids
+        self.held += 2 * len(word) + len(ids) + ENTRY_BYTES
         return ids
 
     def encode(self, text: str) -> bytes:

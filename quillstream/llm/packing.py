@@ -6,8 +6,9 @@ bounded size, and each group is differenced on its own: the two partial partitio
 imbalances are merged so that large windows of one meet small windows of the other. A group starts with
 as many windows as its ids need; while any window exceeds the capacity, the number rises by one.
 
-Defined results: null and empty texts are a document of one id (the closing one); repeated rows are
-packed each; further columns are ignored. Each id lies in exactly one piece.
+Defined results: null and empty texts are a document of one id (the closing one); texts of any length are
+encoded whole and cut; repeated rows are packed each; pieces of equal length go in the order of their rows; an
+empty table has no rows; further columns, of whatever name, are ignored. Each id lies in exactly one piece.
 """
 
 from __future__ import annotations

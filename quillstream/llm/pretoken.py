@@ -15,6 +15,9 @@ class Splitter:
     """Words and control strings of a text after normalisation (NFC, lower case)."""
 
     def __init__(self, spec: dict) -> None:
+        steps = (spec.get("normalizer") or {}).get("normalizers") or [spec.get("normalizer") or {}]
+        if [x.get("type") for x in steps if x.get("type") != "Replace"] != ["NFC", "Lowercase"]:
+            raise ValueError("a tokenizer file that normalises by NFC and lower case is read")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.any_words = regex.compile(pattern).findall
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}

@@ -248,6 +248,17 @@ def test_bpe_is_the_library(spark, odd):
     assert own == sorted(want, key=key)
 
 
+def test_bpe_small_caches_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2000)
+    enc = bpe.Encoder(bpe.vocabulary())
+    long = " ".join(words(3000, 8)) + " " + "abc" * 5000
+    plain = bpe.encoder(bpe.vocabulary())
+    assert enc.encode(long) == plain.encode(long) and enc.encode(long) == plain.encode(long)
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, None, "y")], "doc_id long, text string, ids string")
+    got = {r["doc_id"]: r for r in bpe.encode(docs).collect()}
+    assert bytes(got[1]["ids"]) == plain.encode("a b") and bytes(got[2]["ids"]) == b"" and got[1]["text"] == "a b"
+
+
 def test_bpe_random_words():
     from tokenizers import Tokenizer
 
