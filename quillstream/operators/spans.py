@@ -142,7 +142,10 @@ def _nearest(signals: DataFrame, anchors: DataFrame, unit: str) -> DataFrame:
     return near.select(*columns, F.when(F.col("_b").isNotNull(), F.col("_b.akey")).otherwise(other).alias("owner"))
 
 
-def owned_signals(docs: DataFrame, signals: DataFrame, anchors: DataFrame, clause: str = "[，,；;。！？!?\n]", sentence: str = "[。！？!?\n]") -> DataFrame:
+CLAUSE, SENTENCE = "[，,；;。！？!?\n]", "[。！？!?\n]"
+
+
+def owned_signals(docs: DataFrame, signals: DataFrame, anchors: DataFrame, clause: str = CLAUSE, sentence: str = SENTENCE) -> DataFrame:
     """signals (doc_id, start, stop, ...) with owner: the nearest product of the clause, else of the sentence. Signals hold no marks themselves."""
     marks = spans(docs, {"clause": clause, "sentence": sentence})
     of = lambda df: _counted_marks(_counted_marks(df, marks.filter("kind = 'clause'"), "clause"), marks.filter("kind = 'sentence'"), "sentence")
@@ -151,13 +154,13 @@ def owned_signals(docs: DataFrame, signals: DataFrame, anchors: DataFrame, claus
     return _nearest(near, anchors, "sentence").withColumn("owner", F.coalesce("close", "owner")).drop("close", "clause", "sentence")
 
 
-def product_signals(docs: DataFrame, found: DataFrame, parts: DataFrame, signals: DataFrame, reach: int = 80) -> DataFrame:
+def product_signals(docs: DataFrame, found: DataFrame, parts: DataFrame, signals: DataFrame, reach: int = 80, clause: str = CLAUSE, sentence: str = SENTENCE) -> DataFrame:
     """doc_id, product_key, start, stop, direction, confidence: signals inside a scope that one product owns alone, or in another scope of the product that is their owner; then the longest first."""
     area = scopes(found, parts, reach)
     heads = owners(found).filter(~F.col("product_key").startswith("GROUP.")).groupBy("doc_id", "heading_start").agg(F.count("*").alias("keys"))
     alone = parts.join(heads, ["doc_id", "heading_start"], "left").select("doc_id", F.col("body_start").alias("start"), (F.coalesce("keys", F.lit(0)) == 1).alias("alone"))
     area = area.join(alone, ["doc_id", "start"], "left").withColumn("alone", F.col("owned") & F.coalesce("alone", F.lit(False)))
-    asked = owned_signals(docs, signals, found).join(area.select("doc_id", "product_key").distinct(), "doc_id")
+    asked = owned_signals(docs, signals, found, clause, sentence).join(area.select("doc_id", "product_key").distinct(), "doc_id")
     # scopes of a product lie apart, so the last one that begins at or before a signal is the only one that can hold it
     both = asked.withColumns({"side": F.lit(1), "scope": F.lit(None).cast("struct<stop:bigint,alone:boolean>"), "at": F.col("start")})
     areas = area.select("doc_id", "product_key", F.col("start").alias("at"), F.lit(0).alias("side"), F.struct(F.col("stop").cast("bigint").alias("stop"), "alone").alias("scope"))
@@ -195,10 +198,20 @@ def valid_excerpts(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
     return joined.withColumn("valid", F.coalesce(there, F.lit(False))).drop("text")
 
 
-def routed(arbitration: DataFrame, quotes: DataFrame, mentions: DataFrame) -> DataFrame:
-    """doc_id, product_key, outcome and reason: accepted with evidence is a rule result; accepted without, or not accepted, goes to a model and to review; a mention without signals goes to review alone."""
+def routed(docs: DataFrame, arbitration: DataFrame, quotes: DataFrame, options: DataFrame, mentions: DataFrame, least: float = 0.5) -> DataFrame:
+    """doc_id, product_key, outcome, reason, direction, confidence, need_manual_review of every mentioned product, where no model can be asked.
+
+    Accepted with evidence (quotes) it is a rule's result, flagged if unsure; accepted without, or not accepted, a provisional result with the likeliest direction, flagged, and a review item that says whether there is any evidence (options) to ask a model about; a mention without signals is a review item alone, and so is a document without mentions."""
     proven = quotes.select("doc_id", "product_key", F.lit(True).alias("proven")).distinct()
-    joined = mentions.select("doc_id", "product_key", "related").join(arbitration.select("doc_id", "product_key", "accepted"), ["doc_id", "product_key"], "left").join(proven, ["doc_id", "product_key"], "left")
-    outcome = F.when(F.col("accepted").isNull(), "review").when(F.col("accepted") & F.col("proven").isNotNull(), "rule").otherwise("llm")
-    reason = F.when(F.col("accepted").isNull(), F.when(F.col("related"), "related_product_mention_only").otherwise("no_signal")).when(F.col("accepted") & F.col("proven").isNull(), "rule_evidence_quality_failed").when(~F.col("accepted"), "fallback")
-    return joined.select("doc_id", "product_key", outcome.alias("outcome"), reason.alias("reason"))
+    offered = options.select("doc_id", "product_key", F.lit(True).alias("offered")).distinct()
+    keys = ["doc_id", "product_key"]
+    joined = mentions.select(*keys, "related").join(arbitration.select(*keys, "accepted", "direction", "confidence"), keys, "left").join(proven, keys, "left").join(offered, keys, "left")
+    good = F.coalesce(F.col("accepted") & F.col("proven"), F.lit(False))
+    outcome = F.when(F.col("accepted").isNull(), "review").when(good, "rule").otherwise("provisional")
+    why = F.when(F.col("accepted"), "rule_evidence_quality_failed").otherwise("fallback")
+    rest = F.when(F.col("offered"), "llm_unavailable").otherwise("no_product_scoped_context")
+    reason = F.when(F.col("accepted").isNull(), F.when(F.col("related"), "related_product_mention_only").otherwise("no_signal")).when(~good, F.concat_ws(":", why, rest))
+    rows = joined.select(*keys, outcome.alias("outcome"), reason.alias("reason"), "direction", "confidence", F.when(F.col("accepted").isNotNull(), ~good | (F.col("confidence") < least)).alias("need_manual_review"))
+    none = docs.select("doc_id").join(mentions.select("doc_id").distinct(), "doc_id", "left_anti")
+    empty = none.select("doc_id", F.lit(None).cast("string").alias("product_key"), F.lit("review").alias("outcome"), F.lit("no_product_match").alias("reason"), F.lit(None).cast("string").alias("direction"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("boolean").alias("need_manual_review"))
+    return rows.unionByName(empty)

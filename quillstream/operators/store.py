@@ -74,7 +74,7 @@ def reprocessable(queue: DataFrame, most: int, eligible: tuple[str, ...] = ELIGI
 
 def by_name(products: DataFrame, name: str = "product", language: str = "zh") -> DataFrame:
     """Rows in the order of a language's dictionaries."""
-    return products.orderBy(F.collate(F.col(name), F.lit(language)), name)
+    return products.orderBy(F.collate(F.col(name), language), name)
 
 
 def payload_violations(payloads: DataFrame, error_types: tuple[str, ...]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.functions import phrases as ph
+from quillstream.operators import proof
 from quillstream.operators import spans as sp
 from quillstream.operators.text import ALIASES
 from quillstream.sources import bindings as b
@@ -182,7 +183,7 @@ def w14(s, d):
 
 
 def _product_signals(s, d):
-    return sp.product_signals(_docs(s, d), _placed(s, d), _parts(s, d), _signals(s, d))
+    return sp.product_signals(_docs(s, d), _placed(s, d), _parts(s, d), _signals(s, d), clause=CLAUSE, sentence=SENTENCE)
 
 
 @query("t7_product_signals")
@@ -194,9 +195,38 @@ def _evidence(s, d):
     return sp.evidence(_docs(s, d), _found(s, d), sentence=SENTENCES, conclusions=CONCLUSIONS)
 
 
+@query("t12_mention_sentences")
+def t12_mentions(s, d):
+    return _evidence(s, d)
+
+
+def _area(s, d) -> DataFrame:
+    """Scopes, and whether several concrete products own one together."""
+    placed = _placed(s, d)
+    owners = sp.owners(placed).filter(~F.col("product_key").startswith("GROUP.")).groupBy("doc_id", "heading_start").agg((F.count("*") > 1).alias("shared"))
+    parts = _parts(s, d).join(owners, ["doc_id", "heading_start"]).select("doc_id", F.col("body_start").alias("start"), "shared")
+    area = sp.scopes(placed, _parts(s, d)).join(parts, ["doc_id", "start"], "left")
+    return area.select("doc_id", "product_key", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"), (F.col("owned") & F.coalesce("shared", F.lit(False))).alias("shared"))
+
+
+ENDS, COMPARED, BOILER = ".!?", ("would", "with"), ("licensed", "cookie")
+
+
 @query("t12_evidence")
 def t12(s, d):
-    return _evidence(s, d)
+    return proof.candidates(_docs(s, d), _found(s, d), _area(s, d), endings=ENDS, conclusions=CONCLUSIONS, boilerplate=BOILER)
+
+
+@query("t11_evidence_sentences")
+def t11(s, d):
+    return proof.proofs(_docs(s, d), _found(s, d), _area(s, d), _product_signals(s, d), endings=ENDS, clauses=",;.!?\n", comparisons=COMPARED)
+
+
+@query("a12_signals_by_product")
+def a12(s, d):
+    """Signals once each, by product."""
+    once = _product_signals(s, d).select("doc_id", "product_key", "start", "stop", "direction").distinct()
+    return once.groupBy("doc_id", "product_key").agg(F.count("*").alias("n"), F.count_if(F.col("direction") == b.BULLISH).alias("bullish"), F.count_if(F.col("direction") == b.BEARISH).alias("bearish"))
 
 
 _EXCERPT = "SELECT doc_id, (doc_id % 50)::BIGINT AS start, (doc_id % 50 + 20)::BIGINT AS stop, substring(text, (doc_id % 49 + 1)::BIGINT, 20) AS raw_quote FROM documents"
@@ -209,13 +239,16 @@ def t13(s, d):
     return sp.valid_excerpts(docs, quotes).select("doc_id", "start", "stop", "valid")
 
 
-@query("t14_routing")
-def t14(s, d):
+def _verdicts(s, d) -> DataFrame:
     from quillstream.operators.text import arbitrated
 
     signals = _product_signals(s, d).select(F.col("doc_id").alias("article_id"), "product_key", "direction", F.lit(1.0).alias("weight"), "confidence")
-    verdicts = arbitrated(signals).withColumnRenamed("article_id", "doc_id")
-    return sp.routed(verdicts, _evidence(s, d), sp.related_only(_placed(s, d)))
+    return arbitrated(signals).withColumnRenamed("article_id", "doc_id")
+
+
+@query("t14_routing")
+def t14(s, d):
+    return sp.routed(_docs(s, d), _verdicts(s, d), t11(s, d), t12(s, d), sp.related_only(_placed(s, d)))
 
 
 def queries() -> dict:

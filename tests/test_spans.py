@@ -59,7 +59,7 @@ def test_evidence(spark, sf_dir):
         if own:
             wanted[key] = own
     ours = defaultdict(list)
-    for r in spanned.t12(spark, sf_dir).collect():
+    for r in spanned.t12_mentions(spark, sf_dir).collect():
         ours[r.doc_id, r.product_key].append((r.evidence_id, r.start, r.stop))
     assert {k: sorted(v) for k, v in ours.items()} == wanted
 
@@ -78,10 +78,55 @@ def test_product_signals_and_routing(spark):
     assert ours == {("K.THE", at["with"]), ("K.OF", at["from"])}
     related = {(r.product_key, r.n, r.related) for r in sp.related_only(placed).collect()}
     assert related == {("K.THE", 3, False), ("K.OF", 1, False)}
-    verdicts = spark.createDataFrame([(1, "K.THE", True), (1, "K.OF", False)], "doc_id long, product_key string, accepted boolean")
+    verdicts = spark.createDataFrame([(1, "K.THE", True, "看涨", 0.4), (1, "K.OF", False, "看跌", 0.9)], "doc_id long, product_key string, accepted boolean, direction string, confidence double")
     quotes = sp.evidence(docs, found, sentence=spanned.SENTENCES)
-    routes = {(r.product_key, r.outcome, r.reason) for r in sp.routed(verdicts, quotes, sp.related_only(placed)).collect()}
-    assert routes == {("K.THE", "rule", None), ("K.OF", "llm", "fallback")}
+    routes = {tuple(r) for r in sp.routed(docs, verdicts, quotes, quotes, sp.related_only(placed)).collect()}
+    assert routes == {(1, "K.THE", "rule", None, "看涨", 0.4, True), (1, "K.OF", "provisional", "fallback:llm_unavailable", "看跌", 0.9, True), (2, None, "review", "no_product_match", None, None, None), (3, None, "review", "no_product_match", None, None, None)}
+
+
+def test_routing_against_loops(spark, sf_dir):
+    get = lambda df, *c: {(r.doc_id, r.product_key): tuple(r[x] for x in c) for r in df.collect()}
+    verdicts, mentions = get(spanned._verdicts(spark, sf_dir), "accepted", "direction", "confidence"), get(sp.related_only(spanned._placed(spark, sf_dir)), "related")
+    proven, offered = set(get(spanned.t11(spark, sf_dir))), set(get(spanned.t12(spark, sf_dir)))
+    wanted = set()
+    for key, (related,) in mentions.items():
+        if key not in verdicts:
+            wanted.add((*key, "review", "related_product_mention_only" if related else "no_signal", None, None, None))
+            continue
+        accepted, direction, confidence = verdicts[key]
+        if accepted and key in proven:
+            wanted.add((*key, "rule", None, direction, confidence, confidence < 0.5))
+        else:
+            why = "rule_evidence_quality_failed" if accepted else "fallback"
+            wanted.add((*key, "provisional", f"{why}:{'llm_unavailable' if key in offered else 'no_product_scoped_context'}", direction, confidence, True))
+    for (doc,) in spanned._docs(spark, sf_dir).select("doc_id").collect():
+        if doc not in {d for d, _ in mentions}:
+            wanted.add((doc, None, "review", "no_product_match", None, None, None))
+    assert {tuple(r) for r in spanned.t14(spark, sf_dir).collect()} == wanted and proven
+
+
+def test_product_signals_against_loops(spark, sf_dir):
+    """Each signal in a scope that its product owns alone, or whose nearest owner the product is; then the longest first."""
+    area, owner, signals = defaultdict(list), defaultdict(set), []
+    placed, parts = spanned._placed(spark, sf_dir), spanned._parts(spark, sf_dir)
+    heads = defaultdict(set)
+    for r in sp.owners(placed).collect():
+        heads[r.doc_id, r.heading_start].add(r.product_key)
+    alone = {(r.doc_id, r.body_start): len({k for k in heads[r.doc_id, r.heading_start] if not k.startswith("GROUP.")}) == 1 for r in parts.collect()}
+    for r in sp.scopes(placed, parts).collect():
+        area[r.doc_id].append((r.product_key, r.start, r.stop, r.owned and alone.get((r.doc_id, r.start), False)))
+    for r in sp.owned_signals(spanned._docs(spark, sf_dir), spanned._signals(spark, sf_dir), spanned._found(spark, sf_dir), spanned.CLAUSE, spanned.SENTENCE).collect():
+        signals.append((r.doc_id, r.start, r.stop, r.direction, r.confidence))
+        owner[r.doc_id, r.start, r.stop, r.direction].add(r.owner)
+    best = defaultdict(dict)
+    for doc, start, stop, direction, confidence in signals:
+        for key, low, high, own in area[doc]:
+            if low <= start and stop <= high and (own or key in owner[doc, start, stop, direction]):
+                best[doc, key][start, stop, direction] = max(confidence, best[doc, key].get((start, stop, direction), 0.0))
+    ours = defaultdict(list)
+    for r in spanned.t7(spark, sf_dir).collect():
+        ours[r.doc_id, r.product_key].append((r.start, r.stop, r.direction, r.confidence))
+    assert {k: sorted(v) for k, v in ours.items()} == {k: kept([(*x, c) for x, c in v.items()], lambda s: (s[0] - s[1], s[0], s[2])) for k, v in best.items()}
 
 
 def test_owner_rules(spark):
@@ -98,3 +143,79 @@ def test_ties_and_negatives(spark):
     assert [tuple(r) for r in found] == [(2, 0, 3), (2, 6, 13)]
     empty = sp.greedy(docs.select("doc_id", F.lit(0).alias("start"), F.lit(1).alias("stop")).limit(0), [F.col("start")], "doc_id")
     assert empty.count() == 0
+
+
+def sentence_spans(text, low, high, ends=".!?"):
+    """(start, stop) of the whole sentences between two places."""
+    out, at = [], low
+    for i in range(low, high):
+        if text[i] in ends or text[i] == "|":
+            start = at
+            while start < i + 1 and text[start].isspace():
+                start += 1
+            if text[i] != "|" and start < i + 1:
+                out.append((start, i + 1))
+            at = i + 1
+    return out
+
+
+def test_candidates_against_loops(spark, sf_dir):
+    import re
+
+    from quillstream.operators import proof
+
+    docs = dict(spanned._docs(spark, sf_dir).collect())
+    found = defaultdict(list)
+    for r in spanned._found(spark, sf_dir).collect():
+        found[r.doc_id].append((r.start, r.product_key))
+    area = defaultdict(list)
+    for r in spanned._area(spark, sf_dir).collect():
+        area[r.doc_id, r.product_key].append((r.start, r.stop, r.shared))
+
+    def quote_of(text):
+        out = re.sub(r"\b\d+\s*/\s*\d+\b", " ", re.sub(r"(?i)\[PAGE\s+\d+\]", " ", text))
+        return re.sub(r"\s+([，。；：！？!?%])", r"\1", re.sub(r"\s+", " ", out).strip()).strip()
+
+    wanted = {}
+    for (doc, key), scopes in area.items():
+        rows = []
+        for low, high, shared in scopes:
+            for a, b in sentence_spans(docs[doc], low, high):
+                quote = quote_of(docs[doc][a:b])
+                keys = {k for s, k in found[doc] if a <= s < b}
+                if not 6 <= len(quote) <= 600 or quote[-1] not in ".!?" or quote[0] in "，。；：！？!?%、,." or any(w in quote for w in spanned.BOILER) or re.search(proof.HEADING, quote):
+                    continue
+                if (keys or shared) and key not in keys:
+                    continue
+                rows.append((a, b, quote, key in keys, sum(w in quote for w in spanned.CONCLUSIONS)))
+        numbered = [(f"E{i + 1}", *r) for i, r in enumerate(sorted(rows))]
+        own, used = [], 0
+        for e, a, b, quote, named, score in sorted(numbered, key=lambda r: (-r[5], not r[4], r[1])):
+            if len(own) < 6 and used + len(quote) <= 1200:
+                own.append((len(own), e, a, b, quote))
+                used += len(quote)
+        if own:
+            wanted[doc, key] = own
+    ours = defaultdict(list)
+    for r in spanned.t12(spark, sf_dir).collect():
+        ours[r.doc_id, r.product_key].append((r["rank"], r.evidence_id, r.start, r.stop, r.quote))
+    assert {k: sorted(v) for k, v in ours.items()} == wanted
+
+
+def test_proofs_stay_in_the_products_section(spark):
+    from quillstream.operators import proof
+
+    text = "【PX】PX供应增加，价格震荡。短期PX偏弱，跟随成本。【PTA】PTA库存下降，需求改善，预计短期偏强。后市PX下跌，PTA上涨。受PX拖累价格下跌。"
+    keys = {"PX": "CZCE.PX", "PTA": "CZCE.TA"}
+    import re
+
+    found = [(1, k, m.start(), m.end(), len(text)) for name, k in keys.items() for m in re.finditer(rf"(?<![A-Z]){name}(?![A-Z])", text)]
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    matches = spark.createDataFrame(found, "doc_id long, product_key string, start long, stop long, n long")
+    cut = text.index("【PTA】")
+    area = spark.createDataFrame([(1, "CZCE.PX", 4, cut, False), (1, "CZCE.TA", cut + 5, len(text), False)], "doc_id long, product_key string, start long, stop long, shared boolean")
+    signals = [(1, k, m.start(), m.end()) for k, (a, b) in {"CZCE.PX": (4, cut), "CZCE.TA": (cut + 5, len(text))}.items() for m in re.finditer("震荡|偏弱|偏强|上涨|下跌", text) if a <= m.start() < b]
+    rows = proof.proofs(docs, matches, area, spark.createDataFrame(signals, "doc_id long, product_key string, start long, stop long")).collect()
+    ours = {(r.product_key, r.quote) for r in rows}
+    assert ours == {("CZCE.PX", "PX供应增加，价格震荡。"), ("CZCE.PX", "短期PX偏弱，跟随成本。"), ("CZCE.TA", "PTA库存下降，需求改善，预计短期偏强。"), ("CZCE.TA", "后市PX下跌，PTA上涨。")}
+    assert all(text[r.start : r.stop] == r.quote for r in rows)
