@@ -12,6 +12,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def displayable(product: Column | str = "product") -> Column:
     """Product is neither blank nor the unknown one; null is not displayable."""
     name = F.trim(col(product))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstream.functions.columns import col
+from quillstream.functions.columns import col, let
 
 #: Full-width letters, digits and signs by their code points, and what they stand for.
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
@@ -28,6 +28,8 @@ CONTACTS = (
     r"https?://\S+",
     r"\bwww\.[A-Za-z0-9.\-/]+",
 )
+#: What a text holds at least where one of these patterns fits, in their order.
+SIGNS = ("证号", "@", "@", "电话|热线|传真|手机", "网址|网站", "://", "(?i)www")
 RESIDUES = ("从业资格证号", "投资咨询证号", "免责申明", "免责声明")
 QUOTE_NOISE = ("请务必仔细阅读正文后免责申明", "研究所晨会观点精粹")
 CLOSING, OPENING, BRACKETS = "，。；：！？、", "【（(", "】）)"
@@ -86,15 +88,24 @@ def without_residue(text: Column | str) -> Column:
     return F.regexp_replace(F.replace(col(text), F.lit("\x00"), F.lit("")), "�{2,}", "�")
 
 
+def _replaced(text: Column, sign: str, pattern: str) -> Column:
+    """A pattern's matches as blanks; texts without its sign are left alone."""
+    return let(text, lambda t: F.when(t.rlike(sign), F.regexp_replace(t, pattern, " ")).otherwise(t))
+
+
+def without_contact_patterns(text: Column) -> Column:
+    return reduce(lambda t, x: _replaced(t, x[0], "(?i)" + x[1]), zip(SIGNS, CONTACTS, strict=True), text)
+
+
 def without_contacts(text: Column | str) -> Column:
     """Licence numbers, mail addresses, telephones and sites become blanks, and so do page marks (n/m)."""
-    return reduce(lambda t, p: F.regexp_replace(t, "(?i)" + p, " "), (*CONTACTS, r"\b\d+\s*/\s*\d+\b"), col(text))
+    return _replaced(without_contact_patterns(col(text)), "/", r"\b\d+\s*/\s*\d+\b")
 
 
 def has_contacts(text: Column | str) -> Column:
     """Whether contacts, licence numbers or the words of a disclaimer are left."""
     words = F.regexp_replace(col(text), r"\s+", "").rlike("|".join(RESIDUES))
-    return reduce(lambda a, x: a | x, (col(text).rlike("(?i)" + p) for p in CONTACTS), words)
+    return reduce(lambda a, x: a | (col(text).rlike(x[0]) & col(text).rlike("(?i)" + x[1])), zip(SIGNS, CONTACTS, strict=True), words)
 
 
 def compacted(text: Column | str) -> Column:

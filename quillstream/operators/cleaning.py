@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.functions.phrases import CONTACTS
+from quillstream.functions.columns import let
+from quillstream.functions.phrases import CONTACTS, without_contact_patterns
 from quillstream.packs import CHART_TERMS, CHART_TITLES, DISPLAY_NOISE, FRAGMENT_TERMS, SECTION_FIELDS, SOURCE_CODES, SOURCE_MARKS, TABLE_WORDS, ZH, CleaningPack, any_of
 
 MOST_CHARS = 500_000
@@ -245,8 +246,8 @@ ENDS = r" \t:：,，;；"
 
 def shown_line(line: Column) -> Column:
     """A line as users see it: without contacts and page marks, compacted, and '' if nothing but a label is left."""
-    out = stripped(line)
-    for pattern in INLINE_NOISE:
+    out = without_contact_patterns(stripped(line))
+    for pattern in INLINE_NOISE[len(CONTACTS) :]:
         out = F.regexp_replace(out, "(?i)" + pattern, " ")
     out = F.regexp_replace(F.regexp_replace(out, r"\b\d+\s*/\s*\d+\b", " "), r"[ \t]+", " ")
     out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"\s+([，。；：！？、])", "$1"), r"([【（(])\s+", "$1"), r"\s+([】）)])", "$1")
@@ -264,11 +265,17 @@ def displayed(text: Column, most: int | None = None, words=DISPLAY_NOISE) -> Col
     for pattern, to in ((r"```(?:\w+)?\s*([\s\S]*?)\s*```", "$1"), (r"(?im)^#{2,}\s*Page\s+\d+\s*$", ""), (r"(?m)^#+\s*文档信息\s*$", ""), (r"(?m)^(?:来源文件|解析器)\s*[:：].*$", "")):
         out = F.regexp_replace(out, pattern, to)
     lines = F.filter(F.transform(F.split(out, "\n"), shown_line), lambda x: ~display_noise(x, words))
-    single = F.filter(F.transform(F.arrays_zip(lines.alias("x"), F.concat(F.array(F.lit("")), F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))).alias("y")), lambda p: F.struct(p["x"].alias("x"), (bare(p["x"]) != bare(p["y"])).alias("keep"))), lambda p: p["keep"])
-    joined = stripped(F.regexp_replace(F.array_join(F.transform(single, lambda p: p["x"]), "\n"), r"[ \t]{2,}", " "))
+
+    def single(own: Column) -> Column:
+        # lines unlike the one before
+        last = F.concat(F.array(F.lit("")), own)
+        pairs = F.filter(F.arrays_zip(own.alias("x"), F.slice(last, F.lit(1), F.size(own)).alias("y")), lambda p: bare(p["x"]) != bare(p["y"]))
+        return stripped(F.regexp_replace(F.array_join(F.transform(pairs, lambda p: p["x"]), "\n"), r"[ \t]{2,}", " "))
+
+    joined = let(lines, lambda own: F.when(F.size(own) > 0, single(own)).otherwise(""))
     if not most:
         return joined
-    return F.when(F.length(joined) > most, F.concat(F.regexp_replace(F.left(joined, F.lit(most)), r"[，,；;、 ]+\z", ""), F.lit("。"))).otherwise(joined)
+    return let(joined, lambda t: F.when(F.length(t) > most, F.concat(F.regexp_replace(F.left(t, F.lit(most)), r"[，,；;、 ]+\z", ""), F.lit("。"))).otherwise(t))
 
 
 def document_text(title: Column, source: Column, parser: Column, body: Column, tables: Column, images: Column, readings: Column, most: int = MOST_CHARS) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.functions.columns import let
 from quillstream.functions.phrases import has_contacts
 from quillstream.operators.cleaning import displayed
 from quillstream.sources.bindings import DIRECTIONS, NEUTRAL, UNKNOWN_PRODUCT
@@ -141,19 +142,23 @@ def banned(text: Column, phrases=BANNED) -> Column:
 
 def refined_problem(source: Column, refined: Column) -> Column:
     """What is wrong with a refined text (null: nothing): blank, only a wrapper, a banned phrase, contacts, numbers of the source missing, much shorter, or longer than allowed."""
-    text = F.regexp_replace(F.coalesce(refined, F.lit("")), r"^\s+|\s+\z", "")
-    compact = F.regexp_replace(text, r"\s+", "")
-    shown = F.regexp_replace(displayed(source), r"\s+", "")
     numbers = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1)))
-    return (
-        F.when(text == "", "blank")
-        .when(compact.isin(*WRAPPERS), "wrapper")
-        .when(banned(text), "banned")
-        .when(has_contacts(text), "contacts")
-        .when(F.size(F.array_except(numbers(shown), numbers(compact))) > 0, "numbers")
-        .when((F.length(shown) >= 120) & (F.length(compact) < 0.45 * F.length(shown)), "short")
-        .when(F.length(text) > F.floor(1.15 * F.length(source) + 200), "long")
-    )
+    bare = lambda t: F.regexp_replace(t, r"\s+", "")
+    rows = F.struct(F.regexp_replace(F.coalesce(refined, F.lit("")), r"^\s+|\s+\z", "").alias("text"), bare(displayed(source)).alias("shown"))
+
+    def problem(r: Column) -> Column:
+        text, shown, compact = r["text"], r["shown"], bare(r["text"])
+        return (
+            F.when(text == "", "blank")
+            .when(compact.isin(*WRAPPERS), "wrapper")
+            .when(banned(text), "banned")
+            .when(has_contacts(text), "contacts")
+            .when(F.size(F.array_except(numbers(shown), numbers(compact))) > 0, "numbers")
+            .when((F.length(shown) >= 120) & (F.length(compact) < 0.45 * F.length(shown)), "short")
+            .when(F.length(text) > F.floor(1.15 * F.length(source) + 200), "long")
+        )
+
+    return let(rows, problem)
 
 
 def refined_reason(raw: Column, reason: Column, source: Column, direction: Column) -> Column:
@@ -161,9 +166,10 @@ def refined_reason(raw: Column, reason: Column, source: Column, direction: Colum
     text = F.regexp_replace(F.coalesce(raw, F.lit("")), r"^\s+|\s+\z", "")
     text = F.regexp_replace(text, r"(?s)^```(?:\w+)?\s*(.*?)\s*```\z", "$1")
     text = displayed(F.regexp_replace(text, r"^\s*(?:结论依据|依据|整理后|精修后)\s*[:：]\s*", ""), 260)
-    good = (text != "") & ~has_contacts(text) & (F.length(text) <= 280) & ~banned(text, BANNED_REASON)
     own = displayed(F.coalesce(F.nullif(reason, F.lit("")), source), 260)
-    return F.when(good, text).otherwise(F.coalesce(F.nullif(own, F.lit("")), F.concat(F.lit("规则识别: "), direction)))
+    fallback = F.coalesce(F.nullif(own, F.lit("")), F.concat(F.lit("规则识别: "), direction))
+    good = lambda t: (t != "") & ~has_contacts(t) & (F.length(t) <= 280) & ~banned(t, BANNED_REASON)
+    return let(text, lambda t: F.when(good(t), t).otherwise(fallback))
 
 
 def paragraphs(text: Column) -> Column:
