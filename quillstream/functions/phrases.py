@@ -194,7 +194,7 @@ def context_flags(before: Column | str, after: Column | str | None = None, packs
 
 
 def _product(flags: Column | str, factors: dict[str, float]) -> Column:
-    return F.round(reduce(lambda a, x: a * x, (F.when(F.array_contains(col(flags), name), weight).otherwise(1.0) for name, weight in factors.items())), 6)
+    return F.round(reduce(lambda a, x: a * x, (F.when(F.array_contains(col(flags), name), weight).otherwise(1.0) for name, weight in factors.items())), 9)
 
 
 def context_factor(flags: Column | str, packs: dict = CONTEXT) -> Column:

@@ -139,7 +139,7 @@ _FLAGS = ", ".join(f"CASE WHEN {_flag(n)} THEN '{n}' END" for n in FLAGS) + f",
 _FACTOR = " * ".join(f"CASE WHEN {_flag(n)} THEN {w} ELSE 1.0 END" for n, (_, w, _) in FLAGS.items()) + f" * CASE WHEN {_RISK} THEN {ph.RISK_FACTOR} ELSE 1.0 END"
 _SURE = " * ".join(f"CASE WHEN {_flag(n) if n in FLAGS else _RISK} THEN {w} ELSE 1.0 END" for n, w in ph.SIGNAL_FACTORS.items())
 FLAGGED = f"""around AS (SELECT s.*, substring(text, greatest(start - 30, 0) + 1, start - greatest(start - 30, 0)) AS before, substring(text, stop + 1, 30) AS after FROM signals s JOIN documents USING (doc_id)),
-    flagged AS (SELECT doc_id, start, stop, direction, confidence, concat_ws(',', {_FLAGS}) AS flags, round(({_FACTOR})::DOUBLE, 6) AS factor, least(greatest(round(({_SURE})::DOUBLE, 6), 0.05), 1.0) AS sure FROM around)"""
+    flagged AS (SELECT doc_id, start, stop, direction, confidence, concat_ws(',', {_FLAGS}) AS flags, round(({_FACTOR})::DOUBLE, 9) AS factor, least(greatest(round(({_SURE})::DOUBLE, 9), 0.05), 1.0) AS sure FROM around)"""
 
 
 def _flagged(s, d):
