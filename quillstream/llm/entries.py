@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import bpe, chat, media, neardup, neighbours, oracles, packing, pii, suffixes, toxicity, urlfilter
+from quillstream.llm import bpe, chat, licenses, media, neardup, neighbours, oracles, packing, phrases, pii, spelling, suffixes, toxicity, urlfilter
 from quillstream.llm.common import table
 
 
@@ -57,6 +57,18 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -69,6 +81,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_packing": op9_packing,
         "op10_neardup": op10_neardup,
+        "op11_spelling": op11_spelling,
+        "op12_licenses": op12_licenses,
+        "op13_phrases": op13_phrases,
     }
 
 

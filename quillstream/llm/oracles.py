@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstream.llm import urlfilter
+from quillstream.llm import licenses, urlfilter
 
 #: Words without ASCII blanks, as a list.
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -69,6 +69,82 @@ WITH RECURSIVE split AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept FROM documents JOIN named USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
+#: A-Z alone, lower-cased.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: The checksum's table follows from its polynomial; a letter up to U+00FF is one or two bytes.
+OP11 = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT concat(doc_id, ':') AS head, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) AS run FROM documents
+), distinct_runs AS (
+  SELECT head, run, count(*) AS n, list_transform(string_split(head || run, ''), lambda x: unicode(x)::BIGINT) AS points FROM runs GROUP BY ALL
+), bytes AS (
+  SELECT run, n, flatten(list_transform(points, lambda p: CASE WHEN p < 128 THEN [p] ELSE [192 | (p >> 6), 128 | (p & 63)] END)) AS b FROM distinct_runs
+), hashed AS (
+  SELECT run, n, xor(list_reduce([4294967295] || b, lambda c, x: xor(crc.t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS h FROM bytes, crc
+), words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed
+), vocabulary AS (
+  SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), places AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary
+), cut AS (
+  SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM places
+), holes AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS hole FROM places
+), near AS (
+  SELECT a.word AS a, a.n AS n_a, b.word AS b, b.n AS n_b FROM holes a JOIN holes b ON a.hole = b.hole AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT c.word, c.n, v.word, v.n FROM cut c JOIN vocabulary v ON c.rest = v.word
+  UNION ALL SELECT v.word, v.n, c.word, c.n FROM cut c JOIN vocabulary v ON c.rest = v.word
+), best AS (
+  SELECT a AS word, count(*) AS n_near, min(struct_pack(less := -n_b, form := b)) FILTER (n_b >= 2 * n_a) AS best FROM near GROUP BY a
+), formed AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, best.form AS form, -best.less AS form_n FROM vocabulary v LEFT JOIN best USING (word)
+), paths AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL SELECT p.word, f.form FROM paths p JOIN formed f ON p.at = f.word WHERE f.form IS NOT NULL
+), roots AS (
+  SELECT p.word, p.at AS root FROM paths p JOIN formed f ON p.at = f.word WHERE f.form IS NULL
+)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM formed JOIN roots USING (word)
+"""
+
+OP13 = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), split AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), grams AS (
+  SELECT lang, 1 AS length, unnest(w) AS phrase FROM split
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM split
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM split
+), f AS (
+  SELECT lang, phrase, length, count(*)::HUGEINT AS f FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE length = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, phrase, string_split(phrase, ' ') AS w, length, f AS a FROM f WHERE length >= 2 AND f >= 10
+), halves AS (
+  SELECT lang, phrase, a, length, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 : length], ' ') AS tail
+  FROM candidates, (VALUES (1), (2)) cut(k) WHERE k < length
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.length, k, x.f AS l, y.f AS r, (1000000 * a * a) // (x.f * y.f) AS score
+  FROM halves c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.tail
+), weakest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), held AS (
+  SELECT lang, phrase, max(a) AS holder
+  FROM (SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM candidates WHERE length = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM candidates WHERE length = 3) GROUP BY ALL
+), kept AS (
+  SELECT lang, phrase, a, l, r, score FROM weakest LEFT JOIN held USING (lang, phrase) WHERE length = 3 OR holder IS NULL OR 100 * holder < 50 * a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": OP1, "op2_chat": OP2, "op7_urls": urlfilter.ORACLE, "op10_neardup": OP10}
+    return {"op1_suffix_dedup": OP1, "op2_chat": OP2, "op7_urls": urlfilter.ORACLE, "op10_neardup": OP10, "op11_spelling": OP11, "op12_licenses": licenses.ORACLE, "op13_phrases": OP13}
