@@ -681,5 +681,5 @@ def test_empty_tables(spark):
     assert suffixes.without_repeats(docs).count() == neardup.deduplicate(docs).count() == 0
 
 
-def test_entries_name_ten_operators():
-    assert sorted(int(q[2:].split("_")[0]) for q in entries.queries()) == list(range(1, 11))
+def test_entries_name_all_operators():
+    assert sorted(int(q[2:].split("_")[0]) for q in entries.queries()) == list(range(1, 14))
