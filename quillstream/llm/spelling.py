@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import bounds, small, tidy, written
+from quillstream.llm.common import bounds, tidy, written
 
 SYMBOLS = 8
 #: A word counts if it has so many letters and occurs so often.
@@ -158,7 +158,7 @@ def near_words(words: DataFrame) -> DataFrame:
     sent = words.select("id", "word").mapInArrow(tidy(_neighbourhood), "form long, a long, a_parity long")
     filed = words.select("form", F.col("id").alias("b"), F.col("parity").alias("b_parity"))
     alike = sent.join(filed, "form").filter("a <> b AND bit_count(a_parity ^ b_parity) <= 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    texts = small(words.select("id", "word", "n"))
+    texts = words.select("id", "word", "n")
     pairs = written(alike.distinct())
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("id").alias(side), F.col("word").alias(f"word_{side}"), F.col("n").alias(f"n_{side}")), side)
