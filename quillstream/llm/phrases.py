@@ -39,7 +39,7 @@ WITHIN = 50
 #: The report's length for each language.
 TOP = 2000
 #: Words, or bytes of them, that a task sorts at once.
-HELD, HELD_BYTES = 2_000_000, 128 << 20
+HELD, HELD_BYTES = 1_500_000, 96 << 20
 #: Parts of phrases for each task that sorts them again, and parts in which a language is ranked first.
 PARTS, RANKED = 2, 64
 
@@ -226,15 +226,8 @@ def _merged(blocks: list[tuple[bytes, bytes]], least: int) -> Iterator[pa.Record
 
 def _routed(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The parts of a partition, which is sorted by part, one after another."""
-        part, blocks = None, []
-        for batch in batches:
-            for p, words, rows in zip(batch["part"].to_pylist(), batch["words"].to_pylist(), batch["rows"].to_pylist(), strict=True):
-                if p != part and blocks:
-                    yield from _merged(blocks, least)
-                    blocks = []
-                part = p
-                blocks.append((words, rows))
+        """A partition is one part."""
+        blocks = [pair for batch in batches for pair in zip(batch["words"].to_pylist(), batch["rows"].to_pylist(), strict=True)]
         if blocks:
             yield from _merged(blocks, least)
 
@@ -246,7 +239,7 @@ def counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     and lang, total, all word occurrences."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select("text", "lang").mapInArrow(tidy(_local(PARTS * tasks)), "part int, words binary, rows binary")
-    routed = dealt.repartition(tasks, "part").sortWithinPartitions("part")
+    routed = dealt.repartitionById(PARTS * tasks, F.col("part"))
     found = written(routed.mapInArrow(tidy(_routed(least)), ", ".join(f"{c} {'long' if c == 'n' else 'string'}" for c in _COLUMNS)))
     return found.filter("w1 IS NOT NULL"), found.filter("w1 IS NULL").groupBy("lang").agg(F.sum("n").alias("total"))
 
