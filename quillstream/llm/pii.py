@@ -3,24 +3,26 @@
 The network is trained in numpy from labelled spans: windows of the corpus with what the patterns find in
 them, at most `TRAINING_WINDOWS` (by hash, over all documents), and copies of these windows in which each
 span is written another way that the patterns do not know: a mail address with "(at)" and "dot", an address
-with blanks or brackets round its dots, a card with other separators, a telephone without its plus. So it
-learns the forms and what stands around them, and finds what no pattern does. Texts are read in overlapping
-windows. Every kind needs a digit, a sign for "at", or that word between brackets or before a spelled "dot",
-so labels other than "outside" are ruled out in windows that hold none of these, and these are not run. The
+with blanks or brackets round its dots, a card with other separators, a telephone without its plus. So it learns the forms and what stands around them, and finds what no pattern does. Texts are read
+in overlapping windows. Every kind needs a digit, a sign for "at", that word between brackets, or the words "at" and "dot"
+in one window, so labels other than "outside" are ruled out in windows that hold none of these, and these are not run. The
 others' Viterbi paths give spans, which are reconciled over the whole text: overlapping spans of a kind
 become one, of different kinds the surer one stays, and those that a pattern's span overlaps give way to it.
 What can be verified is: an address has four numbers up to 255, a card passes the check of its last digit.
 
 Defined results: null and empty texts have no spans; a text of any length is read whole; repeated rows get
 equal results, and windows that are equal count once in the sample's order, so that ties change nothing; a
-corpus without labelled spans leaves the patterns alone, an empty one has no rows. Further columns are ignored
+corpus without labelled spans leaves the patterns alone, an empty one has no rows. Patterns are matched in time that
+grows with the text's length, whatever runs of digits, letters or signs it holds. Further columns are ignored
 by `find` (its own names clash with none) and kept by `redact`. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,13 +44,18 @@ GROUP = 192
 #: Least mean margin (label against outside, per character) of an added span.
 LEAST_MARGIN = 2.0
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
-PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SIGN = re.compile(r"[0-9@]")
-#: Without one of these a text holds no personal data in any spelling: a digit, a sign for "at", or the word.
-_HINT = re.compile(r"[0-9@０-９＠]|[(\[{<]\s?[aA][tT]\s?[)\]}>]|(?<=\s)[aA][tT](?=\s[^@]{1,60}?\s[dD][oO][tT]\s)")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+#: A match begins where a run of digits does: none begins within one, as digits are taken whole.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: How "at" and "dot" are spelled out.
+AT_WORDS, DOT_WORDS = ("at", "arroba"), ("dot", "punto", "punkt")
+_AT_WORD = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:{'|'.join(AT_WORDS)})(?![A-Za-z0-9])")
+_DOT_WORD = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:{'|'.join(DOT_WORDS)})(?![A-Za-z0-9])")
+#: A digit, a sign for "at", or the word between brackets.
+_HINT = re.compile(rf"(?i)[0-9@０-９＠]|[(\[{{<]\s?(?:{'|'.join(AT_WORDS)})\s?[)\]}}>]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -57,37 +64,72 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping mail addresses: from each sign the local part to its left, as far as nothing took it, and the host to its right."""
+    out, done = [], 0
+    at = text.find("@")
+    while at >= 0:
+        before = text[done:at]
+        start = done + len(before.rstrip(_LOCAL))
+        host = _HOST.match(text, at + 1) if start < at else None
+        # what stands before this sign belongs to no later address
+        done = host.end() if host else at + 1
+        if host:
+            out.append((start, done))
+        at = text.find("@", max(done, at + 1))
+    return out
+
+
+def numbers(text: str) -> list[tuple[int, int]]:
+    """All chains of digits that are as long as a card's."""
+    return [m.span() for m in _CARD.finditer(text) if m.end() - m.start() >= 14 and 14 <= len(_NO_DIGIT.sub("", m.group())) <= 19]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what the patterns find, in order of start, then kind."""
-    out = []
-    if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
-    if _SIGN.search(text):
-        if "." in text:
-            out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m.group().split("."))]
-        for m in CARD.finditer(text):
-            if m.end() - m.start() >= 14 and 14 <= len(digits := _NO_DIGIT.sub("", m.group())) <= 19 and luhn(digits):
-                out.append((m.start(), 2, m.end()))
-        if "+" in text:
-            out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 10 <= len(_NO_DIGIT.sub("", m.group())) <= 15]
+    out = [(a, 0, b) for a, b in emails(text)]
+    if "." in text:
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m.group().split("."))]
+    out += [(a, 2, b) for a, b in numbers(text) if luhn(_NO_DIGIT.sub("", text[a:b]))]
+    if "+" in text:
+        out += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 10 <= len(_NO_DIGIT.sub("", m.group())) <= 15]
     return sorted(out)
 
 
+class Apart:
+    """Spans (start, kind, end), asked which of them overlap another."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]) -> None:
+        self.spans = sorted(spans)
+        self.starts = [a for a, _, _ in self.spans]
+        self.reach = list(itertools.accumulate((b for _, _, b in self.spans), max))
+
+    def over(self, a: int, b: int) -> list[tuple[int, int, int]]:
+        first = bisect_right(self.reach, a)
+        return [s for s in self.spans[first : bisect_left(self.starts, b)] if s[2] > a]
+
+
 def shaped_spans(text: str) -> list[tuple[int, int, int]]:
     """What the network is to learn: the patterns' spans, and numbers that only fail the check of a card. Shape is for it to tell, the check is made afterwards."""
     own = base_spans(text)
-    more = [(m.start(), 2, m.end()) for m in CARD.finditer(text) if m.end() - m.start() >= 14 and 14 <= len(_NO_DIGIT.sub("", m.group())) <= 19]
-    return sorted(own + [s for s in more if not any(s[0] < z and y < s[2] for y, _, z in own)])
+    known = Apart(own)
+    return sorted(own + [(a, 2, b) for a, b in numbers(text) if not known.over(a, b)])
 
 
 def windows(text: str) -> list[int]:
     """Starts of the windows that hold a hint."""
     last = max(0, -(-(len(text) - WINDOW) // STRIDE))
+    places = [m.start() for m in _HINT.finditer(text)]
+    dots = [m.start() for m in _DOT_WORD.finditer(text)]
+    for m in _AT_WORD.finditer(text) if dots else ():
+        near = bisect_left(dots, m.end())
+        if near < len(dots) and dots[near] - m.start() < WINDOW:
+            places += [m.start(), dots[near]]
     out: set[int] = set()
-    for m in _HINT.finditer(text):
-        i = min(m.start() // STRIDE, last)
+    for at in places:
+        i = min(at // STRIDE, last)
         out.add(i)
-        if i and m.start() - (i - 1) * STRIDE < WINDOW:
+        if i and at - (i - 1) * STRIDE < WINDOW:
             out.add(i - 1)
     return sorted(i * STRIDE for i in out)
 
@@ -308,8 +350,9 @@ def labelled_windows(docs: DataFrame, most: int = TRAINING_WINDOWS, copies: int
                 text = value.as_py() or ""
                 starts = windows(text)
                 spans = shaped_spans(text) if starts else []
+                known = Apart(spans)
                 for s in starts:
-                    inside = [(max(a, s) - s, k, min(b, s + WINDOW) - s) for a, k, b in spans if a < s + WINDOW and b > s]
+                    inside = [(max(a, s) - s, k, min(b, s + WINDOW) - s) for a, k, b in known.over(s, s + WINDOW)]
                     out.append((text[s : s + WINDOW], ",".join(f"{a}:{k}:{b}" for a, k, b in inside), int(bool(inside))))
             columns = zip(*out, strict=True) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32()), strict=True)], names=["text", "spans", "has"])
@@ -355,7 +398,7 @@ def _path_spans(path: np.ndarray, e: np.ndarray) -> list[tuple[int, int, int, fl
     return out
 
 
-_AT = re.compile(r"@|\b[aA][tT]\b")
+_AT = re.compile(rf"(?i)@|(?<![A-Za-z0-9])(?:{'|'.join(AT_WORDS)})(?![A-Za-z0-9])")
 _NUMBER = re.compile(r"[0-9]+")
 
 
@@ -373,27 +416,54 @@ def verified(piece: str, kind: int) -> bool:
     return 10 <= len(digits) <= 15
 
 
-def _snapped(text: str, a: int, b: int, kind: int) -> tuple[int, int]:
-    """A span widened to the ends of the words or numbers that it cuts."""
-    of = (lambda x, y: x.isalnum() and y.isalnum()) if kind == 0 else (lambda x, y: x.isdecimal() and y.isdecimal())
-    while a > 0 and of(text[a - 1], text[a]):
-        a -= 1
-    while b < len(text) and of(text[b - 1], text[b]):
-        b += 1
-    return a, b
+_WORD_RUN, _DIGIT_RUN = re.compile(r"[^\W_]+"), re.compile(r"\d+")
+
+
+def _snapped(text: str, spans: list[list], kind: int) -> list[list]:
+    """Spans (start, kind, end, margin) of one kind, in order, widened to the ends of the words or numbers that they cut; those that then overlap are one."""
+    pattern, out = (_WORD_RUN if kind == 0 else _DIGIT_RUN), []
+    of = (lambda c: c.isalnum()) if kind == 0 else (lambda c: c.isdecimal())
+    for a, _, b, m in spans:
+        if out and a < out[-1][2]:
+            if b <= out[-1][2]:
+                out[-1][3] = max(out[-1][3], m)
+                continue
+            a = out[-1][2]
+        floor = out[-1][2] if out else 0
+        while a > floor and of(text[a - 1]) and of(text[a]):
+            a -= 1
+        if of(text[b - 1]) and (more := pattern.match(text, b)):
+            b = more.end()
+        if out and a == out[-1][2] and a and of(text[a - 1]) and of(text[a]):
+            out[-1][2], out[-1][3] = b, max(out[-1][3], m)
+        else:
+            out.append([a, kind, b, m])
+    return out
 
 
-def _outside(text: str, a: int, b: int, own: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+def _outside(text: str, a: int, b: int, own: Apart) -> list[tuple[int, int]]:
     """What the spans of `own` leave of a span, without blanks at its ends."""
     out = []
-    for y, _, z in own:
-        if y < b and a < z:
+    for y, _, z in own.over(a, b):
+        if a < z:
             out.append((a, y))
             a = max(a, z)
     parts = [(i + len(text[i:j]) - len(text[i:j].lstrip()), i + len(text[i:j].rstrip())) for i, j in (*out, (a, b)) if i < j]
     return [(i, j) for i, j in parts if i < j]
 
 
+class Taken:
+    """Spans that do not overlap, put in one by one."""
+
+    def __init__(self) -> None:
+        self.spans: list[tuple[int, int, int]] = []
+
+    def put(self, a: int, kind: int, b: int) -> None:
+        i = bisect_left(self.spans, (a, kind, b))
+        if not (i and self.spans[i - 1][2] > a) and not (i < len(self.spans) and self.spans[i][0] < b):
+            self.spans.insert(i, (a, kind, b))
+
+
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
     """What the network adds to the patterns' spans of each text."""
     places = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
@@ -413,18 +483,19 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], tagger
     for text, spans, own in zip(texts, found, base, strict=True):
         merged: list[list] = []
         for kind in range(len(KINDS)):
-            last = None
+            joined: list[list] = []
             for a, _, b, m in sorted(s for s in spans if s[1] == kind):
-                if last and a < last[2]:
-                    last[2], last[3] = max(last[2], b), max(last[3], m)
+                if joined and a < joined[-1][2]:
+                    joined[-1][2], joined[-1][3] = max(joined[-1][2], b), max(joined[-1][3], m)
                 else:
-                    merged.append(last := [a, kind, b, m])
-        kept: list[tuple[int, int, int]] = []
-        for a, kind, b, m in sorted(merged, key=lambda s: (-s[3], s[0])):
-            for a, b in _outside(text, *_snapped(text, a, b, kind), own) if m >= LEAST_MARGIN else ():  # noqa: PLW2901
-                if verified(text[a:b], kind) and not any(a < z and y < b for y, _, z in kept):
-                    kept.append((a, kind, b))
-        out.append(sorted(kept))
+                    joined.append([a, kind, b, m])
+            merged += _snapped(text, [s for s in joined if s[3] >= LEAST_MARGIN], kind)
+        known, kept = Apart(own), Taken()
+        for a, kind, b, _ in sorted(merged, key=lambda s: (-s[3], s[0])):
+            for x, y in _outside(text, a, b, known):
+                if verified(text[x:y], kind):
+                    kept.put(x, kind, y)
+        out.append(kept.spans)
     return out
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -545,10 +546,40 @@ def test_pii_skipped_windows_hold_nothing(spark, tagger, monkeypatch):
 def test_pii_parts_that_patterns_leave():
     text = "at +1 (826) 555-4081 190.137.2.10 du"
     assert pii.base_spans(text) == [(21, 1, 33)]  # the telephone runs into the address and is too long
-    assert pii._outside(text, 3, 33, pii.base_spans(text)) == [(3, 20)]
+    assert pii._outside(text, 3, 33, pii.Apart(pii.base_spans(text))) == [(3, 20)]
     assert pii.verified("9[.]8[.]7[.]6", 1) and not pii.verified("9.8.7.600", 1) and not pii.verified("4111 1111 1111 1112", 2)
 
 
+def brute_base(text):
+    """The patterns as they are written, by plain search."""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    return sorted(out + [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(digits(m)) <= 15])
+
+
+def test_pii_base_spans_are_the_patterns(spark):
+    rng = random.Random(1)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    kinds = ["a1.@- ", "12.", "@a.", "+1 ()-.", "0123456789 -", "a@b.c-_ 1+", "4111 -"]
+    texts += ["".join(rng.choice(kind) for _ in range(rng.randint(0, 60))) for kind in kinds for _ in range(1500)]
+    for t in texts:
+        assert pii.base_spans(t) == brute_base(t), t
+
+
+@pytest.mark.parametrize("piece", ["1", "a", "1.", "+1 ", "@", "a@", "1 ", "a.", "a@a", "+", "1-", "at dot "])
+def test_pii_patterns_are_linear(piece):
+    """A megabyte of anything; what looks at windows beside the patterns is linear as well."""
+    text = piece * (1_000_000 // len(piece))
+    began = time.time()
+    pii.base_spans(text)
+    took = time.time() - began
+    pii.shaped_spans(text)
+    pii.windows(text)
+    assert took < 3 and time.time() - began < 15
+
+
 def test_pii_columns_ties_and_long_texts(spark, tagger):
     long = "word " * 60_000 + "mail a.b@c.de"
     docs = spark.createDataFrame([(1, long), (1, long), (2, None), (None, "x@y.zz")], "doc_id long, text string").withColumns({"spans": F.lit(1), "n_email": F.lit("x")})
