@@ -57,10 +57,20 @@ def valid_time(time: Column | str, first: int = 2000, last: int = 2100) -> Colum
     return F.when(F.year(col(time)).between(first, last), col(time))
 
 
+#: Blanks but the line end, as in a character class: Java's and RE2's own know ASCII alone, texts indent with U+3000.
+BLANKS = r"\t\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+OUTER = rf"^[\n{BLANKS}]+|[\n{BLANKS}]+\z"
+
+
+def stripped(text: Column | str) -> Column:
+    """A text without blanks of any kind at its ends."""
+    return F.regexp_replace(col(text), OUTER, "")
+
+
 def normalized_space(text: Column | str) -> Column:
     """LF line ends, at most one empty line between others, blanks collapsed and trimmed within lines."""
     out = F.regexp_replace(F.regexp_replace(col(text), r"\r\n?", "\n"), r"[ \t]+", " ")
-    return F.regexp_replace(F.regexp_replace(out, r" ?\n ?", "\n"), r"\n{3,}", "\n\n")
+    return F.regexp_replace(F.regexp_replace(out, rf"[{BLANKS}]*\n[{BLANKS}]*", "\n"), r"\n{3,}", "\n\n")
 
 
 def redacted(text: Column | str, secrets: tuple[str, ...] = (), most: int | None = None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstream.functions.columns import col, redacted
+from quillstream.functions.columns import col, redacted, stripped
 from quillstream.packs import BOILERPLATE
 
 # What fields of evidence may hold.
@@ -87,8 +87,8 @@ def normal_evidence(column: str, secrets: tuple[str, ...] = ()) -> Column:
 
 def without_dangling_tail(text: Column | str, most: int = 32) -> Column:
     """A text cut to its last end of a sentence if a short rest without one follows."""
-    x = F.regexp_replace(col(text), r"^\s+|\s+\z", "")
+    x = stripped(text)
     cut = F.regexp_extract(x, r"^([\s\S]*[。！？；;])([^。！？；;]*)\z", 1)
-    tail = F.regexp_replace(F.regexp_extract(x, r"^([\s\S]*[。！？；;])([^。！？；;]*)\z", 2), r"^\s+|\s+\z", "")
+    tail = stripped(F.regexp_extract(x, r"^([\s\S]*[。！？；;])([^。！？；;]*)\z", 2))
     whole = x.rlike(r"[。！？；.!?;”’」』]\z") | (cut == "")
     return F.when(whole, x).when(F.length(tail) <= most, cut).otherwise(x)

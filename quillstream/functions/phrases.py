@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstream.functions.columns import col, let
+from quillstream.functions.columns import col, let, stripped
 
 #: Full-width letters, digits and signs by their code points, and what they stand for.
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
@@ -62,25 +65,49 @@ def half_width(text: Column | str) -> Column:
     return F.translate(col(text), TEXT_WIDE, TEXT_NARROW)
 
 
-def _narrow(text: Column | str) -> Column:
-    """All full-width forms in half width, and without blanks at the ends: what names need of compatibility forms."""
-    return F.trim(F.translate(col(text), WIDE, NARROW))
+#: Texts that compatibility normalisation leaves alone but for case: they stay in the JVM.
+_PLAIN = r"^[\x00-\x1B\x20-\x7F一-鿿]*\z"
+
+
+def _unicode(text: Column | str, native: Column, change: Callable[[str], str]) -> Column:
+    """native where a text is plain, else change(text), by Arrow batch; plain texts go to it as nulls."""
+    plain = col(text).rlike(_PLAIN)
+
+    @F.pandas_udf("string")
+    def changed(texts: pd.Series) -> pd.Series:
+        return texts.map(change, na_action="ignore")
+
+    return F.when(plain, native).otherwise(changed(F.when(~plain, col(text))))
+
+
+def nfkc(text: Column | str) -> Column:
+    """Unicode's compatibility form."""
+    return _unicode(text, col(text), lambda t: unicodedata.normalize("NFKC", t))
 
 
 #: What an alias is spelled without: in the legacy form, and in the canonical one.
 ALIAS_CLASS = r"[\s【】\[\]():]+"
 CANONICAL_CLASS = r"[\s\x{200b}-\x{200d}\x{feff}【】\[\](){}<>:、,;/\\\"'“”‘’`]+"
+#: What a shown alias has not at its ends.
+ALIAS_ENDS = "【】[](){}<>:、,;"
 
 
 def alias_key(text: Column | str, canonical: bool = False) -> Column:
-    """One spelling of an alias: half width, lower case, without blanks, brackets and colons (in the canonical form without any such sign)."""
-    return F.regexp_replace(F.lower(_narrow(text)), CANONICAL_CLASS if canonical else ALIAS_CLASS, "")
+    """One spelling of an alias: compatibility form, case folded, without blanks, brackets and colons (in the canonical form without any such sign)."""
+    without = CANONICAL_CLASS if canonical else ALIAS_CLASS
+    pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", r"\\u\1", without))
+    return _unicode(text, F.regexp_replace(F.lower(col(text)), without, ""), lambda t: pattern.sub("", unicodedata.normalize("NFKC", t).strip().casefold()))
+
+
+def without_ends(text: Column) -> Column:
+    """A normalised alias without blanks at its ends and then without punctuation there."""
+    ends = f"[{re.escape(ALIAS_ENDS)}]+"
+    return F.regexp_replace(F.regexp_replace(stripped(text), f"^{ends}", ""), rf"{ends}\z", "")
 
 
 def shown_alias(text: Column | str) -> Column:
-    """Half width, without blanks and punctuation at its ends."""
-    ends = r"[\s【】\[\](){}<>:、,;]+"
-    return F.regexp_replace(F.regexp_replace(_narrow(text), f"^{ends}", ""), rf"{ends}\z", "")
+    """Compatibility form, without blanks at its ends and then without punctuation there."""
+    return _unicode(text, without_ends(col(text)), lambda t: unicodedata.normalize("NFKC", t).strip().strip(ALIAS_ENDS))
 
 
 def without_residue(text: Column | str) -> Column:

@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.functions.columns import let
-from quillstream.functions.phrases import CONTACTS, without_contact_patterns
+from quillstream.functions.columns import BLANKS, let, stripped
+from quillstream.functions.phrases import CONTACTS, SIGNS
 from quillstream.packs import CHART_TERMS, CHART_TITLES, DISPLAY_NOISE, FRAGMENT_TERMS, SECTION_FIELDS, SOURCE_CODES, SOURCE_MARKS, TABLE_WORDS, ZH, CleaningPack, any_of
 
 MOST_CHARS = 500_000
 
 
-def stripped(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+\z", "")
-
-
 def bare(x: Column) -> Column:
-    return F.regexp_replace(x, r"\s+", "")
+    """Without any blank."""
+    return F.regexp_replace(x, rf"[\n{BLANKS}]+", "")
 
 
 def count(x: Column, pattern: str) -> Column:
@@ -25,18 +22,25 @@ def count(x: Column, pattern: str) -> Column:
 
 
 def has(x: Column, words) -> Column:
-    return x.rlike(any_of(words))
+    """Whether a text holds one of some words. Plain searches: a pattern of many alternatives would try each at each place."""
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(x, w))
+
+
+def count_of(x: Column, letters: str) -> Column:
+    """How many characters of a class (as in brackets) a text holds."""
+    return F.length(F.regexp_replace(x, f"[^{letters}]+", ""))
 
 
 def noise_line(line: Column, pack: CleaningPack = ZH) -> Column:
     """A line that is an address, a rule, a page number or the like, or holds a noise word. Blank lines are none."""
     x = stripped(line)
-    return (x != "") & (x.rlike("|".join(pack.noise_patterns)) | x.rlike("(?i)" + any_of(pack.noise_words)))
+    words = [w.lower() for w in pack.noise_words]
+    return let(x, lambda y: (y != "") & (y.rlike("|".join(pack.noise_patterns)) | let(F.lower(y), lambda low: has(low, words))))
 
 
 def paragraph_pattern(pack: CleaningPack) -> str:
     """A noise paragraph: from a mark to the end of its line, and the indented lines that follow."""
-    return rf"(?i)(?:{'|'.join(pack.paragraphs)})[^\n]*(?:\n[ \t\r\f][^\n]*)*(?:\n\z)?"
+    return rf"(?i)(?:{'|'.join(pack.paragraphs)})[^\n]*(?:\n[{BLANKS}][^\n]*)*(?:\n\z)?"
 
 
 def without_noise_paragraphs(text: Column, pack: CleaningPack = ZH) -> Column:
@@ -67,13 +71,13 @@ def featured(table: DataFrame, pack: CleaningPack = ZH) -> DataFrame:
     out = table.withColumn("x", stripped(F.col("line"))).withColumn("bare", bare(x))
     out = out.withColumns(
         {
-            "letters": count(x, pack.letters),
-            "digits": count(x, r"\d"),
+            "letters": count_of(x, pack.letters[1:-1]),
+            "digits": count_of(x, "0-9"),
             "dates": count(x, r"\b\d{1,2}[-/.]\d{1,2}\b"),
             "numbers": count(x, r"[-+]?\d[\d,.]*"),
-            "alpha": count(x, "[A-Za-z]"),
+            "alpha": count_of(x, "A-Za-z"),
             "size": F.length(F.replace(x, F.lit(" "), F.lit(""))),
-            "signs": count(b, f"[^A-Za-z0-9{pack.letters[1:]}"),
+            "signs": F.length(F.regexp_replace(b, f"[A-Za-z0-9{pack.letters[1:]}+", "")),
             "judged": has(x, pack.judgement_hints),
         }
     )
@@ -240,39 +244,48 @@ def clean_outcome(raw: Column, cleaned: Column, analyzable: Column, most: int =
 
 # What goes from within a line that is shown, and labels that may be left alone on one.
 INLINE_NOISE = (*CONTACTS, r"请务必(?:仔细)?阅读正文后免责(?:申明|声明|条款)?", r"all rights reserved")
-ORPHANS = r"^(?:基本|联系电话|咨询电话|客服电话|客服热线|电话|传真|邮箱)\s*[:：]?\s*\z"
+ORPHANS = r"^(?:基本|联系电话|咨询电话|客服电话|客服热线|电话|传真|邮箱)[ \t]*[:：]?[ \t]*$"
 ENDS = r" \t:：,，;；"
 
 
-def shown_line(line: Column) -> Column:
-    """A line as users see it: without contacts and page marks, compacted, and '' if nothing but a label is left."""
-    out = without_contact_patterns(stripped(line))
-    for pattern in INLINE_NOISE[len(CONTACTS) :]:
-        out = F.regexp_replace(out, "(?i)" + pattern, " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"\b\d+\s*/\s*\d+\b", " "), r"[ \t]+", " ")
-    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"\s+([，。；：！？、])", "$1"), r"([【（(])\s+", "$1"), r"\s+([】）)])", "$1")
-    return stripped(F.regexp_replace(F.regexp_replace(out, f"^[{ENDS}]+|[{ENDS}]+\\z", ""), ORPHANS, ""))
+#: The same within lines: blanks of any kind, but none of them ends a line.
+_IN_LINE = tuple((sign, x.replace(r"[-\s]", f"[-{BLANKS}]").replace(r"\s", f"[{BLANKS}]")) for sign, x in zip((*SIGNS, "请务必", "(?i)all rights reserved"), INLINE_NOISE, strict=True))
+
+
+def _where(text: Column, sign: str, pattern: str, to: str = "") -> Column:
+    """A pattern's matches replaced in texts that hold its sign; the others are not searched."""
+    return let(text, lambda t: F.when(t.rlike(sign), F.regexp_replace(t, pattern, to)).otherwise(t))
 
 
-def display_noise(line: Column, words=DISPLAY_NOISE) -> Column:
-    b = bare(line)
-    return (b == "") | has(b, words) | b.rlike(r"^(?:第?\d+页?|[\d/\-.]+|[一-鿿]{2,16}(?:期货)?(?:有限责任)?公司(?:研究所)?)\z")
+def shown_lines(text: Column) -> Column:
+    """A text whose lines are as users see them: without contacts and page marks, compacted, and blank if nothing but a label is left. Each pattern reads the text once, and none goes beyond a line."""
+    out = F.regexp_replace(text, rf"(?md)^[{BLANKS}]+|[{BLANKS}]+$", "")
+    for sign, pattern in _IN_LINE:
+        out = _where(out, sign, "(?i)" + pattern, " ")
+    out = _where(out, "/", rf"\b\d+[{BLANKS}]*/[{BLANKS}]*\d+\b", " ")
+    out = F.regexp_replace(out, r"[ \t]+", " ")
+    out = _where(out, r"[，。；：！？、】）)]", rf"(?<![{BLANKS}])[{BLANKS}]+([，。；：！？、】）)])", "$1")
+    out = _where(out, r"[【（(]", rf"([【（(])[{BLANKS}]+", "$1")
+    out = F.regexp_replace(out, rf"(?md)^[{ENDS}]+|(?<![{ENDS}])[{ENDS}]+$", "")
+    return F.regexp_replace(F.regexp_replace(out, rf"(?md){ORPHANS}", ""), rf"(?md)^[{BLANKS}]+|(?<![{BLANKS}])[{BLANKS}]+$", "")
 
 
 def displayed(text: Column, most: int | None = None, words=DISPLAY_NOISE) -> Column:
     """A text as users see it: fences, page heads and source lines go, lines are cleaned, noise and adjacent repeats go; a cap ends in a full stop."""
     out = F.regexp_replace(text, r"\r\n?", "\n")
-    for pattern, to in ((r"```(?:\w+)?\s*([\s\S]*?)\s*```", "$1"), (r"(?im)^#{2,}\s*Page\s+\d+\s*$", ""), (r"(?m)^#+\s*文档信息\s*$", ""), (r"(?m)^(?:来源文件|解析器)\s*[:：].*$", "")):
-        out = F.regexp_replace(out, pattern, to)
-    lines = F.filter(F.transform(F.split(out, "\n"), shown_line), lambda x: ~display_noise(x, words))
+    for sign, pattern, to in (("```", r"```(?:\w+)?\s*([\s\S]*?)\s*```", "$1"), ("(?i)#Page|# *Page|#\\s+Page", r"(?im)^#{2,}\s*Page\s+\d+\s*$", ""), ("#[\\s#]*文档信息", r"(?m)^#+\s*文档信息\s*$", ""), ("来源文件|解析器", r"(?m)^(?:来源文件|解析器)\s*[:：].*$", "")):
+        out = _where(out, sign, pattern, to)
+    # each line with its bare form, by which noise and repeats are told
+    lines = F.transform(F.split(shown_lines(out), "\n"), lambda x: F.struct(x.alias("x"), bare(x).alias("b")))
+    marks = r"^(?:第?\d+页?|[\d/\-.]+|[一-鿿]{2,16}(?:期货)?(?:有限责任)?公司(?:研究所)?)\z"
+    kept = F.filter(lines, lambda y: (y["b"] != "") & ~has(y["b"], words) & ~y["b"].rlike(marks))
 
     def single(own: Column) -> Column:
         # lines unlike the one before
-        last = F.concat(F.array(F.lit("")), own)
-        pairs = F.filter(F.arrays_zip(own.alias("x"), F.slice(last, F.lit(1), F.size(own)).alias("y")), lambda p: bare(p["x"]) != bare(p["y"]))
-        return stripped(F.regexp_replace(F.array_join(F.transform(pairs, lambda p: p["x"]), "\n"), r"[ \t]{2,}", " "))
+        last = F.filter(own, lambda y, i: (i == 0) | (F.get(own, i - F.lit(1))["b"] != y["b"]))
+        return stripped(F.regexp_replace(F.array_join(F.transform(last, lambda y: y["x"]), "\n"), r"[ \t]{2,}", " "))
 
-    joined = let(lines, lambda own: F.when(F.size(own) > 0, single(own)).otherwise(""))
+    joined = let(kept, lambda own: F.when(F.size(own) > 0, single(own)).otherwise(""))
     if not most:
         return joined
     return let(joined, lambda t: F.when(F.length(t) > most, F.concat(F.regexp_replace(F.left(t, F.lit(most)), r"[，,；;、 ]+\z", ""), F.lit("。"))).otherwise(t))

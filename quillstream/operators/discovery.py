@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.functions.phrases import alias_key, shown_alias
+from quillstream.functions.phrases import alias_key, nfkc, shown_alias, without_ends
 from quillstream.operators import spans as sp
 
 # Words of a market's context, foreign prefixes, words that are no alias, and the shapes in which aliases occur.
@@ -83,9 +83,10 @@ def occurrences(docs: DataFrame, aliases: dict[str, str], symbols: dict[str, str
     found = sp.spans(docs, {"catalog_alias": exact, **shapes}).join(docs.select("doc_id", "text"), "doc_id")
     inner = F.coalesce(*[F.when(F.col("kind") == k, F.regexp_extract("phrase", p, 1)) for k, p in shapes.items()], F.col("phrase"))
     rows = found.select("doc_id", "kind", "start", "stop", "text", inner.alias("raw"))
+    rows = rows.withColumn("_raw", nfkc("raw"))
     low = F.greatest(F.col("start") - AROUND, F.lit(0))
     near = F.substring("text", (low + 1).cast("int"), (F.col("stop") - low + AROUND).cast("int")).rlike("|".join(map(re.escape, market)))
-    parts = F.when(F.col("kind") == "bracket_heading", F.transform(F.split("raw", "[/／、,，和及]"), shown_alias)).otherwise(F.array("raw"))
+    parts = F.when(F.col("kind") == "bracket_heading", F.transform(F.split("_raw", "[/／、,，和及]"), without_ends)).otherwise(F.array("raw"))
     pairs = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) if d else F.create_map(F.lit(""), F.lit(""))
     index = pairs({k: v for k, v in known.items()})
     code_of = pairs(codes)

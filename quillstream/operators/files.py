@@ -1,10 +1,8 @@
-"""Files in and out: texts in unknown encodings, pages' main content and tables, reports, sinks of results and of the lexicon."""
+"""Files in and out: texts in unknown encodings, reports, sinks of results and of the lexicon."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,138 +37,6 @@ def text_files(spark: SparkSession, folder: str) -> DataFrame:
     return decoded(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content"))
 
 
-# What counts for a page's main content, and what goes from it.
-CONTAINERS, GONE, VOID = ("article", "main", "section", "div"), ("script", "style", "noscript", "svg", "iframe"), ("br", "img", "hr", "meta", "link", "input")
-GOOD, BAD, NAVIGATION = ("article", "content", "main", "detail"), ("ad", "nav", "footer", "header", "sidebar", "menu", "share", "related"), ("首页", "关于我们", "联系我们", "网站地图", "登录", "注册", "Home", "Login", "Contact")
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
-
-
-class Page(HTMLParser):
-    """Nodes of a page, each with its tag, attributes, texts and children."""
-
-    def __init__(self, html: str) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = {"tag": "", "attrs": {}, "parts": []}
-        self.open = [self.root]
-        self.feed(html)
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        node = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "parts": []}
-        self.open[-1]["parts"].append(node)
-        if tag not in VOID:
-            self.open.append(node)
-
-    def handle_endtag(self, tag: str) -> None:
-        at = max((i for i, n in enumerate(self.open) if n["tag"] == tag), default=0)
-        if at:
-            del self.open[at:]
-
-    def handle_data(self, data: str) -> None:
-        self.open[-1]["parts"].append(data)
-
-
-def _walk(node: dict) -> Iterator[dict]:
-    stack = [node]
-    while stack:
-        own = stack.pop()
-        yield own
-        stack += [p for p in reversed(own["parts"]) if isinstance(p, dict) and p["tag"] not in GONE]
-
-
-def _words(node: dict) -> set[str]:
-    return set(re.split(r"[\s_-]+", f"{node['attrs'].get('class', '')} {node['attrs'].get('id', '')}".lower()))
-
-
-def _text(node: dict, skip: bool = False) -> list[str]:
-    out = []
-    for part in node["parts"]:
-        if isinstance(part, str):
-            line = re.sub(r"\s+", " ", part).strip()
-            out += [line] if line else []
-        elif part["tag"] not in GONE and not (skip and (part["tag"] in ("nav", "footer", "header", "aside") or _words(part) & set(BAD))):
-            out += _text(part, skip)
-    return out
-
-
-def main_content(html: str, letters: re.Pattern, least: float = 50) -> tuple[str, str, float]:
-    """Title, text and score of the part of a page that scores best: letters, paragraphs, tables and telling names for it, links, navigation and hiding against it; the whole page if none is good enough."""
-    page = Page(html or "")
-
-    def score(node: dict) -> float:
-        text = "".join(_text(node))
-        size = len(letters.findall(text))
-        inner = list(_walk(node))
-        linked = sum(len(letters.findall("".join(_text(n)))) for n in inner if n["tag"] == "a")
-        words = _words(node)
-        named = 180 if words & {"article", "content"} else 80 if words & set(GOOD) or node["tag"] in ("article", "main") else 0
-        hidden = 10_000 if HIDDEN.search(node["attrs"].get("style", "")) or "hidden" in node["attrs"] else 0
-        blocks = sum(n["tag"] in ("p", "h1", "h2", "h3") for n in inner)
-        return size + 35 * blocks + 120 * sum(n["tag"] == "table" for n in inner) + named - 1.2 * linked - 70 * sum(m in text for m in NAVIGATION) - hidden
-
-    nodes = list(_walk(page.root))
-    best, value = page.root, 0.0
-    for node in nodes:
-        if node["tag"] in CONTAINERS and (s := score(node)) > max(value, least - 1e-9):
-            best, value = node, s
-    found = lambda *tags: next((" ".join(_text(n)) for t in tags for n in nodes if n["tag"] == t and _text(n)), "")
-    return found("h1", "h2", "title"), "\n".join(_text(best, skip=True)), round(value, 4)
-
-
-def page_content(pages: DataFrame, letters: str = "[一-鿿]", key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, title, content and score of each page's main part; a null page has none."""
-    schema = f"{key} {pages.schema[key].dataType.simpleString()}, title string, content string, score double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = re.compile(letters)
-        for batch in batches:
-            rows = [main_content(x, pattern) for x in batch.column(html).to_pylist()]
-            columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()), strict=True))], names=[key, "title", "content", "score"])
-
-    return pages.select(key, html).mapInArrow(run, schema)
-
-
-def table_rows(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, table, rows (arrays of cells) of the tables of pages; a cell that spans columns is followed by empty ones, short rows are filled up."""
-    schema = f"{key} {pages.schema[key].dataType.simpleString()}, table int, rows array<array<string>>"
-
-    def grid(table: dict) -> list[list[str]]:
-        lines = []
-        for row in (n for n in _walk(table) if n["tag"] == "tr"):
-            cells = []
-            for cell in (p for p in row["parts"] if isinstance(p, dict) and p["tag"] in ("td", "th")):
-                span = cell["attrs"].get("colspan", "1")
-                cells += [" ".join(_text(cell)), *[""] * (max(1, int(span) if span.isdigit() else 1) - 1)]
-            lines.append(cells)
-        width = max(map(len, lines), default=0)
-        return [x + [""] * (width - len(x)) for x in lines] if width else []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, numbers, tables = [], [], []
-            for k, text in zip(batch.column(key).to_pylist(), batch.column(html).to_pylist(), strict=True):
-                for i, table in enumerate(n for n in _walk(Page(text or "").root) if n["tag"] == "table"):
-                    if lines := grid(table):
-                        keys.append(k)
-                        numbers.append(i)
-                        tables.append(lines)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(key).type), pa.array(numbers, pa.int32()), pa.array(tables, pa.list_(pa.list_(pa.string())))], names=[key, "table", "rows"])
-
-    return pages.select(key, html).mapInArrow(run, schema)
-
-
-def rendered(tables: DataFrame, described: bool = False) -> DataFrame:
-    """tables (rows) with markdown, the first row being its head, and plain, a line for each row."""
-    line = lambda row: F.concat(F.lit("| "), F.array_join(F.transform(row, lambda c: F.when(c == "", " ").otherwise(c)), " | "), F.lit(" |"))
-    head, rest = F.get("rows", F.lit(0)), F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))
-    rule = F.concat(F.lit("| "), F.array_join(F.transform(head, lambda c: F.lit("---")), " | "), F.lit(" |"))
-    body = F.array_join(F.concat(F.array(line(head), rule), F.transform(rest, line)), "\n")
-    if described:
-        body = F.concat(F.lit("\n下表包含 "), F.size("rows"), F.lit(" 行 "), F.size(head), F.lit(" 列的表格数据：\n\n"), body, F.lit("\n\n（上表共 "), F.size("rows") - 1, F.lit(" 行数据）\n"))
-    plain = F.transform("rows", lambda r, i: F.concat(F.when(i == 0, "表头: ").otherwise(F.concat(F.lit("第"), i, F.lit("行: "))), F.array_join(r, " | ")))
-    return tables.withColumns({"markdown": body, "plain": F.array_join(plain, "\n")})
-
-
 REPORT = ("path", "file_type", "status", "reason", "title", "company", "publish_time", "article_id")
 
 

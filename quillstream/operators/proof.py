@@ -9,6 +9,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.functions.columns import BLANKS
 from quillstream.functions.phrases import clean_quote
 from quillstream.operators import spans as sp
 
@@ -38,7 +39,7 @@ def within(parts: DataFrame, area: DataFrame) -> DataFrame:
     held = own.unionByName(areas, allowMissingColumns=True).withColumn("scope", last).filter("side = 1 AND s.stop <= scope.stop")
     low = F.greatest(F.col("s.start"), F.col("scope.start"))
     raw = F.substring("s.phrase", (low - F.col("s.start") + 1).cast("int"), (F.col("s.stop") - low).cast("int"))
-    text = F.regexp_replace(raw, r"^\s+", "")
+    text = F.regexp_replace(raw, rf"^[\n{BLANKS}]+", "")
     return held.select("doc_id", "product_key", (F.col("s.stop") - F.length(text)).alias("start"), F.col("s.stop").alias("stop"), text.alias("phrase"), "scope").filter("start < stop")
 
 

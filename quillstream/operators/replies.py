@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.functions.columns import let
+from quillstream.functions.columns import let, stripped
 from quillstream.functions.phrases import has_contacts
 from quillstream.operators.cleaning import displayed
 from quillstream.sources.bindings import DIRECTIONS, NEUTRAL, UNKNOWN_PRODUCT
@@ -46,11 +46,11 @@ def _payload(raw: Column, fence: str = r"(?is)```(?:json)?\s*(\{.*\})\s*```") ->
 
 def _items(rows: DataFrame) -> DataFrame:
     """rows (json) with kind, and a row for each item (x, a variant; place): those of `results`, else the object itself."""
-    v = "try_parse_json(json)"
-    kind = F.expr(f"schema_of_variant({v})")
-    listed = F.expr(f"try_variant_get({v}, '$.results', 'array<variant>')")
-    items = F.when(kind.startswith("OBJECT"), F.coalesce(listed, F.array(F.expr(v))))
-    return rows.withColumn("kind", kind).select("*", F.posexplode_outer(items).alias("place", "x"))
+    parsed = rows.withColumn("_v", F.expr("try_parse_json(json)"))
+    kind = F.expr("schema_of_variant(_v)")
+    listed = F.expr("try_variant_get(_v, '$.results', 'array<variant>')")
+    items = F.when(kind.startswith("OBJECT"), F.coalesce(listed, F.array("_v")))
+    return parsed.withColumn("kind", kind).select(*rows.columns, "kind", F.posexplode_outer(items).alias("place", "x"))
 
 
 def _text(path: str) -> Column:
@@ -122,9 +122,8 @@ def inferred_results(items: DataFrame, articles: DataFrame, names: DataFrame, le
 
 def resolver_items(replies: DataFrame, catalog: DataFrame) -> DataFrame:
     """A row for each item of a resolver's reply (id, raw): block_ref, raw_name, product_key (null unless in the catalog), confidence (clipped; 0 outside it), status, and error."""
-    v = "try_parse_json(json)"
     rows = replies.withColumn("json", _payload(F.trim("raw"), r"(?is)```(?:json)?\s*(.*?)```"))
-    rows = rows.withColumn("items", F.expr(f"try_variant_get({v}, '$.results', 'array<variant>')")).select("id", F.posexplode_outer("items").alias("place", "x"), F.col("items").isNull().alias("_none"))
+    rows = rows.withColumn("items", F.expr("try_variant_get(try_parse_json(json), '$.results', 'array<variant>')")).select("id", F.posexplode_outer("items").alias("place", "x"), F.col("items").isNull().alias("_none"))
     key = F.upper(F.coalesce(F.nullif(_text("product_key"), F.lit("")), F.lit("unknown")))
     known = catalog.select(F.col("product_key").alias("_key"), F.lit(True).alias("_known")).distinct()
     joined = rows.withColumn("_key", key).join(known, "_key", "left")
@@ -144,7 +143,7 @@ def refined_problem(source: Column, refined: Column) -> Column:
     """What is wrong with a refined text (null: nothing): blank, only a wrapper, a banned phrase, contacts, numbers of the source missing, much shorter, or longer than allowed."""
     numbers = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1)))
     bare = lambda t: F.regexp_replace(t, r"\s+", "")
-    rows = F.struct(F.regexp_replace(F.coalesce(refined, F.lit("")), r"^\s+|\s+\z", "").alias("text"), bare(displayed(source)).alias("shown"))
+    rows = F.struct(stripped(F.coalesce(refined, F.lit(""))).alias("text"), bare(displayed(source)).alias("shown"))
 
     def problem(r: Column) -> Column:
         text, shown, compact = r["text"], r["shown"], bare(r["text"])
@@ -163,7 +162,7 @@ def refined_problem(source: Column, refined: Column) -> Column:
 
 def refined_reason(raw: Column, reason: Column, source: Column, direction: Column) -> Column:
     """A model's wording of a reason if it may be shown (up to 280 characters, no banned phrase, no contacts), else the reason or text itself, cleaned and capped."""
-    text = F.regexp_replace(F.coalesce(raw, F.lit("")), r"^\s+|\s+\z", "")
+    text = stripped(F.coalesce(raw, F.lit("")))
     text = F.regexp_replace(text, r"(?s)^```(?:\w+)?\s*(.*?)\s*```\z", "$1")
     text = displayed(F.regexp_replace(text, r"^\s*(?:结论依据|依据|整理后|精修后)\s*[:：]\s*", ""), 260)
     own = displayed(F.coalesce(F.nullif(reason, F.lit("")), source), 260)
@@ -174,7 +173,7 @@ def refined_reason(raw: Column, reason: Column, source: Column, direction: Colum
 
 def paragraphs(text: Column) -> Column:
     """Paragraphs (an array) of a text whose lines are broken by layout: lines run on until a blank one; headings stand alone."""
-    lines = F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+\z", ""))
+    lines = F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), stripped)
     heading = lambda x: x.rlike(r"^(?:#{1,6}\s+|【[^】]{1,40}】)")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
     ended = lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.array_append(a["done"], a["now"]))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.functions.columns import contract_key
+from quillstream.functions.columns import BLANKS, contract_key, stripped
 from quillstream.functions.phrases import block_fingerprint
 from quillstream.operators import spans as sp
 from quillstream.operators.text import directions
@@ -20,8 +20,8 @@ BRACKET = "【[^】]{1,20}】"
 
 def trimmed(text: Column, start: Column) -> tuple[Column, Column, Column]:
     """A piece of text that begins at `start` without blanks at its ends: its text, start and stop."""
-    lead = F.length(text) - F.length(F.regexp_replace(text, r"^\s+", ""))
-    bare = F.regexp_replace(text, r"^\s+|\s+\z", "")
+    lead = F.length(text) - F.length(F.regexp_replace(text, rf"^[\n{BLANKS}]+", ""))
+    bare = stripped(text)
     return bare, start + lead, start + lead + F.length(bare)
 
 
@@ -35,7 +35,7 @@ def sections(docs: DataFrame, types: dict[str, str] = SECTION_TYPES) -> DataFram
     """doc_id, section, heading, section_type, start, stop, text of the parts under `## ` headings; a text without any is one core section. Empty ones are left out."""
     found = sp.spans(docs.select("doc_id", "text"), {"heading": HEADING})
     end = F.coalesce(F.lead("start").over(Window.partitionBy("doc_id").orderBy("start")), F.col("n"))
-    name = F.regexp_replace(F.regexp_replace("phrase", r"^##\s+", ""), r"\s+\z", "")
+    name = stripped(F.regexp_replace("phrase", r"^##", ""))
     parts = found.select("doc_id", F.col("stop").alias("from"), end.alias("to"), name.alias("heading"))
     whole = docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(0).cast("bigint").alias("from"), F.length("text").cast("bigint").alias("to"), F.lit("").alias("heading"))
     kind = F.coalesce(F.create_map(*[F.lit(x) for kv in types.items() for x in kv])[F.col("heading")], F.lit("core"))
@@ -113,7 +113,7 @@ def blocks(parts: DataFrame, names: Names) -> DataFrame:
     cut = pieces.select("doc_id", text.alias("text"), start.alias("_start"), stop.alias("_stop")).filter("text <> ''")
     joined = cut.join(keyed.select("doc_id", F.col("heading").alias("section_heading"), "section_type", F.col("start").alias("_base")), "doc_id")
     line = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
-    first = F.regexp_replace(line, r"^\s+|\s+\z", "")
+    first = stripped(line)
     bracket = F.regexp_extract(first, "^【([^】]{1,20})】", 1)
     prefixed = first.rlike("^" + names.prefix)
     code = F.regexp_extract(first, r"^([A-Za-z]{1,5})\d{2,4}\s*合约", 1)
@@ -202,7 +202,7 @@ def candidates(parts: DataFrame) -> DataFrame:
 
 def reasons(ruled: DataFrame, pack: DirectionPack = ZH_DIRECTIONS, names: tuple[str, str, str] = DIRECTIONS, window: int = 2, most: int = 220, marks: str = "。！？；\n") -> DataFrame:
     """ruled (direction, text) with reason: the sentences within `window` of a strong word of the direction, else the text's beginning."""
-    pieces = F.filter(F.transform(F.regexp_extract_all("text", F.lit(f"([^{marks}]*[{marks}]|[^{marks}]+)"), F.lit(1)), lambda x: F.regexp_replace(x, r"^\s+|\s+\z", "")), lambda x: x != "")
+    pieces = F.filter(F.transform(F.regexp_extract_all("text", F.lit(f"([^{marks}]*[{marks}]|[^{marks}]+)"), F.lit(1)), stripped), lambda x: x != "")
     words = {n: "|".join(map(re.escape, w)) for n, w in zip(names, (pack.up, pack.down, pack.flat), strict=True)}
     rows = ruled.withColumn("_s", pieces)
     is_hit = lambda x: F.coalesce(*[F.when(F.col("direction") == n, x.rlike(p)) for n, p in words.items()], F.lit(False))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import phrases as ph
+from quillstream.operators import aliases
 
 
 def spans(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
@@ -25,14 +26,10 @@ def spans(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return placed.select("doc_id", "kind", (F.col("stop") - F.length("phrase")).alias("start"), "stop", "phrase", "n")
 
 
-def matches(docs: DataFrame, aliases: dict[str, str], negative: tuple[str, ...] = (), reach: int = 20) -> DataFrame:
-    """doc_id, product_key, start, stop, n of all aliases (longest first, whole words, contract digits allowed) without a negative word in the `reach` characters before."""
-    barred = "".join(rf"(?<!{re.escape(w)}[\s\S]{{0,{reach - len(w)}}})" for w in negative)
-    names = "|".join(re.escape(a) for a in sorted(aliases, key=lambda a: (-len(a), a)))
-    pattern = rf"(?i){barred}(?<![A-Za-z0-9])(?:{names})(?:[0-9]{{2,4}})?(?![A-Za-z0-9])"
-    keys = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
-    found = spans(docs, {"alias": pattern})
-    return found.select("doc_id", keys[F.lower(F.regexp_replace("phrase", "[0-9]+$", ""))].alias("product_key"), "start", "stop", "n")
+def matches(docs: DataFrame, names: dict[str, str], negative: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, product_key, start, stop, n of all names of a pack (the longest of those that begin first) without a negative word shortly before."""
+    found = aliases.find(docs, [(name, key, key, "lexicon", list(negative)) for name, key in names.items()])
+    return found.select("doc_id", "product_key", "start", "stop", "n")
 
 
 def sections(docs: DataFrame, heading: str) -> DataFrame:
@@ -101,8 +98,10 @@ def leftmost_longest(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def longest_first(rows: DataFrame, *by: str) -> DataFrame:
-    """Of equal spans and directions the surest one, then the longest first."""
-    best = rows.groupBy(*by, "start", "stop", "direction").agg(F.max("confidence").alias("confidence"))
+    """Of equal spans and directions the surest one (then the one of greatest further columns, `weight` first), then the longest first."""
+    own = (*by, "start", "stop", "direction")
+    more = sorted((c for c in rows.columns if c not in (*own, "confidence")), key=lambda c: (c != "weight", c))
+    best = rows.groupBy(*own).agg(F.max(F.struct("confidence", *more)).alias("_best")).select(*own, "_best.*")
     return greedy(best, [F.col("start") - F.col("stop"), F.col("start"), F.col("direction")], *by)
 
 
@@ -155,7 +154,7 @@ def owned_signals(docs: DataFrame, signals: DataFrame, anchors: DataFrame, claus
 
 
 def product_signals(docs: DataFrame, found: DataFrame, parts: DataFrame, signals: DataFrame, reach: int = 80, clause: str = CLAUSE, sentence: str = SENTENCE) -> DataFrame:
-    """doc_id, product_key, start, stop, direction, confidence: signals inside a scope that one product owns alone, or in another scope of the product that is their owner; then the longest first."""
+    """doc_id, product_key, start, stop, direction, confidence and the signals' further columns (weight, factor): signals inside a scope that one product owns alone, or in another scope of the product that is their owner; then the longest first."""
     area = scopes(found, parts, reach)
     heads = owners(found).filter(~F.col("product_key").startswith("GROUP.")).groupBy("doc_id", "heading_start").agg(F.count("*").alias("keys"))
     alone = parts.join(heads, ["doc_id", "heading_start"], "left").select("doc_id", F.col("body_start").alias("start"), (F.coalesce("keys", F.lit(0)) == 1).alias("alone"))
@@ -166,7 +165,8 @@ def product_signals(docs: DataFrame, found: DataFrame, parts: DataFrame, signals
     areas = area.select("doc_id", "product_key", F.col("start").alias("at"), F.lit(0).alias("side"), F.struct(F.col("stop").cast("bigint").alias("stop"), "alone").alias("scope"))
     last = F.last("scope", True).over(Window.partitionBy("doc_id", "product_key").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
     held = both.unionByName(areas, allowMissingColumns=True).withColumn("scope", last).filter("side = 1 AND stop <= scope.stop AND (scope.alone OR owner = product_key)")
-    return longest_first(held.select("doc_id", "product_key", "start", "stop", "direction", "confidence"), "doc_id", "product_key")
+    more = [c for c in signals.columns if c not in ("doc_id", "start", "stop", "direction", "confidence")]
+    return longest_first(held.select("doc_id", "product_key", "start", "stop", "direction", "confidence", *more), "doc_id", "product_key")
 
 
 def evidence(docs: DataFrame, found: DataFrame, least: int = 6, most: int = 600, items: int = 6, chars: int = 1200, sentence: str = "[^。！？!?\n]+[。！？!?\n]?", conclusions: tuple[str, ...] = ()) -> DataFrame:

@@ -50,15 +50,17 @@ def _literal(text: str) -> str:
 
 
 HALF = f"trim(translate(text, {_literal(ph.WIDE)}, {_literal(ph.NARROW)}))"
-ENDS = r"[\s【】\[\](){}<>:、,;]+"
+#: What the documents hold of compatibility forms and of letters whose folded case is not their lower case.
+FOLDED = f"replace(lower({HALF}), 'ß', 'ss')"
+ENDS = r"[【】\[\](){}<>:、,;]+"
 
 
-@query("x1_alias_key", "SELECT doc_id, sha256(" + _sub(f"lower({HALF})", ph.ALIAS_CLASS) + ") AS digest, sha256(" + _sub(f"lower({HALF})", ph.CANONICAL_CLASS.replace("'", "''")) + ") AS canonical FROM documents")
+@query("x1_alias_key", "SELECT doc_id, sha256(" + _sub(FOLDED, ph.ALIAS_CLASS) + ") AS digest, sha256(" + _sub(FOLDED, ph.CANONICAL_CLASS.replace("'", "''")) + ") AS canonical FROM documents")
 def x1(s, d):
     return _docs(s, d).select("doc_id", F.sha2(ph.alias_key("text"), 256).alias("digest"), F.sha2(ph.alias_key("text", canonical=True), 256).alias("canonical"))
 
 
-@query("x2_shown_alias", "SELECT doc_id, sha256(" + _sub(_sub(HALF, f"^{ENDS}"), rf"{ENDS}\z") + ") AS digest FROM documents")
+@query("x2_shown_alias", "SELECT doc_id, sha256(" + _sub(_sub(_sub(HALF, r"^\s+|\s+\z"), f"^{ENDS}"), rf"{ENDS}\z") + ") AS digest FROM documents")
 def x2(s, d):
     return _digest(s, d, ph.shown_alias("text"))
 

@@ -9,6 +9,7 @@ from quillstream.functions import phrases as ph
 from quillstream.operators import discovery as di
 from quillstream.operators import files as fl
 from quillstream.operators import ingest
+from quillstream.operators import pages as pg
 from quillstream.operators import spans as sp
 from quillstream.operators.text import ALIASES
 from quillstream.plans.cleaned import hit, q
@@ -42,7 +43,7 @@ def s5(s, d):
 
 @query("s7_main_content")
 def s7(s, d):
-    return fl.page_content(b.table(s, d, "pages"), "[A-Za-z]")
+    return pg.page_content(b.table(s, d, "pages"), "[A-Za-z]")
 
 
 _GRID = "list_transform(range(page_id % 4 + 2), lambda i: [url, 'r' || i, (page_id * i)::VARCHAR, ''])"
@@ -55,7 +56,7 @@ def s8(s, d):
     cell = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
     rows = F.transform(F.sequence(F.lit(0).cast("long"), p % 4 + 1), lambda i: F.concat(F.lit("<tr>"), cell(F.col("url")), cell(F.concat(F.lit("r"), i)), F.lit("<td colspan='2'>"), p * i, F.lit("</td></tr>")))
     made = b.table(s, d, "pages").select("page_id", F.concat(F.lit("<div><table>"), F.array_join(rows, "\n"), F.lit("</table></div>")).alias("html"))
-    return fl.rendered(fl.table_rows(made)).select("page_id", "table", "markdown", "plain")
+    return pg.rendered(pg.table_rows(made)).select("page_id", "table", "markdown", "plain")
 
 
 @query("s4_load_report", f"{WITH} SELECT file_url AS path, CASE {EXT} WHEN 'pdf' THEN 'pdf' WHEN 'html' THEN 'html' WHEN 'png' THEN 'image' ELSE 'unknown' END AS file_type, {STATUS} AS status, title, company, article_id FROM (SELECT * REPLACE (nullif(company, '') AS company) FROM articles)")

@@ -146,6 +146,11 @@ def _flagged(s, d):
     return sp.with_context(_docs(s, d), _signals(s, d), FLAGS, RISKS)
 
 
+def _weighed(s, d):
+    """Signals as sure as their context lets them be, with what their kind weighs and what their context leaves of it."""
+    return _flagged(s, d).select("doc_id", "start", "stop", "direction", F.col("sure").alias("confidence"), F.col("confidence").alias("weight"), "factor")
+
+
 @query("t9_context_flags", f"WITH {_SIGNAL_SQL}, {FLAGGED} SELECT doc_id, start, stop, direction, flags, factor, sure FROM flagged")
 def t9(s, d):
     return _flagged(s, d).select("doc_id", "start", "stop", "direction", F.array_join("flags", ",").alias("flags"), "factor", "sure")
@@ -183,7 +188,7 @@ def w14(s, d):
 
 
 def _product_signals(s, d):
-    return sp.product_signals(_docs(s, d), _placed(s, d), _parts(s, d), _signals(s, d), clause=CLAUSE, sentence=SENTENCE)
+    return sp.product_signals(_docs(s, d), _placed(s, d), _parts(s, d), _weighed(s, d), clause=CLAUSE, sentence=SENTENCE)
 
 
 @query("t7_product_signals")
@@ -242,7 +247,7 @@ def t13(s, d):
 def _verdicts(s, d) -> DataFrame:
     from quillstream.operators.text import arbitrated
 
-    signals = _product_signals(s, d).select(F.col("doc_id").alias("article_id"), "product_key", "direction", F.lit(1.0).alias("weight"), "confidence")
+    signals = _product_signals(s, d).select(F.col("doc_id").alias("article_id"), "product_key", "direction", "weight", "confidence", "factor")
     return arbitrated(signals).withColumnRenamed("article_id", "doc_id")
 
 

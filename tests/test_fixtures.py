@@ -10,6 +10,7 @@ from quillstream.functions import phrases as ph
 from quillstream.operators import cleaning as cl
 from quillstream.operators import discovery as di
 from quillstream.operators import files as fl
+from quillstream.operators import pages as pg
 from quillstream.operators import replies as rp
 from quillstream.operators import spans as sp
 from quillstream.operators import store as st
@@ -144,9 +145,9 @@ def test_files_in_other_encodings(spark):
 def test_main_content_and_tables(spark):
     html = "<html><head><title>站</title></head><body><div class='nav'><a>首页</a><a>关于我们</a></div><div class='article'><h1>铜日报</h1><p>" + "铜价上涨，库存下降。" * 8 + "</p><table><tr><th colspan='2'>品种</th></tr><tr><td>铜</td><td>1</td></tr></table></div><div style='display:none'>" + "隐藏" * 300 + "</div></body></html>"
     pages = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
-    got = {r["page_id"]: r for r in fl.page_content(pages).collect()}
+    got = {r["page_id"]: r for r in pg.page_content(pages).collect()}
     assert got[1]["title"] == "铜日报" and "铜价上涨" in got[1]["content"] and "首页" not in got[1]["content"] and "隐藏" not in got[1]["content"] and got[2]["content"] == ""
-    table = fl.rendered(fl.table_rows(pages)).first()
+    table = pg.rendered(pg.table_rows(pages)).first()
     assert table["markdown"] == "| 品种 |   |\n| --- | --- |\n| 铜 | 1 |" and table["plain"] == "表头: 品种 | \n第1行: 铜 | 1"
 
 
@@ -160,3 +161,27 @@ def test_windows_go_by_position(spark):
 
     rows = spark.createDataFrame([(1, p, p == 10) for p in (1, 5, 8, 10, 12, 13)], "doc long, pos long, hit boolean")
     assert sorted(r["pos"] for r in cu.hit_window(rows, F.col("hit"), 2, "doc").collect()) == [8, 10, 12]
+
+
+def test_compatibility_forms_of_all_code_points(spark):
+    import re
+    import unicodedata
+
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(points[i : i + 40]) for i in range(0, len(points), 40)] + [f" {c}1) " for c in "ßﬁ①ｱﾞ㎏ǅΣİ　½Å"] + ["", " ", "（沪） 铜：", "ABC\x1cd"]
+    docs = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    rows = docs.select("t", ph.nfkc("t").alias("n"), ph.alias_key("t").alias("k"), ph.alias_key("t", True).alias("c"), ph.shown_alias("t").alias("s")).collect()
+    key = re.compile(r"[\s【】\[\]():]+")
+    wide = re.compile("[\\s\u200b-\u200d\ufeff【】\\[\\](){}<>:、,;/\\\\\"'“”‘’`]+")
+    for r in rows:
+        if r["t"] is None:
+            assert r["n"] is r["k"] is r["s"] is None
+            continue
+        n = unicodedata.normalize("NFKC", r["t"])
+        assert (r["n"], r["k"], r["c"], r["s"]) == (n, key.sub("", n.strip().casefold()), wide.sub("", n.strip().casefold()), n.strip().strip("【】[](){}<>:、,;")), r["t"][:3]
+
+
+def test_blanks_of_chinese_texts(spark):
+    docs = spark.createDataFrame([("　　第3页　",), ("　　价格 上涨　\n　免责声明：略\n　　续行\n正文",)], "t string")
+    first, second = docs.select(cl.noise_line(F.col("t")).alias("n"), cl.without_noise_paragraphs(F.col("t")).alias("p"), fn.normalized_space("t").alias("x")).collect()
+    assert first["n"] and second["p"] == "　　价格 上涨　\n　\n正文" and second["x"] == "　　价格 上涨\n免责声明：略\n续行\n正文"

@@ -115,7 +115,7 @@ def test_product_signals_against_loops(spark, sf_dir):
     alone = {(r.doc_id, r.body_start): len({k for k in heads[r.doc_id, r.heading_start] if not k.startswith("GROUP.")}) == 1 for r in parts.collect()}
     for r in sp.scopes(placed, parts).collect():
         area[r.doc_id].append((r.product_key, r.start, r.stop, r.owned and alone.get((r.doc_id, r.start), False)))
-    for r in sp.owned_signals(spanned._docs(spark, sf_dir), spanned._signals(spark, sf_dir), spanned._found(spark, sf_dir), spanned.CLAUSE, spanned.SENTENCE).collect():
+    for r in sp.owned_signals(spanned._docs(spark, sf_dir), spanned._weighed(spark, sf_dir), spanned._found(spark, sf_dir), spanned.CLAUSE, spanned.SENTENCE).collect():
         signals.append((r.doc_id, r.start, r.stop, r.direction, r.confidence))
         owner[r.doc_id, r.start, r.stop, r.direction].add(r.owner)
     best = defaultdict(dict)
@@ -219,3 +219,22 @@ def test_proofs_stay_in_the_products_section(spark):
     ours = {(r.product_key, r.quote) for r in rows}
     assert ours == {("CZCE.PX", "PX供应增加，价格震荡。"), ("CZCE.PX", "短期PX偏弱，跟随成本。"), ("CZCE.TA", "PTA库存下降，需求改善，预计短期偏强。"), ("CZCE.TA", "后市PX下跌，PTA上涨。")}
     assert all(text[r.start : r.stop] == r.quote for r in rows)
+
+
+def test_a_negated_signal_loses(spark):
+    """What the context leaves of a signal counts in the vote."""
+    from quillstream.functions import phrases as ph
+    from quillstream.operators.text import arbitrated
+
+    text = "铜价尚未上涨，另一方面各地的库存增加"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    at = {w: text.index(w) for w in ("上涨", "库存增加")}
+    rows = [(1, at["上涨"], at["上涨"] + 2, "看涨", 1.0), (1, at["库存增加"], at["库存增加"] + 4, "看跌", 0.75)]
+    signals = sp.with_context(docs, spark.createDataFrame(rows, "doc_id long, start long, stop long, direction string, confidence double"), ph.CONTEXT, ph.RISKS)
+    weighed = signals.select("doc_id", "start", "stop", "direction", F.col("sure").alias("confidence"), F.col("confidence").alias("weight"), "factor")
+    assert {(r.direction, r.confidence, r.factor) for r in weighed.collect()} == {("看涨", 0.35, 0.25), ("看跌", 1.0, 1.0)}
+    found = sp.matches(docs, {"铜": "SHFE.CU"})
+    parts = sp.sections(docs, "【[^】]+】")
+    kept = sp.product_signals(docs, sp.placed(found, parts), parts, weighed)
+    votes = kept.select(F.col("doc_id").alias("article_id"), "product_key", "direction", "weight", "confidence", "factor")
+    assert [(r.direction, r.accepted) for r in arbitrated(votes).collect()] == [("看跌", True)]
