@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.functions.columns import settled
 from quillstream.functions.phrases import alias_key, nfkc, shown_alias, without_ends
 from quillstream.operators import spans as sp
 
@@ -41,11 +42,15 @@ def contract_patterns(symbol: Column) -> Column:
     return F.when(F.coalesce(symbol, F.lit("")) != "", both).otherwise(F.array().cast("array<string>"))
 
 
-def foreign_context(text: Column, start: Column, alias: Column, prefixes: tuple[str, ...] = FOREIGN) -> Column:
-    """Whether an alias stands by a mail address or right behind a foreign market's name."""
+def before_and_after(text: Column, start: Column) -> tuple[Column, Column]:
+    """The characters before an alias by which its context is told, and those from its beginning on."""
     low = F.greatest(start - BEFORE, F.lit(0))
-    before = F.substring(text, (low + 1).cast("int"), (start - low).cast("int"))
-    around = F.concat(before, alias, F.substring(text, (start + 1).cast("int"), F.lit(AFTER)))
+    return F.substring(text, (low + 1).cast("int"), (start - low).cast("int")), F.substring(text, (start + 1).cast("int"), F.lit(AFTER))
+
+
+def foreign_context(before: Column, alias: Column, after: Column, prefixes: tuple[str, ...] = FOREIGN) -> Column:
+    """Whether an alias stands by a mail address or right behind a foreign market's name, told by what `before_and_after` cuts out."""
+    around = F.concat(before, alias, after)
     return F.contains(before, F.lit("@")) | around.rlike(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+") | before.rlike(f"(?i)(?:{'|'.join(map(re.escape, prefixes))})\\z")
 
 
@@ -80,12 +85,9 @@ def occurrences(docs: DataFrame, aliases: dict[str, str], symbols: dict[str, str
     codes = {s.lower(): k for s, k in symbols.items()}
     ordered = sorted(known, key=lambda a: (-len(a), a))
     exact = "(?i)(?:" + "|".join(rf"(?<![A-Za-z0-9]){re.escape(a)}(?![A-Za-z0-9])" if re.fullmatch("[a-z0-9]+", a) else re.escape(a) for a in ordered) + ")"
-    found = sp.spans(docs, {"catalog_alias": exact, **shapes}).join(docs.select("doc_id", "text"), "doc_id")
+    found = sp.spans(docs, {"catalog_alias": exact, **shapes})
     inner = F.coalesce(*[F.when(F.col("kind") == k, F.regexp_extract("phrase", p, 1)) for k, p in shapes.items()], F.col("phrase"))
-    rows = found.select("doc_id", "kind", "start", "stop", "text", inner.alias("raw"))
-    rows = rows.withColumn("_raw", nfkc("raw"))
-    low = F.greatest(F.col("start") - AROUND, F.lit(0))
-    near = F.substring("text", (low + 1).cast("int"), (F.col("stop") - low + AROUND).cast("int")).rlike("|".join(map(re.escape, market)))
+    rows = settled(found.select("doc_id", "kind", "start", "stop", "phrase"), raw=inner).drop("phrase").withColumn("_raw", nfkc("raw"))
     parts = F.when(F.col("kind") == "bracket_heading", F.transform(F.split("_raw", "[/／、,，和及]"), without_ends)).otherwise(F.array("raw"))
     pairs = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) if d else F.create_map(F.lit(""), F.lit(""))
     index = pairs({k: v for k, v in known.items()})
@@ -94,15 +96,20 @@ def occurrences(docs: DataFrame, aliases: dict[str, str], symbols: dict[str, str
     rows = rows.withColumn("alias", F.explode(F.when((F.size(parts) > 1) & (F.size(known_parts) > 0), known_parts).otherwise(F.array("raw"))))
     bare = F.lower(F.regexp_replace("alias", r"\s+", ""))
     alias = F.when(F.col("kind") == "suffix_pattern", F.regexp_replace("alias", f"^(?:{LEADING})", "")).when(F.col("kind").isin("contract_code", "ocr_split_symbol"), F.upper(bare)).otherwise(F.col("alias"))
-    rows = rows.withColumns({"alias": shown_alias(alias), "near": near, "_code": code_of[bare]}).withColumn("_name", index[F.lower("alias")])
-    coded = F.col("kind").isin("contract_code", "symbol_context", "ocr_split_symbol")
+    rows = rows.withColumns({"alias": shown_alias(alias), "_code": code_of[bare]})
+    rows = settled(rows.select("doc_id", "kind", "start", "stop", "alias", "_code"), _name=index[F.lower("alias")])
+    coded, nearby = F.col("kind").isin("contract_code", "symbol_context", "ocr_split_symbol"), F.col("kind").isin("symbol_context", "ocr_split_symbol", "market_context")
     wanted = (
-        F.when(F.col("kind") == "contract_code", F.col("_code").isNotNull())
-        .when(F.col("kind").isin("symbol_context", "ocr_split_symbol"), F.col("_code").isNotNull() & F.col("near"))
-        .when(F.col("kind") == "market_context", F.col("_name").isNotNull() & F.col("near") & (F.length("alias") >= 2))
+        F.when(coded, F.col("_code").isNotNull())
+        .when(F.col("kind") == "market_context", F.col("_name").isNotNull() & (F.length("alias") >= 2))
         .otherwise(F.col("alias") != "")
     )
-    key = F.when(coded, F.col("_code")).otherwise(F.col("_name"))
-    kept = rows.filter(wanted).withColumn("product_key", key)
-    negative = F.coalesce(rejection(F.col("alias"), F.col("kind")), F.when(F.col("product_key").isNotNull() & foreign_context(F.col("text"), F.col("start"), F.col("alias"), foreign), "foreign_market_context"))
+    rows = rows.filter(wanted).withColumn("product_key", F.when(coded, F.col("_code")).otherwise(F.col("_name"))).drop("_code", "_name")
+    # texts are joined to what is left, and what is needed of them is cut out there: none goes on with each of its occurrences
+    low = F.greatest(F.col("start") - AROUND, F.lit(0))
+    near = F.substring("text", (low + 1).cast("int"), (F.col("stop") - low + AROUND).cast("int")).rlike("|".join(map(re.escape, market)))
+    before, after = before_and_after(F.col("text"), F.col("start"))
+    placed = settled(rows.join(docs.select("doc_id", "text"), "doc_id"), near=~nearby | near, before=before, after=after)
+    kept = placed.select("doc_id", "alias", "kind", "product_key", "start", "near", "before", "after").filter("near")
+    negative = F.coalesce(rejection(F.col("alias"), F.col("kind")), F.when(F.col("product_key").isNotNull() & foreign_context(F.col("before"), F.col("alias"), F.col("after"), foreign), "foreign_market_context"))
     return kept.select("doc_id", "alias", "kind", "product_key", "start", negative.alias("negative"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.functions import phrases as ph
+from quillstream.functions.columns import settled
 from quillstream.operators import discovery as di
 from quillstream.operators import files as fl
 from quillstream.operators import ingest
@@ -138,7 +139,9 @@ _TOKENS = _spans_sql("runs", "[A-Za-z]+")
 def l2(s, d):
     docs = b.table(s, d, "documents")
     found = sp.spans(docs, {"word": "[A-Za-z]+"}).filter("length(phrase) = 4").join(docs.select("doc_id", "text"), "doc_id")
-    return found.select("doc_id", "start", di.foreign_context(F.col("text"), F.col("start"), F.col("phrase"), _PREFIXES).alias("negative"))
+    before, after = di.before_and_after(F.col("text"), F.col("start"))
+    cut = settled(found.select("doc_id", "start", "phrase", "text"), before=before, after=after)
+    return cut.select("doc_id", "start", di.foreign_context(F.col("before"), F.col("phrase"), F.col("after"), _PREFIXES).alias("negative"))
 
 
 _SAMPLE = "(['12.5%', '3-7', '31°N,121°E', 'qh123', 'x.com', '---', 'RB日报20250101', '收藏本页面', 'some company', 'a/b 3/4', 'F12345', '图片分片1', 'abcdefghijklmnopqrstu', 'word', '���', ' ', '免责声明', 'www.x'])"
