@@ -9,7 +9,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.functions.columns import BLANKS
+from quillstream.functions.columns import BLANKS, settled
 from quillstream.functions.phrases import clean_quote
 from quillstream.operators import spans as sp
 
@@ -30,40 +30,42 @@ def sentences(docs: DataFrame, endings: str = ENDINGS) -> DataFrame:
 
 
 def within(parts: DataFrame, area: DataFrame) -> DataFrame:
-    """Sentences of each product's scopes (doc_id, product_key, start, stop, ...): doc_id, product_key, start, stop, phrase, cut to the scope's beginning and without blanks before it, and the scope's own columns in `scope`."""
+    """Sentences (of `mentioned`) in each product's scopes (doc_id, product_key, start, stop, ...): doc_id, product_key, start, stop, phrase, mentions, cut to the scope's beginning and without blanks before it, and the scope's own columns in `scope`.
+
+    Places alone are sorted into scopes; a sentence's text is joined to what is left, once."""
     keys = area.select("doc_id", "product_key").distinct()
-    own = parts.join(keys, "doc_id").select("doc_id", "product_key", (F.col("stop") - 1).alias("at"), F.lit(1).alias("side"), F.struct("start", "stop", "phrase").alias("s"))
+    own = parts.select("doc_id", F.struct("start", "stop").alias("s")).join(keys, "doc_id").select("doc_id", "product_key", (F.col("s.stop") - 1).alias("at"), F.lit(1).alias("side"), "s")
     columns = F.struct(*[F.col(c) for c in area.columns if c not in ("doc_id", "product_key")])
     areas = area.select("doc_id", "product_key", F.col("start").cast("bigint").alias("at"), F.lit(0).alias("side"), columns.alias("scope"))
     last = F.last("scope", True).over(Window.partitionBy("doc_id", "product_key").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
     held = own.unionByName(areas, allowMissingColumns=True).withColumn("scope", last).filter("side = 1 AND s.stop <= scope.stop")
-    low = F.greatest(F.col("s.start"), F.col("scope.start"))
-    raw = F.substring("s.phrase", (low - F.col("s.start") + 1).cast("int"), (F.col("s.stop") - low).cast("int"))
-    text = F.regexp_replace(raw, rf"^[\n{BLANKS}]+", "")
-    return held.select("doc_id", "product_key", (F.col("s.stop") - F.length(text)).alias("start"), F.col("s.stop").alias("stop"), text.alias("phrase"), "scope").filter("start < stop")
+    texts = parts.select("doc_id", "stop", F.col("start").alias("_from"), "phrase", F.col("mentions").alias("_m"))
+    joined = held.select("doc_id", F.col("s.stop").alias("stop"), "product_key", "scope").join(texts, ["doc_id", "stop"])
+    low = F.greatest(F.col("_from"), F.col("scope.start"))
+    raw = F.substring("phrase", (low - F.col("_from") + 1).cast("int"), (F.col("stop") - low).cast("int"))
+    cut = settled(joined, phrase=F.regexp_replace(raw, rf"^[\n{BLANKS}]+", "")).withColumn("start", F.col("stop") - F.length("phrase")).filter("start < stop")
+    return cut.select("doc_id", "product_key", "start", "stop", "phrase", F.filter("_m", lambda m: m["start"] >= F.col("start")).alias("mentions"), "scope")
 
 
 def mentioned(parts: DataFrame, found: DataFrame) -> DataFrame:
-    """parts with mentions: an array of (start, key) of the matches that begin in each."""
+    """Sentences with mentions: an array of (start, key) of the matches that begin in each."""
     points = found.select("doc_id", F.col("start").alias("at"), F.lit(1).alias("side"), "product_key").withColumnRenamed("product_key", "key")
-    heads = parts.select("doc_id", "stop").distinct()
     # a match belongs to the first sentence that ends after it
-    both = points.unionByName(heads.select("doc_id", (F.col("stop") - 1).alias("at"), F.lit(0).alias("side"), "stop"), allowMissingColumns=True)
-    first = F.first("stop", True).over(Window.partitionBy("doc_id").orderBy("at", F.desc("side")).rowsBetween(0, Window.unboundedFollowing))
-    own = both.withColumn("stop", first).filter("side = 1 AND stop IS NOT NULL").groupBy("doc_id", "stop").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("start"), "key"))).alias("_m"))
-    joined = parts.join(own, ["doc_id", "stop"], "left")
+    both = points.unionByName(parts.select("doc_id", (F.col("stop") - 1).alias("at"), F.lit(0).alias("side"), F.struct("start", "stop").alias("s")), allowMissingColumns=True)
+    # looked for backwards: a frame that shrinks from row to row is read anew for each
+    first = F.last("s", True).over(Window.partitionBy("doc_id").orderBy(F.desc("at"), "side").rowsBetween(Window.unboundedPreceding, 0))
+    own = both.withColumn("s", first).filter("side = 1 AND at >= s.start").groupBy("doc_id", F.col("s.stop").alias("stop")).agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("start"), "key"))).alias("mentions"))
     none = F.array().cast("array<struct<start:bigint,key:string>>")
-    return joined.withColumn("mentions", F.filter(F.coalesce(F.col("_m"), none), lambda m: m["start"] >= F.col("start"))).drop("_m")
+    return parts.join(own, ["doc_id", "stop"], "left").withColumn("mentions", F.coalesce("mentions", none))
 
 
 def candidates(docs: DataFrame, found: DataFrame, area: DataFrame, items: int = 6, chars: int = 1200, endings: str = ENDINGS, conclusions=CONCLUSIONS, boilerplate=BOILERPLATE, heading: str = HEADING) -> DataFrame:
     """doc_id, product_key, evidence_id, start, stop, quote of the sentences in a product's scopes (start, stop, shared) that may be evidence.
 
     They are numbered in the text's order; sentences about others alone are left out, and in shared scopes those that do not name the product. The ones with most conclusions, then those that name it, then the earliest come first, within a budget of items and characters (longer ones are passed over)."""
-    own = mentioned(within(sentences(docs, endings), area), found)
-    quote = clean_quote("phrase")
+    own = within(mentioned(sentences(docs, endings), found), area)
     target = F.exists("mentions", lambda m: m["key"] == F.col("product_key"))
-    rows = own.withColumns({"quote": quote, "target": target})
+    rows = settled(own, quote=clean_quote("phrase"), target=target)
     size = F.length("quote")
     sound = size.between(6, 600) & F.right("quote", F.lit(1)).rlike(f"[{re.escape(endings)}]") & ~F.col("quote").rlike(NO_START) & ~F.col("quote").rlike(heading)
     for words in boilerplate:
@@ -87,11 +89,14 @@ def proofs(docs: DataFrame, found: DataFrame, area: DataFrame, signals: DataFram
     """doc_id, product_key, place, start, stop, quote: up to `most` whole sentences in which a signal (doc_id, product_key, start, stop) of the product stands in its own scopes.
 
     A signal that opens its sentence proves nothing. A sentence that names another product counts only if the signal's clause names the product alone, or the sentence compares. Of sentences that overlap or hold each other the first stays."""
-    own = mentioned(within(sentences(docs, endings), area), found).drop("scope")
+    own = within(mentioned(sentences(docs, endings), found), area).drop("scope")
     points = signals.select("doc_id", "product_key", F.col("start").alias("at"), F.lit(1).alias("side"), F.struct(F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop")).alias("signal"))
-    ends = own.select("doc_id", "product_key", (F.col("stop") - 1).alias("at"), F.lit(0).alias("side"), F.struct("start", "stop", "phrase", "mentions").alias("s"))
-    first = F.first("s", True).over(Window.partitionBy("doc_id", "product_key").orderBy("at", F.desc("side")).rowsBetween(0, Window.unboundedFollowing))
+    ends = own.select("doc_id", "product_key", (F.col("stop") - 1).alias("at"), F.lit(0).alias("side"), F.struct("start", "stop").alias("s"))
+    first = F.last("s", True).over(Window.partitionBy("doc_id", "product_key").orderBy(F.desc("at"), "side").rowsBetween(Window.unboundedPreceding, 0))
     rows = points.unionByName(ends, allowMissingColumns=True).withColumn("s", first).filter("side = 1 AND s.start < signal.start AND signal.stop <= s.stop")
+    # places alone were sorted; the sentences' texts are joined to the signals in them
+    rows = rows.select("doc_id", F.col("s.stop").alias("stop"), "product_key", "signal").join(own, ["doc_id", "stop", "product_key"])
+    rows = rows.select("doc_id", "product_key", "signal", F.struct("start", "stop", "phrase", "mentions").alias("s"))
     quote = clean_quote(F.col("s.phrase"))
     # the signal's clause, within its sentence
     marks = re.escape(clauses)
@@ -99,15 +104,16 @@ def proofs(docs: DataFrame, found: DataFrame, area: DataFrame, signals: DataFram
     after = F.substring("s.phrase", (F.col("signal.stop") - F.col("s.start") + 1).cast("int"), F.length("s.phrase"))
     low = F.col("signal.start") - F.length(F.regexp_extract(before, rf"([^{marks}]*)\z", 1))
     high = F.col("signal.stop") + F.length(F.regexp_extract(after, rf"^([^{marks}]*[{marks}]?)", 1))
-    rows = rows.withColumns({"quote": quote, "low": low, "high": high})
+    rows = settled(rows, quote=quote, low=low, high=high)
     key = F.col("product_key")
     other = F.exists("s.mentions", lambda m: m["key"] != key)
     inside = lambda m: (m["start"] >= F.col("low")) & (m["start"] < F.col("high"))
     alone = F.exists("s.mentions", lambda m: inside(m) & (m["key"] == key)) & ~F.exists("s.mentions", lambda m: inside(m) & (m["key"] != key))
     compared = F.col("quote").rlike("|".join(map(re.escape, comparisons)))
     sound = (F.length("quote") >= 8) & F.right("quote", F.lit(1)).rlike(f"[{re.escape(endings)}]") & ~F.col("quote").rlike(NO_START) & ~F.col("quote").rlike(heading) & (~other | alone | compared)
-    good = rows.filter(sound).select("doc_id", "product_key", F.struct(F.col("signal.start").alias("at"), F.col("signal.stop").alias("until"), F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), "quote").alias("x"))
-    listed = good.groupBy("doc_id", "product_key").agg(F.array_sort(F.collect_set("x")).alias("all"))
+    # of a sentence's signals the first speaks for all: the others' quote is its own and would be left out
+    good = rows.filter(sound).groupBy("doc_id", "product_key", F.col("s.start").alias("start"), F.col("s.stop").alias("stop")).agg(F.min(F.struct(F.col("signal.start").alias("at"), F.col("signal.stop").alias("until"))).alias("f"), F.min("quote").alias("quote"))
+    listed = good.groupBy("doc_id", "product_key").agg(F.array_sort(F.collect_list(F.struct("f.at", "f.until", "start", "stop", "quote"))).alias("all"))
 
     def same(x: Column, y: Column) -> Column:
         shared = F.greatest(F.least(x["stop"], y["stop"]) - F.greatest(x["start"], y["start"]), F.lit(0))

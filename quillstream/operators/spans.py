@@ -134,7 +134,8 @@ def _nearest(signals: DataFrame, anchors: DataFrame, unit: str) -> DataFrame:
     anchor = F.when(F.col("side") == 0, F.struct("start", "aend", "akey"))
     before = F.last(anchor, True).over(by.orderBy("by_end", "side").rowsBetween(Window.unboundedPreceding, 0))
     over = F.last(anchor, True).over(by.orderBy("start", "side").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(anchor, True).over(by.orderBy("start", "side").rowsBetween(0, Window.unboundedFollowing))
+    # backwards: a frame that shrinks from row to row is read anew for each
+    after = F.last(anchor, True).over(by.orderBy(F.desc("start"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0))
     near = own.unionByName(marks).select(*columns, "side", before.alias("_b"), over.alias("_o"), after.alias("_a")).filter("side = 1")
     left, right = F.col("start") - F.col("_o.start"), F.col("_a.start") - F.col("start")
     other = F.when(F.col("_a").isNull() | (left < right), F.col("_o.akey")).when(F.col("_o").isNull() | (right < left), F.col("_a.akey")).when(F.col("_o.akey") == F.col("_a.akey"), F.col("_o.akey"))

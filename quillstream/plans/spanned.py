@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstream.functions import phrases as ph
 from quillstream.operators import proof
 from quillstream.operators import spans as sp
+from quillstream.operators.tables import written
 from quillstream.operators.text import ALIASES
 from quillstream.sources import bindings as b
 
@@ -174,7 +175,7 @@ def _nearest_sql(unit: str) -> str:
     SELECT doc_id, start, stop, direction, coalesce(c.owner, t.owner) AS owner FROM s2 LEFT JOIN clause_owner c USING (sid) LEFT JOIN sentence_owner t USING (sid)""",
 )
 def j8(s, d):
-    return sp.owned_signals(_docs(s, d), _signals(s, d), _found(s, d), CLAUSE, SENTENCE).select("doc_id", "start", "stop", "direction", "owner")
+    return sp.owned_signals(_docs(s, d), written(_signals(s, d)), written(_found(s, d)), CLAUSE, SENTENCE).select("doc_id", "start", "stop", "direction", "owner")
 
 
 @query("w13_leftmost_longest")
@@ -187,8 +188,15 @@ def w14(s, d):
     return sp.longest_first(_signals(s, d), "doc_id")
 
 
-def _product_signals(s, d):
-    return sp.product_signals(_docs(s, d), _placed(s, d), _parts(s, d), _weighed(s, d), clause=CLAUSE, sentence=SENTENCE)
+def _places(s, d) -> tuple[DataFrame, DataFrame]:
+    """Matches with their headings, and the headings' sections: places alone, which every step reads, so they are written once."""
+    parts = written(_parts(s, d))
+    return written(sp.placed(_found(s, d), parts)), parts
+
+
+def _product_signals(s, d, places: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    placed, parts = places or _places(s, d)
+    return sp.product_signals(_docs(s, d), placed, parts, written(_weighed(s, d)), clause=CLAUSE, sentence=SENTENCE)
 
 
 @query("t7_product_signals")
@@ -205,13 +213,13 @@ def t12_mentions(s, d):
     return _evidence(s, d)
 
 
-def _area(s, d) -> DataFrame:
+def _area(s, d, places: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Scopes, and whether several concrete products own one together."""
-    placed = _placed(s, d)
+    placed, parts = places or _places(s, d)
     owners = sp.owners(placed).filter(~F.col("product_key").startswith("GROUP.")).groupBy("doc_id", "heading_start").agg((F.count("*") > 1).alias("shared"))
-    parts = _parts(s, d).join(owners, ["doc_id", "heading_start"]).select("doc_id", F.col("body_start").alias("start"), "shared")
-    area = sp.scopes(placed, _parts(s, d)).join(parts, ["doc_id", "start"], "left")
-    return area.select("doc_id", "product_key", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"), (F.col("owned") & F.coalesce("shared", F.lit(False))).alias("shared"))
+    heads = parts.join(owners, ["doc_id", "heading_start"]).select("doc_id", F.col("body_start").alias("start"), "shared")
+    area = sp.scopes(placed, parts).join(heads, ["doc_id", "start"], "left")
+    return written(area.select("doc_id", "product_key", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"), (F.col("owned") & F.coalesce("shared", F.lit(False))).alias("shared")))
 
 
 ENDS, COMPARED, BOILER = ".!?", ("would", "with"), ("licensed", "cookie")
@@ -219,12 +227,22 @@ ENDS, COMPARED, BOILER = ".!?", ("would", "with"), ("licensed", "cookie")
 
 @query("t12_evidence")
 def t12(s, d):
-    return proof.candidates(_docs(s, d), _found(s, d), _area(s, d), endings=ENDS, conclusions=CONCLUSIONS, boilerplate=BOILER)
+    places = _places(s, d)
+    return _candidates(s, d, places[0], _area(s, d, places))
+
+
+def _candidates(s, d, placed: DataFrame, area: DataFrame) -> DataFrame:
+    return proof.candidates(_docs(s, d), placed, area, endings=ENDS, conclusions=CONCLUSIONS, boilerplate=BOILER)
 
 
 @query("t11_evidence_sentences")
 def t11(s, d):
-    return proof.proofs(_docs(s, d), _found(s, d), _area(s, d), _product_signals(s, d), endings=ENDS, clauses=",;.!?\n", comparisons=COMPARED)
+    places = _places(s, d)
+    return _proofs(s, d, places[0], _area(s, d, places), written(_product_signals(s, d, places)))
+
+
+def _proofs(s, d, placed: DataFrame, area: DataFrame, signals: DataFrame) -> DataFrame:
+    return proof.proofs(_docs(s, d), placed, area, signals, endings=ENDS, clauses=",;.!?\n", comparisons=COMPARED)
 
 
 @query("a12_signals_by_product")
@@ -244,16 +262,18 @@ def t13(s, d):
     return sp.valid_excerpts(docs, quotes).select("doc_id", "start", "stop", "valid")
 
 
-def _verdicts(s, d) -> DataFrame:
+def _verdicts(s, d, signals: DataFrame | None = None) -> DataFrame:
     from quillstream.operators.text import arbitrated
 
-    signals = _product_signals(s, d).select(F.col("doc_id").alias("article_id"), "product_key", "direction", "weight", "confidence", "factor")
+    signals = (signals or _product_signals(s, d)).select(F.col("doc_id").alias("article_id"), "product_key", "direction", "weight", "confidence", "factor")
     return arbitrated(signals).withColumnRenamed("article_id", "doc_id")
 
 
 @query("t14_routing")
 def t14(s, d):
-    return sp.routed(_docs(s, d), _verdicts(s, d), t11(s, d), t12(s, d), sp.related_only(_placed(s, d)))
+    places = _places(s, d)
+    placed, area, signals = places[0], _area(s, d, places), written(_product_signals(s, d, places))
+    return sp.routed(_docs(s, d), _verdicts(s, d, signals), _proofs(s, d, placed, area, signals), _candidates(s, d, placed, area), sp.related_only(placed))
 
 
 def queries() -> dict:

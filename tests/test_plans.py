@@ -17,3 +17,9 @@ def test_no_text_goes_on_with_each_occurrence(spark, sf_dir):
 
 def test_features_of_lines_are_computed_once(spark, sf_dir):
     assert plan(spark, sf_dir, "c6_table_lines").lower().count("regexp") < 20
+
+
+def test_no_window_frame_shrinks_from_row_to_row(spark, sf_dir):
+    """Such a frame is read anew for each row: its work grows with the square of a document's length."""
+    for name in ("j8_signal_owners", "t12_evidence"):
+        assert not re.search(r"RowFrame, (?:currentrow\$\(\)|\d+), unboundedfollowing", plan(spark, sf_dir, name))
