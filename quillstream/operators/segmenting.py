@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.functions.columns import BLANKS, contract_key, stripped
+from quillstream.functions.columns import BLANKS, contract_key, settled, stripped
 from quillstream.functions.phrases import block_fingerprint
 from quillstream.operators import spans as sp
 from quillstream.operators.text import directions
@@ -129,10 +129,11 @@ def segments(cut: DataFrame, names: Names, generic: tuple[str, ...] = GENERIC_HE
     key = names.resolved(F.col("heading"))
     by_heading = F.when(F.col("explicit"), names.keys(F.col("heading"))).otherwise(F.array().cast("array<string>"))
     strange = F.col("explicit") & (F.size("_head") == 0) & ~F.col("heading").isin(*generic)
-    rows = cut.withColumns({"_key": key, "_head": by_heading}).withColumn("_all", F.when(F.size("_head") > 0, F.col("_head")).otherwise(names.keys(F.col("text"))))
-    rows = rows.withColumn("_distinct", F.array_distinct("_all"))
+    # each is read many times below: computed once, and not copied into the filters by way
+    rows = settled(settled(cut, _key=key, _head=by_heading), _all=F.when(F.size("_head") > 0, F.col("_head")).otherwise(names.keys(F.col("text"))))
+    rows = settled(rows, _distinct=F.array_distinct("_all"))
     times = F.array_sort(F.transform("_distinct", lambda k: F.struct((-F.size(F.filter("_all", lambda x: x == k))).alias("n"), F.array_position("_all", k).alias("at"), k.alias("k"))))
-    rows = rows.withColumn("_ranked", times)
+    rows = settled(rows, _ranked=times)
     lead = F.get("_ranked", F.lit(0))
     leading = (lead["n"] <= -2) & (lead["n"] < F.get("_ranked", F.lit(1))["n"])
     marks = F.size(F.regexp_extract_all("text", F.lit("(" + BRACKET + ")"), F.lit(1))) + F.size(F.regexp_extract_all("text", F.lit(r"(?m)^(?:" + names.prefix[4:] + ")"), F.lit(0)))
@@ -144,7 +145,7 @@ def segments(cut: DataFrame, names: Names, generic: tuple[str, ...] = GENERIC_HE
         .when(leading & (marks < 2), "leading")
         .otherwise("split")
     )
-    rows = rows.withColumn("way", way)
+    rows = settled(rows, way=way)
     sure = F.create_map(*[F.lit(x) for kv in {"unknown": 0.1, "heading": 0.96, "single": 0.9, "leading": 0.82}.items() for x in kv])[F.col("way")]
     product = F.when(F.col("way") == "heading", F.col("_key")).when(F.col("way") == "single", F.get("_distinct", F.lit(0))).when(F.col("way") == "leading", lead["k"]).otherwise("")
     whole = rows.filter("way <> 'split'").select("doc_id", "section", "section_type", "heading", "start", "stop", "text", product.alias("product_key"), sure.alias("confidence"), "way", F.lit(0).alias("place"), F.col("start").alias("_block"))

@@ -23,3 +23,8 @@ def test_no_window_frame_shrinks_from_row_to_row(spark, sf_dir):
     """Such a frame is read anew for each row: its work grows with the square of a document's length."""
     for name in ("j8_signal_owners", "t12_evidence"):
         assert not re.search(r"RowFrame, (?:currentrow\$\(\)|\d+), unboundedfollowing", plan(spark, sf_dir, name))
+
+
+def test_shown_texts_and_names_are_computed_once(spark, sf_dir):
+    for name, most in (("c13_displayed_text", 40), ("g3_segments", 1200)):
+        assert plan(spark, sf_dir, name).lower().count("regexp") < most, name
