@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.functions.phrases import alias_key
+from quillstream.operators.tables import sliced
 
 #: Rows of a lexicon: it is sent to the tasks whole, so a larger one is refused.
 MOST_NAMES = 500_000
@@ -137,7 +138,7 @@ def find(docs: DataFrame, rows: list[tuple], title: str | None = None) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             at, out = [], []
             for row, (text, name) in enumerate(zip(batch["text"].to_pylist(), batch["title"].to_pylist(), strict=True)):
                 for start, stop, i, evidence in lexicon.matches(text or "", name or ""):

@@ -28,3 +28,13 @@ def test_no_window_frame_shrinks_from_row_to_row(spark, sf_dir):
 def test_shown_texts_and_names_are_computed_once(spark, sf_dir):
     for name, most in (("c13_displayed_text", 40), ("g3_segments", 1200)):
         assert plan(spark, sf_dir, name).lower().count("regexp") < most, name
+
+
+def test_batches_are_cut_and_nothing_is_lost():
+    import pyarrow as pa
+
+    from quillstream.operators.tables import sliced
+
+    batches = [pa.record_batch({"x": list(range(n))}) for n in (0, 1, 1200)]
+    cut = list(sliced(iter(batches), 500))
+    assert max(b.num_rows for b in cut) <= 500 and [x for b in cut for x in b["x"].to_pylist()] == [0, *range(1200)]
