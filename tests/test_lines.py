@@ -32,3 +32,42 @@ def test_odd_lines_as_by_loops(spark):
             s = outer.sub("", r.line)
             noisy = bool(s) and (any(re.search(p, s) for p in pack.noise_patterns) or any(w.lower() in s.lower() for w in pack.noise_words))
             assert (r.s, r.b, r.h, r.n, r.c) == (s, blank.sub("", r.line), any(w in r.line for w in pack.hints), noisy, len(re.findall(pack.letters, r.line))), (pack.letters, r.line)
+
+
+class Cut:
+    """A table that gives back the function its batches go through."""
+
+    def __init__(self, **kinds):
+        from pyspark.sql.types import StructType
+
+        self.schema = StructType.fromDDL(", ".join(f"{k} {v}" for k, v in kinds.items()))
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_few_texts_are_held_at_a_time():
+    """What a task makes of a batch in Python is made for some of its rows at a time, and nothing is lost."""
+    import pyarrow as pa
+
+    from quillstream.operators import files
+
+    ids = list(range(1200))
+    out = list(files.decoded(Cut(doc_id="long"), "doc_id")(iter([pa.record_batch({"doc_id": ids, "content": [b"# t%d" % i for i in ids]})])))
+    assert max(b.num_rows for b in out) <= 512 and [x for b in out for x in b["title"].to_pylist()] == [f"t{i}" for i in ids]
+
+
+def test_few_texts_are_cut_at_a_time(spark):
+    import pyarrow as pa
+
+    from quillstream.operators import replies
+
+    ids = list(range(1200))
+    long = "a。" * 700 + " " * 900 + "b，" * 800 + "c" * 4000
+    out = list(replies.chunks(Cut(doc_id="long"))(iter([pa.record_batch({"doc_id": ids, "blocks": [[f"x{i}"] for i in ids]}), pa.record_batch({"doc_id": [7], "blocks": [[long]]})])))
+    assert max(b.num_rows for b in out[:-1]) <= 512 and [x for b in out[:-1] for x in b["chunk"].to_pylist()] == [f"x{i}" for i in ids]
+    last = out[-1]["chunk"].to_pylist()
+    assert max(map(len, last)) <= 1500 and "".join("".join(last).split()) == "".join(long.split())
