@@ -56,7 +56,11 @@ class Names:
         of = lambda a: behind(a) + (rf"(?<![A-Za-z0-9]){re.escape(a)}(?![A-Za-z0-9])" if re.fullmatch("[a-z0-9]+", a) else re.escape(a))
         # a symbol stands alone or before a contract's digits; one of a single letter only before these
         coded = lambda s: rf"(?<![A-Za-z0-9]){re.escape(s)}(?:\d{{3,4}}){'' if len(s) == 1 else '?'}(?![A-Za-z0-9])"
-        self.pattern = "(?i)(?:" + "|".join([*(of(a) for a in ordered), *(coded(s) for s in sorted(self.symbols, key=lambda s: (-len(s), s)))]) + ")"
+        # the names are tried, with what may not stand before each, only where one of their first characters does
+        firsts = "".join(sorted({c for x in (*self.aliases, *self.symbols) if x for c in (x[0], x[0].upper()) if len(c) == 1 and (c == x[0] or x[0].isascii())}))
+        # in both cases, since a class without case is far slower
+        here = f"(?-i:(?=[{re.escape(firsts)}]))" if firsts and "" not in self.aliases and "" not in self.symbols else ""
+        self.pattern = f"(?i){here}(?:" + "|".join([*(of(a) for a in ordered), *(coded(s) for s in sorted(self.symbols, key=lambda s: (-len(s), s)))]) + ")"
         known = "|".join(re.escape(x) for x in sorted({*self.symbols, *(a for a in self.aliases if re.fullmatch("[a-z]{1,5}", a))}, key=lambda s: (-len(s), s))) or "(?!)"
         self.contract = rf"(?i)(?:{known})\d{{2,4}}\s*合约"
         plain = "|".join(re.escape(a) for a in ordered)

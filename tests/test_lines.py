@@ -49,7 +49,7 @@ class Cut:
         return run
 
 
-def test_few_texts_are_held_at_a_time():
+def test_few_texts_are_held_at_a_time(spark):
     """What a task makes of a batch in Python is made for some of its rows at a time, and nothing is lost."""
     import pyarrow as pa
 
@@ -71,3 +71,15 @@ def test_few_texts_are_cut_at_a_time(spark):
     assert max(b.num_rows for b in out[:-1]) <= 512 and [x for b in out[:-1] for x in b["chunk"].to_pylist()] == [f"x{i}" for i in ids]
     last = out[-1]["chunk"].to_pylist()
     assert max(map(len, last)) <= 1500 and "".join("".join(last).split()) == "".join(long.split())
+
+
+def test_names_are_tried_where_one_may_begin():
+    """Each name brings a look behind: without this all of them were tried at each place of a text."""
+    from quillstream.operators.segmenting import Names
+
+    names = Names({"The": "K1", "库存": "K2", "a-b": "K3", "]x": "K4"}, {"rb": "K5"}, {"the": ("in ",)})
+    assert names.pattern.startswith("(?i)(?-i:(?=[")
+    old = names.pattern.replace(re.match(r"\(\?i\)(\(\?-i:\(\?=\[.*?\]\)\))\(\?:", names.pattern)[1], "", 1)
+    for text in ("The in the a-b 库存rb2505]x", "RB25 rb 005 THE-the A-B", "", "in The\n]X 库 存"):
+        found = lambda p: [m.span() for m in re.finditer(p, text)]
+        assert found(names.pattern) == found(old)
