@@ -83,3 +83,19 @@ def test_names_are_tried_where_one_may_begin():
     for text in ("The in the a-b 库存rb2505]x", "RB25 rb 005 THE-the A-B", "", "in The\n]X 库 存"):
         found = lambda p: [m.span() for m in re.finditer(p, text)]
         assert found(names.pattern) == found(old)
+
+
+def test_classes_of_characters_are_tables(spark, sf_dir):
+    """Each range in a class was asked for every character of a line."""
+    for name in ("c9_noise_tests", "c7_image_lines"):
+        text = plan(spark, sf_dir, name)
+        assert "[^A-Za-z]+" not in text and "[A-Za-z0-9À" not in text and r"\x0B-\r" not in text, name
+    signs = spark.createDataFrame([("a" + chr(i) + "b" + chr(i),) for i in range(1, 0x320) if chr(i) not in "ab"], "x string")
+    for letters in ("A-Za-z", "0-9", "À-ɏ", "一-鿿", "A-Za-z0-9À-ɏ"):
+        table = F.regexp_replace("x", f"[^{cl.spelled(letters)}]", "") == F.regexp_replace("x", f"[^{letters}]", "")
+        assert signs.filter(~table).count() == 0, letters
+
+
+def test_dates_are_looked_for_where_digits_stand(spark, sf_dir):
+    text = plan(spark, sf_dir, "c9_noise_tests")
+    assert "THEN (size(regexp_extract_all(x" in text.split(r"\d{4}[-/.]")[0][-200:]
