@@ -99,3 +99,9 @@ def test_classes_of_characters_are_tables(spark, sf_dir):
 def test_dates_are_looked_for_where_digits_stand(spark, sf_dir):
     text = plan(spark, sf_dir, "c9_noise_tests")
     assert "THEN (size(regexp_extract_all(x" in text.split(r"\d{4}[-/.]")[0][-200:]
+
+
+def test_misreadings_are_looked_for_beyond_ascii(spark, sf_dir):
+    rows = spark.createDataFrame([("The  x 年未 上且",), ("é 装直",), ("plain  text",), (None,)], "x string")
+    assert [r[0] for r in rows.select(cl.repaired(F.col("x"), ZH)).collect()] == ["The x 年末且", "é 装置", "plain text", None]
+    assert "CASE WHEN (octet_length(lambda" in plan(spark, sf_dir, "c7_image_lines").split("年未")[0][-700:]
