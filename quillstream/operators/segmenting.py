@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.functions.columns import BLANKS, contract_key, settled, stripped
+from quillstream.functions.columns import BLANK_SIGNS, contract_key, settled, stripped
 from quillstream.functions.phrases import block_fingerprint
 from quillstream.operators import spans as sp
 from quillstream.operators.text import directions
@@ -20,28 +22,38 @@ BRACKET = "【[^】]{1,20}】"
 
 def trimmed(text: Column, start: Column) -> tuple[Column, Column, Column]:
     """A piece of text that begins at `start` without blanks at its ends: its text, start and stop."""
-    lead = F.length(text) - F.length(F.regexp_replace(text, rf"^[\n{BLANKS}]+", ""))
+    lead = F.length(text) - F.length(F.ltrim(text, F.lit(BLANK_SIGNS)))
     bare = stripped(text)
     return bare, start + lead, start + lead + F.length(bare)
 
 
-def _cut(docs: DataFrame, parts: DataFrame) -> DataFrame:
-    """parts (doc_id, from, to, ...) with the text in between."""
-    joined = parts.join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id")
-    return joined.withColumn("raw", F.substring("_text", (F.col("from") + 1).cast("int"), (F.col("to") - F.col("from")).cast("int"))).drop("_text")
+def _starts(sizes: Column) -> Column:
+    """Where each of some pieces begins, by the pieces' lengths (an array). Running sums of one row's numbers: neither texts nor a window have to be moved for them."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: None if x is None else np.cumsum(x, dtype=np.int64) - x)
+
+    return run(sizes)
 
 
 def sections(docs: DataFrame, types: dict[str, str] = SECTION_TYPES) -> DataFrame:
     """doc_id, section, heading, section_type, start, stop, text of the parts under `## ` headings; a text without any is one core section. Empty ones are left out."""
-    found = sp.spans(docs.select("doc_id", "text"), {"heading": HEADING})
-    end = F.coalesce(F.lead("start").over(Window.partitionBy("doc_id").orderBy("start")), F.col("n"))
-    name = stripped(F.regexp_replace("phrase", r"^##", ""))
-    parts = found.select("doc_id", F.col("stop").alias("from"), end.alias("to"), name.alias("heading"))
-    whole = docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(0).cast("bigint").alias("from"), F.length("text").cast("bigint").alias("to"), F.lit("").alias("heading"))
+    # headings and what lies between them: each text is cut once and stays in its task
+    cut = settled(docs.select("doc_id", "text"), heads=F.regexp_extract_all("text", F.lit(HEADING), F.lit(0)), gaps=F.split("text", HEADING, -1)).drop("text")
+    # what stands before the first heading is no section
+    sized = F.transform("gaps", lambda x, i: F.length(x) + F.when(i > 0, F.length(F.get("heads", i - 1))).otherwise(0))
+    ends = cut.withColumn("starts", _starts(sized))
+    whole = F.size("heads") == 0
+    at = lambda i: F.get("starts", i) + F.when(i > 0, F.length(F.get("heads", i - 1))).otherwise(0)
+    made = F.transform("gaps", lambda x, i: F.struct(F.when(i > 0, F.get("heads", i - 1)).alias("phrase"), at(i).alias("from"), stripped(x).alias("bare"), x.alias("raw")))
+    full = F.filter(made, lambda y: (y["bare"] != "") & (whole | y["phrase"].isNotNull()))
+    rows = ends.select("doc_id", F.posexplode(full).alias("pos", "x"))
+    heading = F.when(F.col("x.phrase").isNull(), "").otherwise(stripped(F.regexp_replace("x.phrase", r"^##", "")))
+    text, start, stop = trimmed(F.col("x.raw"), F.col("x.from"))
+    named = rows.select("doc_id", heading.alias("heading"), start.alias("start"), stop.alias("stop"), text.alias("text"), (F.col("pos") + 1).alias("section"))
     kind = F.coalesce(F.create_map(*[F.lit(x) for kv in types.items() for x in kv])[F.col("heading")], F.lit("core"))
-    text, start, stop = trimmed(F.col("raw"), F.col("from"))
-    out = _cut(docs, parts.unionByName(whole)).select("doc_id", "heading", kind.alias("section_type"), start.alias("start"), stop.alias("stop"), text.alias("text")).filter("text <> ''")
-    return out.withColumn("section", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")))
+    return named.select("doc_id", "heading", kind.alias("section_type"), "start", "stop", "text", "section")
 
 
 class Names:
@@ -98,32 +110,32 @@ class Names:
         return F.coalesce(known, F.nullif(F.regexp_extract(text, r"([0-9]{2,4})\s*合约", 1), F.lit("")))
 
 
+def _borders(names: Names) -> str:
+    """A pattern of the places where blocks begin, to cut texts at: it takes no character, so blanks before a contract or line stay with it."""
+    # brackets as matches from left to right find them: none begins within 20 characters before the same closing one
+    bracket = "|".join(f"(?<!【[^】]{{0,{19 - n}}})(?=【[^】]{{{n}}}】)" if n < 20 else f"(?=【[^】]{{{n}}}】)" for n in range(1, 21))
+    contract = rf"(?<=\A|[\n。！？；;])(?=\s*(?i:{names.contract[4:]}))"
+    # a line with # counts if its heading names a product
+    line = rf"(?<=\n)(?=[ \t]*(?=\S)(?:#|【|{names.prefix[4:]}))"
+    return f"(?=【)(?:{bracket})|{line}|{contract}"
+
+
 def blocks(parts: DataFrame, names: Names) -> DataFrame:
     """Sections (as `sections` gives them) cut where a bracket heading, a contract code or a line of a product begins: doc_id, section, section_type, heading, explicit, start, stop, text."""
-    # one text for each section: boundaries are found within it
-    keyed = parts.withColumn("doc_id", F.struct("doc_id", "section"))
-    texts = keyed.select("doc_id", "text")
-    lines = rf"(?m)(?<=\n)[ \t]*(?=\S)(?=#|【|{names.prefix[4:]})"
-    starts = {"bracket": BRACKET, "contract": rf"(?<=^|[\n。！？；;])\s*(?={names.contract[4:]})", "line": lines}
-    found = sp.spans(texts, {k: "(?i)" + v if not v.startswith("(?") or v.startswith("(?<") else v for k, v in starts.items()})
-    at = F.when(F.col("kind") == "bracket", F.col("start")).otherwise(F.col("stop"))
-    # a line with # counts if its heading names a product
-    own = keyed.select("doc_id", F.lit(0).cast("bigint").alias("at"))
-    cuts = found.select("doc_id", at.cast("bigint").alias("at")).unionByName(own).distinct()
-    sized = cuts.join(keyed.select("doc_id", F.length("text").cast("bigint").alias("n")), "doc_id").filter("at < n")
-    to = F.coalesce(F.lead("at").over(Window.partitionBy("doc_id").orderBy("at")), F.col("n"))
-    pieces = _cut(texts, sized.select("doc_id", F.col("at").alias("from"), to.alias("to")))
+    own = parts.select("doc_id", "section", "section_type", F.col("heading").alias("section_heading"), F.col("start").alias("_base"), "text")
+    split = settled(own, pieces=F.split("text", _borders(names), -1)).drop("text")
+    placed = split.withColumn("starts", _starts(F.transform("pieces", F.length)))
+    pieces = placed.select(*(c for c in own.columns if c != "text"), F.inline(F.arrays_zip("pieces", "starts")).alias("raw", "from"))
     text, start, stop = trimmed(F.col("raw"), F.col("from"))
-    cut = pieces.select("doc_id", text.alias("text"), start.alias("_start"), stop.alias("_stop")).filter("text <> ''")
-    joined = cut.join(keyed.select("doc_id", F.col("heading").alias("section_heading"), "section_type", F.col("start").alias("_base")), "doc_id")
-    line = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
-    first = stripped(line)
+    joined = settled(pieces, text=text, _start=start, _stop=stop).drop("raw", "from").filter("text <> ''")
+    joined = settled(joined, _first=stripped(F.substring_index("text", "\n", 1)))
+    first = F.col("_first")
     bracket = F.regexp_extract(first, "^【([^】]{1,20})】", 1)
     prefixed = first.rlike("^" + names.prefix)
     code = F.regexp_extract(first, r"^([A-Za-z]{1,5})\d{2,4}\s*合约", 1)
     title = F.when(first.startswith("#"), F.regexp_replace(first, r"^#+\s*", "")).when(F.trim(bracket) != "", bracket).when((code != "") & prefixed, code).when(prefixed, F.left(F.trim(F.regexp_extract(first, "^([^：:]*)", 1)), F.lit(80))).otherwise("")
-    out = joined.withColumn("_title", title)
-    return out.select("doc_id.doc_id", "doc_id.section", "section_type", F.when(F.col("_title") != "", F.col("_title")).otherwise(F.col("section_heading")).alias("heading"), (F.col("_title") != "").alias("explicit"), (F.col("_base") + F.col("_start")).alias("start"), (F.col("_base") + F.col("_stop")).alias("stop"), "text")
+    out = settled(joined, _title=title)
+    return out.select("doc_id", "section", "section_type", F.when(F.col("_title") != "", F.col("_title")).otherwise(F.col("section_heading")).alias("heading"), (F.col("_title") != "").alias("explicit"), (F.col("_base") + F.col("_start")).alias("start"), (F.col("_base") + F.col("_stop")).alias("stop"), "text")
 
 
 def segments(cut: DataFrame, names: Names, generic: tuple[str, ...] = GENERIC_HEADINGS) -> DataFrame:

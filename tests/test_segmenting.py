@@ -84,3 +84,39 @@ def test_manual_keys_by_fingerprint(spark, found):
     manual = spark.createDataFrame([(unknown[0]["fingerprint"], "INE.EC")], "fingerprint string, manual_key string")
     rows = sorted(sg.overridden(parts, manual).collect(), key=lambda r: r["segment_index"])
     assert [(r["product_key"], r["way"], r["confidence"]) for r in rows] == [("INE.EC", "manual", 1.0), ("SHFE.CU", "heading", 0.96)]
+
+
+def test_sections_and_blocks_as_by_loops(spark, sf_dir):
+    """Texts are cut once, in their task: joined to each of their borders, they grew with a text's length squared."""
+    import random
+    import re
+
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["g2_blocks"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    names = sg.Names({"rb": "K1", "螺纹": "K2", "the": "K3"}, {"cu": "K4"})
+    rnd, signs = random.Random(3), ["【", "】", "【rb】", "\n", " ", "\t", "。", ";", "rb05合约", "cu 25 合约", "RB05 合约", "the", "the：", "螺纹", "螺纹 ", "#", "## a ", "\n##\n## b", "\n## 核心正文\n", "x" * 9, "　", "\U0001f600", "é", "合约"]
+    texts = {i: "".join(rnd.choice(signs) for _ in range(rnd.randrange(60))) for i in range(400)} | {1000: "", 1001: "\n".join(["rb：a【b】"] * 500)}
+    blank = " \n" + "\t\x0b\f\r　"
+    want = set()
+    starts = ["【[^】]{1,20}】", rf"(?a)(?:(?<=[\n。！？；;])|\A)\s*(?={names.contract[4:]})", rf"(?a)(?<=\n)[ \t]*(?=\S)(?=#|【|{names.prefix[4:]})".replace(r"\z", r"\Z")]
+    for i, text in texts.items():
+        heads = [m.span() for m in re.finditer(r"(?am)^##\s+[^\n]+?[ \t]*$", text)]
+        parts = [(text[a:b], b, e) for (a, b), e in zip(heads, [h[0] for h in heads[1:]] + [len(text)], strict=True)] if heads else [("", 0, len(text))]
+        number = 0
+        for _, a, b in parts:
+            own = text[a:b].strip(blank)
+            if not own:
+                continue
+            number, base = number + 1, a + len(text[a:b]) - len(text[a:b].lstrip(blank))
+            at = {0, *(m.start() for m in re.finditer(starts[0], own)), *(m.end() for m in re.finditer(starts[1], own, re.I | re.A)), *(m.end() for m in re.finditer(starts[2], own))}
+            at = sorted(x for x in at if x < len(own))
+            for x, y in zip(at, [*at[1:], len(own)], strict=True):
+                cut = own[x:y].strip(blank)
+                if cut:
+                    low = base + x + len(own[x:y]) - len(own[x:y].lstrip(blank))
+                    want.add((i, number, low, low + len(cut), cut))
+    docs = spark.createDataFrame([*texts.items(), (2000, None)], "doc_id long, text string").repartition(4)
+    got = sg.blocks(sg.sections(docs), names).select("doc_id", "section", "start", "stop", "text").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
