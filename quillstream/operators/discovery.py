@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.functions.columns import settled
 from quillstream.functions.phrases import alias_key, nfkc, shown_alias, without_ends
 from quillstream.operators import spans as sp
+from quillstream.operators.tables import sliced
 
 # Words of a market's context, foreign prefixes, words that are no alias, and the shapes in which aliases occur.
 MARKET = ("上涨", "下跌", "涨", "跌", "反弹", "回落", "偏强", "偏弱", "震荡", "库存", "基差", "开工", "利润", "持仓", "成交", "供应", "需求", "供需", "价格", "现货", "期货", "合约", "主力")
@@ -48,10 +51,32 @@ def before_and_after(text: Column, start: Column) -> tuple[Column, Column]:
     return F.substring(text, (low + 1).cast("int"), (start - low).cast("int")), F.substring(text, (start + 1).cast("int"), F.lit(AFTER))
 
 
+def in_context(docs: DataFrame, pattern: str) -> DataFrame:
+    """doc_id, start, phrase, before, after (as `before_and_after` cuts them) of a pattern's matches in texts.
+
+    One pass over each text, wherever it lies: neither its places nor the text itself are moved to meet each other."""
+    found = re.compile(pattern, re.ASCII)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 64):
+            ids, starts, phrases, before, after = [], [], [], [], []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for m in found.finditer(text or ""):
+                    at = m.start()
+                    ids.append(doc)
+                    starts.append(at)
+                    phrases.append(m[0])
+                    before.append(text[max(at - BEFORE, 0) : at])
+                    after.append(text[at : at + AFTER])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), *(pa.array(x, pa.string()) for x in (phrases, before, after))], names=["doc_id", "start", "phrase", "before", "after"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, phrase string, before string, after string")
+
+
 def foreign_context(before: Column, alias: Column, after: Column, prefixes: tuple[str, ...] = FOREIGN) -> Column:
     """Whether an alias stands by a mail address or right behind a foreign market's name, told by what `before_and_after` cuts out."""
     around = F.concat(before, alias, after)
-    return F.contains(before, F.lit("@")) | around.rlike(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+") | before.rlike(f"(?i)(?:{'|'.join(map(re.escape, prefixes))})\\z")
+    return F.contains(before, F.lit("@")) | F.contains(around, F.lit("@")) & around.rlike(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+") | before.rlike(f"(?i)(?:{'|'.join(map(re.escape, prefixes))})\\z")
 
 
 def rejection(alias: Column, kind: Column, stop: tuple[str, ...] = STOP, institutions: tuple[str, ...] = ("免责", "公司"), ) -> Column:

@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.functions import phrases as ph
-from quillstream.functions.columns import settled
 from quillstream.operators import discovery as di
 from quillstream.operators import files as fl
 from quillstream.operators import ingest
 from quillstream.operators import pages as pg
-from quillstream.operators import spans as sp
 from quillstream.operators.text import ALIASES
 from quillstream.plans.cleaned import hit, q
 from quillstream.plans.relational import EXT, STATUS, WITH
@@ -137,10 +135,8 @@ _TOKENS = _spans_sql("runs", "[A-Za-z]+")
 
 @query("l2_foreign_context", f"WITH {_TOKENS}, c AS (SELECT doc_id, start, phrase, substring(text, greatest(start - 12, 0) + 1, start - greatest(start - 12, 0)) AS before, substring(text, start + 1, 32) AS after FROM runs WHERE length(phrase) = 4) SELECT doc_id, start, contains(before, '@') OR {hit('before || phrase || after', chr(92) + 'b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+')} OR {hit('before', '(?i)(?:the |of |de )' + chr(92) + 'z')} AS negative FROM c")
 def l2(s, d):
-    docs = b.table(s, d, "documents")
-    found = sp.spans(docs, {"word": "[A-Za-z]+"}).filter("length(phrase) = 4").join(docs.select("doc_id", "text"), "doc_id")
-    before, after = di.before_and_after(F.col("text"), F.col("start"))
-    cut = settled(found.select("doc_id", "start", "phrase", "text"), before=before, after=after)
+    # words of four letters, as maximal runs
+    cut = di.in_context(b.table(s, d, "documents"), "(?<![A-Za-z])[A-Za-z]{4}(?![A-Za-z])")
     return cut.select("doc_id", "start", di.foreign_context(F.col("before"), F.col("phrase"), F.col("after"), _PREFIXES).alias("negative"))
 
 
