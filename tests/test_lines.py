@@ -105,3 +105,32 @@ def test_misreadings_are_looked_for_beyond_ascii(spark, sf_dir):
     rows = spark.createDataFrame([("The  x 年未 上且",), ("é 装直",), ("plain  text",), (None,)], "x string")
     assert [r[0] for r in rows.select(cl.repaired(F.col("x"), ZH)).collect()] == ["The x 年末且", "é 装置", "plain text", None]
     assert "CASE WHEN (octet_length(lambda" in plan(spark, sf_dir, "c7_image_lines").split("年未")[0][-700:]
+
+
+def test_shown_lines_as_by_patterns(spark, sf_dir):
+    """Ends of lines were patterns tried at each place of a text, and a text was shown whether or not it had to be."""
+    import random
+
+    text = plan(spark, sf_dir, "p6_refined_problems")
+    assert "(?md)^[" not in text
+    blank = re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: chr(int(m[1], 16)), BLANKS)
+    steps = [(rf"(?m)^[{blank}]+|[{blank}]+$", ""), (rf"\b[0-9]+[{blank}]*/[{blank}]*[0-9]+\b", " "), (r"[ \t]+", " "), (rf"[{blank}]+([，。；：！？、】）)])", r"\1"), (rf"([【（(])[{blank}]+", r"\1"), (rf"(?m)^[{cl.ENDS}]+|[{cl.ENDS}]+$", ""), (rf"(?m){cl.ORPHANS}", ""), (rf"(?m)^[{blank}]+|[{blank}]+$", "")]
+
+    def slow(x):
+        for pattern, to in steps:
+            x = re.sub(pattern, to, x)
+        return x
+
+    rnd, signs = random.Random(7), [" ", "  ", "\t", "\n", "\u3000", "，", "。", "；", ":", "：", "(", "【", "）", ")", "】", "电话", "邮箱", "12/3", " 4 / 5 ", "a", "é", "x y", "\x85", "\u2028", "\x1c", "?", "！"]
+    texts = ["", " ", "\n", *("".join(rnd.choice(signs) for _ in range(rnd.randrange(25))) for _ in range(600))]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", cl.shown_lines(F.col("x")).alias("s"))
+    for r in rows.collect():
+        assert r.s == slow(r.x), repr(r.x)
+
+
+def test_contacts_signs(spark):
+    from quillstream.functions import phrases as ph
+
+    texts = {"从 业资格\n证号": True, "免责 声明": True, "证号 123": False, "tel 电话：021-12345678": True, "WWW.a.b": True, "Www": False, "a@b.cc": True, "a@b": False, "plain": False, "http://x": True, "热线 12": False}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ph.has_contacts("t").alias("c")).collect()
+    assert {r.t: r.c for r in got} == texts
