@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -219,15 +220,20 @@ def candidates(parts: DataFrame) -> DataFrame:
 
 def reasons(ruled: DataFrame, pack: DirectionPack = ZH_DIRECTIONS, names: tuple[str, str, str] = DIRECTIONS, window: int = 2, most: int = 220, marks: str = "。！？；\n") -> DataFrame:
     """ruled (direction, text) with reason: the sentences within `window` of a strong word of the direction, else the text's beginning."""
-    pieces = F.filter(F.transform(F.regexp_extract_all("text", F.lit(f"([^{marks}]*[{marks}]|[^{marks}]+)"), F.lit(1)), stripped), lambda x: x != "")
-    words = {n: "|".join(map(re.escape, w)) for n, w in zip(names, (pack.up, pack.down, pack.flat), strict=True)}
-    rows = ruled.withColumn("_s", pieces)
-    is_hit = lambda x: F.coalesce(*[F.when(F.col("direction") == n, x.rlike(p)) for n, p in words.items()], F.lit(False))
-    hits = F.filter(F.transform("_s", lambda x, i: F.when(is_hit(x), i)), lambda i: i.isNotNull())
-    near = F.filter("_s", lambda x, i: F.exists("_h", lambda h: F.abs(h - i) <= window))
+    # a line end behind each mark: cut there, pieces keep their marks, and without blanks they are what stood between marks
+    broken = reduce(lambda a, m: F.replace(a, F.lit(m), F.lit(m + "\n")), marks.replace("\n", ""), F.col("text"))
+    cut = F.split(broken, "\n") if "\n" in marks else F.regexp_extract_all("text", F.lit(f"([^{marks}]*[{marks}]|[^{marks}]+)"), F.lit(1))
+    pieces = F.filter(F.transform(cut, stripped), lambda x: x != "")
+    words = dict(zip(names, (pack.up, pack.down, pack.flat), strict=True))
+    is_hit = lambda x: reduce(lambda a, n: a | ((F.col("direction") == n) & reduce(lambda b, w: b | F.contains(x, F.lit(w)), words[n], F.lit(False))), names, F.lit(False))
+    # texts without a direction are not cut; flags next to a sentence tell whether it is near, not all hits of the text
+    rows = settled(ruled, _s=F.when(F.col("direction").isNotNull(), pieces))
+    rows = settled(rows, _h=F.transform("_s", is_hit))
+    at = lambda i: F.when(i >= 0, F.get("_h", i))
+    near = F.filter("_s", lambda x, i: reduce(lambda a, k: a | F.coalesce(at(i + k), F.lit(False)), range(-window, window + 1), F.lit(False)))
     compact = F.left(F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit(most))
     reason = F.when(F.col("direction").isNull(), "").otherwise(F.coalesce(F.nullif(F.array_join(near, ""), F.lit("")), compact))
-    return rows.withColumn("_h", hits).withColumn("reason", reason).drop("_s", "_h")
+    return rows.withColumn("reason", reason).drop("_s", "_h")
 
 
 def rule_results(found: DataFrame, pack: DirectionPack = ZH_DIRECTIONS) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.functions.columns import let, settled
 from quillstream.packs import ZH_DIRECTIONS, DirectionPack
 from quillstream.sources.bindings import DIRECTIONS
 
@@ -79,15 +80,32 @@ def merged_windows(spans: DataFrame, radius: int, gap: int = 0) -> DataFrame:
     return out if scored else out.drop("score", "kind")
 
 
-def _strong(text: Column, words: tuple[str, ...]) -> tuple[Column, Column]:
-    """How often some words occur in a text, and how many of them do."""
-    counts = [F.regexp_count(text, F.lit(re.escape(w))) for w in words]
-    return reduce(lambda a, x: a + x, counts).cast("long"), reduce(lambda a, x: a + x, ((c > 0).cast("long") for c in counts))
+def _strong(text: Column, word: str) -> Column:
+    """How often a word occurs."""
+    return F.when(F.contains(text, F.lit(word)), (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(word), F.lit("")))) / len(word.encode())).otherwise(0).cast("long")
 
 
-def _weak(text: Column, patterns: tuple[str, ...]) -> tuple[Column, Column]:
-    counts = [F.regexp_count(text, F.lit(p)) for p in patterns]
-    return reduce(lambda a, x: a + x, counts).cast("long"), reduce(lambda a, x: a + x, ((c > 0).cast("long") for c in counts))
+#: Ends of lines, beyond which a dot in a pattern does not go; few texts hold others than the first.
+_LINE_ENDS = "\n\r\x85\u2028\u2029"
+
+
+def _pattern_lines(text: Column) -> Column:
+    other = reduce(lambda a, c: a | F.contains(text, F.lit(c)), _LINE_ENDS[1:], F.lit(False))
+    return F.when(other, F.split(text, f"[{_LINE_ENDS}]")).otherwise(F.split(text, "\n"))
+
+
+def _weak(text: Column, lines: Column, pattern: str) -> Column:
+    """How often a pattern occurs. Words in order on a line are found once in it, if at all; a pattern of them would read the line's rest for each of the first."""
+    parts = pattern.split(".*")
+    if len(parts) < 2 or not all(parts) or any(re.escape(p).replace("\\ ", " ") != p for p in parts):
+        return F.regexp_count(text, F.lit(pattern)).cast("long")
+
+    def ordered(line: Column, at: Column, rest: list[str]) -> Column:
+        here = F.position(F.lit(rest[0]), line, at)
+        return here > 0 if len(rest) == 1 else let(here, lambda p: (p > 0) & ordered(line, p + len(rest[0]), rest[1:]))
+
+    all_of = reduce(lambda a, p: a & F.contains(text, F.lit(p)), parts, F.lit(True))
+    return F.when(all_of, F.size(F.filter(lines, lambda x: ordered(x, F.lit(1), parts)))).otherwise(0).cast("long")
 
 
 # What strong words, weak patterns, conflict and repetition count for a rule's confidence.
@@ -105,11 +123,15 @@ def rule_confidence(found: Column, flat: Column, strong: Column, weak: Column, c
 
 def directions(docs: DataFrame, pack: DirectionPack = ZH_DIRECTIONS, names: tuple[str, str, str] = DIRECTIONS, text: str = "text") -> DataFrame:
     """docs with up, down, flat (occurrences), strong and weak (words and patterns that occur), direction (ties in the order up, down, flat), conflict, confidence, and whether a model is to be asked."""
-    x = F.col(text)
-    strong = [_strong(x, w) for w in (pack.up, pack.down, pack.flat)]
-    weak = [_weak(x, w) for w in (pack.up_weak, pack.down_weak, pack.flat_weak)]
-    out = docs.withColumns({n: s[0] + w[0] for n, s, w in zip(("up", "down", "flat"), strong, weak, strict=True)})
-    out = out.withColumns({"strong": reduce(lambda a, y: a + y, (s[1] for s in strong)), "weak": reduce(lambda a, y: a + y, (w[1] for w in weak))})
+    x, total = F.col(text), lambda columns: reduce(lambda a, y: a + y, columns, F.lit(0).cast("long"))
+    sides = {n: ([f"_{n}_s{i}" for i in range(len(s))], [f"_{n}_w{i}" for i in range(len(w))]) for n, s, w in zip(("up", "down", "flat"), (pack.up, pack.down, pack.flat), (pack.up_weak, pack.down_weak, pack.flat_weak), strict=True)}
+    words = {c: _strong(x, w) for n, s in zip(sides, (pack.up, pack.down, pack.flat), strict=True) for c, w in zip(sides[n][0], s, strict=True)}
+    patterns = {c: _weak(x, F.col("_lines"), p) for n, s in zip(sides, (pack.up_weak, pack.down_weak, pack.flat_weak), strict=True) for c, p in zip(sides[n][1], s, strict=True)}
+    # each count is read several times
+    counted = settled(settled(docs, _lines=_pattern_lines(x)), **words, **patterns)
+    kinds = [[c for s in sides.values() for c in s[k]] for k in (0, 1)]
+    found = {n: total(map(F.col, s + w)) for n, (s, w) in sides.items()} | {k: total((F.col(c) > 0).cast("long") for c in cs) for k, cs in zip(("strong", "weak"), kinds, strict=True)}
+    out = counted.select(*docs.columns, *(v.alias(k) for k, v in found.items()))
     top = F.greatest("up", "down", "flat")
     direction = F.when(top == 0, None).when(F.col("up") == top, names[0]).when(F.col("down") == top, names[1]).otherwise(names[2])
     out = out.withColumns({"direction": direction, "conflict": (F.col("up") > 0) & (F.col("down") > 0)})

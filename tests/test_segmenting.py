@@ -96,9 +96,9 @@ def test_sections_and_blocks_as_by_loops(spark, sf_dir):
     plan = __spark_entry__.queries()["g2_blocks"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
     names = sg.Names({"rb": "K1", "螺纹": "K2", "the": "K3"}, {"cu": "K4"})
-    rnd, signs = random.Random(3), ["【", "】", "【rb】", "\n", " ", "\t", "。", ";", "rb05合约", "cu 25 合约", "RB05 合约", "the", "the：", "螺纹", "螺纹 ", "#", "## a ", "\n##\n## b", "\n## 核心正文\n", "x" * 9, "　", "\U0001f600", "é", "合约"]
+    rnd, signs = random.Random(3), ["【", "】", "【rb】", "\n", " ", "\t", "。", ";", "rb05合约", "cu 25 合约", "RB05 合约", "the", "the：", "螺纹", "螺纹 ", "#", "## a ", "\n##\n## b", "\n## 核心正文\n", "x" * 9, "\u3000", "\U0001f600", "é", "合约"]
     texts = {i: "".join(rnd.choice(signs) for _ in range(rnd.randrange(60))) for i in range(400)} | {1000: "", 1001: "\n".join(["rb：a【b】"] * 500)}
-    blank = " \n" + "\t\x0b\f\r　"
+    blank = " \n" + "\t\x0b\f\r\u3000"
     want = set()
     starts = ["【[^】]{1,20}】", rf"(?a)(?:(?<=[\n。！？；;])|\A)\s*(?={names.contract[4:]})", rf"(?a)(?<=\n)[ \t]*(?=\S)(?=#|【|{names.prefix[4:]})".replace(r"\z", r"\Z")]
     for i, text in texts.items():
@@ -120,3 +120,42 @@ def test_sections_and_blocks_as_by_loops(spark, sf_dir):
     docs = spark.createDataFrame([*texts.items(), (2000, None)], "doc_id long, text string").repartition(4)
     got = sg.blocks(sg.sections(docs), names).select("doc_id", "section", "start", "stop", "text").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_directions_and_reasons_as_by_loops(spark, sf_dir):
+    """Words in order on a line are looked for once in it, and a sentence is near by its neighbours' flags: patterns and lists of hits grew with a text's length squared."""
+    import random
+    import re
+
+    import __spark_entry__
+    from pyspark.sql import functions as F
+
+    from quillstream.operators import text as tx
+    from quillstream.packs import DRIVER_DIRECTIONS, ZH_DIRECTIONS
+
+    plan = __spark_entry__.queries()["g7_reasons"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "exists(" not in plan
+    rnd = random.Random(11)
+    signs = ["for", "the", "in", "der", "with ", "mit", "is ", "it", "be", "not", "on", " ", "\n", "\r", "\x85", "\u2028", "。", "！", "？", "；", "预计", "上涨", "等待", "选择", "方向", "不", "明", "震荡", "以", "为主", "é", "\U0001f600", "aa"]
+    texts = {i: "".join(rnd.choice(signs) for _ in range(rnd.randrange(50))) for i in range(400)} | {1000: "", 1001: "in the under " * 3000, 1002: "with。" * 2000}
+    docs = spark.createDataFrame([*texts.items(), (2000, None)], "doc_id long, text string")
+    blank = " \n\t\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u2028\u3000"
+    for pack in (DRIVER_DIRECTIONS, ZH_DIRECTIONS):
+        for r in sg.reasons(tx.directions(docs, pack, ("up", "down", "flat")), pack, ("up", "down", "flat")).collect():
+            if r["doc_id"] == 2000:
+                continue
+            text = r["text"]
+            weak = lambda p: sum(len(re.findall(p, x)) for x in re.split("[\n\r\x85\u2028\u2029]", text))  # noqa: E731, B023
+            sides = {"up": (pack.up, pack.up_weak), "down": (pack.down, pack.down_weak), "flat": (pack.flat, pack.flat_weak)}
+            counts = {n: [text.count(w) for w in s] + [weak(p) for p in v] for n, (s, v) in sides.items()}
+            assert {n: r[n] for n in sides} == {n: sum(c) for n, c in counts.items()}
+            assert r["strong"] == sum(w in text for s, _ in sides.values() for w in s) and r["weak"] == sum(weak(p) > 0 for _, v in sides.values() for p in v)
+            top = max(r[n] for n in sides)
+            direction = next(n for n in sides if r[n] == top) if top else None
+            pieces = [x for x in (y.strip(blank) for y in re.findall(r"[^。！？；\n]*[。！？；\n]|[^。！？；\n]+", text)) if x]
+            hits = {i for i, x in enumerate(pieces) if direction and any(w in x for w in sides[direction][0])}
+            near = "".join(x for i, x in enumerate(pieces) if any(i + k in hits for k in range(-2, 3)))
+            compact = re.sub(r"(?a)\s+", " ", text).strip(" ")[:220]
+            assert (r["direction"], r["reason"]) == (direction, "" if direction is None else near or compact)
+    odd = spark.createDataFrame([("a1b a2b",)], "text string")
+    assert odd.select(tx._weak(F.col("text"), F.split("text", "\n"), r"a\d.*?b").alias("n")).first().n == 2
