@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 
 from quillstream.functions.columns import settled
 from quillstream.functions.phrases import alias_key, nfkc, shown_alias, without_ends
-from quillstream.operators import spans as sp
 from quillstream.operators.tables import sliced
 
 # Words of a market's context, foreign prefixes, words that are no alias, and the shapes in which aliases occur.
@@ -28,6 +28,8 @@ SHAPES = {
     "ocr_split_symbol": r"(?<![A-Za-z0-9])([A-Za-z](?:\s+[A-Za-z]){1,4})(?![A-Za-z0-9])",
     "market_context": r"([一-鿿A-Za-z]{1,12})",
 }
+#: A match of these shapes holds one of these words, which plain searches find.
+SIGNS = {"contract_code": ("合约",), "bracket_heading": ("【", "["), "label_field": ("品种", "商品"), "suffix_pattern": ("期货", "主力", "合约")}
 AROUND, BEFORE, AFTER = 28, 12, 32
 
 
@@ -102,18 +104,90 @@ def rejection(alias: Column, kind: Column, stop: tuple[str, ...] = STOP, institu
     )
 
 
-def occurrences(docs: DataFrame, aliases: dict[str, str], symbols: dict[str, str], market: tuple[str, ...] = MARKET, shapes: dict[str, str] = SHAPES, foreign: tuple[str, ...] = FOREIGN) -> DataFrame:
+def _apart(word: str, signs: str) -> str:
+    """A word that none of some signs touches, as a pattern that begins with its letters: places without its first one are passed over at once."""
+    return f"{re.escape(word)}(?<![{signs}]{re.escape(word)})(?![{signs}])"
+
+
+def _any(patterns: Iterable[str]) -> re.Pattern:
+    return re.compile("|".join(patterns) or "(?!)", re.ASCII)
+
+
+class Shapes:
+    """Finds what may name a product: known aliases, the shapes, and of words (of which texts are full) only those that are known."""
+
+    def __init__(self, known: Iterable[str], codes: Iterable[str], market: Iterable[str]) -> None:
+        latin, letters = "a-z0-9", "a-z一-鿿"
+        self.shapes = {kind: re.compile(SHAPES[kind], re.ASCII) for kind in (*SIGNS, "ocr_split_symbol")}
+        ordered = sorted(filter(None, known), key=lambda a: (-len(a), a))
+        self.aliases = _any(_apart(a, latin) if re.fullmatch("[a-z0-9]+", a) else re.escape(a) for a in ordered)
+        self.codes = set(codes)
+        symbols = sorted(c for c in self.codes if re.fullmatch("[a-z]{2,5}", c))
+        self.symbols = _any(_apart(c, latin) for c in symbols)
+        self.spread = _any(rf"{c[0]}(?<![{latin}]{c[0]})\s+" + r"\s+".join(c[1:]) + f"(?![{latin}])" for c in symbols)
+        # in a market's context a run of letters counts in pieces of twelve
+        self.words = {a for a in ordered if re.fullmatch(f"[{letters}]{{2,12}}", a)}
+        self.runs, self.long = _any(_apart(a, letters) for a in sorted(self.words)), re.compile(f"[{letters}]{{13,}}")
+        self.market = re.compile("|".join(map(re.escape, market)))
+
+    def found(self, text: str) -> Iterator[tuple[str, int, int, str]]:
+        """(kind, start, stop, what is named)"""
+        low = text.encode().lower().decode()  # ASCII alone, so that places stay
+        for m in self.aliases.finditer(low):
+            yield "catalog_alias", m.start(), m.end(), text[m.start() : m.end()]
+        for kind, signs in SIGNS.items():
+            if any(s in text for s in signs):
+                for m in self.shapes[kind].finditer(text):
+                    if kind != "contract_code" or "".join(m[1].split()).lower() in self.codes:
+                        yield kind, m.start(), m.end(), m[1]
+        yield from ((kind, a, b, text[a:b]) for kind, a, b in self._words(low) if self.market.search(text, max(a - AROUND, 0), b + AROUND))
+
+    def _words(self, low: str) -> Iterator[tuple[str, int, int]]:
+        for m in self.symbols.finditer(low):
+            yield "symbol_context", m.start(), m.end()
+        if self.spread.search(low):
+            for m in self.shapes["ocr_split_symbol"].finditer(low):
+                if "".join(m[0].split()) in self.codes:
+                    yield "ocr_split_symbol", m.start(), m.end()
+        for m in self.runs.finditer(low):
+            yield "market_context", m.start(), m.end()
+        for m in self.long.finditer(low) if self.words else ():
+            for at in range(m.start(), m.end(), 12):
+                if low[at : min(at + 12, m.end())] in self.words:
+                    yield "market_context", at, min(at + 12, m.end())
+
+
+def shaped(docs: DataFrame, known: Iterable[str], codes: Iterable[str], market: Iterable[str]) -> DataFrame:
+    """kind, raw, places (doc_id, start, before, after, as `before_and_after` cuts them) of what `Shapes` finds, in one pass over each text, wherever it lies.
+
+    What is found again in the next texts of a task is a place of the same row: what follows from its name alone is then asked once."""
+    known, codes, market = tuple(known), tuple(codes), tuple(market)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = Shapes(known, codes, market)
+        for batch in sliced(batches, 64):
+            found: dict[tuple[str, str], list] = {}
+            for row, text in enumerate(batch.column("whole").to_pylist()):
+                for kind, start, _, raw in shapes.found(text) if text else ():
+                    found.setdefault((kind, raw), []).append((row, start, text[max(start - BEFORE, 0) : start], text[start : start + AFTER]))
+            rows, starts, before, after = zip(*chain(*found.values())) if found else ((),) * 4
+            places = pa.StructArray.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(before, pa.string()), pa.array(after, pa.string())], names=["doc_id", "start", "before", "after"])
+            ends = pa.array([0, *accumulate(map(len, found.values()))], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in found], pa.string()) for i in (0, 1)), pa.ListArray.from_arrays(ends, places)], names=["kind", "raw", "places"])
+
+    number = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").alias("whole")).mapInArrow(run, f"kind string, raw string, places array<struct<doc_id: {number}, start: bigint, before: string, after: string>>")
+
+
+def occurrences(docs: DataFrame, aliases: dict[str, str], symbols: dict[str, str], market: tuple[str, ...] = MARKET, foreign: tuple[str, ...] = FOREIGN) -> DataFrame:
     """doc_id, alias, kind, product_key (null if unlinked), start, negative (a reason, or null) of everything that may name a product.
 
     Kinds: known aliases, contract codes, bracket headings (in their parts where these are known), label fields, words before 期货 and the like, symbols (as one word or spread) and known words with a market's words nearby."""
     known = {a.lower(): k for a, k in aliases.items()}
     codes = {s.lower(): k for s, k in symbols.items()}
-    ordered = sorted(known, key=lambda a: (-len(a), a))
-    exact = "(?i)(?:" + "|".join(rf"(?<![A-Za-z0-9]){re.escape(a)}(?![A-Za-z0-9])" if re.fullmatch("[a-z0-9]+", a) else re.escape(a) for a in ordered) + ")"
-    found = sp.spans(docs, {"catalog_alias": exact, **shapes})
-    inner = F.coalesce(*[F.when(F.col("kind") == k, F.regexp_extract("phrase", p, 1)) for k, p in shapes.items()], F.col("phrase"))
-    rows = settled(found.select("doc_id", "kind", "start", "stop", "phrase"), raw=inner).drop("phrase").withColumn("_raw", nfkc("raw"))
-    parts = F.when(F.col("kind") == "bracket_heading", F.transform(F.split("_raw", "[/／、,，和及]"), without_ends)).otherwise(F.array("raw"))
+    bracket = F.col("kind") == "bracket_heading"
+    rows = shaped(docs, known, codes, market).withColumn("_raw", nfkc(F.when(bracket, F.col("raw"))))
+    parts = F.when(bracket, F.transform(F.split("_raw", "[/／、,，和及]"), without_ends)).otherwise(F.array("raw"))
     pairs = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) if d else F.create_map(F.lit(""), F.lit(""))
     index = pairs({k: v for k, v in known.items()})
     code_of = pairs(codes)
@@ -122,19 +196,9 @@ def occurrences(docs: DataFrame, aliases: dict[str, str], symbols: dict[str, str
     bare = F.lower(F.regexp_replace("alias", r"\s+", ""))
     alias = F.when(F.col("kind") == "suffix_pattern", F.regexp_replace("alias", f"^(?:{LEADING})", "")).when(F.col("kind").isin("contract_code", "ocr_split_symbol"), F.upper(bare)).otherwise(F.col("alias"))
     rows = rows.withColumns({"alias": shown_alias(alias), "_code": code_of[bare]})
-    rows = settled(rows.select("doc_id", "kind", "start", "stop", "alias", "_code"), _name=index[F.lower("alias")])
-    coded, nearby = F.col("kind").isin("contract_code", "symbol_context", "ocr_split_symbol"), F.col("kind").isin("symbol_context", "ocr_split_symbol", "market_context")
-    wanted = (
-        F.when(coded, F.col("_code").isNotNull())
-        .when(F.col("kind") == "market_context", F.col("_name").isNotNull() & (F.length("alias") >= 2))
-        .otherwise(F.col("alias") != "")
-    )
-    rows = rows.filter(wanted).withColumn("product_key", F.when(coded, F.col("_code")).otherwise(F.col("_name"))).drop("_code", "_name")
-    # texts are joined to what is left, and what is needed of them is cut out there: none goes on with each of its occurrences
-    low = F.greatest(F.col("start") - AROUND, F.lit(0))
-    near = F.substring("text", (low + 1).cast("int"), (F.col("stop") - low + AROUND).cast("int")).rlike("|".join(map(re.escape, market)))
-    before, after = before_and_after(F.col("text"), F.col("start"))
-    placed = settled(rows.join(docs.select("doc_id", "text"), "doc_id"), near=~nearby | near, before=before, after=after)
-    kept = placed.select("doc_id", "alias", "kind", "product_key", "start", "near", "before", "after").filter("near")
-    negative = F.coalesce(rejection(F.col("alias"), F.col("kind")), F.when(F.col("product_key").isNotNull() & foreign_context(F.col("before"), F.col("alias"), F.col("after"), foreign), "foreign_market_context"))
-    return kept.select("doc_id", "alias", "kind", "product_key", "start", negative.alias("negative"))
+    rows = settled(rows.select("kind", "places", "alias", "_code"), _name=index[F.lower("alias")])
+    coded = F.col("kind").isin("contract_code", "symbol_context", "ocr_split_symbol")
+    kept = rows.filter(coded | (F.col("alias") != "")).select("alias", "kind", F.when(coded, F.col("_code")).otherwise(F.col("_name")).alias("product_key"), rejection(F.col("alias"), F.col("kind")).alias("shape"), "places")
+    each = kept.select("alias", "kind", "product_key", "shape", F.inline("places"))
+    negative = F.coalesce("shape", F.when(F.col("product_key").isNotNull() & foreign_context(F.col("before"), F.col("alias"), F.col("after"), foreign), "foreign_market_context"))
+    return each.select("doc_id", "alias", "kind", "product_key", "start", negative.alias("negative"))
