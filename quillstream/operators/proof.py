@@ -25,8 +25,33 @@ NO_START = r"^(?:[，。；：！？!?%、,.])"
 def sentences(docs: DataFrame, endings: str = ENDINGS) -> DataFrame:
     """doc_id, start, stop, phrase: pieces that end in a mark; what stands before a `|` belongs to none."""
     marks = re.escape(endings)
-    found = sp.spans(docs.select("doc_id", "text"), {"s": f"[^{marks}|]*[{marks}|]"})
-    return found.filter(~F.col("phrase").endswith("|")).select("doc_id", "start", "stop", "phrase")
+    # what no mark ends is a piece too: else each of its characters would be tried as a beginning
+    found = sp.spans(docs.select("doc_id", "text"), {"s": f"[^{marks}|]*+[{marks}|]|[^{marks}|]++"})
+    return found.filter(F.right("phrase", F.lit(1)).isin(*endings)).select("doc_id", "start", "stop", "phrase")
+
+
+def whole(quote: Column, endings: str, heading: str = HEADING) -> Column:
+    """Whether a quote is a sentence from its beginning to its mark, without headings."""
+    return F.right(quote, F.lit(1)).rlike(f"[{re.escape(endings)}]") & ~quote.rlike(NO_START) & ~quote.rlike(heading)
+
+
+def offers(quote: Column, endings: str, boilerplate, heading: str = HEADING) -> Column:
+    """Whether a quote may be evidence by itself."""
+    sound = F.length(quote).between(6, 600) & whole(quote, endings, heading)
+    for words in boilerplate:
+        sound = sound & ~F.contains(quote, F.lit(words))
+    return sound
+
+
+def apart(listed: Column, most: int) -> Column:
+    """The first `most` of an array of sentences (start, stop, quote) that neither overlap nor hold an earlier one."""
+
+    def same(x: Column, y: Column) -> Column:
+        shared = F.greatest(F.least(x["stop"], y["stop"]) - F.greatest(x["start"], y["start"]), F.lit(0))
+        return F.contains(x["quote"], y["quote"]) | F.contains(y["quote"], x["quote"]) | (shared / F.greatest(F.least(x["stop"] - x["start"], y["stop"] - y["start"]), F.lit(1)) >= 0.8)
+
+    none = F.filter(listed, lambda x: F.lit(False))
+    return F.aggregate(listed, none, lambda acc, x: F.when((F.size(acc) >= most) | F.exists(acc, lambda y: same(x, y)), acc).otherwise(F.array_append(acc, x)))
 
 
 def within(parts: DataFrame, area: DataFrame) -> DataFrame:
@@ -66,11 +91,7 @@ def candidates(docs: DataFrame, found: DataFrame, area: DataFrame, items: int =
     own = within(mentioned(sentences(docs, endings), found), area)
     target = F.exists("mentions", lambda m: m["key"] == F.col("product_key"))
     rows = settled(own, quote=clean_quote("phrase"), target=target)
-    size = F.length("quote")
-    sound = size.between(6, 600) & F.right("quote", F.lit(1)).rlike(f"[{re.escape(endings)}]") & ~F.col("quote").rlike(NO_START) & ~F.col("quote").rlike(heading)
-    for words in boilerplate:
-        sound = sound & ~F.contains("quote", F.lit(words))
-    kept = rows.filter(sound & (F.col("target") | ((F.size("mentions") == 0) & ~F.col("scope.shared"))))
+    kept = rows.filter(offers(F.col("quote"), endings, boilerplate, heading) & (F.col("target") | ((F.size("mentions") == 0) & ~F.col("scope.shared"))))
     score = F.size(F.filter(F.array(*map(F.lit, conclusions)), lambda w: F.contains(F.col("quote"), w)))
     number = F.row_number().over(Window.partitionBy("doc_id", "product_key").orderBy("start", "stop"))
     ranked = kept.select("doc_id", "product_key", F.struct((-score).alias("a"), F.when(F.col("target"), 0).otherwise(1).alias("b"), "start", "stop", "quote", F.concat(F.lit("E"), number).alias("evidence_id")).alias("x"))
@@ -110,15 +131,8 @@ def proofs(docs: DataFrame, found: DataFrame, area: DataFrame, signals: DataFram
     inside = lambda m: (m["start"] >= F.col("low")) & (m["start"] < F.col("high"))
     alone = F.exists("s.mentions", lambda m: inside(m) & (m["key"] == key)) & ~F.exists("s.mentions", lambda m: inside(m) & (m["key"] != key))
     compared = F.col("quote").rlike("|".join(map(re.escape, comparisons)))
-    sound = (F.length("quote") >= 8) & F.right("quote", F.lit(1)).rlike(f"[{re.escape(endings)}]") & ~F.col("quote").rlike(NO_START) & ~F.col("quote").rlike(heading) & (~other | alone | compared)
+    sound = (F.length("quote") >= 8) & whole(F.col("quote"), endings, heading) & (~other | alone | compared)
     # of a sentence's signals the first speaks for all: the others' quote is its own and would be left out
     good = rows.filter(sound).groupBy("doc_id", "product_key", F.col("s.start").alias("start"), F.col("s.stop").alias("stop")).agg(F.min(F.struct(F.col("signal.start").alias("at"), F.col("signal.stop").alias("until"))).alias("f"), F.min("quote").alias("quote"))
     listed = good.groupBy("doc_id", "product_key").agg(F.array_sort(F.collect_list(F.struct("f.at", "f.until", "start", "stop", "quote"))).alias("all"))
-
-    def same(x: Column, y: Column) -> Column:
-        shared = F.greatest(F.least(x["stop"], y["stop"]) - F.greatest(x["start"], y["start"]), F.lit(0))
-        return F.contains(x["quote"], y["quote"]) | F.contains(y["quote"], x["quote"]) | (shared / F.greatest(F.least(x["stop"] - x["start"], y["stop"] - y["start"]), F.lit(1)) >= 0.8)
-
-    none = F.filter("all", lambda x: F.lit(False))
-    kept = F.aggregate("all", none, lambda acc, x: F.when((F.size(acc) >= most) | F.exists(acc, lambda y: same(x, y)), acc).otherwise(F.array_append(acc, x)))
-    return listed.select("doc_id", "product_key", F.posexplode(kept).alias("place", "x")).select("doc_id", "product_key", "place", "x.start", "x.stop", "x.quote")
+    return listed.select("doc_id", "product_key", F.posexplode(apart(F.col("all"), most)).alias("place", "x")).select("doc_id", "product_key", "place", "x.start", "x.stop", "x.quote")

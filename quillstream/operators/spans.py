@@ -207,12 +207,18 @@ def routed(docs: DataFrame, arbitration: DataFrame, quotes: DataFrame, options:
     offered = options.select("doc_id", "product_key", F.lit(True).alias("offered")).distinct()
     keys = ["doc_id", "product_key"]
     joined = mentions.select(*keys, "related").join(arbitration.select(*keys, "accepted", "direction", "confidence"), keys, "left").join(proven, keys, "left").join(offered, keys, "left")
+    rows = routes(joined, least)
+    none = docs.select("doc_id").join(mentions.select("doc_id").distinct(), "doc_id", "left_anti")
+    empty = none.select("doc_id", F.lit(None).cast("string").alias("product_key"), F.lit("review").alias("outcome"), F.lit("no_product_match").alias("reason"), F.lit(None).cast("string").alias("direction"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("boolean").alias("need_manual_review"))
+    return rows.unionByName(empty)
+
+
+def routes(joined: DataFrame, least: float = 0.5) -> DataFrame:
+    """What `routed` says of products by their mention (related), verdict (accepted, direction, confidence) and evidence (proven, offered); a null product is that of a document without mentions."""
+    keys = ["doc_id", "product_key"]
     good = F.coalesce(F.col("accepted") & F.col("proven"), F.lit(False))
     outcome = F.when(F.col("accepted").isNull(), "review").when(good, "rule").otherwise("provisional")
     why = F.when(F.col("accepted"), "rule_evidence_quality_failed").otherwise("fallback")
     rest = F.when(F.col("offered"), "llm_unavailable").otherwise("no_product_scoped_context")
-    reason = F.when(F.col("accepted").isNull(), F.when(F.col("related"), "related_product_mention_only").otherwise("no_signal")).when(~good, F.concat_ws(":", why, rest))
-    rows = joined.select(*keys, outcome.alias("outcome"), reason.alias("reason"), "direction", "confidence", F.when(F.col("accepted").isNotNull(), ~good | (F.col("confidence") < least)).alias("need_manual_review"))
-    none = docs.select("doc_id").join(mentions.select("doc_id").distinct(), "doc_id", "left_anti")
-    empty = none.select("doc_id", F.lit(None).cast("string").alias("product_key"), F.lit("review").alias("outcome"), F.lit("no_product_match").alias("reason"), F.lit(None).cast("string").alias("direction"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("boolean").alias("need_manual_review"))
-    return rows.unionByName(empty)
+    reason = F.when(F.col("accepted").isNull(), F.when(F.col("product_key").isNull(), "no_product_match").when(F.col("related"), "related_product_mention_only").otherwise("no_signal")).when(~good, F.concat_ws(":", why, rest))
+    return joined.select(*keys, outcome.alias("outcome"), reason.alias("reason"), "direction", "confidence", F.when(F.col("accepted").isNotNull(), ~good | (F.col("confidence") < least)).alias("need_manual_review"))

@@ -143,6 +143,11 @@ def arbitrated(signals: DataFrame) -> DataFrame:
     """Weighted arbitration of signals (article_id, product_key, direction, weight, confidence, and factor where context counts): the winner, its confidence, whether it is accepted, and the decision."""
     score = F.col("weight") * F.col("confidence") * (F.col("factor") if "factor" in signals.columns else F.lit(1.0))
     sums = signals.groupBy("article_id", "product_key").agg(*[F.round(F.sum(F.when(F.col("direction") == d, score).otherwise(0.0)), 9).alias(n) for d, n in zip(DIRECTIONS, ("up", "down", "flat"), strict=True)])
+    return judged(sums).withColumn("decision", F.when(F.col("accepted"), "rule_accept").otherwise("llm_fallback"))
+
+
+def judged(sums: DataFrame) -> DataFrame:
+    """Sums of scores (up, down, flat) turned into direction, confidence and accepted, beside their other columns."""
     ranked = F.sort_array(F.array("up", "down", "flat"), asc=False)
     out = sums.withColumns({"best": ranked[0], "margin": F.round(ranked[0] - ranked[1], 9), "total": F.col("up") + F.col("down") + F.col("flat")})
     winner = F.when(F.col("up") == F.col("best"), DIRECTIONS[0]).when(F.col("down") == F.col("best"), DIRECTIONS[1]).otherwise(DIRECTIONS[2])
@@ -150,7 +155,8 @@ def arbitrated(signals: DataFrame) -> DataFrame:
     sure = ((F.col("best") >= 1.5) & (F.col("margin") >= 0.5)) | (F.col("margin") >= 0.2)
     confidence = F.least(F.lit(1.0), F.coalesce(F.try_divide("best", "total"), F.lit(0.0)) + F.least("margin", F.lit(1.0)) * 0.15)
     accepted = sure & ~clash
-    return out.select("article_id", "product_key", winner.alias("direction"), F.round(confidence, 4).alias("confidence"), accepted.alias("accepted"), F.when(accepted, "rule_accept").otherwise("llm_fallback").alias("decision"))
+    more = [c for c in sums.columns if c not in ("up", "down", "flat")]
+    return out.select(*more, winner.alias("direction"), F.round(confidence, 4).alias("confidence"), accepted.alias("accepted"))
 
 
 def decided(arbitration: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.functions import phrases as ph
-from quillstream.operators import proof
+from quillstream.operators import proof, proven
 from quillstream.operators import spans as sp
 from quillstream.operators.tables import written
 from quillstream.operators.text import ALIASES
@@ -235,10 +235,13 @@ def _candidates(s, d, placed: DataFrame, area: DataFrame) -> DataFrame:
     return proof.candidates(_docs(s, d), placed, area, endings=ENDS, conclusions=CONCLUSIONS, boilerplate=BOILER)
 
 
+RULES = proven.Rules(ALIASES, NEGATIVE, HEADING, SIGNALS, FLAGS, RISKS, CLAUSE, SENTENCE, ENDS)
+CLAUSES = ",;.!?\n"
+
+
 @query("t11_evidence_sentences")
 def t11(s, d):
-    places = _places(s, d)
-    return _proofs(s, d, places[0], _area(s, d, places), written(_product_signals(s, d, places)))
+    return proven.proofs(_docs(s, d), RULES, CLAUSES, COMPARED)
 
 
 def _proofs(s, d, placed: DataFrame, area: DataFrame, signals: DataFrame) -> DataFrame:
