@@ -244,10 +244,6 @@ def t11(s, d):
     return proven.proofs(_docs(s, d), RULES, CLAUSES, COMPARED)
 
 
-def _proofs(s, d, placed: DataFrame, area: DataFrame, signals: DataFrame) -> DataFrame:
-    return proof.proofs(_docs(s, d), placed, area, signals, endings=ENDS, clauses=",;.!?\n", comparisons=COMPARED)
-
-
 @query("a12_signals_by_product")
 def a12(s, d):
     """Signals once each, by product."""
@@ -265,18 +261,16 @@ def t13(s, d):
     return sp.valid_excerpts(docs, quotes).select("doc_id", "start", "stop", "valid")
 
 
-def _verdicts(s, d, signals: DataFrame | None = None) -> DataFrame:
+def _verdicts(s, d) -> DataFrame:
     from quillstream.operators.text import arbitrated
 
-    signals = (signals or _product_signals(s, d)).select(F.col("doc_id").alias("article_id"), "product_key", "direction", "weight", "confidence", "factor")
+    signals = _product_signals(s, d).select(F.col("doc_id").alias("article_id"), "product_key", "direction", "weight", "confidence", "factor")
     return arbitrated(signals).withColumnRenamed("article_id", "doc_id")
 
 
 @query("t14_routing")
 def t14(s, d):
-    places = _places(s, d)
-    placed, area, signals = places[0], _area(s, d, places), written(_product_signals(s, d, places))
-    return sp.routed(_docs(s, d), _verdicts(s, d, signals), _proofs(s, d, placed, area, signals), _candidates(s, d, placed, area), sp.related_only(placed))
+    return proven.routed(_docs(s, d), RULES, CLAUSES, COMPARED, BOILER)
 
 
 def queries() -> dict:

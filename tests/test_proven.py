@@ -41,7 +41,7 @@ def test_proofs_and_routes_as_by_tables(spark, tmp_path, monkeypatch):
     assert len({(r[2], r[3]) for r in want}) > 5 and rows(proven.routed(docs, rules, spanned.CLAUSES, spanned.COMPARED, spanned.BOILER)) == want
 
 
-@pytest.mark.parametrize("name", ["t11_evidence_sentences"])
+@pytest.mark.parametrize("name", ["t11_evidence_sentences", "t14_routing"])
 def test_nothing_is_moved_or_sorted(spark, sf_dir, name):
     plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in ("Join", "Window", "Aggregate", "Sort") if x in plan]
