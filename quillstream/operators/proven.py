@@ -216,7 +216,7 @@ def _shown(key: str, sentences: list[tuple], signals: list[tuple], clauses: re.P
     begins = [s[0] for s in ordered]
     for start, stop, phrase, mentions, shared in sentences:
         first = alone = (None, None)
-        marks = None
+        marks, named_in = None, {}
         for a, b, *_ in ordered[bisect_right(begins, start) : bisect_left(begins, stop)]:
             if b > stop:
                 continue
@@ -224,7 +224,9 @@ def _shown(key: str, sentences: list[tuple], signals: list[tuple], clauses: re.P
             # ends of clauses, looked for once a sentence
             marks = [start, *(start + m.end() for m in clauses.finditer(phrase)), stop] if marks is None else marks
             low, high = marks[bisect_right(marks, a) - 1], marks[bisect_right(marks, b)] if b < stop else stop
-            if {k for _, k in mentions[bisect_left(mentions, (low, "")) : bisect_left(mentions, (high, ""))]} == {key}:
+            if (low, high) not in named_in:
+                named_in[low, high] = {k for _, k in mentions[bisect_left(mentions, (low, "")) : bisect_left(mentions, (high, ""))]}
+            if named_in[low, high] == {key}:
                 alone = (a, b)
                 break
         if every or first[0] is not None:
